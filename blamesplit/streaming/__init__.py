@@ -1,0 +1,5 @@
+"""Nothing lives here: every operator in this library is a batch plan.
+
+The feature set this package covers has no stream, watermark or late-data operator, so the
+folder only marks that the category was looked at.
+"""
