@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 RUN = ["scenario", "method"]
+RANK_DIGITS = 9  # blame is compared at this precision, so ties do not hang on summation order
 
 
 def blame_ranking(attribution: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """Add `rank`: most negative first, ties by operator name."""
-    order = Window.partitionBy(*keys).orderBy("phi", "op")
+    order = Window.partitionBy(*keys).orderBy(F.round("phi", RANK_DIGITS), "op")
     return attribution.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
@@ -21,7 +22,8 @@ def scores(attribution: DataFrame, culprits: DataFrame, keys: list[str] = RUN) -
     known = culprits.distinct().withColumn("__guilty", F.lit(True))
     ranked = blame_ranking(attribution, keys).join(known, ["scenario", "op"], "left")
     guilty = F.col("__guilty").isNotNull()
-    harm = F.when(F.col("phi") < 0, -F.col("phi")).otherwise(0.0)
+    phi = F.round("phi", RANK_DIGITS)
+    harm = F.when(phi < 0, -phi).otherwise(0.0)
     first = F.min(F.when(guilty, F.col("rank")))
     on_culprits = F.sum(F.when(guilty, harm).otherwise(0.0))
     return ranked.groupBy(*keys).agg(

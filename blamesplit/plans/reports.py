@@ -5,17 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from blamesplit.functions.columns import numeric_columns
 from blamesplit.functions.local import local_table
 from blamesplit.operators import game as g
 from blamesplit.operators import scoring
 from blamesplit.plans.pipeline import Pipeline
-from blamesplit.plans.replay import Replay
+from blamesplit.plans.replay import Replay, active_frontier, profile, world_fingerprints
+from blamesplit.plans.worlds import W
 
 # Fixed limits of the reports.
 MEASURABLE = 0.002  # smallest |v(V)| an incident is read at
 DRIFT_FLOOR = 0.002
+HARM = -0.002  # a fault or incident counts as harmful from here down
+METHODS = ["shapley", "anchored", "loo", "drift", "stagewise"]
 TINY_DRIFT = 1e-9
 SIGN_EPS = 1e-9
 RATIO_BINS = [(0.0, 0.25, "r < 0.25"), (0.25, 0.5, "0.25 - 0.5"), (0.5, 1.0, "0.5 - 1"), (1.0, 2.0, "1 - 2"), (2.0, None, "r > 2")]
@@ -39,6 +45,7 @@ class Study:
     spark: SparkSession
     pipeline: Pipeline
     incidents: list[Incident]
+    tables: object = None
 
     def choice(self, incident: Incident) -> dict[str, int]:
         """Variant of every sensitive operator: sources always move, others only if faulted."""
@@ -120,15 +127,12 @@ def max_difference(attribution: DataFrame, a: str, b: str) -> DataFrame:
 def boundary_check(game: DataFrame, players: DataFrame) -> DataFrame:
     """(scenario, identity, max_gap): nobody anchored = Shapley; all but i anchored = leave-one-out.
 
-    Both sides are computed by their own route: the Shapley side walks the whole lattice of all
-    permutations' weights, the other side uses the two masks the definition names.
+    Each side takes its own route: Shapley from signed subset sums, leave-one-out from two masks.
     """
-    setting = g.anchors(players).select("scenario", "full", "n_free")
     empty = g.anchored_shapley(game, g.no_anchor(players), "anchored_empty")
     shapley = subset_shapley(game, players)
     first = compare(empty, shapley, "anchor none = shapley")
     loo = g.leave_one_out(game, players)
-    others = []
     last = (
         players.alias("p")
         .join(players.withColumnRenamed("op", "free").select("scenario", "free"), "scenario")
@@ -226,3 +230,262 @@ def incident_report(study: Study, game: DataFrame) -> DataFrame:
             "n_operators", "lattice",
         )
     )
+
+
+def staged_rows(df: DataFrame) -> DataFrame:
+    """A report of a few rows, run once and kept, for the summaries built on it."""
+    return local_table(df.sparkSession, df.schema, [tuple(r) for r in df.collect()])
+
+
+# -- drift of every node -------------------------------------------------------------------
+
+
+def node_drift(study: Study, incidents: list[Incident]) -> DataFrame:
+    """Drift attribution: how far each operator's own output moved between the two full runs.
+
+    Score = mean over shared numeric columns of |mean shift| / sd at reference (0 or missing sd
+    counts as 1) + relative change of the row count + 1 if the column set changed. An operator
+    without shared numeric columns has only the schema term. More drift is more blame, so
+    phi = -score.
+    """
+    pipeline, spark = study.pipeline, study.spark
+    ends = {i.name: pipeline.world(pipeline.names, study.choice(i)) for i in incidents}
+    run = Replay(pipeline, {0, *ends.values()})
+    profiles, pairs, flags = [], [], []
+    for op in pipeline.names:
+        frame = run.node(op)
+        numeric = numeric_columns(frame.df, [W])
+        if numeric:
+            profiles.append(profile(frame, numeric).select(F.lit(op).alias("op"), "*"))
+        for scenario, world in ends.items():
+            local = world & frame.fields
+            before, after = frame.columns_in(0), frame.columns_in(local)
+            shared = [c for c in numeric if c in before and c in after]
+            pairs += [(scenario, op, c, local) for c in shared]
+            flags.append((scenario, op, set(before) != set(after), bool(shared)))
+    cells = staged_rows(reduce(DataFrame.unionByName, profiles))
+    before = cells.where(F.col(W) == 0).select(
+        "op", "column", F.col("n_rows").alias("n0"), F.col("mean").alias("m0"), "sd"
+    )
+    after = cells.select(
+        "op", "column", W, F.col("n_rows").alias("n1"), F.col("mean").alias("m1")
+    )
+    sd = F.when(F.coalesce("sd", F.lit(0.0)) == 0, 1.0).otherwise(F.col("sd"))
+    n0, n1 = F.coalesce("n0", F.lit(0)), F.coalesce("n1", F.lit(0))
+    wanted = local_table(spark, f"scenario string, op string, column string, {W} long", pairs)
+    moved = (
+        wanted.join(before, ["op", "column"], "left")
+        .join(after, ["op", "column", W], "left")
+        .groupBy("scenario", "op")
+        .agg(
+            F.coalesce(F.avg(F.abs(F.col("m0") - F.col("m1")) / sd), F.lit(0.0)).alias("shift"),
+            F.max(F.abs(n0 - n1) / F.greatest(n0, F.lit(1))).alias("rows"),
+        )
+    )
+    listed = local_table(
+        spark, "scenario string, op string, schema_changed boolean, measured boolean", flags
+    )
+    score = F.when(
+        F.col("measured"), F.coalesce("shift", F.lit(0.0)) + F.coalesce("rows", F.lit(0.0))
+    ).otherwise(0.0) + F.col("schema_changed").cast("double")
+    return listed.join(moved, ["scenario", "op"], "left").select(
+        "scenario", F.lit("drift").alias("method"), "op", (-score).alias("phi")
+    )
+
+
+# -- scenario summaries --------------------------------------------------------------------
+
+
+def groups(study: Study) -> DataFrame:
+    """(scenario, grp): harmful, benign, and compound for harmful scenarios of several faults."""
+    rows = [(i.name, i.group) for i in study.incidents]
+    rows += [(i.name, "compound") for i in study.incidents if i.group == "harmful" and "+" in i.name]
+    return local_table(study.spark, "scenario string, grp string", rows)
+
+
+def gate_summary(study: Study, attribution: DataFrame) -> DataFrame:
+    """(grp, method, n_scenarios, p_at_1, mrr, mass) for harmful and compound scenarios.
+
+    Benign scenarios have no culprit to find, so they are left to `benign_summary`.
+    """
+    judged = scoring.scores(attribution, study.culprits())
+    return (
+        judged.join(groups(study).where("grp <> 'benign'"), "scenario")
+        .groupBy("grp", "method")
+        .agg(
+            F.count("*").alias("n_scenarios"),
+            *[F.avg(c).alias(c) for c in ("p_at_1", "mrr", "mass")],
+        )
+    )
+
+
+def benign_summary(study: Study, game: DataFrame, players: DataFrame) -> DataFrame:
+    """(scenario, delta, max_abs_phi): benign faults should get next to no blame."""
+    phi = g.exact_shapley(game, players)
+    largest = phi.groupBy("scenario").agg(F.max(F.abs("phi")).alias("max_abs_phi"))
+    return (
+        groups(study).where("grp = 'benign'")
+        .join(totals(game, players), "scenario")
+        .join(largest, "scenario")
+        .select("scenario", "delta", "max_abs_phi")
+    )
+
+
+# -- severity ladders ----------------------------------------------------------------------
+
+
+def ladder(study: Study, game: DataFrame, players: DataFrame, attribution: DataFrame) -> DataFrame:
+    """One row per fault and severity: damage, fault-to-drift ratio, gaps, score per method."""
+    culprits = study.culprits()
+    methods = [m for m in METHODS]
+    judged = scoring.scores(attribution, culprits)
+    pick = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    wide = judged.groupBy("scenario").agg(
+        *[pick(m, c).alias(f"{m}_{c}") for m in methods for c in ("p_at_1", "mrr")]
+    )
+    gaps = efficiency_gap(attribution, game, players).groupBy("scenario").agg(
+        pick("anchored", "gap").alias("anchored_eff_gap"), pick("loo", "gap").alias("loo_eff_gap")
+    )
+    names = local_table(
+        study.spark, "scenario string, fault_type string, severity string, culprit string",
+        [(i.name, *i.name.split("/", 1), i.culprits[0]) for i in study.incidents],
+    )
+    ratio = F.abs("fault_alone") / F.greatest("drift_alone", F.lit(TINY_DRIFT))
+    return (
+        names.join(totals(game, players), "scenario")
+        .join(single_effects(game, players, culprits), "scenario")
+        .join(gaps, "scenario")
+        .join(wide, "scenario")
+        .select(
+            "fault_type", "severity", "culprit", "delta", "fault_alone", "drift_alone",
+            ratio.alias("ratio"), "anchored_eff_gap", "loo_eff_gap",
+            (F.abs("delta") >= MEASURABLE).alias("measurable"),
+            *[f"{m}_{c}" for m in methods for c in ("p_at_1", "mrr")],
+        )
+    )
+
+
+def ratio_bins(rows: DataFrame, bins) -> DataFrame:
+    """(ratio_bin, n, one p@1 column per method) over measurable rows, and all of them together."""
+    live = rows.where("measurable")
+    label = F.lit(None).cast("string")
+    for low, high, name in reversed(bins):
+        inside = F.col("ratio") >= low
+        if high is not None:
+            inside = inside & (F.col("ratio") < high)
+        label = F.when(inside, name).otherwise(label)
+    means = [F.avg(f"{m}_p_at_1").alias(m) for m in METHODS]
+    binned = live.groupBy(label.alias("ratio_bin")).agg(F.count("*").alias("n"), *means)
+    overall = live.groupBy(F.lit("OVERALL").alias("ratio_bin")).agg(F.count("*").alias("n"), *means)
+    return binned.unionByName(overall)
+
+
+def excluded(rows: DataFrame) -> DataFrame:
+    """(fault_type, severity): incidents too small to be read."""
+    return rows.where(~F.col("measurable")).select("fault_type", "severity")
+
+
+def method_agreement(rows: DataFrame) -> DataFrame:
+    """Do anchored blame and leave-one-out name the same culprit, and do they add up?"""
+    same = F.col("anchored_p_at_1") == F.col("loo_p_at_1")
+    return rows.agg(
+        F.count(F.when(F.col("measurable") & same, 1)).alias("agree"),
+        F.count(F.when(F.col("measurable"), 1)).alias("live"),
+        F.max("anchored_eff_gap").alias("anchored_gap_max"),
+        F.max("loo_eff_gap").alias("loo_gap_max"),
+        F.avg("loo_eff_gap").alias("loo_gap_mean"),
+    )
+
+
+def case_validity(rows: DataFrame) -> DataFrame:
+    """Add degraded, harmful, valid, reason: only a fault that does harm has a culprit to find."""
+    degraded, harmful = F.col("delta") <= HARM, F.col("fault_alone") <= HARM
+    reason = (
+        F.when(~harmful, "fault does no harm").when(~degraded, "no net degradation").otherwise("valid")
+    )
+    return rows.withColumns(
+        {"degraded": degraded, "harmful": harmful, "valid": degraded & harmful, "reason": reason}
+    )
+
+
+def drift_floor(study: Study, game: DataFrame, players: DataFrame) -> DataFrame:
+    """(max_drift, negligible): with no drift to hold fixed, anchoring cannot make a difference."""
+    effects = single_effects(game, players, study.culprits())
+    return effects.agg(F.max("drift_alone").alias("max_drift")).withColumn(
+        "negligible", F.col("max_drift") < DRIFT_FLOOR
+    )
+
+
+# -- order dependence ----------------------------------------------------------------------
+
+
+def order_dependence(study: Study, walks: DataFrame, game: DataFrame, players: DataFrame):
+    """How far stagewise blame of each operator swings over all topological orders."""
+    anchored = g.anchored_shapley(game, players).select("scenario", "op", F.col("phi").alias("anchored"))
+    guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
+    low, high = F.col("stagewise_min"), F.col("stagewise_max")
+    return (
+        walks.groupBy("scenario", "op")
+        .agg(
+            F.count("*").alias("n_orders"),
+            F.min("phi").alias("stagewise_min"),
+            F.max("phi").alias("stagewise_max"),
+        )
+        .join(anchored, ["scenario", "op"])
+        .join(players.select("scenario", "op", F.col("anchored").alias("is_source")), ["scenario", "op"])
+        .join(guilty, ["scenario", "op"], "left")
+        .select(
+            "scenario", "op", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"),
+            "is_source", "n_orders", "stagewise_min", "stagewise_max",
+            (high - low).alias("spread"),
+            ((low < -SIGN_EPS) & (high > SIGN_EPS)).alias("sign_flips"), "anchored",
+        )
+    )
+
+
+def order_top_blamed(study: Study, walks: DataFrame) -> DataFrame:
+    """(scenario, op, n_orders, is_culprit): who a stagewise walk blames first, over all orders."""
+    first = scoring.blame_ranking(walks, ["scenario", "order_id"]).where("rank = 1")
+    guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
+    return (
+        first.groupBy("scenario", "op").agg(F.count("*").alias("n_orders"))
+        .join(guilty, ["scenario", "op"], "left")
+        .select("scenario", "op", "n_orders", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"))
+    )
+
+
+# -- scaling -------------------------------------------------------------------------------
+
+
+def scale_row(study: Study, m: int, sink, utility: DataFrame, samples: int, seed: int) -> DataFrame:
+    """Cost and result of one DAG width: lattice against distinct sinks, frontier, top blame."""
+    incident = study.incidents[0]
+    game, players = study.game(utility), study.players()
+    sinks = world_fingerprints(sink).agg(F.count_distinct("fingerprint").alias("model_fits"))
+    frontier = active_frontier(study.pipeline).agg(F.count(F.when(F.col("changed"), 1)).alias("frontier"))
+    exact = g.anchored_shapley(game, players)
+    sampled = g.sampled_shapley(game, players, samples, seed, "anchored_mc")
+    error = max_difference(exact.unionByName(sampled), "anchored", "anchored_mc")
+    top = scoring.blame_ranking(sampled).where("rank = 1").select("scenario", F.col("op").alias("top_blame"))
+    n = len(study.pipeline.names)
+    facts = local_table(
+        study.spark,
+        "scenario string, m long, n long, lattice long, culprit string",
+        [(incident.name, m, n, 1 << n, incident.culprits[0])],
+    )
+    key = lambda df: df.withColumn("scenario", F.lit(incident.name))
+    measurable = F.abs("delta") >= MEASURABLE
+    return (
+        facts.join(key(sinks), "scenario")
+        .join(key(frontier), "scenario")
+        .join(error, "scenario")
+        .join(totals(game, players), "scenario")
+        .join(top, "scenario")
+        .select(
+            "m", "n", "lattice", "model_fits",
+            (F.col("lattice") / F.col("model_fits")).alias("reduction"),
+            "frontier", F.col("max_err").alias("mc_max_err"), "delta",
+            measurable.alias("measurable"), "top_blame", "culprit",
+            (measurable & (F.col("top_blame") == F.col("culprit"))).alias("correct"),
+        )
+    )
