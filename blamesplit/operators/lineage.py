@@ -73,10 +73,9 @@ def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int) -
             )
         )
         paths = grown.orderBy("path").limit(limit)
-    numbered = paths.select(
-        F.row_number().over(Window.orderBy("path")).cast("long").alias("order_id"),
-        F.posexplode("ops").alias("p", "op"),
-    )
+    numbered = paths.withColumn(
+        "order_id", F.row_number().over(Window.orderBy("path")).cast("long")
+    ).select("order_id", F.posexplode("ops").alias("p", "op"))
     return numbered.select("order_id", (F.col("p") + 1).cast("long").alias("pos"), "op").join(
         coded.select("op", "bit"), "op"
     )
