@@ -67,56 +67,59 @@ def running_total(
     )
 
 
+def count_values(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(*by, v, n): how often each non-null value occurs."""
+    values = df.where(F.col(column).isNotNull())
+    return values.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+
+
 def order_statistics(
-    values: DataFrame,
+    counted: DataFrame,
     ranks: DataFrame,
     by: Sequence[str],
-    value: str,
     window_rows: int = WINDOW_ROWS,
     cuts: int = CUTS,
 ) -> DataFrame:
     """Values at 0-based ranks.
 
-    `values` has (*by, value); `ranks` has (*by, slot, rank), few rows per group.  Returns
-    (*by, slot, value).  Each narrowing pass keeps only the buckets that hold a wanted rank, so
-    the final window sees a sliver of the data.
+    `counted` has (*by, v, n); `ranks` has (*by, slot, rank), few rows per group. Returns
+    (*by, slot, v). Each narrowing pass keeps only the buckets that hold a wanted rank, so the
+    final window sees a sliver of the data.
     """
-    keys = [*by, "slot"]
-    counted = values.groupBy(*by, value).agg(F.count("*").alias("n"))
     if not by:
         raise ValueError("give at least one grouping column (a constant will do)")
+    keys = [*by, "slot"]
     pending = ranks
     kept = counted.join(ranks.select(*keys), list(by))
+    before = (Window.unboundedPreceding, -1)
     while True:
         size = kept.count()
         if size <= window_rows:
             break
         kept = stage(kept)
-        marks = cut_points(kept, value, cuts)
-        rows = in_buckets(kept, value, marks, "__part")
-        if len(marks) < 2:
-            break  # one repeated value: already a single row per group
+        marks = cut_points(kept, "v", cuts)
+        rows = in_buckets(kept, "v", marks, "__part")
         hist = rows.groupBy(*keys, "__part").agg(F.sum("n").alias("n"))
-        spec = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        spec = Window.partitionBy(*keys).orderBy("__part").rowsBetween(*before)
         hist = hist.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-        wanted = (
+        wanted = stage(
             hist.join(pending, keys)
-            .where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("n")))
+            .where(holds_rank())
             .select(*keys, "__part", (F.col("rank") - F.col("__before")).alias("rank"))
         )
         narrowed = rows.join(wanted.select(*keys, "__part"), [*keys, "__part"]).drop("__part")
-        pending = wanted.drop("__part")
-        pending = stage(pending)
+        kept, pending = narrowed, wanted.drop("__part")
         if narrowed.count() >= size:
-            break  # too few distinct values to narrow any further
-        kept = narrowed
-    spec = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+            break  # no two values left that a cut could part
+    spec = Window.partitionBy(*keys).orderBy("v").rowsBetween(*before)
     placed = kept.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-    return (
-        placed.join(pending, keys)
-        .where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("n")))
-        .select(*keys, value)
-    )
+    return placed.join(pending, keys).where(holds_rank()).select(*keys, "v")
+
+
+def holds_rank():
+    """The row covers ranks __before ... __before + n - 1; is the wanted one among them?"""
+    rank, low = F.col("rank"), F.col("__before")
+    return (rank >= low) & (rank < low + F.col("n"))
 
 
 def exact_quantile(
@@ -129,27 +132,52 @@ def exact_quantile(
     cuts: int = CUTS,
 ) -> DataFrame:
     """Exact quantile with linear interpolation per group, nulls ignored: (*by, out)."""
-    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"))
-    spot = (F.count("*") - 1) * F.lit(float(q))
-    sized = values.groupBy(*by).agg(spot.alias("spot"))
-    ranks = sized.select(
-        *by,
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("slot"), F.floor("spot").alias("rank")),
-                F.struct(F.lit(1).alias("slot"), F.ceil("spot").alias("rank")),
-            )
-        ).alias("r"),
-    ).select(*by, "r.slot", "r.rank")
-    found = order_statistics(values, ranks, by, "v", window_rows, cuts)
+    return quantile_of_counts(count_values(df, by, column), q, by, out, window_rows, cuts)
+
+
+def quantile_of_counts(
+    counted: DataFrame,
+    q: float,
+    by: Sequence[str],
+    out: str,
+    window_rows: int = WINDOW_ROWS,
+    cuts: int = CUTS,
+) -> DataFrame:
+    before = (Window.unboundedPreceding, -1)
+    if counted.count() <= window_rows:
+        group = Window.partitionBy(*by)
+        below = F.sum("n").over(group.orderBy("v").rowsBetween(*before))
+        placed = counted.withColumns(
+            {
+                "__before": F.coalesce(below, F.lit(0)),
+                "spot": (F.sum("n").over(group) - 1) * F.lit(float(q)),
+            }
+        )
+        at = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("n"))
+        ends = placed.groupBy(*by).agg(
+            F.max(F.when(at(F.floor("spot")), F.col("v"))).alias("lo"),
+            F.max(F.when(at(F.ceil("spot")), F.col("v"))).alias("hi"),
+            F.max("spot").alias("spot"),
+        )
+        return ends.select(*by, between_ends().alias(out))
+    sized = counted.groupBy(*by).agg(((F.sum("n") - 1) * F.lit(float(q))).alias("spot"))
+    slots = F.array(
+        F.struct(F.lit(0).alias("slot"), F.floor("spot").alias("rank")),
+        F.struct(F.lit(1).alias("slot"), F.ceil("spot").alias("rank")),
+    )
+    ranks = sized.select(*by, F.inline(slots))
+    found = order_statistics(counted, ranks, by, window_rows, cuts)
     ends = found.groupBy(*by).agg(
         F.max(F.when(F.col("slot") == 0, F.col("v"))).alias("lo"),
         F.max(F.when(F.col("slot") == 1, F.col("v"))).alias("hi"),
     )
+    return ends.join(sized, list(by)).select(*by, between_ends().alias(out))
+
+
+def between_ends():
+    """Linear interpolation between the two neighbouring values."""
     share = F.col("spot") - F.floor("spot")
-    return ends.join(sized, list(by)).select(
-        *by, (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias(out)
-    )
+    return F.col("lo") + (F.col("hi") - F.col("lo")) * share
 
 
 def head_fraction(
@@ -175,9 +203,10 @@ def head_fraction(
         .where(F.col("k") > 0)
         .select(*groups, F.lit(0).alias("slot"), (F.col("k") - 1).alias("rank"))
     )
-    last = order_statistics(
-        rows.select(*groups, F.col(key).alias("__last")), ranks, groups, "__last", window_rows, cuts
-    ).drop("slot")
+    counted = count_values(rows, groups, key)
+    last = order_statistics(counted, ranks, groups, window_rows, cuts).select(
+        *groups, F.col("v").alias("__last")
+    )
     kept = rows.join(last, groups).where(F.col(key) <= F.col("__last")).drop("__last")
     return kept if by else kept.drop("__all")
 

@@ -18,7 +18,7 @@ from blamesplit.functions.columns import align
 from blamesplit.functions.local import local_table
 from blamesplit.functions.newton import fit_worlds
 from blamesplit.functions.ordered import WINDOW_ROWS, cut_points, running_total
-from blamesplit.plans.worlds import MAX_WORLDS, W, WorldFrame
+from blamesplit.plans.worlds import W, WorldFrame, settled
 
 LABEL = "label"
 MIN_ROWS = 50
@@ -26,18 +26,6 @@ NO_SKILL = 0.5
 SCORE_DIGITS = 6
 
 
-def settled(frame: WorldFrame, df: DataFrame) -> DataFrame:
-    """Run a query that yields a few rows per world and keep its rows as a small local table.
-
-    The worlds of a request are counted when the plan is built, so the size is known to be small;
-    everything computed from the result then plans without the pipeline behind it.
-    """
-    if len(frame.worlds) > MAX_WORLDS:
-        raise ValueError(f"more than {MAX_WORLDS} worlds in one replay")
-    rows = [tuple(r) for r in df.collect()]
-    return local_table(df.sparkSession, df.schema, rows)
-
-
 def listed_worlds(frame: WorldFrame) -> DataFrame:
     """Every world of the frame, also those whose table came out empty."""
     return local_table(frame.df.sparkSession, f"{W} long", [(w,) for w in frame.worlds])

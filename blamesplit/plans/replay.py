@@ -7,17 +7,21 @@ from collections.abc import Callable, Iterable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from blamesplit.plans.pipeline import Pipeline
+from blamesplit.plans.pipeline import MAX_PLAYERS, Pipeline
 from blamesplit.plans.worlds import W, State, WorldFrame, world_const
 
 
 class Replay:
-    """Lazy replay of `worlds` (default: every state of every sensitive operator)."""
+    """Lazy replay of `worlds` (default: every state of every sensitive operator).
 
-    def __init__(self, pipeline: Pipeline, worlds: Iterable[int] | None = None, cache_shared=False):
+    `cache` keeps the output of operators that are read more than once: "shared" those with
+    several consumers, "all" every operator but the sink (for runs that look at each of them).
+    """
+
+    def __init__(self, pipeline: Pipeline, worlds: Iterable[int] | None = None, cache: str = ""):
         self.pipeline = pipeline
         self.required = frozenset(pipeline.all_worlds() if worlds is None else worlds)
-        self.cache_shared = cache_shared
+        self.cache = cache
         self._frames: dict[str, WorldFrame] = {}
         self._cached: list[DataFrame] = []
 
@@ -31,7 +35,7 @@ class Replay:
             inputs = {p: self.node(p) for p in op.parents}
             frame = op.body(inputs, self.state(name))
             frame = frame.expand(self.pipeline.lineage_fields(name))
-            if self.cache_shared and self._consumers(name) > 1:
+            if self._consumers(name) > {"": MAX_PLAYERS, "shared": 1, "all": 0}[self.cache]:
                 frame.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
                 self._cached.append(frame.df)
             self._frames[name] = frame

@@ -184,7 +184,10 @@ def attributions(
     samples: int = 60,
     seed: int = 1,
 ) -> DataFrame:
-    """All requested methods in one table. `orders` has (scenario, method, pos, op, bit)."""
+    """All requested methods in one table. `orders` has (scenario, method, pos, op, bit).
+
+    The table has one row per scenario, method and operator: it is run once and kept.
+    """
     made = {
         "shapley": lambda: g.exact_shapley(game, players),
         "anchored": lambda: g.anchored_shapley(game, players),
@@ -199,16 +202,13 @@ def attributions(
         )
     if drift is not None:
         parts.append(drift)
-    df = parts[0]
-    for part in parts[1:]:
-        df = df.unionByName(part)
-    return df
+    return staged_rows(reduce(DataFrame.unionByName, parts))
 
 
 def incident_report(study: Study, game: DataFrame) -> DataFrame:
     """The incident card: ranked anchored blame with culprit and anchor marks, and the sums."""
     players, culprits = study.players(), study.culprits()
-    phi = g.anchored_shapley(game, players)
+    phi = staged_rows(g.anchored_shapley(game, players))
     ranked = scoring.blame_ranking(phi)
     gap = efficiency_gap(phi, game, players).select("scenario", "total_phi", "to_explain", "gap")
     lattice = local_table(
@@ -250,7 +250,7 @@ def node_drift(study: Study, incidents: list[Incident]) -> DataFrame:
     """
     pipeline, spark = study.pipeline, study.spark
     ends = {i.name: pipeline.world(pipeline.names, study.choice(i)) for i in incidents}
-    run = Replay(pipeline, {0, *ends.values()})
+    run = Replay(pipeline, {0, *ends.values()}, cache="all")
     profiles, pairs, flags = [], [], []
     for op in pipeline.names:
         frame = run.node(op)
@@ -264,6 +264,7 @@ def node_drift(study: Study, incidents: list[Incident]) -> DataFrame:
             pairs += [(scenario, op, c, local) for c in shared]
             flags.append((scenario, op, set(before) != set(after), bool(shared)))
     cells = staged_rows(reduce(DataFrame.unionByName, profiles))
+    run.release()
     before = cells.where(F.col(W) == 0).select(
         "op", "column", F.col("n_rows").alias("n0"), F.col("mean").alias("m0"), "sd"
     )

@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from blamesplit.functions.ordered import exact_quantile, head_fraction
+from blamesplit.functions.local import local_table
+from blamesplit.functions.ordered import count_values, head_fraction, quantile_of_counts
 from blamesplit.plans.pipeline import Field, Operator
 
 W = "w"
@@ -20,7 +21,24 @@ MAX_WORLDS = 4096  # bounds every per-world broadcast; larger requests are split
 
 
 def world_const(value: int) -> Column:
-    return F.lit(value).cast("long")
+    return F.expr(f"{value}L")
+
+
+def sql_literal(value) -> str:
+    """A parameter value as SQL text: one expression string instead of many column objects."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def one_of(worlds: Iterable[int]) -> Column:
+    return F.expr(f"{W} IN ({', '.join(f'{w}L' for w in sorted(worlds))})")
 
 
 class WorldFrame:
@@ -70,20 +88,19 @@ class WorldFrame:
             return self._like(self.df, target)
         others = [c for c in self.df.columns if c != W]
         if len(steps) == 1:
-            df = self.df.withColumn(W, F.col(W).bitwiseOR(world_const(steps[0])))
+            df = self.df.withColumn(W, F.expr(f"{W} | {steps[0]}L"))
         else:
-            options = F.explode(F.array(*[world_const(s) for s in steps]))
-            df = self.df.withColumn("__step", options)
-            df = df.select((F.col(W).bitwiseOR(F.col("__step"))).alias(W), *others)
+            options = ", ".join(f"{W} | {s}L" for s in steps)
+            df = self.df.select(F.expr(f"explode(array({options}))").alias(W), *others)
             if len(wanted) < len(steps) * len(self.worlds):
-                df = df.where(F.col(W).isin(sorted(wanted)))
+                df = df.where(one_of(wanted))
         return self._like(df, target)
 
     def only_required(self, possible: set[int]) -> "WorldFrame":
         wanted = self.worlds
         if possible <= set(wanted):
             return self
-        return self._like(self.df.where(F.col(W).isin(wanted)))
+        return self._like(self.df.where(one_of(wanted)))
 
     # -- world-aware relational steps ----------------------------------------------------
 
@@ -109,12 +126,12 @@ class WorldFrame:
         right = other.df.withColumnRenamed(W, "__w")
         l, r = left.df, right
         if shared:
-            l = l.withColumn("__shared", F.col(W).bitwiseAND(world_const(shared)))
-            r = r.withColumn("__shared", F.col("__w").bitwiseAND(world_const(shared)))
+            l = l.withColumn("__shared", F.expr(f"{W} & {shared}L"))
+            r = r.withColumn("__shared", F.expr(f"__w & {shared}L"))
         keys = [*on, *(["__shared"] if shared else [])]
         joined = l.join(r, keys, how).drop("__shared")
         if how == "inner" and other.fields & ~self.fields:
-            joined = joined.withColumn(W, F.col(W).bitwiseOR(F.col("__w")))
+            joined = joined.withColumn(W, F.expr(f"{W} | __w"))
         out = WorldFrame(
             joined.drop("__w"), self.required, both, {**self.absent, **other.absent}
         )
@@ -126,8 +143,16 @@ class WorldFrame:
         return a._like(a.df.unionByName(b.df), absent={**self.absent, **other.absent})
 
     def with_quantile(self, column: str, q: float, out: str) -> "WorldFrame":
-        """Attach the exact quantile of a column, taken per world."""
-        stat = exact_quantile(self.df, column, q, [W], out)
+        """Attach the exact quantile of a column, taken per world.
+
+        The values are counted once and the one number per world is settled here, so whatever
+        reads the frame later does not compute it again.
+        """
+        counted = count_values(self.df, [W], column).persist()
+        try:
+            stat = settled(self, quantile_of_counts(counted, q, [W], out))
+        finally:
+            counted.unpersist()
         return self._like(self.df.join(self.per_world(stat), W, "left"))
 
     def per_world(self, stats: DataFrame) -> DataFrame:
@@ -146,7 +171,7 @@ class WorldFrame:
             df = self.df
             if field is not None and len(shares) > 1:
                 hits = [field.world(c) for c, s in keep.items() if s == share]
-                df = df.where(F.col(W).bitwiseAND(world_const(field.mask)).isin(hits))
+                df = df.where(F.expr(f"{W} & {field.mask}L IN ({', '.join(f'{h}L' for h in hits)})"))
             parts.append(head_fraction(df, key, share, [W]))
         df = parts[0]
         for part in parts[1:]:
@@ -184,10 +209,8 @@ class WorldFrame:
         )
 
     def is_absent(self, column: str) -> Column:
-        hit = F.lit(False)
-        for mask, value in sorted(self.absent.get(column, ())):
-            hit = hit | (F.col(W).bitwiseAND(world_const(mask)) == world_const(value))
-        return hit
+        rules = sorted(self.absent.get(column, ()))
+        return F.expr(" OR ".join(f"({W} & {m}L) = {v}L" for m, v in rules) or "FALSE")
 
     def columns_in(self, world: int) -> list[str]:
         """The columns this frame has in one world."""
@@ -210,6 +233,17 @@ class WorldFrame:
         return self.df.where(F.col(W) == world_const(local)).select(*self.columns_in(local))
 
 
+def settled(frame: WorldFrame, df: DataFrame) -> DataFrame:
+    """Run a query that yields a few rows per world and keep its rows as a small local table.
+
+    The worlds of a request are counted when the plan is built, so the size is known to be small;
+    everything computed from the result then plans without the pipeline behind it.
+    """
+    if len(frame.worlds) > MAX_WORLDS:
+        raise ValueError(f"more than {MAX_WORLDS} worlds in one replay")
+    return local_table(df.sparkSession, df.schema, [tuple(r) for r in df.collect()])
+
+
 class State:
     """Parameters of one operator, seen from inside its body."""
 
@@ -234,9 +268,9 @@ class State:
 
     def by_state(self, options: Mapping[int, Column]) -> Column:
         """Pick an expression by the state of the row's world."""
-        if len(set(map(str, options.values()))) == 1:
+        state = F.expr(f"{W} & {self.field.mask}L") if len(options) > 1 else None
+        if state is None:
             return next(iter(options.values()))
-        state = F.col(W).bitwiseAND(world_const(self.field.mask))
         picked = None
         for choice, expr in options.items():
             hit = state == world_const(self.field.world(choice))
@@ -245,7 +279,13 @@ class State:
 
     def value(self, name: str, default=None) -> Column:
         """The parameter as a column: a literal, or a CASE over the world tag."""
-        return self.by_state({c: F.lit(v) for c, v in self.values(name, default).items()})
+        values = self.values(name, default)
+        if len(set(values.values())) == 1:
+            return F.lit(next(iter(values.values())))
+        cases = " ".join(
+            f"WHEN {self.field.world(c)}L THEN {sql_literal(v)}" for c, v in values.items()
+        )
+        return F.expr(f"CASE {W} & {self.field.mask}L {cases} END")
 
     def partition(self, df: DataFrame, rule: Callable[[Mapping], Column]) -> WorldFrame:
         """Source partition by state: each state reads the rows its own rule accepts.
@@ -253,11 +293,9 @@ class State:
         One scan serves all states; the union of the rules is pushed to it.
         """
         rules = {c: rule(self.op.params(c)) for c in self.choices}
-        if len(set(map(str, rules.values()))) == 1:
+        if len(rules) == 1:
             fields = self.field.mask if self.field else 0
             kept = df.where(next(iter(rules.values()))).withColumn(W, world_const(0))
-            if not fields:
-                return WorldFrame(kept, self.required)
             return WorldFrame(kept, self.required).expand(fields)
         either = None
         for r in rules.values():

@@ -733,11 +733,15 @@ def drift_ctes(study: Study, chains: Chains, numeric, x: str = "") -> list[tuple
             if field:
                 gone = set(p.operators[n].params(field.choice(high)).get("drop_columns", ()))
             for cte, lost in ((a, set()), (b, gone)):
-                for c in numeric(n):
-                    if c not in lost and (cte, c) not in seen:
-                        seen.add((cte, c))
-                        cells.append(f"""SELECT '{cte}' AS t, '{c}' AS c, count(*) AS n, avg(CAST("{c}" AS DOUBLE)) AS m,
-                          stddev_samp(CAST("{c}" AS DOUBLE)) AS sd FROM {cte}""")
+                if cte in seen:
+                    continue
+                seen.add(cte)
+                cols = [c for c in numeric(n) if c not in lost]
+                names = ", ".join(f"'{c}'" for c in cols)
+                mean = ", ".join(f'avg(CAST("{c}" AS DOUBLE))' for c in cols)
+                sd = ", ".join(f'stddev_samp(CAST("{c}" AS DOUBLE))' for c in cols)
+                cells.append(f"""SELECT '{cte}' AS t, unnest([{names}]) AS c, count(*) AS n,
+                  unnest([{mean}]) AS m, unnest([{sd}]) AS sd FROM {cte}""")
             for c in numeric(n):
                 if c not in gone:
                     pairs.append((i.name, n, a, b, c, 1 if gone else 0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
 
@@ -491,6 +492,12 @@ def scored(study: Study) -> tuple[DataFrame, DataFrame]:
     return study.game(utility), study.players()
 
 
+def side_by_side(*jobs):
+    """Run independent Spark jobs at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def incident_game(spark, folder):
     study = studies.incident(spark, Tables(spark, folder))
     game, players = scored(study)
@@ -664,12 +671,14 @@ def boundary_check(spark, folder):
 @query
 def report_gate(spark, folder):
     study = studies.gate(spark, Tables(spark, folder))
-    game, players = scored(study)
-    table = gate_attributions(study, game, players)
+    (game, players), drift = side_by_side(
+        lambda: scored(study), lambda: reports.node_drift(study, study.incidents)
+    )
+    table = gate_attributions(study, game, players, drift)
     return rounded(reports.gate_summary(study, table), "p_at_1", "mrr", "mass", digits=6)
 
 
-def gate_attributions(study, game, players):
+def gate_attributions(study, game, players, drift):
     all_orders = orders_of(study, 32)
     last = all_orders.agg(F.max("order_id").alias("order_id"))
     ends = for_all(
@@ -678,7 +687,6 @@ def gate_attributions(study, game, players):
             all_orders.join(last, "order_id").withColumn("method", F.lit("stagewise_b"))
         ),
     )
-    drift = reports.node_drift(study, study.incidents)
     return reports.attributions(
         game, players, ends, drift, ("shapley", "shapley_mc", "loo"), SAMPLES, SEED
     )
@@ -691,28 +699,28 @@ def report_benign(spark, folder):
     return rounded(reports.benign_summary(study, game, players), "delta", "max_abs_phi")
 
 
-def ladder_rows(study, game, players):
+def ladder_rows(study, score):
+    """The ladder of a study; the game and the drift of the nodes are worked out side by side."""
+    (game, players), drift = side_by_side(
+        lambda: score(study), lambda: reports.node_drift(study, study.incidents)
+    )
     first = for_all(study, orders_of(study, 1)).withColumn("method", F.lit("stagewise"))
-    drift = reports.node_drift(study, study.incidents)
     table = reports.attributions(game, players, first, drift, ("shapley", "anchored", "loo"))
     return reports.ladder(study, game, players, table)
 
 
 def customer_ladder(spark, folder):
-    study = studies.ladder(spark, Tables(spark, folder))
-    game, players = scored(study)
-    return ladder_rows(study, game, players)
+    return ladder_rows(studies.ladder(spark, Tables(spark, folder)), scored)
 
 
 def trip_game(study):
-    sink = study.replay(cache_shared=False).sink()
-    return study.game(coarse(ut.discriminant_utility(sink, trips.probe(study.tables)))), study.players()
+    sink = study.replay().sink()
+    utility = coarse(ut.discriminant_utility(sink, trips.probe(study.tables)))
+    return study.game(utility), study.players()
 
 
 def trips_ladder(spark, folder):
-    study = studies.trip_ladder(spark, Tables(spark, folder))
-    game, players = trip_game(study)
-    return ladder_rows(study, game, players)
+    return ladder_rows(studies.trip_ladder(spark, Tables(spark, folder)), trip_game)
 
 
 LADDER_NUMBERS = ["delta", "fault_alone", "drift_alone", "ratio", "anchored_eff_gap", "loo_eff_gap"]
@@ -775,13 +783,15 @@ def order_top_blamed(spark, folder):
 @query
 def scale_report(spark, folder):
     tables = Tables(spark, folder)
-    parts = []
-    for m in studies.SCALE_WIDTHS:
+
+    def one(m: int) -> DataFrame:
         study = studies.width(m, spark, tables)
         sink = study.replay().sink()
         utility = coarse(ut.discriminant_utility(sink, fan_in.probe(tables, m)))
-        parts.append(reports.scale_row(study, m, sink, utility, SAMPLES, SEED))
-    return rounded(reduce(DataFrame.unionByName, parts), "reduction", "mc_max_err", "delta")
+        return reports.staged_rows(reports.scale_row(study, m, sink, utility, SAMPLES, SEED))
+
+    rows = side_by_side(*[lambda m=m: one(m) for m in studies.SCALE_WIDTHS])
+    return rounded(reduce(DataFrame.unionByName, rows), "reduction", "mc_max_err", "delta")
 
 
 @query
