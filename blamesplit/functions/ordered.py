@@ -18,6 +18,7 @@ from blamesplit.functions.stage import stage
 
 WINDOW_ROWS = 2_000_000  # distinct values one window task may sort
 CUTS = 1024
+WORK_COLUMNS = {"v", "n", "slot", "rank", "spot", "lo", "hi"}
 
 
 def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> list[float]:
@@ -69,6 +70,9 @@ def running_total(
 
 def count_values(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """(*by, v, n): how often each non-null value occurs."""
+    taken = WORK_COLUMNS & set(by)
+    if taken:
+        raise ValueError(f"grouping columns may not be named {sorted(taken)}")
     values = df.where(F.col(column).isNotNull())
     return values.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
 
@@ -199,9 +203,9 @@ def head_fraction(
     wanted = F.floor(F.count("*") * F.lit(float(keep)))
     ranks = (
         rows.groupBy(*groups)
-        .agg(wanted.alias("k"))
-        .where(F.col("k") > 0)
-        .select(*groups, F.lit(0).alias("slot"), (F.col("k") - 1).alias("rank"))
+        .agg((wanted - 1).alias("rank"))
+        .where(F.col("rank") >= 0)
+        .select(*groups, F.lit(0).alias("slot"), "rank")
     )
     counted = count_values(rows, groups, key)
     last = order_statistics(counted, ranks, groups, window_rows, cuts).select(
