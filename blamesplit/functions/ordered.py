@@ -18,9 +18,15 @@ from blamesplit.functions.stage import stage
 
 WINDOW_ROWS = 2_000_000  # distinct values one window task may sort
 CUTS = 1024
+MAX_CUTS = 65_536
 WORK_COLUMNS = {"v", "n", "slot", "rank", "spot", "lo", "hi"}
 
 
+def enough_cuts(rows: int, window_rows: int = WINDOW_ROWS) -> int:
+    """Cuts that leave about a quarter of a window's worth of rows per bucket."""
+    return min(MAX_CUTS, max(CUTS, 4 * rows // window_rows))
+
+
 def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> list[float]:
     """About `cuts` values that split `column` evenly."""
     grid = [i / cuts for i in range(1, cuts)]

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from blamesplit.functions.columns import align
 from blamesplit.functions.local import local_table
 from blamesplit.functions.newton import fit_worlds
-from blamesplit.functions.ordered import WINDOW_ROWS, cut_points, running_total
+from blamesplit.functions.ordered import WINDOW_ROWS, cut_points, enough_cuts, running_total
 from blamesplit.plans.worlds import W, WorldFrame, settled
 
 LABEL = "label"
 MIN_ROWS = 50
 NO_SKILL = 0.5
 SCORE_DIGITS = 6
+MAX_CALL_ROWS = 1_000_000
 
 
 def listed_worlds(frame: WorldFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def roc_auc(
     if rows is None:
         rows = tied.count()
     if rows > window_rows:
-        cuts = cut_points(tied, "s")
+        cuts = cut_points(tied, "s", enough_cuts(rows, window_rows))
     below = running_total(tied, by, "s", "neg", "neg_below", cuts)
     wins = F.sum(F.col("pos").cast("double") * (2 * F.col("neg_below") + F.col("neg")))
     pairs = 2.0 * F.sum("pos") * F.sum("neg").cast("double")
@@ -158,7 +159,12 @@ def linear_auc(
     """
     features = [c for c in sink.columns if c != label]
     spark = sink.df.sparkSession
-    rows = [(w, *[float(k.get(c, 0.0)) for c in features]) for w, k in sorted(weights.items())]
+    first: dict[tuple, int] = {}  # worlds with equal weights are scored once
+    stands_for = {}
+    for w, k in sorted(weights.items()):
+        vector = tuple(float(k.get(c, 0.0)) for c in features)
+        stands_for[w] = first.setdefault(vector, w)
+    rows = [(w, *vector) for vector, w in first.items()]
     schema = ", ".join([f"{W} long", *[f"`k_{c}` double" for c in features]])
     probe = align(probe, features + [label]).persist()
     aucs: dict[int, float | None] = {}
@@ -176,7 +182,7 @@ def linear_auc(
             aucs = {r[W]: r.auc for r in roc_auc(scored, [W], "score", label, size).collect()}
     finally:
         probe.unpersist()
-    found = [(w, aucs.get(w)) for w in sink.worlds]
+    found = [(w, aucs.get(stands_for.get(w))) for w in sink.worlds]
     return local_table(
         spark, f"{W} long, u double", [(w, NO_SKILL if u is None else float(u)) for w, u in found]
     )
@@ -234,24 +240,16 @@ def standardize(train: DataFrame, others: Iterable[DataFrame], features: list[st
     stats = train.agg(
         *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in features],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in features],
-    ).withColumn("__one", F.lit(1))
-
-    def scaled(df: DataFrame) -> DataFrame:
-        sd = {c: F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in features}
-        return (
-            df.withColumn("__one", F.lit(1))
-            .join(F.broadcast(stats), "__one")  # exactly one row
-            .select(
-                *[
-                    ((F.col(c).cast("double") - F.col(f"m_{c}")) / sd[c]).alias(c)
-                    if c in features
-                    else F.col(c)
-                    for c in df.columns
-                ]
-            )
-        )
+    ).first()
+
+    def scale(c: str) -> Column:
+        mean, sd = stats[f"m_{c}"], stats[f"s_{c}"]
+        return ((F.col(c).cast("double") - F.lit(mean)) / F.lit(sd or 1.0)).alias(c)
 
-    return [scaled(df) for df in (train, *others)]
+    return [
+        df.select(*[scale(c) if c in features else F.col(c) for c in df.columns])
+        for df in (train, *others)
+    ]
 
 
 def single_logistic_auc(train: DataFrame, probe: DataFrame, label: str = LABEL) -> float:
@@ -276,7 +274,14 @@ def single_logistic_auc(train: DataFrame, probe: DataFrame, label: str = LABEL)
 
 
 def python_utility(sink: WorldFrame, score: Callable) -> DataFrame:
-    """Any Python `table -> float`, one world per call; for sinks that fit one task's memory."""
+    """Any Python `table -> float`, one world per call.
+
+    Each call holds one world's sink, so worlds above `MAX_CALL_ROWS` rows are refused; write
+    those utilities as a DataFrame aggregate (`metric_utility`) or a tagged fit.
+    """
+    largest = sink.df.groupBy(W).count().agg(F.max("count")).first()[0] or 0
+    if largest > MAX_CALL_ROWS:
+        raise ValueError(f"a world has {largest} rows, more than one Python call may hold")
 
     def one(key, pdf):
         import pandas as pd

@@ -197,6 +197,26 @@ def sampled_shapley(
     return with_null_players(phi, players, method)
 
 
+def sampled_coalitions(players: DataFrame, count: int, seed: int) -> DataFrame:
+    """(scenario, mask): the coalitions that `sampled_shapley` visits, plus none, anchor and all.
+
+    At most count x players masks per scenario. For many sensitive operators, replay only the
+    worlds of these masks instead of the whole lattice.
+    """
+    free = players.where(~F.col("anchored")).select("scenario", "op", "bit")
+    setting = anchors(players).select("scenario", "held", "full")
+    spec = Window.partitionBy("scenario", "perm").orderBy("pos")
+    running = F.sum("bit").over(spec.rowsBetween(Window.unboundedPreceding, 0))
+    visited = (
+        permutations(free, count, seed)
+        .withColumn("mask", running)
+        .join(setting, "scenario")
+        .select("scenario", F.expr("(mask & full) | held").alias("mask"))
+    )
+    ends = setting.select("scenario", F.expr("explode(array(0L, held, full))").alias("mask"))
+    return visited.unionByName(ends).distinct()
+
+
 def leave_one_out(game: DataFrame, players: DataFrame, method: str = "loo") -> DataFrame:
     """v(all) - v(all but i)."""
     full = anchors(players).select("scenario", "full")

@@ -70,8 +70,17 @@ class Study:
     def coalitions(self) -> DataFrame:
         return g.coalition_worlds(self.spark, self.scenarios)
 
-    def game(self, utility: DataFrame) -> DataFrame:
-        return g.game_table(self.coalitions(), utility)
+    def sampled_coalitions(self, players: DataFrame, count: int, seed: int) -> DataFrame:
+        """(scenario, mask, w) of the sampled walks only, for wide DAGs."""
+        scenarios, rows = self.scenarios, []
+        for r in g.sampled_coalitions(players, count, seed).collect():
+            pipeline, choice = scenarios[r.scenario]
+            team = [n for n in pipeline.fields if r.mask & pipeline.bit(n)]
+            rows.append((r.scenario, r.mask, pipeline.world(team, choice)))
+        return local_table(self.spark, f"scenario string, mask long, {W} long", rows)
+
+    def game(self, utility: DataFrame, coalitions: DataFrame | None = None) -> DataFrame:
+        return g.game_table(self.coalitions() if coalitions is None else coalitions, utility)
 
     def culprits(self) -> DataFrame:
         rows = [(i.name, op) for i in self.incidents for op in i.culprits]

@@ -27,6 +27,7 @@ REFERENCE_HALF = ("1997-01-01", "1997-07-01")
 INCIDENT_HALF = ("1998-07-01", "1999-01-01")
 PROBE_HALF = ("1999-01-01", "1999-07-01")
 CORRUPT_SEED, DUPLICATE_SEED = 5, 13
+HOT_ZONE_SPREAD = 8  # one zone may hold a third of all trips; the per-zone tables are small
 
 Tables = Callable[[str], DataFrame]
 MEASURES = [
@@ -132,7 +133,7 @@ def join_pu_zone(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
         broken = selected(F.col("trip_id"), state.value("corrupt_ids", 0.0), CORRUPT_SEED)
         key = F.when(broken, F.lit(UNKNOWN_ZONE)).otherwise(F.col("pu_zone"))
         trips = trips.rows(lambda df: df.withColumn("pu_zone", key))
-    return trips.join(zone_role(inputs["load_zones"], "pu"), ["pu_zone"], "left")
+    return trips.join(zone_role(inputs["load_zones"], "pu"), ["pu_zone"], "left", HOT_ZONE_SPREAD)
 
 
 def join_do_zone(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
@@ -142,11 +143,11 @@ def join_do_zone(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
         twice = selected(F.col("do_zone"), state.value("duplicate_zones", 0.0), DUPLICATE_SEED)
         copies = F.sequence(F.lit(1), F.when(twice, 2).otherwise(1))
         zones = zones.rows(lambda df: df.withColumn("copy", F.explode(copies)).drop("copy"))
-    return inputs["join_pu_zone"].join(zones, ["do_zone"], "left")
+    return inputs["join_pu_zone"].join(zones, ["do_zone"], "left", HOT_ZONE_SPREAD)
 
 
 def join_stats(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
-    joined = inputs["join_do_zone"].join(inputs["zone_stats"], ["pu_zone"], "left")
+    joined = inputs["join_do_zone"].join(inputs["zone_stats"], ["pu_zone"], "left", HOT_ZONE_SPREAD)
     return joined.rows(lambda df: df.na.fill(0.0, ["zone_mean_fare"]).na.fill(0, ["zone_trip_count"]))
 
 

@@ -111,12 +111,16 @@ class WorldFrame:
             df = df.where(F.col(key).isNotNull())
         return self._like(df.groupBy(W, *keys).agg(*aggregates), absent={})
 
-    def join(self, other: "WorldFrame", on: Sequence[str], how: str = "inner") -> "WorldFrame":
+    def join(
+        self, other: "WorldFrame", on: Sequence[str], how: str = "inner", spread: int = 1
+    ) -> "WorldFrame":
         """Equi-join inside each world.
 
         Inner joins pair rows that agree on the shared fields. For a left join the left rows are
         first repeated for the right side's fields, because a row may match in one world and not
-        in another. Both plan as equi-joins, so size decides the strategy at run time.
+        in another. Both plan as equi-joins, so size decides the strategy at run time. `spread`
+        salts the key: the (small) right side is repeated that often and every hot key of the
+        left side is shared by that many tasks.
         """
         if how not in ("inner", "left"):
             raise ValueError(f"join type {how!r} is not supported")
@@ -129,7 +133,11 @@ class WorldFrame:
             l = l.withColumn("__shared", F.expr(f"{W} & {shared}L"))
             r = r.withColumn("__shared", F.expr(f"__w & {shared}L"))
         keys = [*on, *(["__shared"] if shared else [])]
-        joined = l.join(r, keys, how).drop("__shared")
+        if spread > 1:
+            l = l.withColumn("__salt", F.expr(f"pmod(hash(*), {spread})"))
+            r = r.withColumn("__salt", F.expr(f"explode(sequence(0, {spread - 1}))"))
+            keys.append("__salt")
+        joined = l.join(r, keys, how).drop("__shared", "__salt")
         if how == "inner" and other.fields & ~self.fields:
             joined = joined.withColumn(W, F.expr(f"{W} | __w"))
         out = WorldFrame(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blamesplit.functions import columns as fc
 from blamesplit.functions import ordered
 from blamesplit.functions import utility as ut
-from blamesplit.functions.local import local_table
+from blamesplit.functions.local import MAX_LOCAL_ROWS, local_table
 from blamesplit.operators import game as g
 from blamesplit.operators import lineage, scoring
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, reports, trips
@@ -233,10 +233,12 @@ def single_worlds(pipeline) -> list[int]:
 def join_fanout_ratio(spark, folder):
     pipeline = customer(spark, folder, FAN_OUT_FAULTS)
     run = Replay(pipeline, single_worlds(pipeline))
-    rows_in = run.node("clean_customers").df.agg(F.count("*").alias("rows_in")).withColumn("one", F.lit(1))
-    rows_out = run.node("join_features").df.groupBy("w").agg(F.count("*").alias("rows_out")).withColumn("one", F.lit(1))
+    joined = run.node("join_features")
+    left = run.node("clean_customers").expand(joined.fields)
+    rows_in = left.df.groupBy("w").agg(F.count("*").alias("rows_in"))
+    rows_out = joined.df.groupBy("w").agg(F.count("*").alias("rows_out"))
     ratio = F.round(F.col("rows_out") / F.col("rows_in"), 6)
-    return rows_out.join(rows_in, "one").select("w", "rows_in", "rows_out", ratio.alias("ratio"))
+    return rows_out.join(rows_in, "w").select("w", "rows_in", "rows_out", ratio.alias("ratio"))
 
 
 # -- aggregates ----------------------------------------------------------------------------
@@ -576,15 +578,15 @@ def leave_one_out(spark, folder):
 
 def orders_of(study: Study, limit: int) -> DataFrame:
     """(order_id, pos, op, bit): the first topological orders of the study's pipeline."""
-    pipeline = study.pipeline
-    return lineage.topological_orders(
-        pipeline.nodes(study.spark), pipeline.edges(study.spark), len(pipeline.names), limit
-    )
+    pipeline, spark = study.pipeline, study.spark
+    n = len(pipeline.names)
+    orders = lineage.topological_orders(pipeline.nodes(spark), pipeline.edges(spark), n, limit)
+    return reports.staged_rows(orders) if limit * n <= MAX_LOCAL_ROWS else orders
 
 
 def for_all(study: Study, orders: DataFrame) -> DataFrame:
-    names = local_table(study.spark, "scenario string, one int", [(i.name, 1) for i in study.incidents])
-    return orders.withColumn("one", F.lit(1)).join(names, "one").drop("one")
+    names = F.array(*[F.lit(i.name) for i in study.incidents])
+    return orders.withColumn("scenario", F.explode(names))
 
 
 @query

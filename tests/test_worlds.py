@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from blamesplit.functions import utility as ut
+from blamesplit.operators import game as g
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, trips
 from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.replay import Replay, isolated
+from blamesplit.plans.reports import Incident, Study
 from blamesplit.plans.worlds import WorldFrame
 
 FAULTS = {
@@ -53,6 +55,29 @@ def test_fan_in_inner_joins_pair_worlds(tables):
         assert counts.get(world, 0) == Replay(pipeline, [world]).sink().df.count()
 
 
+def test_sampled_walks_need_only_their_own_worlds(spark, tables):
+    pipeline = fan_in.build(tables, 3, 0, 0.9)
+    study = Study(spark, pipeline, [Incident("s", {"agg_0": 1}, ("agg_0",))], tables)
+    players = study.players()
+    few = study.sampled_coalitions(players, 2, 1)
+    worlds = [r.w for r in few.select("w").distinct().collect()]
+    assert len(worlds) < len(pipeline.all_worlds())
+    rows = lambda run: ut.metric_utility(run.sink(), F.sum(F.round("x0", 3)))
+    part = study.game(rows(Replay(pipeline, worlds)), few)
+    whole = study.game(rows(study.replay()))
+    found = {r.op: r.phi for r in g.sampled_shapley(part, players, 2, 1).collect()}
+    expected = {r.op: r.phi for r in g.sampled_shapley(whole, players, 2, 1).collect()}
+    assert found == pytest.approx(expected) and found["agg_0"] != 0
+
+
+def test_salted_join_equals_plain_join(spark):
+    left = WorldFrame(spark.range(60).selectExpr("id % 2 AS w", "id % 3 AS k", "id"), frozenset([0, 1]), 1)
+    right = WorldFrame(spark.sql("SELECT explode(array(0L, 1L)) AS w, 1L AS k, 'x' AS v"), frozenset([0, 1]), 1)
+    for how in ("inner", "left"):
+        salted, plain = left.join(right, ["k"], how, spread=4), left.join(right, ["k"], how)
+        assert same(salted.df, plain.df) and salted.df.count() == (60 if how == "left" else 20)
+
+
 def test_head_fraction_inside_worlds(spark):
     def source(inputs, state):
         return state.partition(spark.range(100).withColumnRenamed("id", "k"), lambda p: F.col("k") < p["n"])
