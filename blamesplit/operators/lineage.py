@@ -48,13 +48,13 @@ def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int) -
     exact, because every prefix that respects the edges can be completed.
     """
     rank = F.row_number().over(Window.orderBy("op")).cast("long") - 1
-    coded = nodes.select("op", "bit", F.lpad(rank.cast("string"), 3, "0").alias("code"))
+    coded = nodes.select("op", "bit", rank.alias("idx"))
+    coded = coded.withColumn("code", F.lpad(F.col("idx").cast("string"), 3, "0"))
     needs = edges.join(coded, edges["parent"] == coded["op"]).groupBy("child").agg(
         F.sum("bit").alias("needs")
     )
     ready = coded.join(needs, coded["op"] == needs["child"], "left").select(
-        "op", "bit", "code", F.coalesce("needs", F.lit(0).cast("long")).alias("needs"),
-        F.lit(1).alias("one"),
+        "op", "bit", "code", "idx", F.coalesce("needs", F.lit(0).cast("long")).alias("needs")
     )
     start = F.lit("").alias("path"), F.lit(0).cast("long").alias("done"), F.array().cast("array<string>").alias("ops")
     paths = nodes.groupBy().agg(F.count("*").alias("c")).select(*start)
@@ -63,8 +63,8 @@ def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int) -
             F.col("done").bitwiseAND(F.col("needs")) == F.col("needs")
         )
         grown = (
-            paths.withColumn("one", F.lit(1))
-            .join(ready, "one")
+            paths.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+            .join(ready, "idx")
             .where(fits)
             .select(
                 F.concat("path", "code").alias("path"),

@@ -643,7 +643,7 @@ def roc_auc():
     r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY s)
         + (count(*) OVER (PARTITION BY lang, s) - 1) / 2.0 AS r FROM d)
     SELECT lang, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
-      / (CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0)), 6) AS auc FROM r GROUP BY lang"""
+      / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0), 0), 6) AS auc FROM r GROUP BY lang"""
 
 
 @oracle
