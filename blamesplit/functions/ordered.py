@@ -1,9 +1,9 @@
 """Exact order statistics and prefix sums that never gather a whole group into one task.
 
-Equal values are counted together before the first shuffle, so ties (even a third of all rows)
-cost one row per task.  Small inputs then use one window per group.  Inputs above `WINDOW_ROWS`
-are first cut into value buckets at sampled quantiles: only the per-bucket totals are ordered per
-group, and rows are ordered inside their bucket.  The cut points are literals in the plan, so a
+Equal values are counted together before a shuffle, so ties (even a third of all rows) cost one row
+per task.  Small inputs use one window per group.  Inputs above `WINDOW_ROWS` are cut into value
+buckets at sampled quantiles: only the per-bucket totals are ordered per group, and rows are
+ordered inside their bucket.  The cut points are literals in the plan, so a
 recomputed task sees the same buckets; they only balance the work and cannot change a result.
 """
 
@@ -74,17 +74,16 @@ def running_total(
     )
 
 
-def count_values(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
-    """(*by, v, n): how often each non-null value occurs."""
+def values_of(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(*by, v): the non-null values of a column."""
     taken = WORK_COLUMNS & set(by)
     if taken:
         raise ValueError(f"grouping columns may not be named {sorted(taken)}")
-    values = df.where(F.col(column).isNotNull())
-    return values.groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    return df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"))
 
 
 def order_statistics(
-    counted: DataFrame,
+    values: DataFrame,
     ranks: DataFrame,
     by: Sequence[str],
     window_rows: int = WINDOW_ROWS,
@@ -92,38 +91,37 @@ def order_statistics(
 ) -> DataFrame:
     """Values at 0-based ranks.
 
-    `counted` has (*by, v, n); `ranks` has (*by, slot, rank), few rows per group. Returns
-    (*by, slot, v). Each narrowing pass keeps only the buckets that hold a wanted rank, so the
-    final window sees a sliver of the data.
+    `values` has (*by, v); `ranks` has (*by, slot, rank), few rows per group. Returns
+    (*by, slot, v). A narrowing pass counts rows per bucket (nothing but the counts is shuffled)
+    and keeps only the buckets that hold a wanted rank, so the final window sees a sliver.
     """
     if not by:
         raise ValueError("give at least one grouping column (a constant will do)")
     keys = [*by, "slot"]
-    pending = ranks
-    kept = counted.join(ranks.select(*keys), list(by))
+    kept, group, pending = values.withColumn("n", F.lit(1).cast("long")), list(by), ranks
     before = (Window.unboundedPreceding, -1)
-    while True:
-        size = kept.count()
-        if size <= window_rows:
-            break
-        kept = stage(kept)
-        marks = cut_points(kept, "v", cuts)
-        rows = in_buckets(kept, "v", marks, "__part")
-        hist = rows.groupBy(*keys, "__part").agg(F.sum("n").alias("n"))
-        spec = Window.partitionBy(*keys).orderBy("__part").rowsBetween(*before)
+    size = kept.count()
+    while size > window_rows:
+        rows = in_buckets(kept, "v", cut_points(kept, "v", cuts), "__part")
+        hist = rows.groupBy(*group, "__part").agg(F.sum("n").alias("n"))
+        spec = Window.partitionBy(*group).orderBy("__part").rowsBetween(*before)
         hist = hist.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
         wanted = stage(
-            hist.join(pending, keys)
+            hist.join(pending, group)
             .where(holds_rank())
             .select(*keys, "__part", (F.col("rank") - F.col("__before")).alias("rank"))
         )
-        narrowed = rows.join(wanted.select(*keys, "__part"), [*keys, "__part"]).drop("__part")
-        kept, pending = narrowed, wanted.drop("__part")
-        if narrowed.count() >= size:
+        inside = rows.join(wanted.select(*keys, "__part"), [*group, "__part"])
+        kept = stage(inside.groupBy(*keys, "v").agg(F.sum("n").alias("n")))
+        group, pending = keys, wanted.drop("__part")
+        smaller = kept.count()
+        if smaller >= size:
             break  # no two values left that a cut could part
-    spec = Window.partitionBy(*keys).orderBy("v").rowsBetween(*before)
-    placed = kept.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-    return placed.join(pending, keys).where(holds_rank()).select(*keys, "v")
+        size = smaller
+    counted = kept.groupBy(*group, "v").agg(F.sum("n").alias("n"))
+    spec = Window.partitionBy(*group).orderBy("v").rowsBetween(*before)
+    placed = counted.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
+    return placed.join(pending, group).where(holds_rank()).select(*keys, "v")
 
 
 def holds_rank():
@@ -142,11 +140,11 @@ def exact_quantile(
     cuts: int = CUTS,
 ) -> DataFrame:
     """Exact quantile with linear interpolation per group, nulls ignored: (*by, out)."""
-    return quantile_of_counts(count_values(df, by, column), q, by, out, window_rows, cuts)
+    return quantile_of_values(values_of(df, by, column), q, by, out, window_rows, cuts)
 
 
-def quantile_of_counts(
-    counted: DataFrame,
+def quantile_of_values(
+    values: DataFrame,
     q: float,
     by: Sequence[str],
     out: str,
@@ -154,7 +152,8 @@ def quantile_of_counts(
     cuts: int = CUTS,
 ) -> DataFrame:
     before = (Window.unboundedPreceding, -1)
-    if counted.count() <= window_rows:
+    if values.count() <= window_rows:
+        counted = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
         group = Window.partitionBy(*by)
         below = F.sum("n").over(group.orderBy("v").rowsBetween(*before))
         placed = counted.withColumns(
@@ -170,13 +169,13 @@ def quantile_of_counts(
             F.max("spot").alias("spot"),
         )
         return ends.select(*by, between_ends().alias(out))
-    sized = counted.groupBy(*by).agg(((F.sum("n") - 1) * F.lit(float(q))).alias("spot"))
+    sized = values.groupBy(*by).agg(((F.count("*") - 1) * F.lit(float(q))).alias("spot"))
     slots = F.array(
         F.struct(F.lit(0).alias("slot"), F.floor("spot").alias("rank")),
         F.struct(F.lit(1).alias("slot"), F.ceil("spot").alias("rank")),
     )
     ranks = sized.select(*by, F.inline(slots))
-    found = order_statistics(counted, ranks, by, window_rows, cuts)
+    found = order_statistics(values, ranks, by, window_rows, cuts)
     ends = found.groupBy(*by).agg(
         F.max(F.when(F.col("slot") == 0, F.col("v"))).alias("lo"),
         F.max(F.when(F.col("slot") == 1, F.col("v"))).alias("hi"),
@@ -213,8 +212,8 @@ def head_fraction(
         .where(F.col("rank") >= 0)
         .select(*groups, F.lit(0).alias("slot"), "rank")
     )
-    counted = count_values(rows, groups, key)
-    last = order_statistics(counted, ranks, groups, window_rows, cuts).select(
+    values = values_of(rows, groups, key)
+    last = order_statistics(values, ranks, groups, window_rows, cuts).select(
         *groups, F.col("v").alias("__last")
     )
     kept = rows.join(last, groups).where(F.col(key) <= F.col("__last")).drop("__last")

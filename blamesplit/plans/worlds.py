@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blamesplit.functions.local import local_table
-from blamesplit.functions.ordered import count_values, head_fraction, quantile_of_counts
+from blamesplit.functions.ordered import head_fraction, quantile_of_values, values_of
 from blamesplit.plans.pipeline import Field, Operator
 
 W = "w"
@@ -153,14 +154,14 @@ class WorldFrame:
     def with_quantile(self, column: str, q: float, out: str) -> "WorldFrame":
         """Attach the exact quantile of a column, taken per world.
 
-        The values are counted once and the one number per world is settled here, so whatever
-        reads the frame later does not compute it again.
+        The column is read once and the one number per world is settled here, so whatever reads
+        the frame later does not compute it again.
         """
-        counted = count_values(self.df, [W], column).persist()
+        values = values_of(self.df, [W], column).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            stat = settled(self, quantile_of_counts(counted, q, [W], out))
+            stat = settled(self, quantile_of_values(values, q, [W], out))
         finally:
-            counted.unpersist()
+            values.unpersist()
         return self._like(self.df.join(self.per_world(stat), W, "left"))
 
     def per_world(self, stats: DataFrame) -> DataFrame:
