@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import sharding
+from blamesplit.llm import mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,16 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_threshold_mix": op3_threshold_mix,
     "op7_feistel_shards": op7_feistel_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_threshold_mix": mixing.ORACLE,
+}
