@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import mixing, sharding
+from blamesplit.llm import bpe, mixing, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """A public vocabulary; $TOKENIZER_DIR names another folder."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    return os.path.join(folder, name) if folder else public_tokenizers.path(name)
+
+
+def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=40)
     return found.select(
@@ -30,6 +48,7 @@ def op3_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_threshold_mix": op3_threshold_mix,
     "op7_feistel_shards": op7_feistel_shards,
+    "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
 }
 
 ORACLES: dict[str, str] = {
