@@ -31,3 +31,31 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
             end = min(end, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+
+
+def words(data: np.ndarray, places: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of all texts, the text each belongs to, and each word's first byte."""
+    inside = ~(((data >= 9) & (data <= 13)) | (data == 32))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = places[:-1][places[:-1] < len(data)]
+    first[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    kept = data[inside]
+    bounds = np.append(np.cumsum(inside)[starts] - 1, len(kept)) if len(starts) else np.zeros(1, np.int64)
+    found = pa.Array.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(kept))]
+    )
+    return found, np.searchsorted(places, starts, "right") - 1, starts
+
+
+def per_text(flags: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many flagged bytes each text has."""
+    upto = np.append(0, np.cumsum(flags, dtype=np.int64))
+    return upto[places[1:]] - upto[places[:-1]]
+
+
+def gather(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices of runs that begin at `firsts` and are `counts` long, one run after another."""
+    upto = np.cumsum(counts)
+    return np.repeat(firsts - (upto - counts), counts) + np.arange(int(upto[-1]) if len(upto) else 0)
