@@ -6,10 +6,10 @@ import os
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, fertility, mixing, sharding
+from blamesplit.llm import bpe, fertility, mixing, private, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +49,25 @@ def op3_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_skip_chain_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = private.find_private(docs, private.trained(docs))
+
+    def joined(spans: Column) -> Column:
+        said = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(said, ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_threshold_mix": op3_threshold_mix,
     "op4_fertility_bands": op4_fertility_bands,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
+    "op10_skip_chain_private": op10_skip_chain_private,
 }
 
 ORACLES: dict[str, str] = {
