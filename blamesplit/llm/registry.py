@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, fertility, mixing, private, sharding
+from blamesplit.llm import bpe, fertility, mixing, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,23 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(doc_id: str, n: int) -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % n
+
+
+def op2_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.trained(docs, labels.where(_fold("doc_id", 4) != 2))
+    found = toxicity.scored(docs, model)
+    return found.select(
+        "doc_id",
+        F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        *toxicity.FEATURES,
+    )
+
+
 def op3_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -58,11 +75,16 @@ def op10_skip_chain_private(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(said, ",")
 
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in private.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in private.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_threshold_mix": op3_threshold_mix,
     "op4_fertility_bands": op4_fertility_bands,
     "op7_feistel_shards": op7_feistel_shards,
