@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, fertility, mixing, private, sharding, toxicity
+from blamesplit.llm import bpe, bytenet, fertility, mixing, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,18 @@ def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = bytenet.trained(docs, labels.where(_fold("doc_id", 5) != 0))
+    return bytenet.scored(docs, net).select(
+        "doc_id",
+        F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_chunks",
+    )
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), shards=40)
     return found.select(
@@ -87,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_threshold_mix": op3_threshold_mix,
     "op4_fertility_bands": op4_fertility_bands,
+    "op6_byte_network": op6_byte_network,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op10_skip_chain_private": op10_skip_chain_private,
