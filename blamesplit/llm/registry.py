@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, bytenet, fertility, mixing, private, sharding, toxicity
+from blamesplit.llm import bpe, bytenet, fertility, jaccard, mixing, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = bytenet.trained(docs, labels.where(_fold("doc_id", 5) != 0))
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_threshold_mix": op3_threshold_mix,
     "op4_fertility_bands": op4_fertility_bands,
+    "op5_bayesian_jaccard": op5_bayesian_jaccard,
     "op6_byte_network": op6_byte_network,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
@@ -107,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_threshold_mix": mixing.ORACLE,
+    "op5_bayesian_jaccard": jaccard.ORACLE,
 }
