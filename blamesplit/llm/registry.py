@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, bytenet, fertility, jaccard, mixing, private, sharding, toxicity
+from blamesplit.llm import bpe, bytenet, fertility, jaccard, mixing, neighbours, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(neighbours.index(vectors), vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def _fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
@@ -100,6 +105,7 @@ def op10_skip_chain_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pruned_graph_neighbours": op1_pruned_graph_neighbours,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
     "op3_threshold_mix": op3_threshold_mix,
     "op4_fertility_bands": op4_fertility_bands,
