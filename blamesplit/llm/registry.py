@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, bytenet, fertility, jaccard, mixing, neighbours, private, sharding, toxicity
+from blamesplit.llm import bpe, bytenet, fertility, html, jaccard, mixing, neighbours, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ def op3_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.rendered(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_skip_chain_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = private.find_private(docs, private.trained(docs))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_network": op6_byte_network,
     "op7_feistel_shards": op7_feistel_shards,
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
+    "op9_layout_rendering": op9_layout_rendering,
     "op10_skip_chain_private": op10_skip_chain_private,
 }
 
