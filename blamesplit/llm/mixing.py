@@ -23,6 +23,8 @@ HASH_BITS = 60
 STEP_BITS = 10
 LEVELS = 2
 MOST_REPEATS = 3
+#: Sources whose thresholds (a row of five numbers each) are broadcast.
+FEW_SOURCES = 10_000
 #: Rows of one source are dealt over so many keys when they meet their threshold.
 SALTS = 64
 
@@ -56,22 +58,18 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most:
     return df.withColumn("target", F.least(F.col("__cap").cast("double"), level * F.col("__w"))).drop("__w", "__cap", "__level")
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """One row per document: (doc_id, source, size, source_size, target, repeats, taken).
+def _hashed(df: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    """`df` with the key of its source, the document's size and hash, and the salt of its join."""
+    name = F.col(source).cast("string")
+    df = df.withColumn("__key", F.coalesce(F.concat(F.lit("s"), name), F.lit("null")))
+    df = df.withColumn("__size", word_count(F.col(text).cast("string")))
+    df = df.withColumn("__h", place_hash(F.col(doc_id), F.col(text).cast("string")))
+    return df.withColumn("__salt", (F.col("__h") % SALTS).cast("int"))
 
-    `size` counts words, `taken` = repeats * size. A source's taken words differ from its target by
-    half a document at most, or by half a group of rows equal in id and text, which go together. A
-    null or wordless text has size 0 and takes 0; a null source is a source of its own; an empty
-    table gives no rows. Other columns of `df` are not read.
-    """
-    base = df.select(
-        F.col(doc_id).cast("long").alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        word_count(F.col(text)).alias("size"),
-        place_hash(F.col(doc_id), F.col(text)).alias("h"),
-    )
-    base = written(base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))))
 
+def thresholds(base: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """(key, source_size, target, full, cut) for each source of rows (key, size, h): documents are
+    taken `full` times, and once more where h <= cut."""
     hist = _histogram(base, 1)
     sizes = hist.groupBy("key").agg(F.sum("words").alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("key") != "null", F.expr("substring(key, 2)")))
@@ -94,17 +92,50 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     width = HASH_BITS - LEVELS * STEP_BITS
     opened = open_.select("key", (F.shiftleft("prefix", width) - 1).alias("__floor"))
     cuts = targets.join(opened, "key", "left").join(cuts, "key", "left")
-    cuts = cuts.select("key", "source_size", "target", "full", F.coalesce("cut", "__floor", F.lit(-1)).alias("cut"))
-    cuts = cuts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-    dealt = base.withColumn("salt", (F.col("h") % SALTS).cast("int")).join(cuts, ["key", "salt"])
-    repeats = F.col("full") + (F.col("h") <= F.col("cut")).cast("int")
-    return dealt.select(
-        "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"),
-        (F.col("size") * repeats).alias("taken"),
+    return cuts.select("key", "source_size", "target", "full", F.coalesce("cut", "__floor", F.lit(-1)).alias("cut"))
+
+
+def _dealt(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Rows (__key, __salt, __h, ...) with their source's thresholds and `__repeats`. Each source's
+    rows are dealt over `SALTS` keys."""
+    cuts = cuts.withColumnsRenamed({c: f"__{c}" for c in cuts.columns})
+    cuts = cuts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(cuts, ["__key", "__salt"]).withColumn("__repeats", F.col("__full") + (F.col("__h") <= F.col("__cut")).cast("int"))
+
+
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
+    """One row per document: (doc_id, source, size, source_size, target, repeats, taken).
+
+    `size` counts words, `taken` = repeats * size. A source's taken words differ from its target by
+    half a document at most, or by half a group of rows equal in id and text, which go together. A
+    null or wordless text has size 0 and takes 0; a null source is a source of its own; an empty
+    table gives no rows. Other columns of `df` are not read.
+    """
+    narrow = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    base = written(_hashed(narrow, "doc_id", "text", "source").drop("text"))
+    cuts = thresholds(base.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__h").alias("h")), weights)
+    return _dealt(base, cuts).select(
+        "doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("__repeats").alias("repeats"), (F.col("__size") * F.col("__repeats")).alias("taken"),
     )
 
 
+def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
+    """The rows of `df`, with all columns, as often as the mix takes them."""
+    names = df.columns
+    rows = _hashed(df, doc_id, text, source)
+    base = written(rows.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__h").alias("h")))
+    cuts = written(thresholds(base, weights))
+    if cuts.count() <= FEW_SOURCES:
+        cuts = F.broadcast(cuts)
+        rows = rows.join(cuts.withColumnsRenamed({c: f"__{c}" for c in cuts.columns}), "__key")
+        rows = rows.withColumn("__repeats", F.col("__full") + (F.col("__h") <= F.col("__cut")).cast("int"))
+    else:
+        rows = _dealt(rows, cuts)
+    times = F.explode(F.array_repeat(F.lit(1), F.col("__repeats")))  # an empty array drops the row
+    return rows.withColumn("__time", times).select(*names)
+
+
 def _prefix(level: int) -> Column:
     return F.shiftright("h", HASH_BITS - level * STEP_BITS)
 

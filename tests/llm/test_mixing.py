@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -65,6 +65,17 @@ def test_equals_brute_force(spark):
     same([(r.doc_id, r.source, r.size, r.source_size, r.target, r.taken) for r in got.collect()], brute(rows))
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_rows_repeat_as_the_mix_says(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    rows = [(i, "w " * (i % 11), f"src{i % 4}" if i % 5 else None, i, "k", "t") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {r.doc_id: r.repeats for r in mixing.mix(df).collect()}
+    got = mixing.mixed(df)
+    assert got.columns == df.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter({i: n for i, n in want.items() if n})
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     found = mixing.mix(spark.createDataFrame([(1, " ", "a", 0, "", ""), (2, None, "b", 0, "", "")], SCHEMA)).collect()
