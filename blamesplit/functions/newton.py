@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blamesplit.plans.worlds import W
 
-MAX_STEPS = 50
+MAX_STEPS = 500
 TOLERANCE = 1e-9
 
 
@@ -60,6 +60,8 @@ def fit_worlds(
                     open_worlds.discard(w)
             if not open_worlds:
                 break
+        else:
+            raise RuntimeError(f"no convergence in {MAX_STEPS} steps for worlds {sorted(open_worlds)}")
     finally:
         data.unpersist()
     return {

@@ -1,202 +1,110 @@
 """Exact order statistics and prefix sums that never gather a whole group into one task.
 
-Equal values are counted together before a shuffle, so ties (even a third of all rows) cost one row
-per task.  Small inputs use one window per group.  Inputs above `WINDOW_ROWS` are cut into value
-buckets at sampled quantiles: only the per-bucket totals are ordered per group, and rows are
-ordered inside their bucket.  The cut points are literals in the plan, so a
-recomputed task sees the same buckets; they only balance the work and cannot change a result.
+There is one route for every size and every orderable type. Equal values are counted together
+before a shuffle, so ties (even a third of all rows) cost one row per task. What is left is
+range-partitioned by group and value: each partition is a slice of the order, and a group with many
+values spans many slices. The slices are written once, so that all later steps agree on them. Only
+one total per group and slice is ordered per group; values are ordered inside their slice.
+
+Nulls and NaN have no place in an order and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blamesplit.functions.stage import stage
 
-WINDOW_ROWS = 2_000_000  # distinct values one window task may sort
-CUTS = 1024
-MAX_CUTS = 65_536
-WORK_COLUMNS = {"v", "n", "slot", "rank", "spot", "lo", "hi"}
-
+BEFORE = (Window.unboundedPreceding, -1)
+WORK_COLUMNS = {"v", "n", "slot", "rank", "lo", "hi", "part", "below", "size"}
 
-def enough_cuts(rows: int, window_rows: int = WINDOW_ROWS) -> int:
-    """Cuts that leave about a quarter of a window's worth of rows per bucket."""
-    return min(MAX_CUTS, max(CUTS, 4 * rows // window_rows))
 
+def present(df: DataFrame, column: str) -> Column:
+    """The value is neither null nor NaN."""
+    there = F.col(column).isNotNull()
+    return there & ~F.isnan(column) if dict(df.dtypes)[column] in ("double", "float") else there
 
-def cut_points(df: DataFrame, column: str, cuts: int = CUTS) -> list[float]:
-    """About `cuts` values that split `column` evenly."""
-    grid = [i / cuts for i in range(1, cuts)]
-    numbers = df.select(F.col(column).cast("double").alias(column))
-    return sorted(set(numbers.approxQuantile(column, grid, 0.5 / cuts)))
 
-
-def in_buckets(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
-    if not cuts:
-        return df.withColumn(out, F.lit(0).cast("long"))
-    spread = df.withColumn("__cut_by", F.col(column).cast("double"))
-    splits = [float("-inf"), *cuts, float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="__cut_by", outputCol="__bucket").transform(spread)
-    return bucketed.withColumn(out, F.col("__bucket").cast("long")).drop("__cut_by", "__bucket")
+def in_slices(counted: DataFrame, by: Sequence[str], order: str, slices: int | None = None) -> DataFrame:
+    """`counted` with `part`, a slice of the order by (by, order); the slices are settled."""
+    if slices is None:
+        slices = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartitionByRange(slices, *by, order)
+    return stage(dealt.withColumn("part", F.spark_partition_id()))
 
 
 def running_total(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    measure: str,
-    out: str,
-    cuts: Sequence[float] | None = None,
+    sliced: DataFrame, by: Sequence[str], order: str, measure: str, out: str
 ) -> DataFrame:
     """Add `out`: the sum of `measure` over rows of the same group with a smaller `order`.
 
-    One row per (by, order) is expected.  With `cuts` the order is resolved bucket by bucket.
+    One row per (by, order) is expected, from `in_slices`. The totals of a group's slices are summed
+    up in one window: as many rows as the table has slices, whatever the data.
     """
-    before = (Window.unboundedPreceding, -1)
-    if not cuts:
-        spec = Window.partitionBy(*by).orderBy(order).rowsBetween(*before)
-        return df.withColumn(out, F.coalesce(F.sum(measure).over(spec), F.lit(0)))
-    rows = in_buckets(df, order, cuts, "__part")
-    totals = rows.groupBy(*by, "__part").agg(F.sum(measure).alias("__total"))
-    across = Window.partitionBy(*by).orderBy("__part").rowsBetween(*before)
+    totals = sliced.groupBy(*by, "part").agg(F.sum(measure).alias("__total"))
+    across = Window.partitionBy(*by).orderBy("part").rowsBetween(*BEFORE)
     offsets = totals.select(
-        *by, "__part", F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset")
+        *by, "part", F.coalesce(F.sum("__total").over(across), F.lit(0)).alias("__offset")
     )
-    inside = Window.partitionBy(*by, "__part").orderBy(order).rowsBetween(*before)
+    inside = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(*BEFORE)
     return (
-        rows.withColumn("__inside", F.coalesce(F.sum(measure).over(inside), F.lit(0)))
-        .join(offsets, [*by, "__part"])
+        sliced.withColumn("__inside", F.coalesce(F.sum(measure).over(inside), F.lit(0)))
+        .join(offsets, [*by, "part"])
         .withColumn(out, F.col("__inside") + F.col("__offset"))
-        .drop("__part", "__inside", "__offset")
+        .drop("__inside", "__offset")
     )
 
 
 def values_of(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
-    """(*by, v): the non-null values of a column."""
+    """(*by, v): the values of a column that have a place in its order."""
     taken = WORK_COLUMNS & set(by)
     if taken:
         raise ValueError(f"grouping columns may not be named {sorted(taken)}")
-    return df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("v"))
-
+    return df.where(present(df, column)).select(*by, F.col(column).alias("v"))
 
-def order_statistics(
-    values: DataFrame,
-    ranks: DataFrame,
-    by: Sequence[str],
-    window_rows: int = WINDOW_ROWS,
-    cuts: int = CUTS,
-) -> DataFrame:
-    """Values at 0-based ranks.
 
-    `values` has (*by, v); `ranks` has (*by, slot, rank), few rows per group. Returns
-    (*by, slot, v). A narrowing pass counts rows per bucket (nothing but the counts is shuffled)
-    and keeps only the buckets that hold a wanted rank, so the final window sees a sliver.
-    """
+def ranked(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(*by, v, n, below, size): distinct values, their rows, the rows before, the group's rows."""
     if not by:
         raise ValueError("give at least one grouping column (a constant will do)")
-    keys = [*by, "slot"]
-    kept, group, pending = values.withColumn("n", F.lit(1).cast("long")), list(by), ranks
-    before = (Window.unboundedPreceding, -1)
-    size = kept.count()
-    while size > window_rows:
-        rows = in_buckets(kept, "v", cut_points(kept, "v", cuts), "__part")
-        hist = rows.groupBy(*group, "__part").agg(F.sum("n").alias("n"))
-        spec = Window.partitionBy(*group).orderBy("__part").rowsBetween(*before)
-        hist = hist.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-        wanted = stage(
-            hist.join(pending, group)
-            .where(holds_rank())
-            .select(*keys, "__part", (F.col("rank") - F.col("__before")).alias("rank"))
-        )
-        inside = rows.join(wanted.select(*keys, "__part"), [*group, "__part"])
-        kept = stage(inside.groupBy(*keys, "v").agg(F.sum("n").alias("n")))
-        group, pending = keys, wanted.drop("__part")
-        smaller = kept.count()
-        if smaller >= size:
-            break  # no two values left that a cut could part
-        size = smaller
-    counted = kept.groupBy(*group, "v").agg(F.sum("n").alias("n"))
-    spec = Window.partitionBy(*group).orderBy("v").rowsBetween(*before)
-    placed = counted.withColumn("__before", F.coalesce(F.sum("n").over(spec), F.lit(0)))
-    return placed.join(pending, group).where(holds_rank()).select(*keys, "v")
-
-
-def holds_rank():
-    """The row covers ranks __before ... __before + n - 1; is the wanted one among them?"""
-    rank, low = F.col("rank"), F.col("__before")
-    return (rank >= low) & (rank < low + F.col("n"))
-
-
-def exact_quantile(
-    df: DataFrame,
-    column: str,
-    q: float,
-    by: Sequence[str],
-    out: str,
-    window_rows: int = WINDOW_ROWS,
-    cuts: int = CUTS,
-) -> DataFrame:
-    """Exact quantile with linear interpolation per group, nulls ignored: (*by, out)."""
-    return quantile_of_values(values_of(df, by, column), q, by, out, window_rows, cuts)
+    counted = in_slices(values.groupBy(*by, "v").agg(F.count("*").alias("n")), by, "v")
+    sizes = counted.groupBy(*by).agg(F.sum("n").alias("size"))
+    return running_total(counted, by, "v", "n", "below").join(sizes, list(by))
+
 
+def holds(rank: Column) -> Column:
+    """The row covers ranks below ... below + n - 1; is the wanted one among them?"""
+    return (rank >= F.col("below")) & (rank < F.col("below") + F.col("n"))
 
-def quantile_of_values(
-    values: DataFrame,
-    q: float,
-    by: Sequence[str],
-    out: str,
-    window_rows: int = WINDOW_ROWS,
-    cuts: int = CUTS,
+
+def exact_quantiles(
+    df: DataFrame, column: str, wanted: Mapping[str, float], by: Sequence[str]
 ) -> DataFrame:
-    before = (Window.unboundedPreceding, -1)
-    if values.count() <= window_rows:
-        counted = values.groupBy(*by, "v").agg(F.count("*").alias("n"))
-        group = Window.partitionBy(*by)
-        below = F.sum("n").over(group.orderBy("v").rowsBetween(*before))
-        placed = counted.withColumns(
-            {
-                "__before": F.coalesce(below, F.lit(0)),
-                "spot": (F.sum("n").over(group) - 1) * F.lit(float(q)),
-            }
-        )
-        at = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("n"))
-        ends = placed.groupBy(*by).agg(
-            F.max(F.when(at(F.floor("spot")), F.col("v"))).alias("lo"),
-            F.max(F.when(at(F.ceil("spot")), F.col("v"))).alias("hi"),
-            F.max("spot").alias("spot"),
-        )
-        return ends.select(*by, between_ends().alias(out))
-    sized = values.groupBy(*by).agg(((F.count("*") - 1) * F.lit(float(q))).alias("spot"))
-    slots = F.array(
-        F.struct(F.lit(0).alias("slot"), F.floor("spot").alias("rank")),
-        F.struct(F.lit(1).alias("slot"), F.ceil("spot").alias("rank")),
-    )
-    ranks = sized.select(*by, F.inline(slots))
-    found = order_statistics(values, ranks, by, window_rows, cuts)
-    ends = found.groupBy(*by).agg(
-        F.max(F.when(F.col("slot") == 0, F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("slot") == 1, F.col("v"))).alias("hi"),
-    )
-    return ends.join(sized, list(by)).select(*by, between_ends().alias(out))
+    """Exact quantiles with linear interpolation per group: (*by, *wanted), all from one ordering."""
+    return quantiles_of_values(values_of(df, by, column), wanted, by)
 
 
-def between_ends():
-    """Linear interpolation between the two neighbouring values."""
-    share = F.col("spot") - F.floor("spot")
-    return F.col("lo") + (F.col("hi") - F.col("lo")) * share
+def exact_quantile(df: DataFrame, column: str, q: float, by: Sequence[str], out: str) -> DataFrame:
+    return exact_quantiles(df, column, {out: q}, by)
 
 
-def head_fraction(
-    df: DataFrame,
-    key: str,
-    keep: float,
-    by: Sequence[str] = (),
-    window_rows: int = WINDOW_ROWS,
-    cuts: int = CUTS,
-) -> DataFrame:
+def quantiles_of_values(values: DataFrame, wanted: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    spots = {name: (F.col("size") - 1) * F.lit(float(q)) for name, q in wanted.items()}
+    ends, results = [], []
+    for name, spot in spots.items():
+        ends += [
+            F.max(F.when(holds(F.floor(spot)), F.col("v"))).alias(f"__lo_{name}"),
+            F.max(F.when(holds(F.ceil(spot)), F.col("v"))).alias(f"__hi_{name}"),
+        ]
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        results.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
+    found = ranked(values, by).groupBy(*by).agg(F.max("size").alias("size"), *ends)
+    return found.select(*by, *results)
+
+
+def head_fraction(df: DataFrame, key: str, keep: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep the first floor(n * keep) rows of each group in the order of the unique `key`.
 
     The cut is one order statistic per group, so rows are filtered by a threshold, not ranked.
@@ -205,17 +113,9 @@ def head_fraction(
         return df
     groups = list(by) or ["__all"]
     rows = df if by else df.withColumn("__all", F.lit(0))
-    wanted = F.floor(F.count("*") * F.lit(float(keep)))
-    ranks = (
-        rows.groupBy(*groups)
-        .agg((wanted - 1).alias("rank"))
-        .where(F.col("rank") >= 0)
-        .select(*groups, F.lit(0).alias("slot"), "rank")
-    )
-    values = values_of(rows, groups, key)
-    last = order_statistics(values, ranks, groups, window_rows, cuts).select(
-        *groups, F.col("v").alias("__last")
-    )
+    sizes = rows.groupBy(*groups).agg(F.floor(F.count("*") * F.lit(float(keep))).alias("__first"))
+    placed = ranked(values_of(rows, groups, key), groups).join(sizes, groups)
+    last = placed.where(holds(F.col("__first") - 1)).select(*groups, F.col("v").alias("__last"))
     kept = rows.join(last, groups).where(F.col(key) <= F.col("__last")).drop("__last")
     return kept if by else kept.drop("__all")
 

@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame
 def stage(df: DataFrame) -> DataFrame:
     """Checkpoint `df` in the shared folder the session names.
 
-    Only a session that names none (local runs, tests) gets a folder of its own.
+    A local session that names none (tests, a single machine) gets a folder of its own; a cluster
+    must name one, as executors cannot read each other's disks.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        if folder is None:
+            if not (context.master or "").startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

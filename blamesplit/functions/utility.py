@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from blamesplit.functions.columns import align
 from blamesplit.functions.local import local_table
 from blamesplit.functions.newton import fit_worlds
-from blamesplit.functions.ordered import WINDOW_ROWS, cut_points, enough_cuts, running_total
+from blamesplit.functions.ordered import in_slices, present, running_total
+from blamesplit.functions.prints import world_fingerprints
 from blamesplit.plans.worlds import W, WorldFrame, settled
 
 LABEL = "label"
 MIN_ROWS = 50
 NO_SKILL = 0.5
-SCORE_DIGITS = 6
 MAX_CALL_ROWS = 1_000_000
 
 
@@ -35,29 +35,18 @@ def listed_worlds(frame: WorldFrame) -> DataFrame:
 # -- ranking quality -----------------------------------------------------------------------
 
 
-def roc_auc(
-    scored: DataFrame,
-    by: list[str],
-    score: str,
-    label: str,
-    rows: int | None = None,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
-    """ROC AUC per group, ties counted half: (*by, auc).
+def roc_auc(scored: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
+    """ROC AUC per group, ties counted half: (*by, auc), null where a class is missing.
 
-    `rows` is the number of scored rows if known. Above `window_rows` the scores of a group are
-    ordered bucket by bucket instead of in one window.
+    Rows without a score (null or NaN) or without a 0/1 label cannot be ranked and do not count.
     """
-    tied = scored.groupBy(*by, F.col(score).alias("s")).agg(
-        F.sum(F.col(label).cast("long")).alias("pos"),
-        F.sum(1 - F.col(label).cast("long")).alias("neg"),
+    y = F.col(label).cast("long")
+    counts = present(scored, score) & y.isin(0, 1)
+    tied = scored.groupBy(*by, F.when(counts, F.col(score)).alias("s")).agg(
+        F.sum(F.when(counts, y).otherwise(0)).alias("pos"),
+        F.sum(F.when(counts, 1 - y).otherwise(0)).alias("neg"),
     )
-    cuts = None
-    if rows is None:
-        rows = tied.count()
-    if rows > window_rows:
-        cuts = cut_points(tied, "s", enough_cuts(rows, window_rows))
-    below = running_total(tied, by, "s", "neg", "neg_below", cuts)
+    below = running_total(in_slices(tied, by, "s"), by, "s", "neg", "neg_below")
     wins = F.sum(F.col("pos").cast("double") * (2 * F.col("neg_below") + F.col("neg")))
     pairs = 2.0 * F.sum("pos") * F.sum("neg").cast("double")
     return below.groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
@@ -110,15 +99,18 @@ def class_statistics(sink: WorldFrame, features: list[str], label: str = LABEL)
     aggregates = [F.count("*").alias("n")]
     for c in features:
         x = F.col(c).cast("double")
-        aggregates += [F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")]
+        aggregates += [
+            F.count(x).alias(f"n_{c}"), F.avg(x).alias(f"m_{c}"), F.var_pop(x).alias(f"v_{c}")
+        ]
     return sink.df.groupBy(W, F.col(label).cast("int").alias("y")).agg(*aggregates)
 
 
 @dataclass(frozen=True)
 class Moments:
-    """Rows, means and population variances of one class in one world."""
+    """Rows of one class in one world; values, means and population variances of its columns."""
 
     n: int
+    count: dict[str, int]
     mean: dict[str, float | None]
     var: dict[str, float | None]
 
@@ -128,6 +120,7 @@ def moments(stats: DataFrame, features: list[str]) -> dict[int, dict[int, Moment
     for r in stats.collect():
         found.setdefault(r[W], {})[r.y] = Moments(
             r.n,
+            {c: r[f"n_{c}"] for c in features},
             {c: r[f"m_{c}"] for c in features},
             {c: r[f"v_{c}"] for c in features},
         )
@@ -135,26 +128,38 @@ def moments(stats: DataFrame, features: list[str]) -> dict[int, dict[int, Moment
 
 
 def trainable(classes: dict[int, Moments], features: list[str]) -> bool:
-    """The guards of `guards` for one world."""
+    """The guards of `guards` for one world; a label other than 0 and 1 is an error."""
     labelled = [y for y in classes if y is not None]
+    if set(labelled) - {0, 1}:
+        raise ValueError(f"labels must be 0 or 1, not {sorted(set(labelled) - {0, 1})}")
     return bool(features) and len(labelled) >= 2 and sum(m.n for m in classes.values()) >= MIN_ROWS
 
 
 def discriminant_weights(classes: dict[int, Moments], features: list[str]) -> dict[str, float]:
-    """Mean difference over pooled variance per feature; 0 where that is undefined."""
+    """Mean difference over pooled variance per feature; 0 where that is undefined.
+
+    A column counts with the values it has; one without values in a class has no weight.
+    """
     a, b = classes[0], classes[1]
     weights = {}
     for c in features:
-        pooled = (a.n * a.var[c] + b.n * b.var[c]) / (a.n + b.n)
+        na, nb = a.count[c], b.count[c]
+        pooled = (na * a.var[c] + nb * b.var[c]) / (na + nb) if na and nb else 0.0
         weights[c] = (b.mean[c] - a.mean[c]) / pooled if pooled > 1e-12 else 0.0
     return weights
 
 
 def linear_auc(
-    sink: WorldFrame, weights: dict[int, dict[str, float]], probe: DataFrame, label: str = LABEL
+    sink: WorldFrame,
+    weights: dict[int, dict[str, float]],
+    probe: DataFrame,
+    label: str = LABEL,
+    digits: int | None = None,
 ) -> DataFrame:
     """Rank the frozen probe by a linear score per world: (w, u = AUC); no weights means 0.5.
 
+    `digits` rounds scores to so many decimals, where another engine must find the same ties.
+
     A column the world's sink does not have has no weight, whatever the probe holds there.
     """
     features = [c for c in sink.columns if c != label]
@@ -170,16 +175,15 @@ def linear_auc(
     aucs: dict[int, float | None] = {}
     try:
         if rows:
-            size = probe.count() * len(rows)
             score = F.lit(0.0)
             for c in features:
                 score = score + F.col(f"k_{c}") * F.coalesce(F.col(c), F.lit(0.0))
             scored = (
                 probe.withColumn(W, F.explode(F.array(*[F.lit(r[0]).cast("long") for r in rows])))
                 .join(sink.per_world(local_table(spark, schema, rows)), W)
-                .select(W, label, F.round(score, SCORE_DIGITS).alias("score"))
+                .select(W, label, (score if digits is None else F.round(score, digits)).alias("score"))
             )
-            aucs = {r[W]: r.auc for r in roc_auc(scored, [W], "score", label, size).collect()}
+            aucs = {r[W]: r.auc for r in roc_auc(scored, [W], "score", label).collect()}
     finally:
         probe.unpersist()
     found = [(w, aucs.get(stands_for.get(w))) for w in sink.worlds]
@@ -188,7 +192,9 @@ def linear_auc(
     )
 
 
-def discriminant_utility(sink: WorldFrame, probe: DataFrame, label: str = LABEL) -> DataFrame:
+def discriminant_utility(
+    sink: WorldFrame, probe: DataFrame, label: str = LABEL, digits: int | None = None
+) -> DataFrame:
     """Train a diagonal linear discriminant in every world, score the probe: (w, u = AUC).
 
     One aggregation over the sink trains all worlds and one ranking of the probe scores them. It
@@ -201,17 +207,19 @@ def discriminant_utility(sink: WorldFrame, probe: DataFrame, label: str = LABEL)
         mine = features_in(sink, w, label)
         if trainable(classes, mine):
             weights[w] = discriminant_weights(classes, mine)
-    return linear_auc(sink, weights, probe, label)
+    return linear_auc(sink, weights, probe, label, digits)
 
 
 # -- logistic regression -------------------------------------------------------------------
 
 
-def logistic_utility(sink: WorldFrame, probe: DataFrame, label: str = LABEL) -> DataFrame:
-    """(w, u): L2-regularised logistic regression per world (unit penalty, free intercept).
+def logistic_weights(sink: WorldFrame, label: str = LABEL) -> dict[int, dict[str, float]]:
+    """w -> {feature: weight} of L2-regularised logistic regressions (unit penalty, free intercept).
 
     All worlds are fitted together: every Newton step is one grouped aggregation over the tagged
     sink, whatever the number of worlds, and only the small per-world sums leave the executors.
+    Worlds whose sinks have equal content are fitted once. Untrainable worlds are left out; rows
+    without a label do not train, and a missing value counts as its column's mean.
     """
     features = [c for c in sink.columns if c != label]
     stats = moments(class_statistics(sink, features, label), features)
@@ -220,18 +228,41 @@ def logistic_utility(sink: WorldFrame, probe: DataFrame, label: str = LABEL) ->
         mine = features_in(sink, w, label)
         if trainable(classes, mine):
             scaling[w] = {c: mean_and_sd(classes, c) for c in mine}
-    rows = sink.df.where(F.col(W).isin(sorted(scaling))).select(
-        W, F.col(label).cast("double").alias(label), *[F.col(c).cast("double") for c in features]
+    if not scaling:
+        return {}
+    prints = {r[W]: r.fingerprint for r in world_fingerprints(sink).collect()}
+    first: dict[str, int] = {}
+    stands_for = {w: first.setdefault(prints[w], w) for w in sorted(scaling)}
+    fitted = sorted(set(stands_for.values()))
+    columns = [F.coalesce(F.col(c).cast("double"), mean_of(c, scaling, fitted)).alias(c) for c in features]
+    rows = sink.df.where(F.col(W).isin(fitted) & F.col(label).isNotNull()).select(
+        W, F.col(label).cast("double").alias(label), *columns
     )
-    weights = fit_worlds(rows, scaling, features, label) if scaling else {}
-    return linear_auc(sink, weights, probe, label)
+    found = fit_worlds(rows, {w: scaling[w] for w in fitted}, features, label)
+    return {w: found[v] for w, v in stands_for.items()}
+
+
+def mean_of(column: str, scaling: dict, worlds: list[int]) -> Column:
+    """The column's mean in the row's world; 0 where the world does not have it."""
+    cases = " ".join(f"WHEN {w}L THEN {scaling[w].get(column, (0.0, 1.0))[0]!r}D" for w in worlds)
+    return F.expr(f"CASE {W} {cases} ELSE 0D END")
+
+
+def logistic_utility(
+    sink: WorldFrame, probe: DataFrame, label: str = LABEL, digits: int | None = None
+) -> DataFrame:
+    """(w, u): train a logistic regression in every world, score the probe: u = AUC."""
+    return linear_auc(sink, logistic_weights(sink, label), probe, label, digits)
 
 
 def mean_and_sd(classes: dict[int, Moments], column: str) -> tuple[float, float]:
-    """Mean and population sd over both classes; sd 0 counts as 1."""
-    n = sum(m.n for m in classes.values())
-    mean = sum(m.n * m.mean[column] for m in classes.values()) / n
-    var = sum(m.n * (m.var[column] + (m.mean[column] - mean) ** 2) for m in classes.values()) / n
+    """Mean and population sd of a column's values in all classes; sd 0 counts as 1."""
+    some = [(m.count[column], m.mean[column], m.var[column]) for m in classes.values() if m.count[column]]
+    n = sum(k for k, _, _ in some)
+    if not n:
+        return 0.0, 1.0
+    mean = sum(k * m for k, m, _ in some) / n
+    var = sum(k * (v + (m - mean) ** 2) for k, m, v in some) / n
     return mean, var**0.5 if var > 0 else 1.0
 
 

@@ -15,6 +15,7 @@ at the end.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -111,16 +112,23 @@ def with_null_players(phi: DataFrame, players: DataFrame, method: str) -> DataFr
 # -- exact values --------------------------------------------------------------------------
 
 
-def weight(size: Column, n: Column) -> Column:
-    """Shapley weight size! (n - size - 1)! / n!."""
-    return F.factorial(size).cast("double") * F.factorial(n - size - 1) / F.factorial(n)
+def shapley_weights(spark: SparkSession, most: int = 63) -> DataFrame:
+    """(n_free, size, weight): size! (n - size - 1)! / n! for up to `most` players, from whole numbers."""
+    rows = [(n, k, 1 / (n * comb(n - 1, k))) for n in range(1, most + 1) for k in range(n)]
+    return local_table(spark, "n_free int, size int, weight double", rows)
+
+
+def needed(value: Column, coalition: Column) -> Column:
+    """`value`, or an error that names the coalition which the game lacks."""
+    missing = F.raise_error(F.concat(F.lit("the game has no value for coalition "), coalition.cast("string")))
+    return F.when(value.isNotNull(), value).otherwise(missing.cast("double"))
 
 
 def anchored_shapley(game: DataFrame, players: DataFrame, method: str = "anchored") -> DataFrame:
     """Exact Shapley value with the anchored players held at incident state.
 
     They get 0; the free players share v(all) - v(anchor) exactly. A scenario with no free player
-    has no result rows.
+    has no result rows. A game without the whole lattice over the free players is an error.
     """
     setting = anchors(players)
     free = core_players(players).where(~F.col("anchored")).select("scenario", "op", "bit")
@@ -131,11 +139,19 @@ def anchored_shapley(game: DataFrame, players: DataFrame, method: str = "anchore
         .join(setting, "scenario")
         .where(has(F.col("mask"), F.col("held")) & (F.col("mask").bitwiseAND(F.col("bit")) == 0))
         .withColumn("mask_after", F.col("mask").bitwiseOR(F.col("bit")))
-        .join(after, ["scenario", "mask_after"])
+        .join(after, ["scenario", "mask_after"], "left")
+        .withColumn("n_free", F.col("n_free").cast("int"))
+        .withColumn("size", (F.bit_count(F.col("mask")) - F.bit_count("held")).cast("int"))
+        .join(shapley_weights(game.sparkSession), ["n_free", "size"], "left")
     )
-    size = F.bit_count(F.col("mask")) - F.bit_count("held")
-    phi = steps.groupBy("scenario", "op").agg(
-        F.sum(weight(size, F.col("n_free").cast("int")) * (F.col("v_after") - F.col("v_before"))).alias("phi")
+    gain = needed(F.col("v_after"), F.col("mask_after")) - F.col("v_before")
+    sums = steps.groupBy("scenario", "op").agg(
+        F.sum(F.col("weight") * gain).alias("phi"), F.count("*").alias("n"), F.max("n_free").alias("n_free")
+    )
+    whole = F.col("n").cast("double") == F.pow(F.lit(2.0), F.col("n_free") - 1)
+    short = F.raise_error(F.concat(F.lit("the game lacks coalitions of scenario "), F.col("scenario")))
+    phi = free.join(sums, ["scenario", "op"], "left").select(
+        "scenario", "op", F.when(whole, F.col("phi")).otherwise(short.cast("double")).alias("phi")
     )
     some_free = players.where(~F.col("anchored")).select("scenario").distinct()
     return with_null_players(phi, players, method).join(some_free, "scenario", "left_semi")
@@ -178,8 +194,9 @@ def walk(game: DataFrame, players: DataFrame, orders: DataFrame, keys: list[str]
     )
     start = game.join(setting, (game["scenario"] == setting["scenario"]) & (game["mask"] == setting["held"]))
     start = start.select(game["scenario"], F.col("v").alias("v_start"))
-    valued = masks.join(game.select("scenario", "mask", "v"), ["scenario", "mask"]).join(start, "scenario")
-    previous = F.coalesce(F.lag("v").over(spec), F.col("v_start"))
+    valued = masks.join(game.select("scenario", "mask", "v"), ["scenario", "mask"], "left")
+    valued = valued.withColumn("v", needed(F.col("v"), F.col("mask"))).join(start, "scenario", "left")
+    previous = F.coalesce(F.lag("v").over(spec), needed(F.col("v_start"), F.col("held")))
     return valued.select("scenario", *keys, "pos", "op", (F.col("v") - previous).alias("phi"))
 
 
@@ -220,15 +237,16 @@ def sampled_coalitions(players: DataFrame, count: int, seed: int) -> DataFrame:
 def leave_one_out(game: DataFrame, players: DataFrame, method: str = "loo") -> DataFrame:
     """v(all) - v(all but i)."""
     full = anchors(players).select("scenario", "full")
-    top = game.join(full, "scenario").where("mask = full").select("scenario", "full", F.col("v").alias("v_full"))
+    top = game.select("scenario", F.col("mask").alias("full"), F.col("v").alias("v_full"))
     rest = (
         core_players(players)
-        .join(top, "scenario")
+        .join(full, "scenario")
+        .join(top, ["scenario", "full"], "left")
         .withColumn("mask", F.col("full").bitwiseAND(F.bitwise_not("bit")))
+        .join(game.select("scenario", "mask", "v"), ["scenario", "mask"], "left")
     )
-    phi = rest.join(game.select("scenario", "mask", "v"), ["scenario", "mask"]).select(
-        "scenario", "op", (F.col("v_full") - F.col("v")).alias("phi")
-    )
+    loss = needed(F.col("v_full"), F.col("full")) - needed(F.col("v"), F.col("mask"))
+    phi = rest.select("scenario", "op", loss.alias("phi"))
     return with_null_players(phi, players, method)
 
 

@@ -1,21 +1,32 @@
 """Questions about a pipeline's edge table: closure, sources, children, orders, depth.
 
-All take `nodes(op, bit, ...)` and `edges(parent, child)` and never collect them. Closures grow
-level by level with `distinct`, so diamonds do not multiply paths; a DAG of n operators has at
-most n levels.
+All take `nodes(op, bit, ...)` and `edges(parent, child)`, metadata of at most some dozens of rows.
+Closures grow level by level; each level is settled, so a plan never holds more than one step, and
+they stop as soon as nothing is new. Diamonds do not multiply paths.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from blamesplit.functions.local import local_table
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A few rows of metadata, kept as a local table."""
+    return local_table(df.sparkSession, df.schema, [tuple(r) for r in df.collect()])
+
 
 def ancestors(nodes: DataFrame, edges: DataFrame, sink: str, levels: int) -> DataFrame:
     """(op): operators that reach the sink, the sink included."""
-    reached = nodes.where(F.col("op") == sink).select("op")
+    edges = settled(edges)
+    reached = new = settled(nodes.where(F.col("op") == sink).select("op"))
     for _ in range(levels - 1):
-        up = edges.join(reached, edges["child"] == reached["op"]).select(F.col("parent").alias("op"))
-        reached = reached.unionByName(up).distinct()
+        up = edges.join(new, edges["child"] == new["op"]).select(F.col("parent").alias("op"))
+        new = settled(up.distinct().join(reached, "op", "left_anti"))
+        if new.isEmpty():
+            break
+        reached = settled(reached.unionByName(new))
     return reached
 
 
@@ -32,12 +43,16 @@ def children(edges: DataFrame, op: str) -> DataFrame:
 
 def depth(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     """(op, depth): longest path from a source, sources at 0."""
-    deepest = nodes.select("op", F.lit(0).cast("long").alias("depth"))
-    for _ in range(levels - 1):
-        step = edges.join(deepest, edges["parent"] == deepest["op"]).select(
-            F.col("child").alias("op"), (F.col("depth") + 1).alias("depth")
-        )
-        deepest = deepest.unionByName(step).groupBy("op").agg(F.max("depth").alias("depth"))
+    edges = settled(edges)
+    deepest = settled(nodes.select("op", F.lit(0).cast("long").alias("depth")))
+    for level in range(levels - 1):
+        # operators that some path of this many steps reaches
+        here = deepest.where(F.col("depth") == level)
+        step = edges.join(here, edges["parent"] == here["op"]).select(F.col("child").alias("op")).distinct()
+        step = settled(step.withColumn("depth", F.lit(level + 1).cast("long")))
+        if step.isEmpty():
+            break
+        deepest = settled(deepest.unionByName(step).groupBy("op").agg(F.max("depth").alias("depth")))
     return deepest
 
 

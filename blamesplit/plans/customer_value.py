@@ -15,10 +15,9 @@ from blamesplit.functions.columns import clip, one_hot, selected
 from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.worlds import State, WorldFrame
 
-# Vocabulary, label limit, cohort share, years of the three runs, selector seeds.
+# Vocabulary, label limit, years of the three runs, selector seeds.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 HIGH_VALUE_SPEND = 2_500_000.0
-COHORT_SHARE = 0.8
 TENURE_LIMIT = 3000
 REFERENCE_YEAR, INCIDENT_YEAR, PROBE_YEAR = 1996, 1999, 1998
 NULL_SEED, DUPLICATE_SEED = 7, 11
@@ -28,6 +27,8 @@ Tables = Callable[[str], DataFrame]
 
 
 def load_customers(tables: Tables):
+    """All customers in every run; the run's year is the day at which their tenure is taken."""
+
     def body(inputs, state: State) -> WorldFrame:
         history = (
             tables("orders")
@@ -37,14 +38,14 @@ def load_customers(tables: Tables):
                 F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
             )
         )
-        cohort = state.partition(
+        everyone = state.partition(
             tables("customer").withColumnRenamed("c_custkey", "customer_id"),
-            lambda p: selected(F.col("customer_id"), COHORT_SHARE, p["year"]),
+            lambda p: F.lit(True),
         )
         as_of = state.by_state(
             {c: F.to_date(F.lit(f"{y + 1}-01-01")) for c, y in state.values("year").items()}
         )
-        return cohort.rows(
+        return everyone.rows(
             lambda df: df.join(history, "customer_id", "left").select(
                 "w",
                 "customer_id",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
+from blamesplit.functions.local import local_table
+from blamesplit.functions.prints import fingerprint, world_fingerprints  # noqa: F401
 from blamesplit.plans.pipeline import MAX_PLAYERS, Pipeline
 from blamesplit.plans.worlds import W, State, WorldFrame, world_const
 
@@ -79,61 +81,36 @@ def isolated(body: Callable) -> Callable:
 # -- content fingerprints ------------------------------------------------------------------
 
 
-def fingerprint(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Order-insensitive content fingerprint per group: rows, hash sum, hash xor.
+def active_frontier(
+    pipeline: Pipeline, scenarios: Mapping[str, Mapping[str, int]] | None = None
+) -> DataFrame:
+    """(scenario, op, changed): does flipping only this operator change its own output?
 
-    Duplicates count (a plain xor would cancel them). Compare fingerprints for equality only.
+    `scenarios` maps each name to the variants its operators take (default: one, with the first
+    variants). Inputs stay at reference. All flips run in one replay, so sources are read once. A
+    diagnostic: it can miss an operator that reacts to incident inputs only, so the game never
+    prunes by it.
     """
-    row_hash = F.xxhash64(*[F.col(c) for c in columns])
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
-        F.sum(row_hash.cast("decimal(38,0)")).alias("hash_sum"),
-        F.bit_xor(row_hash).alias("hash_xor"),
-    )
-
-
-def world_fingerprints(frame: WorldFrame) -> DataFrame:
-    """(w, fingerprint) for each world of a frame; empty worlds are listed too.
-
-    The schema counts: worlds with other columns differ even if the values agree.
-    """
-    from blamesplit.functions.local import local_table
-
-    spark = frame.df.sparkSession
-    types = dict(frame.df.dtypes)
-    schemas = [
-        (w, ",".join(f"{c}:{types[c]}" for c in frame.columns_in(w))) for w in frame.worlds
-    ]
-    listed = local_table(spark, f"{W} long, columns string", schemas)
-    found = fingerprint(frame.df, [W], frame.columns)
-    text = F.concat_ws(
-        "|",
-        "columns",
-        F.coalesce(F.col("n_rows"), F.lit(0)).cast("string"),
-        F.coalesce(F.col("hash_sum").cast("string"), F.lit("0")),
-        F.coalesce(F.col("hash_xor"), F.lit(0)).cast("string"),
-    )
-    return listed.join(found, W, "left").select(
-        W, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.sha2(text, 256).alias("fingerprint")
-    )
-
-
-def active_frontier(pipeline: Pipeline) -> DataFrame:
-    """(op, changed): does flipping only this operator change its own output?
-
-    Inputs stay at reference. A diagnostic: it can miss an operator that reacts to incident
-    inputs only, so the game never prunes by it.
-    """
-    parts = []
+    if scenarios is None:
+        scenarios = {"": {n: 1 for n in pipeline.fields}}
+    flips = {(s, n): pipeline.world([n], c) for s, c in scenarios.items() for n in pipeline.fields}
+    spark, parts = None, []
+    run = Replay(pipeline, {0, *flips.values()})
     for name in sorted(pipeline.fields):
-        flipped = pipeline.world([name])
-        prints = world_fingerprints(Replay(pipeline, [0, flipped]).node(name))
-        changed = prints.agg((F.count_distinct("fingerprint") > 1).alias("changed"))
-        parts.append(changed.select(F.lit(name).alias("op"), "changed"))
-    df = parts[0]
+        frame = run.node(name)
+        spark = frame.df.sparkSession
+        prints = world_fingerprints(frame)
+        parts.append(prints.select(F.lit(name).alias("op"), W, "fingerprint"))
+    prints = parts[0]
     for part in parts[1:]:
-        df = df.unionByName(part)
-    return df
+        prints = prints.unionByName(part)
+    lineage = {n: pipeline.lineage_fields(n) for n in pipeline.fields}
+    rows = [(s, n, w & lineage[n]) for (s, n), w in sorted(flips.items())]
+    asked = local_table(spark, f"scenario string, op string, {W} long", rows)
+    base = prints.where(F.col(W) == 0).select("op", F.col("fingerprint").alias("base"))
+    return asked.join(prints, ["op", W]).join(base, "op").select(
+        "scenario", "op", (F.col("fingerprint") != F.col("base")).alias("changed")
+    )
 
 
 def sink_sharing(frame: WorldFrame, n_players: int, masks: DataFrame) -> DataFrame:

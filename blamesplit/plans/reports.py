@@ -15,7 +15,7 @@ from blamesplit.operators import game as g
 from blamesplit.operators import scoring
 from blamesplit.plans.pipeline import Pipeline
 from blamesplit.plans.replay import Replay, active_frontier, profile, world_fingerprints
-from blamesplit.plans.worlds import W
+from blamesplit.plans.worlds import W, WorldFrame
 
 # Fixed limits of the reports.
 MEASURABLE = 0.002  # smallest |v(V)| an incident is read at
@@ -165,12 +165,12 @@ def subset_shapley(game: DataFrame, players: DataFrame) -> DataFrame:
     """Shapley value from signed subset sums: each coalition adds to members, takes from others."""
     setting = g.anchors(g.no_anchor(players)).select("scenario", "n_free")
     pairs = game.join(g.core_players(players), "scenario").join(setting, "scenario")
-    inside = F.col("mask").bitwiseAND(F.col("bit")) != 0
-    size, n = F.bit_count("mask"), F.col("n_free").cast("int")
-    phi = pairs.groupBy("scenario", "op").agg(
-        F.sum(
-            F.when(inside, g.weight(size - 1, n)).otherwise(-g.weight(size, n)) * F.col("v")
-        ).alias("phi")
+    inside = (F.col("mask").bitwiseAND(F.col("bit")) != 0).cast("int")
+    sized = pairs.withColumn("n_free", F.col("n_free").cast("int")).withColumn("inside", inside)
+    sized = sized.withColumn("size", F.bit_count("mask") - F.col("inside"))
+    weighed = sized.join(g.shapley_weights(game.sparkSession), ["n_free", "size"])
+    phi = weighed.groupBy("scenario", "op").agg(
+        F.sum((2 * F.col("inside") - 1) * F.col("weight") * F.col("v")).alias("phi")
     )
     return g.with_null_players(phi, players, "shapley")
 
@@ -214,8 +214,19 @@ def attributions(
     return staged_rows(reduce(DataFrame.unionByName, parts))
 
 
-def incident_report(study: Study, game: DataFrame) -> DataFrame:
-    """The incident card: ranked anchored blame with culprit and anchor marks, and the sums."""
+def model_fits(sink: WorldFrame) -> int:
+    """Trainings a game needs: worlds with equal sinks share one."""
+    return world_fingerprints(sink).agg(F.count_distinct("fingerprint")).first()[0]
+
+
+def frontier_size(study: Study) -> DataFrame:
+    """(scenario, frontier): operators that change their own output when only they are flipped."""
+    changed = active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents})
+    return changed.groupBy("scenario").agg(F.count(F.when(F.col("changed"), 1)).alias("frontier"))
+
+
+def incident_report(study: Study, game: DataFrame, fits: int, frontier: DataFrame) -> DataFrame:
+    """The incident card: ranked anchored blame with culprit and anchor marks, the sums, the cost."""
     players, culprits = study.players(), study.culprits()
     phi = staged_rows(g.anchored_shapley(game, players))
     ranked = scoring.blame_ranking(phi)
@@ -232,11 +243,12 @@ def incident_report(study: Study, game: DataFrame) -> DataFrame:
         .join(totals(game, players), "scenario")
         .join(gap, "scenario")
         .join(lattice, "scenario")
+        .join(frontier, "scenario")
         .select(
             "scenario", "rank", "op", "phi",
             F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"),
             "anchored", "delta", "v_anchor", "total_phi", "to_explain", "gap",
-            "n_operators", "lattice",
+            "n_operators", "lattice", F.lit(fits).cast("long").alias("model_fits"), "frontier",
         )
     )
 
@@ -418,6 +430,22 @@ def case_validity(rows: DataFrame) -> DataFrame:
     )
 
 
+def validity_summary(rows: DataFrame) -> DataFrame:
+    """(method, n, p_at_1, mrr) over the valid cases of a ladder."""
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(m).alias("method"), F.col(f"{m}_p_at_1").alias("p"), F.col(f"{m}_mrr").alias("r"))
+                for m in METHODS
+            ]
+        )
+    )
+    judged = case_validity(rows).where("valid").select(cells.alias("c")).select("c.*")
+    return judged.groupBy("method").agg(
+        F.count("*").alias("n"), F.avg("p").alias("p_at_1"), F.avg("r").alias("mrr")
+    )
+
+
 def drift_floor(study: Study, game: DataFrame, players: DataFrame) -> DataFrame:
     """(max_drift, negligible): with no drift to hold fixed, anchoring cannot make a difference."""
     effects = single_effects(game, players, study.culprits())
@@ -429,8 +457,13 @@ def drift_floor(study: Study, game: DataFrame, players: DataFrame) -> DataFrame:
 # -- order dependence ----------------------------------------------------------------------
 
 
-def order_dependence(study: Study, walks: DataFrame, game: DataFrame, players: DataFrame):
-    """How far stagewise blame of each operator swings over all topological orders."""
+def order_dependence(
+    study: Study, walks: DataFrame, game: DataFrame, players: DataFrame, limit: int
+):
+    """How far stagewise blame of each operator swings over the first `limit` topological orders.
+
+    `complete` says whether these are all orders there are.
+    """
     anchored = g.anchored_shapley(game, players).select("scenario", "op", F.col("phi").alias("anchored"))
     guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
     low, high = F.col("stagewise_min"), F.col("stagewise_max")
@@ -446,21 +479,28 @@ def order_dependence(study: Study, walks: DataFrame, game: DataFrame, players: D
         .join(guilty, ["scenario", "op"], "left")
         .select(
             "scenario", "op", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"),
-            "is_source", "n_orders", "stagewise_min", "stagewise_max",
+            "is_source", "n_orders", (F.col("n_orders") < limit).alias("complete"), "stagewise_min", "stagewise_max",
             (high - low).alias("spread"),
             ((low < -SIGN_EPS) & (high > SIGN_EPS)).alias("sign_flips"), "anchored",
         )
     )
 
 
-def order_top_blamed(study: Study, walks: DataFrame) -> DataFrame:
-    """(scenario, op, n_orders, is_culprit): who a stagewise walk blames first, over all orders."""
+def order_top_blamed(study: Study, walks: DataFrame, limit: int) -> DataFrame:
+    """(scenario, op, n_orders, is_culprit, complete): who a stagewise walk blames first.
+
+    `complete` says whether the walks, at most `limit` per scenario, are all there are.
+    """
+    orders = walks.groupBy("scenario").agg((F.count_distinct("order_id") < limit).alias("complete"))
     first = scoring.blame_ranking(walks, ["scenario", "order_id"]).where("rank = 1")
     guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
     return (
         first.groupBy("scenario", "op").agg(F.count("*").alias("n_orders"))
         .join(guilty, ["scenario", "op"], "left")
-        .select("scenario", "op", "n_orders", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"))
+        .join(orders, "scenario")
+        .select(
+            "scenario", "op", "n_orders", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"), "complete"
+        )
     )
 
 

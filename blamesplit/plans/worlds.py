@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from blamesplit.functions.local import local_table
-from blamesplit.functions.ordered import head_fraction, quantile_of_values, values_of
+from blamesplit.functions.ordered import exact_quantile, head_fraction
 from blamesplit.plans.pipeline import Field, Operator
 
 W = "w"
@@ -157,11 +156,7 @@ class WorldFrame:
         The column is read once and the one number per world is settled here, so whatever reads
         the frame later does not compute it again.
         """
-        values = values_of(self.df, [W], column).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stat = settled(self, quantile_of_values(values, q, [W], out))
-        finally:
-            values.unpersist()
+        stat = settled(self, exact_quantile(self.df, column, q, [W], out))
         return self._like(self.df.join(self.per_world(stat), W, "left"))
 
     def per_world(self, stats: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from blamesplit.functions.columns import nan_to_null
 from blamesplit.functions.local import local_table
 from blamesplit.functions.ordered import first_rows
 
 THIN_PARTITION = 1000
-DAY_ROWS = 60_000
 
 
 class DataMissing(RuntimeError):
@@ -20,7 +20,7 @@ class DataMissing(RuntimeError):
 
 
 class Tables:
-    """Parquet tables of one folder by name."""
+    """Parquet tables of one folder by name; NaN is null from here on."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -28,7 +28,7 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._scans:
-            self._scans[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._scans[name] = nan_to_null(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._scans[name]
 
 
@@ -98,9 +98,9 @@ def on_day(df: DataFrame, column: str, day: date) -> DataFrame:
 
 
 def load_day(
-    df: DataFrame, column: str, day: date, order: list[str], max_rows: int | None = DAY_ROWS
+    df: DataFrame, column: str, day: date, order: list[str], max_rows: int | None = None
 ) -> DataFrame:
-    """One day's partition, capped to its first rows in a total order."""
+    """One day's partition; `max_rows` keeps its first rows in a total order."""
     rows = on_day(df, column, day)
     if max_rows is None:
         return rows

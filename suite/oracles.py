@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from blamesplit.plans import catalogue, customer_value, fan_in, trips
-from blamesplit.plans.reports import RATIO_BINS, Study
+from blamesplit.plans.reports import COARSE_BINS, RATIO_BINS, Study
 from suite import queries as q
 from suite import studies
 from suite.sql import (
@@ -500,19 +500,23 @@ def node_profiles():
 @oracle
 def active_frontier():
     study = studies.gate()
-    chains = Chains(study.pipeline, CUSTOMER)
-    parts = []
-    for n in sorted(study.pipeline.fields):
-        a, b = chains.node(n, 0), chains.node(n, study.pipeline.world([n]))
-        cols = "*"
-        params = study.pipeline.operators[n].params(1)
-        if params.get("drop_columns"):
-            parts.append(f"SELECT '{n}' AS op, TRUE AS changed")  # another column set
-            continue
-        parts.append(f"""SELECT '{n}' AS op,
-          EXISTS ((SELECT {cols} FROM {a}) EXCEPT ALL (SELECT {cols} FROM {b}))
-          OR EXISTS ((SELECT {cols} FROM {b}) EXCEPT ALL (SELECT {cols} FROM {a})) AS changed""")
-    return with_(chains.ctes, "\nUNION ALL ".join(parts))
+    pipeline, chains, flips, parts = study.pipeline, Chains(study.pipeline, CUSTOMER), {}, []
+    for i in study.incidents:
+        choice = study.choice(i)
+        for n in pipeline.fields:
+            w = pipeline.world([n], choice)
+            if not w:
+                parts.append(f"SELECT '{i.name}' AS scenario, '{n}' AS op, FALSE AS changed")
+                continue
+            if (n, w) not in flips:
+                a, b = chains.node(n, 0), chains.node(n, w)
+                differ = f"""EXISTS ((SELECT * FROM {a}) EXCEPT ALL (SELECT * FROM {b}))
+                  OR EXISTS ((SELECT * FROM {b}) EXCEPT ALL (SELECT * FROM {a}))"""
+                if pipeline.operators[n].params(choice[n]).get("drop_columns"):
+                    differ = "TRUE"  # another column set
+                flips[n, w] = (f"flip_{len(flips)}", f"SELECT {differ} AS changed")
+            parts.append(f"SELECT '{i.name}' AS scenario, '{n}' AS op, changed FROM {flips[n, w][0]}")
+    return with_([*chains.ctes, *flips.values()], "\nUNION ALL ".join(parts))
 
 
 # -- utility and game ----------------------------------------------------------------------
@@ -646,11 +650,68 @@ def roc_auc():
       / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0), 0), 6) AS auc FROM r GROUP BY lang"""
 
 
+@oracle
+def roc_auc_missing():
+    return """WITH d AS (SELECT source, n_chars AS s, toxic AS y FROM documents JOIN labels USING (doc_id)
+      WHERE doc_id % 7 <> 0 AND n_chars IS NOT NULL AND toxic IN (0, 1)),
+    r AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY s)
+        + (count(*) OVER (PARTITION BY source, s) - 1) / 2.0 AS r FROM d),
+    a AS (SELECT source, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+      / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0), 0), 6) AS auc FROM r GROUP BY source)
+    SELECT s.source, a.auc FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN a ON a.source IS NOT DISTINCT FROM s.source"""
+
+
 @oracle
 def utility_lda():
     return with_(study_utility(studies.incident()), "SELECT w, u FROM u")
 
 
+@oracle
+def utility_lr_pair():
+    """Newton steps written out, each 3 x 3 system solved by Cramer's rule."""
+    study = studies.unit_change()
+    chains = Chains(study.pipeline, CUSTOMER)
+    probe = probe_chains("customer_value", 0)
+    probe.prefix = "probe_"
+    table = probe.node(probe.pipeline.sink, 0)
+    sinks = chains.tagged_sinks(CUSTOMER_FEATURES, study.worlds())
+    ctes = [
+        *chains.ctes, *probe.ctes, ("sinks", sinks),
+        ("scale", """SELECT w, avg(income) AS m1, avg(avg_amount) AS m2,
+            CASE WHEN var_pop(income) > 0 THEN sqrt(var_pop(income)) ELSE 1 END AS s1,
+            CASE WHEN var_pop(avg_amount) > 0 THEN sqrt(var_pop(avg_amount)) ELSE 1 END AS s2,
+            count(*) >= 50 AND count(DISTINCT label) >= 2 AS ok FROM sinks GROUP BY w"""),
+        ("z", "SELECT w, (income - m1) / s1 AS z1, (avg_amount - m2) / s2 AS z2, CAST(label AS DOUBLE) AS y FROM sinks JOIN scale USING (w) WHERE ok"),
+        ("b0", "SELECT DISTINCT w, CAST(0 AS DOUBLE) AS c0, CAST(0 AS DOUBLE) AS c1, CAST(0 AS DOUBLE) AS c2 FROM z"),
+    ]
+    det = lambda a, b, c: (  # noqa: E731  determinant of three columns of (0, 1, 2) entries
+        f"({a[0]} * ({b[1]} * {c[2]} - {c[1]} * {b[2]}) - {b[0]} * ({a[1]} * {c[2]} - {c[1]} * {a[2]})"
+        f" + {c[0]} * ({a[1]} * {b[2]} - {b[1]} * {a[2]}))"
+    )
+    h = [["h00", "h01", "h02"], ["h01", "h11", "h12"], ["h02", "h12", "h22"]]
+    g = ["g0", "g1", "g2"]
+    for k in range(12):
+        ctes += [
+            (f"p{k}", f"SELECT z.*, c0, c1, c2, 1 / (1 + exp(-(c0 + c1 * z1 + c2 * z2))) AS p FROM z JOIN b{k} USING (w)"),
+            (f"s{k}", f"""SELECT w, c0, c1, c2, sum(p - y) AS g0, sum((p - y) * z1) + c1 AS g1, sum((p - y) * z2) + c2 AS g2,
+              sum(p * (1 - p)) AS h00, sum(p * (1 - p) * z1) AS h01, sum(p * (1 - p) * z2) AS h02,
+              sum(p * (1 - p) * z1 * z1) + 1 AS h11, sum(p * (1 - p) * z1 * z2) AS h12,
+              sum(p * (1 - p) * z2 * z2) + 1 AS h22 FROM p{k} GROUP BY w, c0, c1, c2"""),
+            (f"b{k + 1}", f"""SELECT w, c0 - {det(g, h[1], h[2])} / {det(*h)} AS c0,
+              c1 - {det(h[0], g, h[2])} / {det(*h)} AS c1, c2 - {det(h[0], h[1], g)} / {det(*h)} AS c2 FROM s{k}"""),
+        ]
+    ctes += [
+        ("k", "SELECT scale.w, coalesce(c1 / s1, 0) AS k1, coalesce(c2 / s2, 0) AS k2, ok FROM scale LEFT JOIN b12 USING (w)"),
+        ("scored", f"SELECT w, label AS y, round(k1 * coalesce(income, 0) + k2 * coalesce(avg_amount, 0), 6) AS s FROM {table} CROSS JOIN k"),
+        ("r", """SELECT *, rank() OVER (PARTITION BY w ORDER BY s)
+            + (count(*) OVER (PARTITION BY w, s) - 1) / 2.0 AS r FROM scored"""),
+        ("auc", """SELECT w, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0)
+            / nullif(CAST(count(*) FILTER (y = 1) AS DOUBLE) * count(*) FILTER (y = 0), 0) AS u FROM r GROUP BY w"""),
+    ]
+    return with_(ctes, """SELECT k.w, round(k1, 9) AS income, round(k2, 9) AS avg_amount,
+      round(CASE WHEN ok THEN coalesce(u, 0.5) ELSE 0.5 END, 8) AS u FROM k LEFT JOIN auc USING (w)""")
+
+
 @oracle
 def utility_metric():
     study = studies.incident()
@@ -953,9 +1014,34 @@ def severity_ladder():
 
 @oracle
 def ratio_bins():
+    return binned(RATIO_BINS)
+
+
+@oracle
+def coarse_ratio_bins():
+    return binned(COARSE_BINS)
+
+
+@oracle
+def excluded_cases():
+    return with_(ladder_ctes(studies.ladder(), "customer_value"),
+                 "SELECT fault_type, severity FROM ladder WHERE NOT measurable", True)
+
+
+@oracle
+def validity_summary():
+    parts = "\nUNION ALL ".join(
+        f"""SELECT '{m}' AS method, count(*) AS n, round(avg({m}_p_at_1), 6) AS p_at_1, round(avg({m}_mrr), 6) AS mrr
+        FROM ladder WHERE delta <= -0.002::DOUBLE AND fault_alone <= -0.002::DOUBLE HAVING count(*) > 0"""
+        for m in METHODS
+    )
+    return with_(ladder_ctes(studies.trip_ladder(), "trips"), parts, True)
+
+
+def binned(bins) -> str:
     case = " ".join(
         f"WHEN ratio >= {low} " + (f"AND ratio < {high} " if high is not None else "") + f"THEN '{name}'"
-        for low, high, name in RATIO_BINS
+        for low, high, name in bins
     )
     means = ", ".join(f"round(avg({m}_p_at_1), 6) AS {m}" for m in METHODS)
     return with_(ladder_ctes(studies.ladder(), "customer_value"), f"""
@@ -993,7 +1079,7 @@ def order_dependence():
     study = studies.orders()
     ctes = [*game_ctes(study), *walk_ctes(study.pipeline), ("a", sql_anchored())]
     return with_(ctes, f"""SELECT w.scenario, w.op, any_value(c.op IS NOT NULL) AS is_culprit,
-    any_value(p.anchored) AS is_source, count(*) AS n_orders, {r8('min(w.phi)')} AS stagewise_min,
+    any_value(p.anchored) AS is_source, count(*) AS n_orders, count(*) < {q.MOST_ORDERS} AS complete, {r8('min(w.phi)')} AS stagewise_min,
     {r8('max(w.phi)')} AS stagewise_max, {r8('max(w.phi) - min(w.phi)')} AS spread,
     min(w.phi) < -1e-9 AND max(w.phi) > 1e-9 AS sign_flips, {r8('any_value(a.phi)')} AS anchored
     FROM walks w JOIN players p ON p.scenario = w.scenario AND p.op = w.op
@@ -1009,7 +1095,8 @@ def order_top_blamed():
         ("winner", """SELECT * FROM walks QUALIFY row_number() OVER
           (PARTITION BY scenario, order_id ORDER BY round(phi, 9), op) = 1"""),
     ]
-    return with_(ctes, """SELECT w.scenario, w.op, count(*) AS n_orders, any_value(c.op IS NOT NULL) AS is_culprit
+    return with_(ctes, f"""SELECT w.scenario, w.op, count(*) AS n_orders, any_value(c.op IS NOT NULL) AS is_culprit,
+      any_value((SELECT count(DISTINCT order_id) FROM walks x WHERE x.scenario = w.scenario)) < {q.MOST_ORDERS} AS complete
     FROM winner w LEFT JOIN culprits c ON c.scenario = w.scenario AND c.op = w.op GROUP BY w.scenario, w.op""", True)
 
 
@@ -1048,13 +1135,27 @@ def scale_report():
 @oracle
 def incident_report():
     study = studies.incident()
-    n = len(study.pipeline.names)
-    ctes = [*game_ctes(study), ("a", sql_anchored())]
+    n, pipeline = len(study.pipeline.names), study.pipeline
+    chains, changed = Chains(pipeline, CUSTOMER, "front_"), []
+    for op in pipeline.fields:
+        w = pipeline.world([op], study.choice(study.incidents[0]))
+        if w and pipeline.operators[op].params(1).get("drop_columns"):
+            changed.append("SELECT TRUE AS changed")
+        elif w:
+            a, b = chains.node(op, 0), chains.node(op, w)
+            changed.append(f"""SELECT EXISTS ((SELECT * FROM {a}) EXCEPT ALL (SELECT * FROM {b}))
+              OR EXISTS ((SELECT * FROM {b}) EXCEPT ALL (SELECT * FROM {a})) AS changed""")
+    cols = ", ".join(f'"{c}"' for c in [*CUSTOMER_FEATURES, "label"])
+    ctes = [
+        *game_ctes(study), ("a", sql_anchored()), *chains.ctes, ("front", "\nUNION ALL ".join(changed)),
+        ("prints", f"SELECT w, count(*) AS n, sum(CAST(hash({cols}) AS HUGEINT)) AS h FROM sinks GROUP BY w"),
+    ]
     return with_(ctes, f"""SELECT a.scenario, row_number() OVER (ORDER BY round(a.phi, 9), a.op) AS rank, a.op,
     {r8('a.phi')} AS phi, c.op IS NOT NULL AS is_culprit, p.anchored, {r8('t.delta')} AS delta,
     {r8('t.v_anchor')} AS v_anchor, {r8('s.total_phi')} AS total_phi, {r8('t.delta - t.v_anchor')} AS to_explain,
     {r8('abs(s.total_phi - (t.delta - t.v_anchor))')} AS gap,
-    CAST({n} AS BIGINT) AS n_operators, CAST({1 << n} AS BIGINT) AS lattice
+    CAST({n} AS BIGINT) AS n_operators, CAST({1 << n} AS BIGINT) AS lattice,
+    (SELECT count(DISTINCT (n, h)) FROM prints) AS model_fits, (SELECT count(*) FROM front WHERE changed) AS frontier
     FROM a JOIN players p ON p.scenario = a.scenario AND p.op = a.op JOIN totals t ON t.scenario = a.scenario
       JOIN (SELECT scenario, sum(phi) AS total_phi FROM a GROUP BY scenario) s ON s.scenario = a.scenario
       LEFT JOIN culprits c ON c.scenario = a.scenario AND c.op = a.op""")

@@ -23,9 +23,11 @@ from blamesplit.sources.tables import Tables
 from suite import studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-UTILITY_DIGITS = 4
+UTILITY_DIGITS = 8
+SCORE_DIGITS = 6
 PHI_DIGITS = 8
 SAMPLES, SEED = 60, 1
+MOST_ORDERS = 5000
 CENSUS_DAYS = [date(2024, 1, 28), date(2024, 1, 29), date(2024, 1, 30), date(2024, 1, 31), date(2024, 2, 1)]
 DAY = date(2024, 1, 8)
 SCAN_COLUMNS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
@@ -257,9 +259,9 @@ def zone_stats(spark, folder):
 @query
 def quantile_threshold(spark, folder):
     orders = Tables(spark, folder)("orders")
-    half = ordered.exact_quantile(orders, "o_totalprice", 0.5, ["o_orderstatus"], "median_price")
-    upper = ordered.exact_quantile(orders, "o_totalprice", 0.75, ["o_orderstatus"], "top_quarter")
-    return rounded(half.join(upper, "o_orderstatus"), "median_price", "top_quarter", digits=4)
+    both = {"median_price": 0.5, "top_quarter": 0.75}
+    found = ordered.exact_quantiles(orders, "o_totalprice", both, ["o_orderstatus"])
+    return rounded(found, *both, digits=4)
 
 
 @query
@@ -467,7 +469,7 @@ def node_profiles(spark, folder):
 @query
 def active_frontier(spark, folder):
     study = studies.gate(spark, Tables(spark, folder))
-    return replay.active_frontier(study.pipeline)
+    return replay.active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents})
 
 
 @query
@@ -483,14 +485,14 @@ def sink_sharing(spark, folder):
 
 
 def coarse(utility: DataFrame) -> DataFrame:
-    """Utilities to four digits, so that results do not hang on the order of float sums."""
+    """Utilities to eight digits, so that results do not hang on the order of float sums."""
     return utility.select("w", F.round("u", UTILITY_DIGITS).alias("u"))
 
 
 def scored(study: Study) -> tuple[DataFrame, DataFrame]:
     """The study's game by the closed-form scorer, and its players."""
     tables = study.tables
-    utility = coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(tables)))
+    utility = coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(tables), digits=SCORE_DIGITS))
     return study.game(utility), study.players()
 
 
@@ -513,10 +515,19 @@ def roc_auc(spark, folder):
     return rounded(ut.roc_auc(marked, ["lang"], "n_chars", "quality"), "auc", digits=6)
 
 
+@query
+def roc_auc_missing(spark, folder):
+    """AUC where scores and labels are missing: such rows cannot be ranked and do not count."""
+    tables = Tables(spark, folder)
+    marked = tables("documents").join(tables("labels"), "doc_id", "left")
+    some = marked.withColumn("score", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")))
+    return rounded(ut.roc_auc(some, ["source"], "score", "toxic"), "auc", digits=6)
+
+
 @query
 def utility_lda(spark, folder):
     study = studies.incident(spark, Tables(spark, folder))
-    return coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(study.tables)))
+    return coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(study.tables), digits=SCORE_DIGITS))
 
 
 @query
@@ -525,6 +536,21 @@ def utility_lr(spark, folder):
     return coarse(ut.logistic_utility(study.replay().sink(), customer_value.probe(study.tables)))
 
 
+PAIR = ["income", "avg_amount"]
+
+
+@query
+def utility_lr_pair(spark, folder):
+    """Logistic regressions of two features: their weights, and the AUC on the probe."""
+    study = studies.unit_change(spark, Tables(spark, folder))
+    sink = study.replay().sink().rows(lambda df: df.select("w", *PAIR, "label"))
+    weights = ut.logistic_weights(sink)
+    probe = customer_value.probe(study.tables).select(*PAIR, "label")
+    scored = coarse(ut.linear_auc(sink, weights, probe, digits=SCORE_DIGITS))
+    rows = [(w, *[round(weights.get(w, {}).get(c, 0.0), 9) for c in PAIR]) for w in sink.worlds]
+    return scored.join(local_table(spark, "w long, income double, avg_amount double", rows), "w")
+
+
 @query
 def utility_metric(spark, folder):
     study = studies.incident(spark, Tables(spark, folder))
@@ -717,7 +743,7 @@ def customer_ladder(spark, folder):
 
 def trip_game(study):
     sink = study.replay().sink()
-    utility = coarse(ut.discriminant_utility(sink, trips.probe(study.tables)))
+    utility = coarse(ut.discriminant_utility(sink, trips.probe(study.tables), digits=SCORE_DIGITS))
     return study.game(utility), study.players()
 
 
@@ -741,6 +767,17 @@ def ratio_bins(spark, folder):
     return rounded(reports.ratio_bins(rows, reports.RATIO_BINS), *reports.METHODS, digits=6)
 
 
+@query
+def coarse_ratio_bins(spark, folder):
+    rows = reports.staged_rows(customer_ladder(spark, folder))
+    return rounded(reports.ratio_bins(rows, reports.COARSE_BINS), *reports.METHODS, digits=6)
+
+
+@query
+def excluded_cases(spark, folder):
+    return reports.excluded(customer_ladder(spark, folder))
+
+
 @query
 def method_agreement(spark, folder):
     rows = reports.staged_rows(customer_ladder(spark, folder))
@@ -758,6 +795,12 @@ def case_validity(spark, folder):
     return rounded(picked, "delta", "fault_alone")
 
 
+@query
+def validity_summary(spark, folder):
+    rows = reports.staged_rows(trips_ladder(spark, folder))
+    return rounded(reports.validity_summary(rows), "p_at_1", "mrr", digits=6)
+
+
 @query
 def drift_floor(spark, folder):
     study = studies.trip_ladder(spark, Tables(spark, folder))
@@ -769,8 +812,8 @@ def drift_floor(spark, folder):
 def order_dependence(spark, folder):
     study = studies.orders(spark, Tables(spark, folder))
     game, players = scored(study)
-    walks = g.stagewise(game, players, for_all(study, orders_of(study, 5000)), ["order_id"])
-    table = reports.order_dependence(study, walks, game, players)
+    walks = g.stagewise(game, players, for_all(study, orders_of(study, MOST_ORDERS)), ["order_id"])
+    table = reports.order_dependence(study, walks, game, players, MOST_ORDERS)
     return rounded(table, "stagewise_min", "stagewise_max", "spread", "anchored")
 
 
@@ -778,8 +821,8 @@ def order_dependence(spark, folder):
 def order_top_blamed(spark, folder):
     study = studies.orders(spark, Tables(spark, folder))
     game, players = scored(study)
-    walks = g.stagewise(game, players, for_all(study, orders_of(study, 5000)), ["order_id"])
-    return reports.order_top_blamed(study, walks)
+    walks = g.stagewise(game, players, for_all(study, orders_of(study, MOST_ORDERS)), ["order_id"])
+    return reports.order_top_blamed(study, walks, MOST_ORDERS)
 
 
 @query
@@ -789,7 +832,7 @@ def scale_report(spark, folder):
     def one(m: int) -> DataFrame:
         study = studies.width(m, spark, tables)
         sink = study.replay().sink()
-        utility = coarse(ut.discriminant_utility(sink, fan_in.probe(tables, m)))
+        utility = coarse(ut.discriminant_utility(sink, fan_in.probe(tables, m), digits=SCORE_DIGITS))
         return reports.staged_rows(reports.scale_row(study, m, sink, utility, SAMPLES, SEED))
 
     rows = side_by_side(*[lambda m=m: one(m) for m in studies.SCALE_WIDTHS])
@@ -798,6 +841,11 @@ def scale_report(spark, folder):
 
 @query
 def incident_report(spark, folder):
-    study, game, _ = incident_game(spark, folder)
-    card = reports.incident_report(study, game)
+    study = studies.incident(spark, Tables(spark, folder))
+    (game, _), fits, frontier = side_by_side(
+        lambda: scored(study),
+        lambda: reports.model_fits(study.replay().sink()),
+        lambda: reports.staged_rows(reports.frontier_size(study)),
+    )
+    card = reports.incident_report(study, game, fits, frontier)
     return rounded(card, "phi", "delta", "v_anchor", "total_phi", "to_explain", "gap")

@@ -35,8 +35,7 @@ def sql_load_customers(p, i):
     FROM customer c LEFT JOIN (
       SELECT o_custkey, min(o_orderdate) AS first_order,
              sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
-      FROM orders GROUP BY o_custkey) h ON h.o_custkey = c.c_custkey
-    WHERE {hit('c.c_custkey', cv.COHORT_SHARE, y)}"""
+      FROM orders GROUP BY o_custkey) h ON h.o_custkey = c.c_custkey"""
 
 
 def sql_load_transactions(p, i):
@@ -319,7 +318,7 @@ def values(name: str, columns: str, rows: list[tuple]) -> tuple[str, str]:
 def utility_ctes(
     chains: Chains, features: list[str], worlds: list[int], probe: str, prefix: str = ""
 ) -> list[tuple[str, str]]:
-    """CTEs ending in {prefix}u(w, u): discriminant per world, AUC on the probe, 4 digits."""
+    """CTEs ending in {prefix}u(w, u): discriminant per world, AUC on the probe, 8 digits."""
     q = [f'"{c}"' for c in features]
     x = prefix
     stat = ", ".join(
@@ -352,6 +351,6 @@ def utility_ctes(
             / nullif(2 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc FROM {x}below GROUP BY w"""),
         (f"{x}guard", f"SELECT w, count(*) AS n_rows, count(DISTINCT label) AS n_classes FROM {x}sinks GROUP BY w"),
         (f"{x}u", f"""SELECT w, round(CASE WHEN g.n_rows >= 50 AND g.n_classes >= 2 AND f
-            THEN coalesce(auc, 0.5) ELSE 0.5 END, 4) AS u
+            THEN coalesce(auc, 0.5) ELSE 0.5 END, 8) AS u
             FROM {x}worlds LEFT JOIN {x}guard g USING (w) LEFT JOIN {x}aucs USING (w)"""),
     ]

@@ -70,27 +70,36 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("window_rows, cuts", [(10**6, 1024), (900, 64), (40, 16)])
-def test_exact_quantile_small_and_bucketed(skewed, window_rows, cuts):
+@pytest.mark.parametrize("slices", [1, 3, 200])
+def test_exact_quantiles(spark, skewed, slices):
     pdf = skewed.toPandas()
-    for q in (0.0, 0.5, 0.75, 1.0) if window_rows > 1000 else (0.75,):
-        rows = ordered.exact_quantile(skewed, "x", q, ["k"], "v", window_rows, cuts).collect()
-        expected = pdf.groupby("k")["x"].quantile(q).to_dict()
-        assert {r.k: r.v for r in rows} == pytest.approx(expected)
-
-
-@pytest.mark.parametrize(
-    "keep, window_rows, cuts",
-    [(0.0, 10**6, 1024), (0.3, 10**6, 1024), (0.999, 10**6, 1024), (1.0, 10**6, 1024), (0.3, 400, 32)],
-)
-def test_head_fraction(skewed, keep, window_rows, cuts):
-    kept = ordered.head_fraction(skewed, "id", keep, ["k"], window_rows, cuts).toPandas()
+    with_nan = skewed.unionByName(spark.range(3).select(F.lit("big").alias("k"), F.lit(float("nan")).alias("x"), "id"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        rows = ordered.exact_quantiles(with_nan, "x", {"a": 0.0, "b": 0.5, "c": 0.75, "d": 1.0}, ["k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for name, q in (("a", 0.0), ("b", 0.5), ("c", 0.75), ("d", 1.0)):
+        assert {r.k: r[name] for r in rows} == pytest.approx(pdf.groupby("k")["x"].quantile(q).to_dict())
+
+
+@pytest.mark.parametrize("keep", [0.0, 0.3, 0.999, 1.0])
+def test_head_fraction(skewed, keep):
+    kept = ordered.head_fraction(skewed, "id", keep, ["k"]).toPandas()
     pdf = skewed.toPandas()
     for k, part in pdf.groupby("k"):
         expected = sorted(part["id"])[: int(len(part) * keep)]
         assert sorted(kept[kept["k"] == k]["id"]) == expected
 
 
+def test_head_fraction_by_a_text_key(skewed):
+    named = skewed.withColumn("name", F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")))
+    kept = ordered.head_fraction(named, "name", 0.2, ["k"]).toPandas()
+    for k, part in named.toPandas().groupby("k"):
+        assert sorted(kept[kept["k"] == k]["name"]) == sorted(part["name"])[: int(len(part) * 0.2)]
+
+
 def test_head_fraction_of_a_whole_table(skewed):
     assert ordered.head_fraction(skewed, "id", 0.25).count() == 1500
 
@@ -112,14 +121,20 @@ def plain_auc(s, y):
     return wins / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("window_rows", [10**6, 10])
-def test_auc_with_ties(skewed, window_rows):
+def test_auc_with_ties(skewed):
     df = skewed.where("x IS NOT NULL").withColumn("y", (F.col("id") * 31 % 4 == 0).cast("int"))
-    found = {r.k: r.auc for r in ut.roc_auc(df, ["k"], "x", "y", window_rows=window_rows).collect()}
+    found = {r.k: r.auc for r in ut.roc_auc(df, ["k"], "x", "y").collect()}
     for k, part in df.toPandas().groupby("k"):
         assert found[k] == pytest.approx(plain_auc(part["x"].to_numpy(), part["y"].to_numpy()))
 
 
+def test_auc_leaves_out_what_has_no_rank(spark):
+    nan = float("nan")
+    rows = [("a", None, 1), ("a", nan, 0), ("a", 1.0, 0), ("a", 2.0, 1), ("a", 2.0, 0), ("a", 5.0, None), ("a", 0.0, 7), ("b", None, 1), ("c", 1.0, 1)]
+    found = {r.k: r.auc for r in ut.roc_auc(spark.createDataFrame(rows, "k string, s double, y int"), ["k"], "s", "y").collect()}
+    assert found == {"a": 0.75, "b": None, "c": None}
+
+
 def test_auc_of_equal_scores_is_one_half(spark):
     df = spark.range(10).select(F.lit(1).alias("k"), F.lit(2.0).alias("s"), (F.col("id") % 2).alias("y"))
     assert ut.roc_auc(df, ["k"], "s", "y").collect()[0].auc == 0.5

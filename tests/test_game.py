@@ -131,3 +131,36 @@ def test_two_faults_needed_together_share_the_harm(world):
     assert found == pytest.approx({"a": 0, "b": -0.5, "c": -0.5, "d": 0, "zz_idle": 0})
     double = by_scenario(g.leave_one_out(game, players))["both_needed"]
     assert double["b"] + double["c"] == pytest.approx(-2.0)
+
+
+def lattice(spark, n, scenario="s"):
+    schema = "scenario string, op string, bit long, anchored boolean, sensitive boolean"
+    players = local_table(spark, schema, [(scenario, f"p{i:02}", 1 << i, False, True) for i in range(n)])
+    game = spark.range(1 << n).select(
+        F.lit(scenario).alias("scenario"), F.col("id").alias("mask"), F.lit(0.0).alias("u"),
+        F.bit_count("id").cast("double").alias("v"),
+    )
+    return game, players
+
+
+def test_weights_of_many_players(spark):
+    """In a game that counts its players each is worth 1, also where 21! has no place in a BIGINT."""
+    rows = g.shapley_weights(spark).where("n_free IN (21, 63)").collect()
+    for n in (21, 63):
+        mine = {r.size: r.weight for r in rows if r.n_free == n}
+        assert sum(mine[k] * math.comb(n - 1, k) for k in range(n)) == pytest.approx(1)
+    game, players = lattice(spark, 12)
+    assert [r.phi for r in g.exact_shapley(game, players).collect()] == pytest.approx([1.0] * 12)
+
+
+@pytest.mark.parametrize("gone", [0, 2, 3])
+def test_a_gap_in_the_game_is_an_error(spark, gone):
+    game, players = lattice(spark, 2)
+    short = game.where(F.col("mask") != gone)
+    orders = local_table(spark, "scenario string, order_id long, pos long, op string, bit long", [("s", 1, 1, "p01", 2), ("s", 1, 2, "p00", 1)])
+    results = [g.exact_shapley(short, players), g.stagewise(short, players, orders, ["order_id"]), g.sampled_shapley(short, g.no_anchor(players), 20, 1)]
+    if gone != 0:
+        results.append(g.leave_one_out(short, players))
+    for df in results:
+        with pytest.raises(Exception, match="the game (has no value for|lacks) coalition"):
+            df.collect()

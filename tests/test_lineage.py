@@ -53,3 +53,17 @@ def test_orders_are_complete_and_lexicographic(graph, limit):
         found.setdefault(r.order_id, []).append(r.op)
     assert list(found.values()) == all_orders()[:limit]
     assert list(found) == list(range(1, len(found) + 1))
+
+
+def test_a_wide_and_a_long_graph(spark):
+    """33 operators of ten branches, and a chain of 40: plans stay small and levels stop early."""
+    wide = [(f"{a}_{b}", f"{c}_{b}") for b in range(10) for a, c in (("load", "clean"), ("clean", "agg"))]
+    wide += [(f"agg_{b}", "join") for b in range(10)] + [("join", "filter"), ("filter", "encode")]
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(39)]
+    for edges, sink, deepest in ((wide, "encode", 5), (chain, "n39", 39)):
+        names = sorted({x for e in edges for x in e})
+        nodes = local_table(spark, "op string, bit long", [(n, 1 << i) for i, n in enumerate(names)])
+        table = local_table(spark, "parent string, child string", edges)
+        assert ops(lineage.ancestors(nodes, table, sink, len(names))) == names
+        found = {r.op: r.depth for r in lineage.depth(nodes, table, len(names)).collect()}
+        assert len(found) == len(names) and found[sink] == deepest

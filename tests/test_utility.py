@@ -82,3 +82,27 @@ def test_python_and_metric_utilities(sink):
     rows = {r.w: r.u for r in ut.python_utility(sink, len).collect()}
     assert rows == {0: 300.0, 1: 200.0, 2: 20.0}
     assert {r.w: r.u for r in ut.metric_utility(sink, F.count("*")).collect()} == rows
+
+
+def test_missing_values_and_odd_labels(spark):
+    rows = [(0, float(i % 17), None if i % 2 else float(i % 5), int(i % 17 > 8)) for i in range(200)]
+    schema = "w long, a double, b double, label int"
+    frame = WorldFrame(spark.createDataFrame(rows, schema), frozenset([0]))
+    weights = ut.logistic_weights(frame)[0]
+    assert weights["a"] > 0 and np.isfinite(weights["b"])
+    void = [(w, a, None if y else b, y) for w, a, b, y in rows]
+    gone = WorldFrame(spark.createDataFrame(void, schema), frozenset([0]))
+    assert ut.discriminant_utility(gone, gone.df.drop("w")).collect()[0].u == pytest.approx(1.0)
+    odd = WorldFrame(spark.createDataFrame(rows + [(0, 1.0, 1.0, 2)], schema), frozenset([0]))
+    with pytest.raises(ValueError, match="labels must be 0 or 1"):
+        ut.logistic_weights(odd)
+
+
+def test_equal_sinks_are_fitted_once(spark, monkeypatch):
+    one = spark.range(300).selectExpr("id % 7 AS a", "int(id % 7 > 2 OR id % 11 = 0) AS label")
+    both = one.selectExpr("explode(array(0L, 1L)) AS w", "*")
+    seen = []
+    fit = newton.fit_worlds
+    monkeypatch.setattr(ut, "fit_worlds", lambda rows, scaling, *rest: seen.append(sorted(scaling)) or fit(rows, scaling, *rest))
+    weights = ut.logistic_weights(WorldFrame(both, frozenset([0, 1]), 1))
+    assert seen == [[0]] and weights[0] == weights[1]

@@ -173,6 +173,9 @@ def test_fingerprint_counts_duplicates_and_ignores_order(spark):
     assert prints(rows) == prints(rows[::-1])
     assert prints(rows) != prints(rows + rows[:1])
     assert prints(rows + rows[:1] * 2) != prints(rows)
+    two = [spark.createDataFrame([(0, *r)], "w long, a double, b double") for r in ((None, 5.0), (5.0, None))]
+    first, second = (replay.fingerprint(df, ["w"], ["a", "b"]).collect()[0].hash_sum for df in two)
+    assert first != second
 
 
 def test_empty_worlds_are_still_listed(tables):
@@ -193,3 +196,20 @@ def test_merging_faults_of_one_operator():
     variants, incidents = catalogue.named_incidents(faults, [("one",), ("one", "two")])
     assert variants == {"op": [{"a": 1}, {"a": 1, "b": 2}]}
     assert incidents[1].choice == {"op": 2}
+
+
+def test_nan_is_missing_from_the_source_on(spark, tables):
+    class Spoiled(type(tables)):
+        def __call__(self, name):
+            df = super().__call__(name)
+            if name == "customer":
+                nan = F.when(F.col("c_custkey") % 3 == 0, float("nan")).otherwise(F.col("c_acctbal"))
+                df = nan_to_null(df.withColumn("c_acctbal", nan))
+            return df
+
+    from blamesplit.functions.columns import nan_to_null
+
+    clean = Replay(customer_value.build(Spoiled(spark, tables.folder)), [0]).node("clean_customers").world(0)
+    assert clean.where("customer_id % 3 = 0 OR isnan(income)").count() == 0
+    loaded = tables("customer")
+    assert loaded.schema == spark.read.parquet(f"{tables.folder}/customer.parquet").schema
