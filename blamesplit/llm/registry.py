@@ -125,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_threshold_mix": mixing.ORACLE,
     "op5_bayesian_jaccard": jaccard.ORACLE,
+    "op7_feistel_shards": sharding.oracle_sql(),
 }

@@ -180,3 +180,41 @@ def shuffle_into_shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text
         (F.col("place") % shards).cast("int").alias("shard"),
         _div(F.col("place"), F.lit(shards)).alias("slot"),
     )
+
+
+def _rounds_sql(source: str, x: str, seed: int) -> str:
+    """`source` with `y`, the number that one pass of the network makes of `x`."""
+    sql = f"SELECT *, {x} % a AS l0, {x} // a AS r0 FROM ({source})"
+    for j, (c, k) in enumerate(round_keys(seed)):
+        sql = f"SELECT *, (r{j} + {c}) % {PRIME} AS t FROM ({sql})"
+        sql = f"SELECT *, (t * t + {k}) % {PRIME} AS u FROM ({sql})"
+        right = f"(l{j} + (u * u + r{j}) % {PRIME}) % {'b' if j % 2 else 'a'}"
+        sql = f"SELECT * EXCLUDE (t, u, l{j}, r{j}), r{j} AS l{j + 1}, {right} AS r{j + 1} FROM ({sql})"
+    n = ROUNDS
+    return f"SELECT * EXCLUDE (l{n}, r{n}), a * r{n} + l{n} AS y FROM ({sql})"
+
+
+def oracle_sql(shards: int = 40, seed: int = 7) -> str:
+    """The query in SQL; CRC-32 is worked out byte by byte from its table."""
+    hashed = "SELECT *, CAST(1 AS BIGINT) AS h0 FROM docs"
+    for i, key in enumerate(("doc_id", "size", "text_crc32")):
+        plus = f"coalesce((({key} % {PRIME}) + {PRIME}) % {PRIME}, {PRIME - 1})"
+        hashed = f"SELECT *, (h{i} * h{i} + {plus}) % {PRIME} AS h{i + 1} FROM ({hashed})"
+    hashed = f"SELECT *, (h3 * h3 + 7) % {PRIME} AS h4 FROM ({hashed})"
+    hashed = f"SELECT doc_id, size, text_crc32, (h4 * h4 + 11) % {PRIME} % {BUCKETS} AS bucket FROM ({hashed})"
+    return f"""WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END)) AS tab),
+  spelled AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+    lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+  docs AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size,
+    xor(CAST(4294967295 AS BIGINT), list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+      lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) AS text_crc32 FROM spelled, tab),
+  placed AS (SELECT doc_id, size, text_crc32, count(*) OVER () AS total, row_number() OVER (
+    ORDER BY bucket, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS row_number FROM ({hashed})),
+  sided AS (SELECT *, (total + a - 1) // a AS b FROM (SELECT *, CAST(ceil(sqrt(total)) AS BIGINT) AS a FROM placed)),
+  walk AS (
+    {_rounds_sql("SELECT * FROM sided", "row_number", seed)}
+    UNION ALL {_rounds_sql("SELECT * EXCLUDE (y), y AS x FROM walk WHERE y >= total", "x", seed).replace("SELECT * EXCLUDE (l6", "SELECT * EXCLUDE (x, l6", 1)})
+  SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % {shards} AS INTEGER) AS shard, y // {shards} AS slot,
+    CAST(NULL AS INTEGER) AS grown_shard, row_number FROM walk WHERE y < total"""

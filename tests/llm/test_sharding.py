@@ -49,3 +49,16 @@ def test_empty_table(spark):
 def test_many_equal_rows(spark):
     rows = [(1, "a", "", 0, 0)] * 1000
     check(rows, sharding.shuffle_into_shards(spark.createDataFrame(rows, SCHEMA)).collect(), 40)
+
+
+def test_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(sharding.oracle_sql())
+    names = [d[0] for d in want.description]
+    got = sharding.shuffle_into_shards(spark.read.parquet(f"{folder}/documents.parquet"))
+    rows = [tuple({**r.asDict(), "law": "rows", "grown_shard": None}[n] for n in names) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want.fetchall(), key=str)
