@@ -68,6 +68,27 @@ def coalition_worlds(
     return local_table(spark, f"scenario string, mask long, {W} long", rows)
 
 
+def anchored_worlds(
+    spark: SparkSession, scenarios: Mapping[str, tuple[Pipeline, Mapping[str, int]]]
+) -> DataFrame:
+    """(scenario, mask, w): the coalitions that anchored values read, and the empty one.
+
+    With the anchored players held, 2^f coalitions are left for f free sensitive players, however
+    many sources move: the exact game of a wide DAG with few faults.
+    """
+    rows = []
+    for name, (pipeline, choice) in scenarios.items():
+        moving = [n for n in pipeline.fields if pipeline.world([n], choice)]
+        held = [n for n in moving if n in pipeline.sources]
+        teams = [held]
+        for op in moving:
+            if op not in held:
+                teams += [[*t, op] for t in teams]
+        found = {(sum(map(pipeline.bit, t)), pipeline.world(t, choice)) for t in [[], *teams]}
+        rows += [(name, m, w) for m, w in sorted(found)]
+    return local_table(spark, f"scenario string, mask long, {W} long", rows)
+
+
 def game_table(coalitions: DataFrame, utility: DataFrame) -> DataFrame:
     """game(scenario, mask, u, v) with v relative to the scenario's empty coalition."""
     valued = coalitions.join(utility, W)

@@ -1,7 +1,8 @@
 """Fan-in of m branches: n = 3m + 3 operators, one row per user.
 
-Each branch loads one event type of one week, summed per user; the branches are joined on the
-user. The label marks users whose total over the whole month is above a fixed limit.
+The first branches load one event type of one week each, summed per user; further ones load the
+same types from the beginning up to the end of that week. The branches are joined on the user. The
+label marks users whose total over the whole month is above a fixed limit.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ BRANCHES = ["click", "error", "purchase", "signup", "view"]
 HEAVY_USER = 3_300.0
 REFERENCE_WEEK, INCIDENT_WEEK, PROBE_WEEK = date(2024, 1, 1), date(2024, 1, 15), date(2024, 1, 8)
 NOISE_SIZE, NOISE_SEED = 500.0, 99
+MOST_BRANCHES = 2 * len(BRANCHES)
 
 Tables = Callable[[str], DataFrame]
 
@@ -30,11 +32,11 @@ def load_branch(tables: Tables, b: int):
     def body(inputs, state: State) -> WorldFrame:
         def in_week(p):
             low, high = p["week"], p["week"] + timedelta(days=7)
-            return (
-                (F.col("event_type") == BRANCHES[b])
-                & (F.col("ts") >= F.lit(str(low)).cast("timestamp_ntz"))
-                & (F.col("ts") < F.lit(str(high)).cast("timestamp_ntz"))
-            )
+            kind = F.col("event_type") == BRANCHES[b % len(BRANCHES)]
+            until = F.col("ts") < F.lit(str(high)).cast("timestamp_ntz")
+            if b >= len(BRANCHES):
+                return kind & until
+            return kind & until & (F.col("ts") >= F.lit(str(low)).cast("timestamp_ntz"))
 
         cents = F.round(F.col("value") * 100).cast("long")
         events = tables("events").select("user_id", "event_type", "ts", cents.alias("cents"))
@@ -110,8 +112,8 @@ def build(
     reference: date = REFERENCE_WEEK,
     incident: date = INCIDENT_WEEK,
 ) -> Pipeline:
-    if not 1 <= m <= len(BRANCHES):
-        raise ValueError(f"m must be 1 to {len(BRANCHES)}")
+    if not 1 <= m <= MOST_BRANCHES:
+        raise ValueError(f"m must be 1 to {MOST_BRANCHES}")
     ops = []
     for b in range(m):
         variants = ({"corrupt": corrupt},) if b == fault_branch and corrupt else ()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from functools import reduce
@@ -72,12 +72,17 @@ class Study:
 
     def sampled_coalitions(self, players: DataFrame, count: int, seed: int) -> DataFrame:
         """(scenario, mask, w) of the sampled walks only, for wide DAGs."""
-        scenarios, rows = self.scenarios, []
-        for r in g.sampled_coalitions(players, count, seed).collect():
-            pipeline, choice = scenarios[r.scenario]
-            team = [n for n in pipeline.fields if r.mask & pipeline.bit(n)]
-            rows.append((r.scenario, r.mask, pipeline.world(team, choice)))
-        return local_table(self.spark, f"scenario string, mask long, {W} long", rows)
+        masks = g.sampled_coalitions(players, count, seed)
+        parts = [
+            masks.where(F.col("scenario") == name).withColumn(W, pipeline.world_of_mask(F.col("mask"), choice))
+            for name, (pipeline, choice) in self.scenarios.items()
+        ]
+        return staged_rows(reduce(DataFrame.unionByName, parts))
+
+    def walked_coalitions(self, players: DataFrame, count: int, seed: int) -> DataFrame:
+        """(scenario, mask, w) that exact and sampled anchored values need, without the lattice."""
+        sampled = self.sampled_coalitions(players, count, seed)
+        return staged_rows(sampled.unionByName(g.anchored_worlds(self.spark, self.scenarios)).distinct())
 
     def game(self, utility: DataFrame, coalitions: DataFrame | None = None) -> DataFrame:
         return g.game_table(self.coalitions() if coalitions is None else coalitions, utility)
@@ -507,10 +512,17 @@ def order_top_blamed(study: Study, walks: DataFrame, limit: int) -> DataFrame:
 # -- scaling -------------------------------------------------------------------------------
 
 
-def scale_row(study: Study, m: int, sink, utility: DataFrame, samples: int, seed: int) -> DataFrame:
-    """Cost and result of one DAG width: lattice against distinct sinks, frontier, top blame."""
-    incident = study.incidents[0]
-    game, players = study.game(utility), study.players()
+def scale_row(
+    study: Study, m: int, utility: Callable[[WorldFrame], DataFrame], samples: int, seed: int
+) -> DataFrame:
+    """Cost and result of one DAG width: lattice against distinct sinks, frontier, top blame.
+
+    Only the worlds that exact and sampled anchored values read are replayed.
+    """
+    incident, players = study.incidents[0], study.players()
+    coalitions = study.walked_coalitions(players, samples, seed)
+    sink = Replay(study.pipeline, sorted({r[W] for r in coalitions.collect()})).sink()
+    game = study.game(utility(sink), coalitions)
     sinks = world_fingerprints(sink).agg(F.count_distinct("fingerprint").alias("model_fits"))
     frontier = active_frontier(study.pipeline).agg(F.count(F.when(F.col("changed"), 1)).alias("frontier"))
     exact = g.anchored_shapley(game, players)

@@ -522,8 +522,8 @@ def active_frontier():
 # -- utility and game ----------------------------------------------------------------------
 
 
-def study_utility(study: Study, kind="customer_value", m=0, prefix="") -> list[tuple[str, str]]:
-    """CTEs of a study's utility table {prefix}u(w, u)."""
+def study_utility(study: Study, kind="customer_value", m=0, prefix="", worlds=None) -> list[tuple[str, str]]:
+    """CTEs of a study's utility table {prefix}u(w, u), over all its worlds or the given ones."""
     bodies, features = {
         "customer_value": (CUSTOMER, CUSTOMER_FEATURES),
         "trips": (TRIPS, TRIP_FEATURES),
@@ -533,16 +533,21 @@ def study_utility(study: Study, kind="customer_value", m=0, prefix="") -> list[t
     probe.prefix = f"{prefix}probe_"
     cte = probe.node(probe.pipeline.sink, 0)
     chains = Chains(study.pipeline, bodies, prefix)
-    return [*probe.ctes, *utility_ctes(chains, features, study.worlds(), cte, prefix)]
+    return [*probe.ctes, *utility_ctes(chains, features, worlds or study.worlds(), cte, prefix)]
 
 
-def game_ctes(study: Study, kind="customer_value", m=0, prefix="") -> list[tuple[str, str]]:
-    """... plus {prefix}game, {prefix}players, {prefix}setting, {prefix}culprits."""
+def game_ctes(study: Study, kind="customer_value", m=0, prefix="", anchored=False) -> list[tuple[str, str]]:
+    """... plus {prefix}game, {prefix}players, {prefix}setting, {prefix}culprits.
+
+    `anchored` leaves only the empty coalition and those that hold all moving sources.
+    """
     coalitions, players, culprits = [], [], []
     for name, (pipeline, choice) in study.scenarios.items():
         moving = [n for n in pipeline.names if pipeline.world([n], choice)]
         for pick in range(1 << len(moving)):
             team = [n for k, n in enumerate(moving) if pick >> k & 1]
+            if anchored and team and any(n in pipeline.sources and n not in team for n in moving):
+                continue
             coalitions.append((name, sum(map(pipeline.bit, team)), pipeline.world(team, choice)))
         for n in pipeline.names:
             players.append((name, n, pipeline.bit(n), n in pipeline.sources, n in moving))
@@ -550,7 +555,7 @@ def game_ctes(study: Study, kind="customer_value", m=0, prefix="") -> list[tuple
         culprits += [(i.name, op) for op in sorted(set(i.culprits))]
     x = prefix
     return [
-        *study_utility(study, kind, m, prefix),
+        *study_utility(study, kind, m, prefix, sorted({w for _, _, w in coalitions}) if anchored else None),
         values(f"{x}coalitions", "scenario, mask, w", coalitions),
         values(f"{x}players", "scenario, op, bit, anchored, sensitive", players),
         values(f"{x}culprits", "scenario, op", culprits),
@@ -1115,14 +1120,14 @@ def scale_report():
               OR EXISTS ((SELECT * FROM {b}) EXCEPT ALL (SELECT * FROM {a})) AS changed""")
         cols = ", ".join([*fan_features(m), "label"])
         ctes += [
-            *game_ctes(study, "fan_in", m, x), *perm_ctes(True, x), *chains.ctes,
+            *game_ctes(study, "fan_in", m, x, anchored=True), *perm_ctes(True, x), *chains.ctes,
             (f"{x}front", "\nUNION ALL ".join(changed)),
             (f"{x}prints", f"SELECT w, count(*) AS n, sum(CAST(hash({cols}) AS HUGEINT)) AS h FROM {x}sinks GROUP BY w"),
             (f"{x}e", sql_anchored(x)), (f"{x}s", sql_mc(True, x)),
         ]
         n = len(p.names)
         parts.append(f"""SELECT CAST({m} AS BIGINT) AS m, CAST({n} AS BIGINT) AS n, CAST({1 << n} AS BIGINT) AS lattice,
-          f.fits AS model_fits, {r8(f'{1 << n} / CAST(f.fits AS DOUBLE)')} AS reduction,
+          f.fits AS model_fits, round({1 << n} / CAST(f.fits AS DOUBLE), 3) AS reduction,
           (SELECT count(*) FROM {x}front WHERE changed) AS frontier,
           (SELECT {r8('max(abs(e.phi - s.phi))')} FROM {x}e e JOIN {x}s s ON s.op = e.op) AS mc_max_err,
           {r8('t.delta')} AS delta, abs(t.delta) >= 0.002::DOUBLE AS measurable, b.op AS top_blame, 'agg_0' AS culprit,

@@ -830,13 +830,15 @@ def scale_report(spark, folder):
     tables = Tables(spark, folder)
 
     def one(m: int) -> DataFrame:
+        def utility(sink):
+            return coarse(ut.discriminant_utility(sink, fan_in.probe(tables, m), digits=SCORE_DIGITS))
+
         study = studies.width(m, spark, tables)
-        sink = study.replay().sink()
-        utility = coarse(ut.discriminant_utility(sink, fan_in.probe(tables, m), digits=SCORE_DIGITS))
-        return reports.staged_rows(reports.scale_row(study, m, sink, utility, SAMPLES, SEED))
+        return reports.staged_rows(reports.scale_row(study, m, utility, SAMPLES, SEED))
 
     rows = side_by_side(*[lambda m=m: one(m) for m in studies.SCALE_WIDTHS])
-    return rounded(reduce(DataFrame.unionByName, rows), "reduction", "mc_max_err", "delta")
+    table = reduce(DataFrame.unionByName, rows)
+    return rounded(rounded(table, "mc_max_err", "delta"), "reduction", digits=3)
 
 
 @query

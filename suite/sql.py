@@ -215,7 +215,7 @@ def fan_bodies(m: int) -> dict[str, Callable]:
               CAST(sum(CAST(round(e.value * 100) AS BIGINT)) AS DOUBLE) / CAST(100 AS DOUBLE) AS x{b},
               CAST(count(*) AS DOUBLE) AS w{b}{label}
             FROM events e {join}
-            WHERE e.event_type = '{fan_in.BRANCHES[b]}' AND e.ts >= TIMESTAMP '{low}'
+            WHERE e.event_type = '{fan_in.BRANCHES[b % 5]}' AND ({b >= 5} OR e.ts >= TIMESTAMP '{low}')
               AND e.ts < TIMESTAMP '{low}' + INTERVAL 7 DAY
             GROUP BY e.user_id"""
 

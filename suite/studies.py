@@ -16,7 +16,7 @@ INCIDENT = Incident(
 )
 UNIT_FAULT = {"agg_transactions": [{"amount_scale": 0.01}]}
 UNIT_INCIDENT = Incident("unit_change", {"agg_transactions": 1}, ("agg_transactions",))
-SCALE_WIDTHS = [1, 2, 3, 4, 5]
+SCALE_WIDTHS = [1, 2, 3, 4, 5, 6, 8, 10]
 CORRUPT = 0.95
 ORDER_SCENARIOS = [
     ("unit_change",),
