@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from blamesplit.llm.texts import flat, pieces
 
 #: Distinct fragments that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 ASCII_SPACE = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 #: White space beyond ASCII, in UTF-8.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")

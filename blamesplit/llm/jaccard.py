@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from blamesplit.llm.components import connected
 from blamesplit.llm.staging import written
-from blamesplit.llm.texts import flat, pieces, words
+from blamesplit.llm.texts import flat, pieces, released, words
 
 N = 5
 THRESHOLD = 0.8
@@ -172,6 +172,7 @@ def units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
+    released()
 
 
 def pairs(unit_block: np.ndarray, sig: np.ndarray, crossing: bool) -> Iterator[tuple[int, np.ndarray]]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +32,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = PIECE_BYT
             end = min(end, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    released()
+
+
+def released() -> None:
+    """Hands freed memory back to the system: workers outlive their tasks, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(data: np.ndarray, places: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
