@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blamesplit.llm.staging import written
+
 BUCKETS = 8192
 ROUNDS = 6
 #: A cycle can leave the range at most a times, and each further step does so with chance 1/sqrt(N).
@@ -130,7 +132,7 @@ def numbered(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFram
     Repeated rows get consecutive numbers. Null keys count as values and sort first.
     """
     counted = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    counted = counted.withColumn("__bucket", _bucket(keys, buckets))
+    counted = written(counted.withColumn("__bucket", _bucket(keys, buckets)))  # texts are read once
     inside = Window.partitionBy("__bucket").orderBy(*(F.col(k).asc_nulls_first() for k in keys))
     before = F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     rows = counted.withColumn("__before", F.coalesce(before, F.lit(0)))
