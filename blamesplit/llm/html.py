@@ -39,6 +39,8 @@ BLOCK = MARGIN | frozenset(
 ENDS_P = BLOCK - frozenset("body html li dd dt option optgroup caption tr thead tbody tfoot legend".split())
 SCOPE = frozenset("html table td th caption template button object marquee".split())
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+#: Start tags that stay among the parts of a table; all others move before it.
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th form script style template".split())
 SPECIAL = BLOCK | SCOPE
 HEAD_ONLY = frozenset("base link meta script style template title noscript head html".split())
 #: Elements that a start tag ends, and where the search for them stops.
@@ -144,6 +146,20 @@ class Tree:
         if len(self.stack) > 1 and self.stack[1].tag == "head":
             del self.stack[1:]
 
+    def _leave_columns(self, tag: str = "") -> None:
+        """Ends an open colgroup, which holds nothing but col."""
+        if self.stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            self.stack.pop()
+
+    def _leave_strays(self) -> None:
+        """Ends elements that stray between the parts of the innermost table."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in TABLE_PARTS:
+                del self.stack[i + 1 :]
+                return
+            if self.stack[i].tag in ("td", "th", "caption", "template"):
+                return
+
     def _start(self, tag: str, attributes: dict[str, str]) -> Node:
         if tag in ("html", "body") and any(x.tag == tag for x in self.stack):
             for k, v in attributes.items():
@@ -151,6 +167,7 @@ class Tree:
             return Node(tag)
         if tag not in HEAD_ONLY:
             self._leave_head()
+        self._leave_columns(tag)
         if tag in ENDS_P:
             self._close(frozenset(("p",)), SCOPE)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
@@ -160,13 +177,22 @@ class Tree:
                 self._close(frozenset(("td", "th")), frozenset(("table", "tr", "template")))
                 self._close(frozenset(("tr",)), frozenset(("table", "template")))
             self._close(*IMPLIED[tag])
+            if tag in IN_TABLE:
+                self._leave_strays()
             if tag in ("td", "th") and self.stack[-1].tag in TABLE_PARTS - {"tr"}:
                 self._start("tr", {})
+        if tag == "table":
+            self._leave_strays()
+            if self.stack[-1].tag in TABLE_PARTS:
+                self._close(frozenset(("table",)), frozenset())
         node = Node(tag, attributes)
-        if self.stack[-1].tag in TABLE_PARTS and tag not in IMPLIED and tag not in ("col", "colgroup", "script", "style", "template", "form"):
+        in_table = self.stack[-1].tag in TABLE_PARTS
+        if in_table and tag not in IN_TABLE:
             self._before_table(node)
         else:
             self.stack[-1].children.append(node)
+        if in_table and tag == "form":
+            return node  # stays empty: rows that follow are the table's
         if tag not in VOID and len(self.stack) < DEEPEST:
             self.stack.append(node)
         return node
@@ -186,6 +212,7 @@ class Tree:
             return
         if tag in ("html", "body"):
             return
+        self._leave_columns(tag)
         if tag == "p" and not any(x.tag == "p" for x in self.stack):
             self.stack[-1].children.append(Node("p"))
             return
@@ -209,6 +236,7 @@ class Tree:
                 top.children.append(said)
             return
         self._leave_head()
+        self._leave_columns()
         if self.stack[-1].tag in TABLE_PARTS:
             self._before_table(said)
         else:
@@ -387,19 +415,31 @@ def table(node: Node, styles: Styles, pre: bool, visible: bool) -> list[str]:
                 last.append(child)
             elif child.tag == "tr":
                 row(child, shown)
+            elif lines := other(child, visible):
+                rows.append([(0, 2, lines)])
+
+    def other(child: Node, visible: bool) -> list[str]:
+        """What an element that is no part of a table shows."""
+        box, around = Box(), Node("td")
+        around.children.append(child)
+        fill(box, around, styles, pre, visible)
+        return box.done()
 
     def row(part: Node, visible: bool) -> None:
         cells, column = [], 0
         for child in part.children:
-            if isinstance(child, str) or child.tag not in ("td", "th"):
+            if isinstance(child, str):
                 continue
             gone, seen = styles.of(child)
-            if gone:
+            if gone or child.tag not in ("td", "th") and not other(child, visible):
                 continue
             while held.get(column, 0):
                 column += 1
             box = Box()
-            fill(box, child, styles, pre, visible if seen is None else seen == "visible")
+            if child.tag in ("td", "th"):
+                fill(box, child, styles, pre, visible if seen is None else seen == "visible")
+            else:
+                box.add(other(child, visible))
             across, down = span(child, "colspan", 1000), span(child, "rowspan", 65_534)
             cells.append((column, across, box.done()))
             for k in range(column, column + across):

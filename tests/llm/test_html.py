@@ -3,6 +3,8 @@
 from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from blamesplit.llm.html import rendered, rendered_page
 
@@ -83,3 +85,30 @@ def test_deep_and_odd_pages(spark):
     assert by[1] == by[None] == by[5] == by[9] == "" and by[2] == "deep" and by[3] == "cell" and by[8] == "1. x"
     assert [r.text for r in got if r.page_id == 6] == ["same"] * 3 and by[10].count("w") == 400_000
     assert rendered(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("markup", "want"),
+    [
+        ("<table><form><tr><td>x</td></tr></form></table>y", "x\n\ny"),
+        ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+        ("<tr><form><td>x</td></form></tr>", "x"),
+        ("<table><tbody><form><tr><td>x<td>y</table>", "x  y"),
+        ("<table><colgroup><col><col><tbody><tr><td>x", "x"),
+        ("<table><caption>t<colgroup><col><tr><td>x<td>y<tr><td>z</table>", "t\nx  y\nz"),
+        ("<table><colgroup>stray<tr><td>x</table>", "stray\n\nx"),
+        ("<table><table><table><tr><td>x</table>", "x"),
+        ("<table><li>stray<tr><td>x</table>", "- stray\n\nx"),
+        ("<table><tr><div>stray<td>x<td>y</table>", "stray\n\nx  y"),
+    ],
+)
+def test_no_row_or_cell_is_lost(markup, want):
+    assert rendered_page(markup) == want
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from([f"<{end}{t}>" for t in "table tr td th tbody tfoot caption colgroup col form li dd option div p b h2 select a ul".split() for end in ("", "/")] + ["w"] * 20), max_size=30))
+def test_every_word_of_table_soup_is_shown(soup):
+    words = [f"w{k}w" for k in range(len(soup))]
+    shown = rendered_page("".join(w if x == "w" else x for x, w in zip(soup, words, strict=True)))
+    assert all(w in shown for x, w in zip(soup, words, strict=True) if x == "w")
