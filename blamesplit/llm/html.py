@@ -56,7 +56,7 @@ IMPLIED = {
     **{t: (frozenset(("tbody", "thead", "tfoot", "caption", "tr")), frozenset(("table", "template"))) for t in ("tbody", "thead", "tfoot", "caption")},
 }
 NAME = re.compile(r"/?([a-zA-Z][^\s/>\x00]*)")
-ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?")
 TAG_END = re.compile(r"[\s/]*>")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")

@@ -112,3 +112,17 @@ def test_every_word_of_table_soup_is_shown(soup):
     words = [f"w{k}w" for k in range(len(soup))]
     shown = rendered_page("".join(w if x == "w" else x for x, w in zip(soup, words, strict=True)))
     assert all(w in shown for x, w in zip(soup, words, strict=True) if x == "w")
+
+
+@pytest.mark.parametrize(
+    ("markup", "want"),
+    [
+        ("<div =x>rest of page", "rest of page"),
+        ('<a href="u"="v">rest', "rest"),
+        ('<img src="a"=>rest', "rest"),
+        ("<p = hidden>no<p ==>rest", "rest"),
+        ("<p =", ""),
+    ],
+)
+def test_stray_equals_sign_in_a_tag(markup, want):
+    assert rendered_page(markup) == want
