@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blamesplit.llm.texts import flat, pieces, words
+from blamesplit.llm.texts import flat, gather, pieces, words
 
 #: Labelled documents that a model is fitted to, about; chosen by a hash of their id.
 LABELLED = 20_000
@@ -36,6 +36,7 @@ STEMS, STEM_SHARE = (4, 5, 6, 7, 8), 0.95
 #: Letters from which a term may be misspelled by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 6, 10
 WINDOW = 8
+#: Characters of a word or term; longer runs without white space are parted into words.
 LONGEST_WORD = 64
 REMEMBERED = 300_000
 STATES = 100_000
@@ -44,6 +45,9 @@ OPENS = "“„«‹‘"
 CLOSES = "”»›’"
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
 PART = re.compile(r"[^\W_]+")
+#: A word of a long run: quotation marks that open, letters, what follows up to the next word.
+IN_RUN = re.compile(rf"(?:[{OPENS}]{{1,4}}|(?<![^\W_])[\"'`’]{{1,4}})?(?:[^\W_]|[@$])+(?:['’][^\W_]+)*(?:[^\w{OPENS}@$\"'`’]|_|[\"'`’](?![^\W_])|(?<=[^\W_])[\"`])*")
+SPACES = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 FEATURES = ("abuse", "misspelled", "quoted", "cluster", "density")
 
 
@@ -135,6 +139,36 @@ class Matcher:
         return self.hits[state]
 
 
+def spaced(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII spaces for the white space beyond ASCII, at the same places."""
+    if not len(data) or data.max() < 0xC2:
+        return data
+    out = data.copy()
+    for said in SPACES:
+        at = np.flatnonzero(data[: len(data) - len(said) + 1] == said[0])
+        for k in range(1, len(said)):
+            at = at[data[at + k] == said[k]]
+        for k in range(len(said)):
+            out[at + k] = 32
+    return out
+
+
+def parted(found: pa.Array, text_of: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words and their texts, with runs of more than `LONGEST_WORD` characters parted."""
+    bounds = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    counts, more = np.ones(len(found), np.int64), []
+    first = np.arange(len(found))
+    for i in np.flatnonzero(np.diff(bounds) > LONGEST_WORD).tolist():
+        run = found[i].as_py().decode()
+        parts = IN_RUN.findall(run) if len(run) > LONGEST_WORD else []
+        if len(parts) > 1:
+            first[i], counts[i] = len(found) + len(more), len(parts)
+            more += [x.encode() for x in parts]
+    if not more:
+        return found, text_of
+    return pa.concat_arrays([found, pa.array(more, pa.large_binary())]).take(pa.array(gather(first, counts))), np.repeat(text_of, counts)
+
+
 @dataclass
 class Lexicon:
     """Terms and, per task, what is known of distinct words: 0 none, 1 a term, 2 a misspelled one."""
@@ -162,17 +196,16 @@ class Lexicon:
 
     def _code(self, word: str) -> int:
         best = 3
-        if len(word) <= LONGEST_WORD:
-            low = word.lower()
-            parts = PART.findall(low)
-            tries = parts if len(parts) < 2 else [*parts, "".join(parts)]
-            if not low.isalpha():
-                plain = low.strip(".,;:!?" + QUOTES).translate(LOOKALIKE)
-                tries = [*tries, "".join(PART.findall(plain))] if tries != [plain] else tries
-            for part in tries:
-                found = self.matcher.find(part)
-                if found is not None or self.matcher.goes_on(part):
-                    best = min(best, 2 if found is not None and found[0] else 1)
+        low = word.lower()
+        parts = PART.findall(low)
+        tries = parts if len(parts) < 2 else [*parts, "".join(parts)]
+        if not low.isalpha():
+            plain = low.strip(".,;:!?" + QUOTES).translate(LOOKALIKE)
+            tries = [*tries, "".join(PART.findall(plain))] if tries != [plain] else tries
+        for part in tries:
+            found = self.matcher.find(part)
+            if found is not None or self.matcher.goes_on(part):
+                best = min(best, 2 if found is not None and found[0] else 1)
         bare = word.rstrip(".,;:!?")
         opens = word[0] in QUOTES and word[0] not in CLOSES
         closes = len(bare) > 0 and bare[-1] in QUOTES and bare[-1] not in OPENS and not (len(bare) == 1 and opens)
@@ -182,7 +215,8 @@ class Lexicon:
         """One row of `FEATURES` per text; zeros without a match."""
         n = len(places) - 1
         out = np.zeros((n, len(FEATURES)))
-        found, text_of, _ = words(data, places)
+        found, text_of, _ = words(spaced(data), places)
+        found, text_of = parted(found, text_of)
         if not len(found) or not self.terms:
             return out
         coded = found.dictionary_encode()
@@ -244,8 +278,8 @@ def learned_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
         for batch in pieces(batches, 0):
             toxic, other = Counter(), Counter()
             for said, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {w for w in PART.findall((said or "").lower()) if 3 <= len(w) <= LONGEST_WORD}
-                (toxic if y else other).update(seen | {f"{w[:k]}*" for w in seen for k in STEMS if len(w) > k})
+                seen = {w for w in PART.findall((said or "").lower()) if len(w) >= 3}
+                (toxic if y else other).update({w for w in seen if len(w) <= LONGEST_WORD} | {f"{w[:k]}*" for w in seen for k in STEMS if len(w) > k})
             every = [*(toxic | other)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(every, pa.string()), pa.array([toxic[w] for w in every], pa.int64()), pa.array([other[w] for w in every], pa.int64())],

@@ -65,3 +65,15 @@ def test_odd_rows(spark):
     none = toxicity.trained(df, labels.where("toxic > 5"))
     assert {r.score for r in toxicity.scored(df, none).collect()} == {0.5}
     assert toxicity.scored(df.where("doc_id = 99"), model).collect() == []
+
+
+def test_runs_without_ascii_white_space():
+    names = [f"name{chr(97 + k)}{chr(97 + j)}" for k in range(4) for j in range(4)]
+    for joint in (",", "-", "/", "_", "\u00a0", "\u3000", "\u2009", "，", "、", "; ".strip() + "\u00a0"):
+        x = features(joint.join(["idiot", *names, "scum", *names, "w0rthles"]))
+        assert np.allclose(np.expm1(x[0, :3]), [2, 1, 0]), joint
+    plain = " ".join(["you", "idiot", *names, "and", "scum"])
+    assert np.allclose(*features(plain, plain.replace(" ", "\u00a0")))
+    said = ",".join([*names, '"idiot"', *names, "“scum”", *names, "don't", "1d1ot", "$cum"])
+    assert np.allclose(np.expm1(features(said)[0, :3]), [2, 0, 2])
+    assert not features("x" * 200_000, "_" * 200_000, '"' * 200_000, "“'" * 100_000, "\u00a0" * 90).any()
