@@ -5,7 +5,9 @@
 * **Matching**: the lexicon is a trie, and its product with the terms' Levenshtein automata is made
   deterministic lazily: a state is a set of (trie node, edits spent), and each step that any word
   takes is remembered. Words far from every term die after a few letters, and each distinct word is
-  matched once per task.
+  matched once per task. Terms of four and five letters may be misspelled by one edit after the
+  first letter, and all longer than three by a swap of neighbours, unless other documents use the
+  variant as a word of its own.
 * **Context**: a match inside quotation marks within a window of words counts as quoted, not as
   abuse; matches that stand close together strengthen each other.
 * **Score**: a logistic regression over these counts, fitted to labelled documents.
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blamesplit.llm.staging import written
 from blamesplit.llm.texts import flat, gather, pieces, words
 
 #: Labelled documents that a model is fitted to, about; chosen by a hash of their id.
@@ -35,6 +38,9 @@ LEAST_SHARE = 0.7
 STEMS, STEM_SHARE = (4, 5, 6, 7, 8), 0.95
 #: Letters from which a term may be misspelled by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 6, 10
+#: Letters from which a term may be misspelled by one edit after its first letter, and any longer
+#: one by a swap of neighbours; labelled documents, not toxic, that make a variant a word of its own.
+SHORT_EDIT, OWN_WORD = 4, 2
 WINDOW = 8
 #: Characters of a word or term; longer runs without white space are parted into words.
 LONGEST_WORD = 64
@@ -55,6 +61,43 @@ def allowed(term: str) -> int:
     return 0 if len(term) < ONE_EDIT else 1 if len(term) < TWO_EDITS else 2
 
 
+def cuts(word: str) -> list[str]:
+    """The word with each letter after the first left out."""
+    return [word[:k] + word[k + 1 :] for k in range(1, len(word))]
+
+
+def blanks(word: str) -> list[str]:
+    """The word with each letter after the first replaced by a blank."""
+    return [f"{word[:k]} {word[k + 1 :]}" for k in range(1, len(word))]
+
+
+def swaps(word: str) -> list[str]:
+    """The word with each two neighbours after the first letter swapped."""
+    return [word[:k] + word[k + 1] + word[k] + word[k + 2 :] for k in range(1, len(word) - 1)]
+
+
+class Variants:
+    """Whether a word is one edit, its first letter kept, from a term too short for the automata, or
+    one swap of neighbours from any term."""
+
+    def __init__(self, terms: Sequence[str]):
+        self.exact = {t for t in terms if not t.endswith("*")}
+        short = {t for t in self.exact if SHORT_EDIT <= len(t) < ONE_EDIT}
+        self.short = short
+        self.swapped = {w for t in self.exact if len(t) >= SHORT_EDIT for w in swaps(t)}
+        self.less = {w for t in short for w in cuts(t)}
+        self.blank = {w for t in short for w in blanks(t)}
+
+    def __contains__(self, word: str) -> bool:
+        if len(word) < SHORT_EDIT - 1 or word in self.exact:
+            return False
+        if word in self.swapped or word in self.less:
+            return True
+        if not SHORT_EDIT <= len(word) <= ONE_EDIT:
+            return False
+        return any(w in self.blank for w in blanks(word)) or any(w in self.short for w in cuts(word))
+
+
 class Matcher:
     """Finds the lexicon term nearest to a word within the term's allowed edits."""
 
@@ -174,16 +217,19 @@ class Lexicon:
     """Terms and, per task, what is known of distinct words: 0 none, 1 a term, 2 a misspelled one."""
 
     terms: list[str]
+    #: Variants of terms that are words of their own.
+    own: frozenset[str] = frozenset()
     known: dict[bytes, int] = field(default_factory=dict, repr=False)
     matcher: Matcher | None = field(default=None, repr=False)
+    variants: Variants | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "known": {}, "matcher": None}
+        return {"terms": self.terms, "own": self.own, "known": {}, "matcher": None, "variants": None}
 
     def codes(self, distinct: list[bytes]) -> np.ndarray:
         """Per word: match in the low two bits, +4 if it opens a quotation, +8 if it closes one."""
         if self.matcher is None:
-            self.matcher = Matcher(self.terms)
+            self.matcher, self.variants = Matcher(self.terms), Variants(self.terms)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         out = np.zeros(len(distinct), np.uint8)
@@ -206,6 +252,8 @@ class Lexicon:
             found = self.matcher.find(part)
             if found is not None or self.matcher.goes_on(part):
                 best = min(best, 2 if found is not None and found[0] else 1)
+            elif part not in self.own and part in self.variants:
+                best = min(best, 2)
         bare = word.rstrip(".,;:!?")
         opens = word[0] in QUOTES and word[0] not in CLOSES
         closes = len(bare) > 0 and bare[-1] in QUOTES and bare[-1] not in OPENS and not (len(bare) == 1 and opens)
@@ -271,8 +319,14 @@ def _labelled(df: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
 
 
 def learned_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
+    """The terms of `learned_lexicon`."""
+    return learned_lexicon(sample, most_terms).terms
+
+
+def learned_lexicon(sample: DataFrame, most_terms: int = MOST_TERMS) -> Lexicon:
     """The lexicon: words of three letters or more that tell toxic from other documents, and first
-    letters, written `abc*`, that do so for all words that go on after them."""
+    letters, written `abc*`, that do so for all words that go on after them; and the words near to
+    terms that other documents use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):
@@ -288,7 +342,7 @@ def learned_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
 
     total = sample.groupBy().agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     if not total.toxic or total.toxic == total.n:
-        return []
+        return Lexicon([])
     counts = sample.mapInArrow(run, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     p = total.toxic / total.n
     n = F.col("toxic") + F.col("other")
@@ -298,12 +352,20 @@ def learned_terms(sample: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
 
     ratio = part(F.col("toxic"), n * p) + part(F.col("other"), n * (1 - p))
     tested = F.sum(F.when(n > 1, 1).otherwise(0))
-    counts = counts.where((F.col("toxic") > 1) | (n > 1)).withColumn("ratio", ratio)
+    counts = written(counts.where((F.col("toxic") > 1) | (n > 1)).withColumn("ratio", ratio))
     lines = counts.agg(tested.alias("tested")).first().tested or 1
     least = 2 * float(np.log(lines)) + 6
     share = F.when(F.col("word").endswith("*"), STEM_SHARE).otherwise(LEAST_SHARE)
     telling = counts.where((F.col("ratio") >= least) & (F.col("toxic") >= share * n))
-    return [r.word for r in telling.orderBy(F.col("ratio").desc(), "word").limit(most_terms).collect()]
+    terms = [r.word for r in telling.orderBy(F.col("ratio").desc(), "word").limit(most_terms).collect()]
+    variants = Variants(terms)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if w in variants], pa.string())], ["word"])
+
+    others = counts.where((F.col("other") >= OWN_WORD) & (F.col("toxic") < LEAST_SHARE * n) & ~F.col("word").endswith("*"))
+    return Lexicon(terms, frozenset(r.word for r in others.select("word").mapInArrow(near, "word string").collect()))
 
 
 def fitted_weights(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> list[float]:
@@ -337,7 +399,7 @@ def trained(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Without labels, or with only one kind, the lexicon is empty and all scores equal the base rate.
     """
     sample = _labelled(df, labels, doc_id, text, label, most)
-    lexicon = Lexicon(learned_terms(sample))
+    lexicon = learned_lexicon(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):

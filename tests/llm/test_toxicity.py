@@ -77,3 +77,21 @@ def test_runs_without_ascii_white_space():
     said = ",".join([*names, '"idiot"', *names, "“scum”", *names, "don't", "1d1ot", "$cum"])
     assert np.allclose(np.expm1(features(said)[0, :3]), [2, 0, 2])
     assert not features("x" * 200_000, "_" * 200_000, '"' * 200_000, "“'" * 100_000, "\u00a0" * 90).any()
+
+
+def test_short_terms_and_swaps():
+    for word in ("idoit", "idot", "idioot", "idiat", "scmu", "scun", "scu", "scumm", "wortlhess"):
+        assert np.allclose(np.expm1(features(f"you {word}")[0, :3]), [0, 1, 0]), word
+    assert not features("odiot xcum cum sc sckm2 sxxm idixxt csum").any()
+    lexicon = toxicity.Lexicon(TERMS, frozenset(("scam",)))
+    assert not lexicon.features(*flat(pa.array(["a scam"]))).any() and lexicon.features(*flat(pa.array(["a scim"]))).any()
+
+
+def test_planted_misspellings(spark):
+    words = "river table cloud stone green paper light music".split()
+    rows = [(k, f"{words[k % 8]} {words[k % 7]} " + ("you idiot scum" if k % 4 == 0 else "a scam on the sand" if k % 4 == 1 else "in the hall")) for k in range(400)]
+    model = toxicity.trained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int"))
+    assert {"idiot", "scum"} <= set(model.lexicon.terms) and model.lexicon.own == {"scam"}
+    said = ["you idoit scmu", "a scam on the sand", "in the hall"]
+    got = {r.doc_id: r for r in toxicity.scored(spark.createDataFrame([*enumerate(said)], "doc_id long, text string"), model).collect()}
+    assert got[0].misspelled > 0 and got[0].score > got[1].score == got[2].score
