@@ -318,8 +318,9 @@ def only_keys(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, reps): (doc_id, key) of every document, and for every distinct text (key, doc_id,
-    copies, class_id, links): its least id, its class, and the documents with other texts that
-    reach the threshold with it."""
+    copies, class_id, keeper, links): its least id, its class, the text of the class that has its
+    least id (of several, and of texts without ids, the least key), and the documents with other
+    texts that reach the threshold with it."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.md5("text"))
     rows = written(sketched(docs.select("doc_id", "key", "text")))
@@ -340,8 +341,10 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
     counted = links.groupBy("id").agg(F.sum("links").alias("links"))
     tied_reps = reps.select("id", "key", "doc_id", "copies").join(counted, "id", "left").join(tie, "id", "left")
     tied_reps = tied_reps.withColumn("root", F.coalesce("root", "id"))
-    least = tied_reps.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    reps = tied_reps.join(least, "root").select("key", "doc_id", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # a struct of (no id, id, key): null ids come last, and keys settle ties
+    least = tied_reps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    least = least.select("root", F.col("least.doc_id").alias("class_id"), F.col("least.key").alias("keeper"))
+    reps = tied_reps.join(least, "root").select("key", "doc_id", "copies", "class_id", "keeper", F.coalesce("links", F.lit(0)).alias("links"))
     return rows.select("doc_id", "key"), reps
 
 
@@ -360,9 +363,9 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `df` for each class, with all its columns: the one of the least id."""
+    """One row of `df` for each class, with all its columns: the one of the least id, where one has an id."""
     _, reps = classes(df, doc_id, text)
-    best = reps.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
+    best = reps.where("key = keeper").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
     keyed = df.withColumn("__key", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("__id", F.col(doc_id).cast("long"))
     chosen = keyed.join(best, (keyed["__key"] == best["__key"]) & keyed["__id"].eqNullSafe(best["__id"]), "left_semi")
     return chosen.dropDuplicates(["__key", "__id"]).drop("__key", "__id")

@@ -84,6 +84,17 @@ def test_equals_all_pairs(spark, monkeypatch, small_blocks):
         assert left.count() == len({c for _, c, *_ in brute(rows)})
 
 
+def test_one_near_copy_stays_without_or_with_equal_ids(spark):
+    def near(name, n):
+        return [" ".join(f"{name}{k}" for k in range(100)) + f" end{j}" for j in range(n)]
+
+    rows = [(None, t) for t in near("a", 4)] + [(7, t) for t in near("b", 3)] + [(None, near("c", 3)[0]), (9, near("c", 3)[1]), (8, near("c", 3)[2])] + [(None, "alone")]
+    rows += [(None, near("a", 1)[0]), (7, near("b", 1)[0])]
+    df = spark.createDataFrame([(i, t, "k", 0, "l") for i, t in rows], SCHEMA).repartition(4)
+    got = jaccard.deduplicated(df).collect()
+    assert sorted((r.text[:1] if r.text != "alone" else "z", str(r.doc_id)) for r in got) == [("a", "None"), ("b", "7"), ("c", "8"), ("z", "None")]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.jaccard_join(df).collect() == [] and jaccard.deduplicated(df).collect() == []
