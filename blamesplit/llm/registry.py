@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import bpe, bytenet, fertility, html, jaccard, mixing, neighbours, private, sharding, toxicity
+from blamesplit.llm import alignment, bpe, bytenet, fertility, html, jaccard, mixing, neighbours, private, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,10 @@ def op10_skip_chain_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pruned_graph_neighbours": op1_pruned_graph_neighbours,
     "op2_lexicon_toxicity": op2_lexicon_toxicity,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forced_boundary_bpe": op8_forced_boundary_bpe,
     "op9_layout_rendering": op9_layout_rendering,
     "op10_skip_chain_private": op10_skip_chain_private,
+    "op11_identity_alignment": op11_identity_alignment,
 }
 
 ORACLES: dict[str, str] = {
