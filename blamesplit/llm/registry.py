@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blamesplit.llm import alignment, bpe, bytenet, fertility, html, jaccard, mixing, neighbours, private, sharding, simhash, toxicity
+from blamesplit.llm import alignment, bpe, bytenet, fertility, html, jaccard, merkle, mixing, neighbours, private, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,11 @@ def op11_identity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_interval_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("n_chars") + F.when(_fold("doc_id", 7) == 0, 1).otherwise(0)
+    return merkle.Manifest(table(spark, sf_dir, "documents"), found={"n_chars": tampered}).verified()
+
+
 def op13_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_layout_rendering": op9_layout_rendering,
     "op10_skip_chain_private": op10_skip_chain_private,
     "op11_identity_alignment": op11_identity_alignment,
+    "op12_interval_manifest": op12_interval_manifest,
     "op13_covering_simhash": op13_covering_simhash,
 }
 
@@ -137,4 +143,5 @@ ORACLES: dict[str, str] = {
     "op3_threshold_mix": mixing.ORACLE,
     "op5_bayesian_jaccard": jaccard.ORACLE,
     "op7_feistel_shards": sharding.oracle_sql(),
+    "op12_interval_manifest": merkle.ORACLE,
 }
