@@ -10,7 +10,7 @@ from suite import queries as q
 from suite import studies
 from suite.sql import (
     CUSTOMER, CUSTOMER_FEATURES, TRIP_FEATURES, TRIPS, Chains, fan_bodies, fan_features, hit,
-    one_hot, utility_ctes, values, with_,
+    logistic_ctes, one_hot, utility_ctes, values, with_,
 )
 
 ORACLES: dict[str, Callable[[], str]] = {}
@@ -522,8 +522,8 @@ def active_frontier():
 # -- utility and game ----------------------------------------------------------------------
 
 
-def study_utility(study: Study, kind="customer_value", m=0, prefix="", worlds=None) -> list[tuple[str, str]]:
-    """CTEs of a study's utility table {prefix}u(w, u), over all its worlds or the given ones."""
+def study_utility(study: Study, kind="customer_value", m=0, prefix="", worlds=None, fit=utility_ctes) -> list[tuple[str, str]]:
+    """CTEs of a study's utility table {prefix}u(w, u), over all its worlds or the given ones; `fit` is the scorer."""
     bodies, features = {
         "customer_value": (CUSTOMER, CUSTOMER_FEATURES),
         "trips": (TRIPS, TRIP_FEATURES),
@@ -533,10 +533,10 @@ def study_utility(study: Study, kind="customer_value", m=0, prefix="", worlds=No
     probe.prefix = f"{prefix}probe_"
     cte = probe.node(probe.pipeline.sink, 0)
     chains = Chains(study.pipeline, bodies, prefix)
-    return [*probe.ctes, *utility_ctes(chains, features, worlds or study.worlds(), cte, prefix)]
+    return [*probe.ctes, *fit(chains, features, worlds or study.worlds(), cte, prefix)]
 
 
-def game_ctes(study: Study, kind="customer_value", m=0, prefix="", anchored=False) -> list[tuple[str, str]]:
+def game_ctes(study: Study, kind="customer_value", m=0, prefix="", anchored=False, fit=utility_ctes) -> list[tuple[str, str]]:
     """... plus {prefix}game, {prefix}players, {prefix}setting, {prefix}culprits.
 
     `anchored` leaves only the empty coalition and those that hold all moving sources.
@@ -555,7 +555,7 @@ def game_ctes(study: Study, kind="customer_value", m=0, prefix="", anchored=Fals
         culprits += [(i.name, op) for op in sorted(set(i.culprits))]
     x = prefix
     return [
-        *study_utility(study, kind, m, prefix, sorted({w for _, _, w in coalitions}) if anchored else None),
+        *study_utility(study, kind, m, prefix, sorted({w for _, _, w in coalitions}) if anchored else None, fit),
         values(f"{x}coalitions", "scenario, mask, w", coalitions),
         values(f"{x}players", "scenario, op, bit, anchored, sensitive", players),
         values(f"{x}culprits", "scenario, op", culprits),
@@ -671,6 +671,11 @@ def utility_lda():
     return with_(study_utility(studies.incident()), "SELECT w, u FROM u")
 
 
+@oracle
+def utility_lr():
+    return with_(study_utility(studies.incident(), fit=logistic_ctes), "SELECT w, u FROM u")
+
+
 @oracle
 def utility_lr_pair():
     """Newton steps written out, each 3 x 3 system solved by Cramer's rule."""
@@ -1139,6 +1144,15 @@ def scale_report():
 
 @oracle
 def incident_report():
+    return incident_card(utility_ctes)
+
+
+@oracle
+def incident_report_lr():
+    return incident_card(logistic_ctes)
+
+
+def incident_card(fit) -> str:
     study = studies.incident()
     n, pipeline = len(study.pipeline.names), study.pipeline
     chains, changed = Chains(pipeline, CUSTOMER, "front_"), []
@@ -1152,7 +1166,7 @@ def incident_report():
               OR EXISTS ((SELECT * FROM {b}) EXCEPT ALL (SELECT * FROM {a})) AS changed""")
     cols = ", ".join(f'"{c}"' for c in [*CUSTOMER_FEATURES, "label"])
     ctes = [
-        *game_ctes(study), ("a", sql_anchored()), *chains.ctes, ("front", "\nUNION ALL ".join(changed)),
+        *game_ctes(study, fit=fit), ("a", sql_anchored()), *chains.ctes, ("front", "\nUNION ALL ".join(changed)),
         ("prints", f"SELECT w, count(*) AS n, sum(CAST(hash({cols}) AS HUGEINT)) AS h FROM sinks GROUP BY w"),
     ]
     return with_(ctes, f"""SELECT a.scenario, row_number() OVER (ORDER BY round(a.phi, 9), a.op) AS rank, a.op,

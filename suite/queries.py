@@ -530,10 +530,14 @@ def utility_lda(spark, folder):
     return coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(study.tables), digits=SCORE_DIGITS))
 
 
+def logistic(study: Study) -> DataFrame:
+    return coarse(ut.logistic_utility(study.replay().sink(), customer_value.probe(study.tables), digits=SCORE_DIGITS))
+
+
 @query
 def utility_lr(spark, folder):
     study = studies.incident(spark, Tables(spark, folder))
-    return coarse(ut.logistic_utility(study.replay().sink(), customer_value.probe(study.tables)))
+    return logistic(study)
 
 
 PAIR = ["income", "avg_amount"]
@@ -841,13 +845,23 @@ def scale_report(spark, folder):
     return rounded(rounded(table, "mc_max_err", "delta"), "reduction", digits=3)
 
 
-@query
-def incident_report(spark, folder):
+def incident_card(spark, folder, score) -> DataFrame:
     study = studies.incident(spark, Tables(spark, folder))
-    (game, _), fits, frontier = side_by_side(
-        lambda: scored(study),
+    game, fits, frontier = side_by_side(
+        lambda: score(study),
         lambda: reports.model_fits(study.replay().sink()),
         lambda: reports.staged_rows(reports.frontier_size(study)),
     )
     card = reports.incident_report(study, game, fits, frontier)
     return rounded(card, "phi", "delta", "v_anchor", "total_phi", "to_explain", "gap")
+
+
+@query
+def incident_report(spark, folder):
+    return incident_card(spark, folder, lambda study: scored(study)[0])
+
+
+@query
+def incident_report_lr(spark, folder):
+    """The incident card with logistic regressions trained on every distinct sink."""
+    return incident_card(spark, folder, lambda study: study.game(logistic(study)))

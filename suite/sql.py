@@ -315,6 +315,80 @@ def values(name: str, columns: str, rows: list[tuple]) -> tuple[str, str]:
     return name, f"SELECT * FROM (VALUES {lines}) AS t({columns})"
 
 
+def auc_ctes(x: str, scored: str) -> list[tuple[str, str]]:
+    """CTEs from {x}scored to {x}u(w, u): the AUC of every world's scores, 0.5 where it may not train."""
+    return [
+        (f"{x}scored", scored),
+        (f"{x}tied", f"SELECT w, s, sum(label) AS pos, sum(1 - label) AS neg FROM {x}scored GROUP BY w, s"),
+        (f"{x}below", f"""SELECT *, coalesce(sum(neg) OVER (PARTITION BY w ORDER BY s
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {x}tied"""),
+        (f"{x}aucs", f"""SELECT w, CAST(sum(pos * (2 * b + neg)) AS DOUBLE)
+            / nullif(2 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc FROM {x}below GROUP BY w"""),
+        (f"{x}guard", f"SELECT w, count(*) AS n_rows, count(DISTINCT label) AS n_classes FROM {x}sinks GROUP BY w"),
+        (f"{x}u", f"""SELECT w, round(CASE WHEN g.n_rows >= 50 AND g.n_classes >= 2 AND f
+            THEN coalesce(auc, 0.5) ELSE 0.5 END, 8) AS u
+            FROM {x}worlds LEFT JOIN {x}guard g USING (w) LEFT JOIN {x}aucs USING (w)"""),
+    ]
+
+
+def world_ctes(chains: Chains, features: list[str], worlds: list[int], x: str) -> list[tuple[str, str]]:
+    """{x}sinks, all worlds' rows, and {x}worlds(w, f), whether a world has features."""
+    known = ", ".join(f"({w}, {bool(chains.columns(features, w))})" for w in worlds)
+    sinks = chains.tagged_sinks(features, worlds)
+    return [*chains.ctes, (f"{x}sinks", sinks), (f"{x}worlds", f"SELECT CAST(w AS BIGINT) AS w, f FROM (VALUES {known}) AS t(w, f)")]
+
+
+NEWTON_STEPS = 9
+
+
+def logistic_ctes(
+    chains: Chains, features: list[str], worlds: list[int], probe: str, prefix: str = ""
+) -> list[tuple[str, str]]:
+    """CTEs ending in {prefix}u(w, u): a logistic regression per world, AUC on the probe, 8 digits.
+
+    Newton steps from zero, written out: the sums of each are the upper triangle of a symmetric
+    system with one row per weight, eliminated pivot by pivot and solved backwards.
+    """
+    x, d = prefix, len(features) + 1
+    stat = ", ".join(
+        f"""avg(CAST("{c}" AS DOUBLE)) AS m{i}, CASE WHEN var_pop(CAST("{c}" AS DOUBLE)) > 0
+            THEN sqrt(var_pop(CAST("{c}" AS DOUBLE))) ELSE 1 END AS s{i}""" for i, c in enumerate(features, 1)
+    )
+    scaled = ", ".join(f'coalesce((CAST("{c}" AS DOUBLE) - m{i}) / s{i}, 0) AS z{i}' for i, c in enumerate(features, 1))
+    ctes = [
+        *world_ctes(chains, features, worlds, x),
+        (f"{x}scale", f"SELECT w, {stat} FROM {x}sinks GROUP BY w"),
+        (f"{x}z", f"SELECT w, CAST(label AS DOUBLE) AS y, CAST(1 AS DOUBLE) AS z0, {scaled} FROM {x}sinks JOIN {x}scale USING (w) WHERE label IS NOT NULL"),
+        (f"{x}c0", f"SELECT w, {', '.join(f'CAST(0 AS DOUBLE) AS c{i}' for i in range(d))} FROM {x}scale"),
+    ]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    kept = ", ".join(f"c{i}" for i in range(d))
+    for k in range(NEWTON_STEPS):
+        score = " + ".join(f"c{i} * z{i}" for i in range(d))
+        slopes = [f"sum((p - y) * z{i}) + {int(i > 0)} * any_value(c{i}) AS b{i}" for i in range(d)]
+        bends = [f"sum(p * (1 - p) * z{i} * z{j}) + {int(i == j and i > 0)} AS a{i}_{j}" for i, j in pairs]
+        old = ", ".join(f"any_value(c{i}) AS c{i}" for i in range(d))
+        ctes += [
+            (f"{x}p{k}", f"SELECT z.*, {kept}, 1 / (1 + exp(-({score}))) AS p FROM {x}z z JOIN {x}c{k} USING (w)"),
+            (f"{x}e{k}_0", f"SELECT w, {old}, {', '.join(slopes + bends)} FROM {x}p{k} GROUP BY w"),
+        ]
+        for r in range(d - 1):  # row r is done; take it out of the rows below
+            done = [f"a{i}_{j}" for i, j in pairs if i <= r] + [f"b{i}" for i in range(r + 1)]
+            rest = [f"a{i}_{j} - a{r}_{i} / a{r}_{r} * a{r}_{j} AS a{i}_{j}" for i, j in pairs if i > r]
+            rest += [f"b{i} - a{r}_{i} / a{r}_{r} * b{r} AS b{i}" for i in range(r + 1, d)]
+            ctes.append((f"{x}e{k}_{r + 1}", f"SELECT w, {kept}, {', '.join(done + rest)} FROM {x}e{k}_{r}"))
+        source = f"{x}e{k}_{d - 1}"
+        for r in reversed(range(d)):
+            known = "".join(f" - a{r}_{j} * t{j}" for j in range(r + 1, d))
+            ctes.append((f"{x}t{k}_{r}", f"SELECT *, (b{r}{known}) / a{r}_{r} AS t{r} FROM {source}"))
+            source = f"{x}t{k}_{r}"
+        ctes.append((f"{x}c{k + 1}", f"SELECT w, {', '.join(f'c{i} - t{i} AS c{i}' for i in range(d))} FROM {source}"))
+    ranked = " + ".join(f'k{i} * coalesce(CAST(p."{c}" AS DOUBLE), 0)' for i, c in enumerate(features, 1))
+    weights = ", ".join(f"coalesce(c{i} / s{i}, 0) AS k{i}" for i in range(1, d))
+    ctes.append((f"{x}weights", f"SELECT w, {weights} FROM {x}c{NEWTON_STEPS} JOIN {x}scale USING (w)"))
+    return [*ctes, *auc_ctes(x, f"SELECT k.w, p.label, round({ranked}, 6) AS s FROM {probe} p CROSS JOIN {x}weights k")]
+
+
 def utility_ctes(
     chains: Chains, features: list[str], worlds: list[int], probe: str, prefix: str = ""
 ) -> list[tuple[str, str]]:
@@ -334,23 +408,10 @@ def utility_ctes(
         return f'CASE WHEN {pooled} > 1e-12 THEN ("m1_{c}" - "m0_{c}") / {pooled} ELSE 0 END AS "k_{c}"'
 
     score = " + ".join(f'"k_{c}" * coalesce(CAST(p."{c}" AS DOUBLE), 0)' for c in features)
-    known = ", ".join(f"({w}, {bool(chains.columns(features, w))})" for w in worlds)
-    sinks = chains.tagged_sinks(features, worlds)
     return [
-        *chains.ctes,
-        (f"{x}sinks", sinks),
-        (f"{x}worlds", f"SELECT CAST(w AS BIGINT) AS w, f FROM (VALUES {known}) AS t(w, f)"),
+        *world_ctes(chains, features, worlds, x),
         (f"{x}stats", f"SELECT w, label AS y, count(*) AS n, {stat} FROM {x}sinks GROUP BY w, label"),
         (f"{x}wide", f"SELECT w, max(n) FILTER (y = 0) AS n0, max(n) FILTER (y = 1) AS n1, {pick} FROM {x}stats GROUP BY w"),
         (f"{x}weights", f"SELECT w, {', '.join(map(weight, features))} FROM {x}wide"),
-        (f"{x}scored", f"SELECT k.w, p.label, round({score}, 6) AS s FROM {probe} p CROSS JOIN {x}weights k"),
-        (f"{x}tied", f"SELECT w, s, sum(label) AS pos, sum(1 - label) AS neg FROM {x}scored GROUP BY w, s"),
-        (f"{x}below", f"""SELECT *, coalesce(sum(neg) OVER (PARTITION BY w ORDER BY s
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {x}tied"""),
-        (f"{x}aucs", f"""SELECT w, CAST(sum(pos * (2 * b + neg)) AS DOUBLE)
-            / nullif(2 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0) AS auc FROM {x}below GROUP BY w"""),
-        (f"{x}guard", f"SELECT w, count(*) AS n_rows, count(DISTINCT label) AS n_classes FROM {x}sinks GROUP BY w"),
-        (f"{x}u", f"""SELECT w, round(CASE WHEN g.n_rows >= 50 AND g.n_classes >= 2 AND f
-            THEN coalesce(auc, 0.5) ELSE 0.5 END, 8) AS u
-            FROM {x}worlds LEFT JOIN {x}guard g USING (w) LEFT JOIN {x}aucs USING (w)"""),
+        *auc_ctes(x, f"SELECT k.w, p.label, round({score}, 6) AS s FROM {probe} p CROSS JOIN {x}weights k"),
     ]
