@@ -276,3 +276,20 @@ def stagewise(
 ) -> DataFrame:
     """Blame along given topological orders: (scenario, *keys, pos, op, phi)."""
     return walk(game, no_anchor(players), orders, keys)
+
+
+def step_blame(game: DataFrame, players: DataFrame, steps: DataFrame) -> DataFrame:
+    """(scenario, done, op, bit, phi) for `steps` (done, op, bit): what an operator adds right after
+    the operators in `done`, whichever order they came in."""
+    setting = anchors(players).select("scenario", "full")
+    placed = players.select("scenario", "op").join(steps.select("done", "op", "bit"), "op").join(setting, "scenario")
+    before = game.select("scenario", F.col("mask").alias("low"), F.col("v").alias("v_before"))
+    after = game.select("scenario", F.col("mask").alias("high"), F.col("v").alias("v_after"))
+    valued = (
+        placed.withColumn("low", F.col("done").bitwiseAND(F.col("full")))
+        .withColumn("high", F.col("done").bitwiseOR(F.col("bit")).bitwiseAND(F.col("full")))
+        .join(before, ["scenario", "low"], "left")
+        .join(after, ["scenario", "high"], "left")
+    )
+    phi = needed(F.col("v_after"), F.col("high")) - needed(F.col("v_before"), F.col("low"))
+    return valued.select("scenario", "done", "op", "bit", phi.alias("phi"))

@@ -7,9 +7,15 @@ they stop as soon as nothing is new. Diamonds do not multiply paths.
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from blamesplit.functions.local import local_table
+from blamesplit.functions.local import MAX_LOCAL_ROWS, local_table
+from blamesplit.functions.stage import stage
+
+COUNT = "decimal(38,0)"  # orders of a few dozen operators outgrow a BIGINT
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -56,8 +62,47 @@ def depth(nodes: DataFrame, edges: DataFrame, levels: int) -> DataFrame:
     return deepest
 
 
-def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int) -> DataFrame:
-    """(order_id, pos, op, bit): the first `limit` topological orders, lexicographic by name.
+def kept(df: DataFrame) -> DataFrame:
+    """A table that later steps read several times: local if it is small, else a checkpoint."""
+    rows = df.take(MAX_LOCAL_ROWS + 1)
+    return local_table(df.sparkSession, df.schema, [tuple(r) for r in rows]) if len(rows) <= MAX_LOCAL_ROWS else stage(df)
+
+
+def downset_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(done, op, bit, orders): every step that some topological order takes, once.
+
+    `done` is the set of operators before the step, closed under parents (a downset); `orders` is in
+    how many ways it can be put in order. What a step does depends on `done` alone, so statements
+    about all orders need a row per downset and operator, not a row per order.
+    """
+    listed = {r.op: r.bit for r in nodes.collect()}
+    needs = dict.fromkeys(listed, 0)
+    for r in edges.collect():
+        needs[r.child] |= listed[r.parent]
+    ready = F.array(*[
+        F.struct(F.lit(o).alias("op"), F.lit(b).cast("long").alias("bit"), F.lit(needs[o]).cast("long").alias("needs"))
+        for o, b in sorted(listed.items())
+    ])
+    done = F.col("done")
+    fits = lambda s: (done.bitwiseAND(s["bit"]) == 0) & (done.bitwiseAND(s["needs"]) == s["needs"])
+    now = local_table(nodes.sparkSession, f"done long, orders {COUNT}", [(0, Decimal(1))])
+    steps = []
+    for _ in listed:
+        taken = now.select("done", "orders", F.explode(F.filter(ready, fits)).alias("s"))
+        steps.append(kept(taken.select("done", "s.op", "s.bit", "orders")))
+        now = steps[-1].groupBy(done.bitwiseOR(F.col("bit")).alias("done")).agg(F.sum("orders").cast(COUNT).alias("orders"))
+    return reduce(DataFrame.unionByName, steps)
+
+
+def count_orders(steps: DataFrame) -> int:
+    """How many topological orders the graph has: the ways to take its last step."""
+    ends = steps.groupBy(F.col("done").bitwiseOR(F.col("bit")).alias("all")).agg(F.sum("orders").alias("orders"))
+    last = ends.orderBy(F.col("all").desc()).first()
+    return int(last.orders) if last else 1
+
+
+def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int | None) -> DataFrame:
+    """(order_id, pos, op, bit): the first `limit` topological orders (None: all), lexicographic by name.
 
     Orders grow one operator per step. Keeping the `limit` smallest prefixes of each length is
     exact, because every prefix that respects the edges can be completed.
@@ -87,7 +132,7 @@ def topological_orders(nodes: DataFrame, edges: DataFrame, n: int, limit: int) -
                 F.concat("ops", F.array("op")).alias("ops"),
             )
         )
-        paths = grown.orderBy("path").limit(limit)
+        paths = grown if limit is None else grown.orderBy("path").limit(limit)
     numbered = paths.withColumn(
         "order_id", F.row_number().over(Window.orderBy("path")).cast("long")
     ).select("order_id", F.posexplode("ops").alias("p", "op"))

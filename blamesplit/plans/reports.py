@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from blamesplit.functions.columns import numeric_columns
 from blamesplit.functions.local import local_table
 from blamesplit.operators import game as g
-from blamesplit.operators import scoring
+from blamesplit.operators import lineage, scoring
 from blamesplit.plans.pipeline import Pipeline
 from blamesplit.plans.replay import Replay, active_frontier, profile, world_fingerprints
 from blamesplit.plans.worlds import W, WorldFrame
@@ -462,50 +462,55 @@ def drift_floor(study: Study, game: DataFrame, players: DataFrame) -> DataFrame:
 # -- order dependence ----------------------------------------------------------------------
 
 
-def order_dependence(
-    study: Study, walks: DataFrame, game: DataFrame, players: DataFrame, limit: int
-):
-    """How far stagewise blame of each operator swings over the first `limit` topological orders.
+def order_dependence(study: Study, blame: DataFrame, orders: int, game: DataFrame, players: DataFrame) -> DataFrame:
+    """How far stagewise blame of each operator swings over all topological orders.
 
-    `complete` says whether these are all orders there are.
+    `blame` is `step_blame` of the study's downset steps and `orders` their number. An operator's
+    blame in an order depends only on the set before it, so the extremes over the steps are those
+    over the orders, however many there are.
     """
     anchored = g.anchored_shapley(game, players).select("scenario", "op", F.col("phi").alias("anchored"))
     guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
     low, high = F.col("stagewise_min"), F.col("stagewise_max")
     return (
-        walks.groupBy("scenario", "op")
-        .agg(
-            F.count("*").alias("n_orders"),
-            F.min("phi").alias("stagewise_min"),
-            F.max("phi").alias("stagewise_max"),
-        )
+        blame.groupBy("scenario", "op")
+        .agg(F.min("phi").alias("stagewise_min"), F.max("phi").alias("stagewise_max"))
         .join(anchored, ["scenario", "op"])
         .join(players.select("scenario", "op", F.col("anchored").alias("is_source")), ["scenario", "op"])
         .join(guilty, ["scenario", "op"], "left")
         .select(
             "scenario", "op", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"),
-            "is_source", "n_orders", (F.col("n_orders") < limit).alias("complete"), "stagewise_min", "stagewise_max",
+            "is_source", F.lit(orders).cast("long").alias("n_orders"), "stagewise_min", "stagewise_max",
             (high - low).alias("spread"),
             ((low < -SIGN_EPS) & (high > SIGN_EPS)).alias("sign_flips"), "anchored",
         )
     )
 
 
-def order_top_blamed(study: Study, walks: DataFrame, limit: int) -> DataFrame:
-    """(scenario, op, n_orders, is_culprit, complete): who a stagewise walk blames first.
+def order_top_blamed(study: Study, blame: DataFrame) -> DataFrame:
+    """(scenario, op, n_orders, is_culprit): in how many orders a stagewise walk blames whom first.
 
-    `complete` says whether the walks, at most `limit` per scenario, are all there are.
+    Steps are ranked by blame, ties by name, as in a ranking of one order. The orders all of whose
+    steps rank k or later are counted along the downsets, for every k at once; those that lack a step
+    of rank k among them are the ones counted for k + 1, so the differences belong to k alone.
     """
-    orders = walks.groupBy("scenario").agg((F.count_distinct("order_id") < limit).alias("complete"))
-    first = scoring.blame_ranking(walks, ["scenario", "order_id"]).where("rank = 1")
+    rank = F.dense_rank().over(Window.partitionBy("scenario").orderBy(F.round("phi", 9), "op"))
+    ranked = lineage.kept(blame.withColumn("key", rank).select("scenario", "done", "op", "bit", "key"))
+    keys = lineage.kept(ranked.select("scenario", "key", "op").distinct())
+    now = keys.select("scenario", F.col("key").alias("least"), F.lit(0).cast("long").alias("done"), F.lit(1).cast(lineage.COUNT).alias("orders"))
+    for _ in study.pipeline.names:
+        taken = now.join(ranked, ["scenario", "done"]).where(F.col("key") >= F.col("least"))
+        reached = taken.groupBy("scenario", "least", F.col("done").bitwiseOR(F.col("bit")).alias("done"))
+        now = lineage.kept(reached.agg(F.sum("orders").cast(lineage.COUNT).alias("orders")))
+    from_here = now.select("scenario", F.col("least").alias("key"), "orders")
+    counted = keys.join(from_here, ["scenario", "key"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+    later = F.coalesce(F.lead("orders").over(Window.partitionBy("scenario").orderBy("key")), F.lit(0))
+    first = counted.withColumn("first", F.col("orders") - later).groupBy("scenario", "op").agg(F.sum("first").cast("long").alias("n_orders"))
     guilty = study.culprits().distinct().withColumn("is_culprit", F.lit(True))
     return (
-        first.groupBy("scenario", "op").agg(F.count("*").alias("n_orders"))
+        first.where("n_orders > 0")
         .join(guilty, ["scenario", "op"], "left")
-        .join(orders, "scenario")
-        .select(
-            "scenario", "op", "n_orders", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"), "complete"
-        )
+        .select("scenario", "op", "n_orders", F.coalesce("is_culprit", F.lit(False)).alias("is_culprit"))
     )
 
 

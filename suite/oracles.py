@@ -1089,7 +1089,7 @@ def order_dependence():
     study = studies.orders()
     ctes = [*game_ctes(study), *walk_ctes(study.pipeline), ("a", sql_anchored())]
     return with_(ctes, f"""SELECT w.scenario, w.op, any_value(c.op IS NOT NULL) AS is_culprit,
-    any_value(p.anchored) AS is_source, count(*) AS n_orders, count(*) < {q.MOST_ORDERS} AS complete, {r8('min(w.phi)')} AS stagewise_min,
+    any_value(p.anchored) AS is_source, count(*) AS n_orders, {r8('min(w.phi)')} AS stagewise_min,
     {r8('max(w.phi)')} AS stagewise_max, {r8('max(w.phi) - min(w.phi)')} AS spread,
     min(w.phi) < -1e-9 AND max(w.phi) > 1e-9 AS sign_flips, {r8('any_value(a.phi)')} AS anchored
     FROM walks w JOIN players p ON p.scenario = w.scenario AND p.op = w.op
@@ -1105,8 +1105,7 @@ def order_top_blamed():
         ("winner", """SELECT * FROM walks QUALIFY row_number() OVER
           (PARTITION BY scenario, order_id ORDER BY round(phi, 9), op) = 1"""),
     ]
-    return with_(ctes, f"""SELECT w.scenario, w.op, count(*) AS n_orders, any_value(c.op IS NOT NULL) AS is_culprit,
-      any_value((SELECT count(DISTINCT order_id) FROM walks x WHERE x.scenario = w.scenario)) < {q.MOST_ORDERS} AS complete
+    return with_(ctes, f"""SELECT w.scenario, w.op, count(*) AS n_orders, any_value(c.op IS NOT NULL) AS is_culprit
     FROM winner w LEFT JOIN culprits c ON c.scenario = w.scenario AND c.op = w.op GROUP BY w.scenario, w.op""", True)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from blamesplit.functions import columns as fc
 from blamesplit.functions import ordered
 from blamesplit.functions import utility as ut
-from blamesplit.functions.local import MAX_LOCAL_ROWS, local_table
+from blamesplit.functions.local import local_table
 from blamesplit.operators import game as g
 from blamesplit.operators import lineage, scoring
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, reports, trips
@@ -27,7 +27,6 @@ UTILITY_DIGITS = 8
 SCORE_DIGITS = 6
 PHI_DIGITS = 8
 SAMPLES, SEED = 60, 1
-MOST_ORDERS = 5000
 CENSUS_DAYS = [date(2024, 1, 28), date(2024, 1, 29), date(2024, 1, 30), date(2024, 1, 31), date(2024, 2, 1)]
 DAY = date(2024, 1, 8)
 SCAN_COLUMNS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"]
@@ -606,12 +605,10 @@ def leave_one_out(spark, folder):
     return rounded(g.leave_one_out(game, players), "phi")
 
 
-def orders_of(study: Study, limit: int) -> DataFrame:
-    """(order_id, pos, op, bit): the first topological orders of the study's pipeline."""
+def orders_of(study: Study, limit: int | None) -> DataFrame:
+    """(order_id, pos, op, bit): the first topological orders of the study's pipeline, or all."""
     pipeline, spark = study.pipeline, study.spark
-    n = len(pipeline.names)
-    orders = lineage.topological_orders(pipeline.nodes(spark), pipeline.edges(spark), n, limit)
-    return reports.staged_rows(orders) if limit * n <= MAX_LOCAL_ROWS else orders
+    return lineage.kept(lineage.topological_orders(pipeline.nodes(spark), pipeline.edges(spark), len(pipeline.names), limit))
 
 
 def for_all(study: Study, orders: DataFrame) -> DataFrame:
@@ -623,7 +620,7 @@ def for_all(study: Study, orders: DataFrame) -> DataFrame:
 def topological_orders(spark, folder):
     """All orders of the pipeline with the blame a walk along each of them gives."""
     study, game, players = incident_game(spark, folder)
-    steps = g.stagewise(game, players, for_all(study, orders_of(study, 64)), ["order_id"])
+    steps = g.stagewise(game, players, for_all(study, orders_of(study, None)), ["order_id"])
     return rounded(steps.select("order_id", "pos", "op", "phi"), "phi")
 
 
@@ -711,7 +708,7 @@ def report_gate(spark, folder):
 
 
 def gate_attributions(study, game, players, drift):
-    all_orders = orders_of(study, 32)
+    all_orders = orders_of(study, None)
     last = all_orders.agg(F.max("order_id").alias("order_id"))
     ends = for_all(
         study,
@@ -812,21 +809,27 @@ def drift_floor(spark, folder):
     return rounded(reports.drift_floor(study, game, players), "max_drift")
 
 
+def order_blame(spark, folder):
+    """The order study's game, and the blame of every step that some order takes."""
+    study = studies.orders(spark, Tables(spark, folder))
+    pipeline = study.pipeline
+    (game, players), steps = side_by_side(
+        lambda: scored(study), lambda: lineage.downset_steps(pipeline.nodes(spark), pipeline.edges(spark))
+    )
+    return study, game, players, steps, g.step_blame(game, players, steps)
+
+
 @query
 def order_dependence(spark, folder):
-    study = studies.orders(spark, Tables(spark, folder))
-    game, players = scored(study)
-    walks = g.stagewise(game, players, for_all(study, orders_of(study, MOST_ORDERS)), ["order_id"])
-    table = reports.order_dependence(study, walks, game, players, MOST_ORDERS)
+    study, game, players, steps, blame = order_blame(spark, folder)
+    table = reports.order_dependence(study, blame, lineage.count_orders(steps), game, players)
     return rounded(table, "stagewise_min", "stagewise_max", "spread", "anchored")
 
 
 @query
 def order_top_blamed(spark, folder):
-    study = studies.orders(spark, Tables(spark, folder))
-    game, players = scored(study)
-    walks = g.stagewise(game, players, for_all(study, orders_of(study, MOST_ORDERS)), ["order_id"])
-    return reports.order_top_blamed(study, walks, MOST_ORDERS)
+    study, _, _, _, blame = order_blame(spark, folder)
+    return reports.order_top_blamed(study, blame)
 
 
 @query

@@ -164,3 +164,36 @@ def test_a_gap_in_the_game_is_an_error(spark, gone):
     for df in results:
         with pytest.raises(Exception, match="the game (has no value for|lacks) coalition"):
             df.collect()
+
+
+def test_blame_over_all_orders_by_downsets(spark, world):
+    """Extremes and first-blamed counts equal a walk along every order."""
+    from types import SimpleNamespace
+
+    from blamesplit.operators import lineage, scoring
+
+    values, game, players = world
+    edges = [("a", "b"), ("c", "d")]
+    nodes = local_table(spark, "op string, bit long", list(BIT.items()))
+    steps = lineage.downset_steps(nodes, local_table(spark, "parent string, child string", edges))
+    orders = [o for o in itertools.permutations(OPS) if all(o.index(p) < o.index(c) for p, c in edges)]
+    assert lineage.count_orders(steps) == len(orders)
+    here = players.where("op <> 'zz_idle'")
+    blame = g.step_blame(game, here, steps)
+    culprits = local_table(spark, "scenario string, op string", [("random", "b")])
+    study = SimpleNamespace(culprits=lambda: culprits, pipeline=SimpleNamespace(names=OPS))
+    low, high, first = {}, {}, {}
+    for s, v in values.items():
+        for order in orders:
+            mask, phi = 0, {}
+            for op in order:
+                phi[op] = v[mask | BIT[op]] - v[mask]
+                mask |= BIT[op]
+                low[s, op] = min(low.get((s, op), 9), phi[op])
+                high[s, op] = max(high.get((s, op), -9), phi[op])
+            top = min(phi, key=lambda o: (round(phi[o], 9), o))
+            first[s, top] = first.get((s, top), 0) + 1
+    found = reports.order_dependence(study, blame, len(orders), game, here).collect()
+    assert {(r.scenario, r.op): (r.stagewise_min, r.stagewise_max) for r in found} == {k: (low[k], high[k]) for k in low}
+    assert {r.n_orders for r in found} == {len(orders)}
+    assert {(r.scenario, r.op): r.n_orders for r in reports.order_top_blamed(study, blame).collect()} == first

@@ -67,3 +67,24 @@ def test_a_wide_and_a_long_graph(spark):
         assert ops(lineage.ancestors(nodes, table, sink, len(names))) == names
         found = {r.op: r.depth for r in lineage.depth(nodes, table, len(names)).collect()}
         assert len(found) == len(names) and found[sink] == deepest
+
+
+def test_downsets_stand_for_all_orders(graph):
+    """Steps, their counts and the number of orders against the enumeration."""
+    steps = lineage.downset_steps(*graph)
+    want = {}
+    for order in all_orders():
+        for k, op in enumerate(order):
+            before = want.setdefault((sum(1 << OPS.index(o) for o in order[:k]), op), set())
+            before.add(tuple(order[:k]))
+    assert {(r.done, r.op): int(r.orders) for r in steps.collect()} == {k: len(v) for k, v in want.items()}
+    assert lineage.count_orders(steps) == len(all_orders())
+
+
+def test_orders_of_many_free_operators_are_counted(spark):
+    """Two chains of ten: 20 choose 10 orders, but only 121 downsets."""
+    edges = [(f"{c}{i}", f"{c}{i + 1}") for c in "xy" for i in range(9)]
+    names = sorted({o for e in edges for o in e})
+    nodes = local_table(spark, "op string, bit long", [(o, 1 << i) for i, o in enumerate(names)])
+    steps = lineage.downset_steps(nodes, local_table(spark, "parent string, child string", edges))
+    assert lineage.count_orders(steps) == 184756 and steps.count() == 220
