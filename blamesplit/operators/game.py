@@ -15,11 +15,12 @@ at the end.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from blamesplit.functions.local import local_table
+from blamesplit.functions.local import MAX_LOCAL_ROWS, local_table
 from blamesplit.plans.pipeline import Pipeline
 from blamesplit.plans.worlds import W
 
@@ -56,16 +57,29 @@ def players_table(
 def coalition_worlds(
     spark: SparkSession, scenarios: Mapping[str, tuple[Pipeline, Mapping[str, int]]]
 ) -> DataFrame:
-    """(scenario, mask, w): every coalition of sensitive players and the world it runs in."""
-    rows = []
-    for name, (pipeline, choice) in scenarios.items():
-        steps = [(pipeline.bit(op), pipeline.world([op], choice)) for op in pipeline.fields]
-        pairs = [(0, 0)]
-        for bit, step in steps:
-            if step:
+    """(scenario, mask, w): every coalition of sensitive players and the world it runs in.
+
+    Coalition number k of a scenario puts its moving players in where k has ones. Few are listed as
+    a local table; many are made by the executors, so their number is not bounded by the driver.
+    """
+    steps = {
+        name: [(pipeline.bit(op), step) for op in pipeline.fields if (step := pipeline.world([op], choice))]
+        for name, (pipeline, choice) in scenarios.items()
+    }
+    if sum(1 << len(moving) for moving in steps.values()) <= MAX_LOCAL_ROWS:
+        rows = []
+        for name, moving in steps.items():
+            pairs = [(0, 0)]
+            for bit, step in moving:
                 pairs += [(m | bit, w + step) for m, w in pairs]
-        rows += [(name, m, w) for m, w in pairs]
-    return local_table(spark, f"scenario string, mask long, {W} long", rows)
+            rows += [(name, m, w) for m, w in pairs]
+        return local_table(spark, f"scenario string, mask long, {W} long", rows)
+    parts = []
+    for name, moving in steps.items():
+        taken = [F.shiftright("id", k).bitwiseAND(long(1)) for k in range(len(moving))]
+        mask, world = (reduce(Column.__add__, (t * long(s[i]) for t, s in zip(taken, moving, strict=True)), long(0)) for i in (0, 1))
+        parts.append(spark.range(1 << len(moving)).select(F.lit(name).alias("scenario"), mask.alias("mask"), world.alias(W)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def anchored_worlds(
@@ -150,26 +164,35 @@ def anchored_shapley(game: DataFrame, players: DataFrame, method: str = "anchore
 
     They get 0; the free players share v(all) - v(anchor) exactly. A scenario with no free player
     has no result rows. A game without the whole lattice over the free players is an error.
+
+    A coalition T of size t counts for its members with weight (t - 1), against the others with
+    weight t, so one pass that sums v by size, for all coalitions and for those of each player,
+    replaces the join of every coalition with its neighbours: a row per scenario and size leaves it.
     """
     setting = anchors(players)
     free = core_players(players).where(~F.col("anchored")).select("scenario", "op", "bit")
-    before = game.select("scenario", "mask", F.col("v").alias("v_before"))
-    after = game.select("scenario", F.col("mask").alias("mask_after"), F.col("v").alias("v_after"))
-    steps = (
-        before.join(free, "scenario")
-        .join(setting, "scenario")
-        .where(has(F.col("mask"), F.col("held")) & (F.col("mask").bitwiseAND(F.col("bit")) == 0))
-        .withColumn("mask_after", F.col("mask").bitwiseOR(F.col("bit")))
-        .join(after, ["scenario", "mask_after"], "left")
-        .withColumn("n_free", F.col("n_free").cast("int"))
-        .withColumn("size", (F.bit_count(F.col("mask")) - F.bit_count("held")).cast("int"))
-        .join(shapley_weights(game.sparkSession), ["n_free", "size"], "left")
+    bits = sorted({r.bit for r in free.select("bit").distinct().collect()})
+    size = (F.bit_count(F.col("mask")) - F.bit_count("held")).cast("int")
+    reached = game.join(setting, "scenario").where(has(F.col("mask"), F.col("held")))
+    by_size = reached.groupBy("scenario", "n_free", size.alias("size")).agg(
+        F.count("v").alias("n"),
+        F.sum("v").alias("total"),
+        *[F.sum(F.when(F.col("mask").bitwiseAND(long(b)) != 0, F.col("v"))).alias(f"with_{b}") for b in bits],
+    )
+    cells = F.explode(F.array(*[F.struct(long(b).alias("bit"), F.col(f"with_{b}").alias("inside")) for b in bits] or [F.struct(long(0).alias("bit"), F.lit(0.0).alias("inside"))]))
+    weights = shapley_weights(game.sparkSession)
+    joining = weights.select("n_free", (F.col("size") + 1).alias("size"), F.col("weight").alias("joining"))
+    weighed = (
+        by_size.select("scenario", F.col("n_free").cast("int").alias("n_free"), "size", "n", "total", cells.alias("c"))
+        .select("scenario", "n_free", "size", "n", "total", "c.bit", F.coalesce("c.inside", F.lit(0.0)).alias("inside"))
+        .join(joining, ["n_free", "size"], "left")
+        .join(weights, ["n_free", "size"], "left")
     )
-    gain = needed(F.col("v_after"), F.col("mask_after")) - F.col("v_before")
-    sums = steps.groupBy("scenario", "op").agg(
-        F.sum(F.col("weight") * gain).alias("phi"), F.count("*").alias("n"), F.max("n_free").alias("n_free")
+    gain = F.col("inside") * F.coalesce("joining", F.lit(0.0)) - (F.col("total") - F.col("inside")) * F.coalesce("weight", F.lit(0.0))
+    sums = free.join(weighed, ["scenario", "bit"]).groupBy("scenario", "op").agg(
+        F.sum(gain).alias("phi"), F.sum("n").alias("n"), F.max("n_free").alias("n_free")
     )
-    whole = F.col("n").cast("double") == F.pow(F.lit(2.0), F.col("n_free") - 1)
+    whole = F.col("n").cast("double") == F.pow(F.lit(2.0), F.col("n_free"))
     short = F.raise_error(F.concat(F.lit("the game lacks coalitions of scenario "), F.col("scenario")))
     phi = free.join(sums, ["scenario", "op"], "left").select(
         "scenario", "op", F.when(whole, F.col("phi")).otherwise(short.cast("double")).alias("phi")

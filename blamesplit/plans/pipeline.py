@@ -108,15 +108,21 @@ class Pipeline:
     def sensitive_mask(self) -> int:
         return sum(self.bit(n) for n in self.fields)
 
-    def lineage_fields(self, name: str) -> int:
-        """Fields of every operator that feeds `name`, itself included."""
-        seen, todo, fields = set(), [name], 0
+    def lineage(self, name: str) -> set[str]:
+        """Every operator that feeds `name`, itself included."""
+        seen, todo = set(), [name]
         while todo:
             node = todo.pop()
             if node not in seen:
                 seen.add(node)
-                fields |= self.fields[node].mask if node in self.fields else 0
                 todo.extend(self.operators[node].parents)
+        return seen
+
+    def lineage_fields(self, name: str) -> int:
+        """Fields of every operator that feeds `name`, itself included."""
+        fields = 0
+        for node in self.lineage(name):
+            fields |= self.fields[node].mask if node in self.fields else 0
         return fields
 
     # -- worlds --------------------------------------------------------------------------
@@ -133,6 +139,11 @@ class Pipeline:
         steps = [(0, self.world([n], choice)) for n in self.fields]
         return sorted({sum(pick) for pick in product(*steps)})
 
+    def every_world(self) -> list[int]:
+        """All variants of all sensitive operators, in all combinations."""
+        steps = [[f.world(c) for c in range(len(self.operators[n].variants) + 1)] for n, f in self.fields.items()]
+        return sorted({sum(pick) for pick in product(*steps)})
+
     def world_of_mask(self, mask: Column, choice: Mapping[str, int] | None = None) -> Column:
         """The world a coalition mask runs in (insensitive operators do not matter)."""
         world = F.lit(0).cast("long")

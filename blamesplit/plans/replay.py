@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from blamesplit.functions.local import local_table
 from blamesplit.functions.prints import fingerprint, world_fingerprints  # noqa: F401
 from blamesplit.plans.pipeline import MAX_PLAYERS, Pipeline
-from blamesplit.plans.worlds import W, State, WorldFrame, world_const
+from blamesplit.functions.stage import stage
+from blamesplit.plans.worlds import MAX_WORLDS, W, State, WorldFrame, one_of, world_const
 
 
 class Replay:
@@ -18,12 +20,28 @@ class Replay:
 
     `cache` keeps the output of operators that are read more than once: "shared" those with
     several consumers, "all" every operator but the sink (for runs that look at each of them).
+
+    `merge` joins worlds that hold the same table: "nodes" as soon as they do, "sink" before they are
+    scored. Where all that an operator depends on reaches the sink through it alone, its output is
+    kept, worlds of equal content are found by fingerprint, and one of each goes on. Later operators
+    and scorers then only see worlds that differ; `alias` tells which world stands for each one that
+    was asked for, and `spread` gives a utility back to all of them. Merging at nodes saves work
+    where operators are dear, and costs a job for each. Only fingerprints, one per world, reach the
+    driver.
+
+    `given` are outputs that were computed before, by operator.
     """
 
-    def __init__(self, pipeline: Pipeline, worlds: Iterable[int] | None = None, cache: str = ""):
+    def __init__(
+        self, pipeline: Pipeline, worlds: Iterable[int] | None = None, cache: str = "", merge: str = "",
+        given: Mapping[str, WorldFrame] | None = None,
+    ):
         self.pipeline = pipeline
         self.required = frozenset(pipeline.all_worlds() if worlds is None else worlds)
+        self.alias = {w: w for w in self.required}
         self.cache = cache
+        self.merge = merge
+        self.given = dict(given or {})
         self._frames: dict[str, WorldFrame] = {}
         self._cached: list[DataFrame] = []
 
@@ -34,18 +52,56 @@ class Replay:
         """The output of one operator in all required worlds."""
         if name not in self._frames:
             op = self.pipeline.operators[name]
-            inputs = {p: self.node(p) for p in op.parents}
-            frame = op.body(inputs, self.state(name))
-            frame = frame.expand(self.pipeline.lineage_fields(name))
-            if self._consumers(name) > {"": MAX_PLAYERS, "shared": 1, "all": 0}[self.cache]:
-                frame.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
-                self._cached.append(frame.df)
+            frame = self._taken(name) if name in self.given else self._run(name, op)
+            if len(frame.worlds) > 1 and self._merges(name):
+                frame = self._merged(frame)
+            elif self._consumers(name) > {"": MAX_PLAYERS, "shared": 1, "all": 0}[self.cache]:
+                self._keep(frame)
             self._frames[name] = frame
         return self._frames[name]
 
+    def _run(self, name: str, op) -> WorldFrame:
+        inputs = {p: self.node(p) for p in op.parents}
+        for frame in inputs.values():
+            frame.required = self.required  # a merge further on may have left fewer worlds
+        return op.body(inputs, self.state(name)).expand(self.pipeline.lineage_fields(name))
+
+    def _taken(self, name: str) -> WorldFrame:
+        known = self.given[name]
+        frame = WorldFrame(known.df, self.required, known.fields, known.absent)
+        return frame if set(known.worlds) <= set(frame.worlds) else frame._like(frame.df.where(one_of(frame.worlds)))
+
+    def _keep(self, frame: WorldFrame) -> None:
+        frame.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached.append(frame.df)
+
+    def _merges(self, name: str) -> bool:
+        """Whether worlds merge here: what feeds this operator must reach the sink through it alone."""
+        if not self.merge or self.merge == "sink" and name != self.pipeline.sink:
+            return False
+        lineage = self.pipeline.lineage(name)
+        return all(set(op.parents).isdisjoint(lineage - {name}) for n, op in self.pipeline.operators.items() if n not in lineage)
+
+    def _merged(self, frame: WorldFrame) -> WorldFrame:
+        self._keep(frame)
+        first: dict[str, int] = {}
+        stands_for = {}
+        for r in world_fingerprints(frame).orderBy(W).collect():
+            stands_for[r[W]] = first.setdefault(r.fingerprint, r[W])
+        if len(first) == len(stands_for):
+            return frame
+        self.alias = {w: a & ~frame.fields | stands_for[a & frame.fields] for w, a in self.alias.items()}
+        self.required = frozenset(self.alias.values())
+        return WorldFrame(frame.df.where(one_of(first.values())), self.required, frame.fields, frame.absent)
+
     def sink(self) -> WorldFrame:
         return self.node(self.pipeline.sink)
 
+    def spread(self, utility: DataFrame) -> DataFrame:
+        """A utility (w, u) of the worlds that were left, for every world that was asked for."""
+        rows = local_table(utility.sparkSession, f"{W} long, __alias long", sorted(self.alias.items()))
+        return rows.join(utility.withColumnRenamed(W, "__alias"), "__alias").select(W, *[c for c in utility.columns if c != W])
+
     def release(self) -> None:
         for df in self._cached:
             df.unpersist()
@@ -55,6 +111,64 @@ class Replay:
         return sum(name in op.parents for op in self.pipeline.operators.values())
 
 
+# -- more worlds than one plan holds -------------------------------------------------------
+
+
+def batches(pipeline: Pipeline, worlds: Iterable[int], most: int = MAX_WORLDS) -> tuple[int, list[list[int]]]:
+    """(split, batches): lists of at most `most` worlds that differ from each other in the fields `split`.
+
+    Fields are split from the sink upwards, so that as many operators as possible come out the same
+    in every batch. Every world carries its own tag, so any number of batches is one result.
+    """
+    worlds, split = sorted(set(worlds)), 0
+    for name in reversed(pipeline.order):
+        if len(worlds) <= most:
+            return 0, [worlds]
+        if name in pipeline.fields:
+            split |= pipeline.fields[name].mask
+            groups: dict[int, list[int]] = {}
+            for w in worlds:
+                groups.setdefault(w & split, []).append(w)
+            if max(map(len, groups.values())) <= most:
+                break
+    out: list[list[int]] = [[]]
+    for key in sorted(groups):
+        if len(out[-1]) + len(groups[key]) > most:
+            out.append([])
+        out[-1] += groups[key]
+    return split, out
+
+
+def replay_batches(pipeline: Pipeline, worlds: Iterable[int], most: int = MAX_WORLDS, **options) -> Iterable[Replay]:
+    """Replays that together cover any number of worlds.
+
+    What the batches have in common is computed once: operators that no split field feeds are read
+    from checkpoints wherever an operator of a batch reads them.
+    """
+    split, lists = batches(pipeline, worlds, most)
+    given = {}
+    if split:
+        common = {n for n in pipeline.operators if not pipeline.lineage_fields(n) & split}
+        read = {p for n, op in pipeline.operators.items() if n not in common for p in op.parents if p in common}
+        every = {w & ~split for part in lists for w in part}
+        for name in sorted(read):
+            local = sorted({w & pipeline.lineage_fields(name) for w in every})
+            parts = [Replay(pipeline, local[k : k + most]).node(name) for k in range(0, len(local), most)]
+            df = stage(reduce(DataFrame.unionByName, [p.df for p in parts]))
+            given[name] = WorldFrame(df, frozenset(local), parts[0].fields, parts[0].absent)
+    for part in lists:
+        yield Replay(pipeline, part, given=given, **options)
+
+
+def utility_of(pipeline: Pipeline, worlds: Iterable[int], score: Callable[[WorldFrame], DataFrame], most: int = MAX_WORLDS, **options) -> DataFrame:
+    """(w, u) of any number of worlds; `score` gets the sink of at most `most` of them at a time."""
+    parts = []
+    for run in replay_batches(pipeline, worlds, most, **options):
+        parts.append(run.spread(score(run.sink())))
+        run.release()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def isolated(body: Callable) -> Callable:
     """Adapt a plain `(inputs, params) -> DataFrame` operator that knows nothing about worlds.
 

@@ -17,7 +17,7 @@ from blamesplit.functions.ordered import exact_quantile, head_fraction
 from blamesplit.plans.pipeline import Field, Operator
 
 W = "w"
-MAX_WORLDS = 4096  # bounds every per-world broadcast; larger requests are split by the caller
+MAX_WORLDS = 4096  # bounds every per-world broadcast; `replay_batches` splits larger requests
 
 
 def world_const(value: int) -> Column:

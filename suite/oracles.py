@@ -464,6 +464,34 @@ def sink_sharing():
     FROM masks JOIN prints USING (w) GROUP BY print, n_rows""")
 
 
+@oracle
+def many_worlds():
+    """Joined rows per state of the sources and the scale; thresholds and schemas are small tables."""
+    pipeline = customer_value.build(None, studies.MANY_FAULTS)
+    chains, fields, parts = Chains(pipeline, CUSTOMER), pipeline.fields, []
+    below = fields["load_customers"].mask | fields["load_transactions"].mask | fields["agg_transactions"].mask
+    for w in sorted({w & below for w in pipeline.every_world()}):
+        parts.append(f"SELECT CAST({w} AS BIGINT) AS base, total_amount, txn_count FROM {chains.node('join_features', w)}")
+    least = [(fields["filter_active"].world(c), k) for c, k in enumerate(range(1, 33))]
+    dropped = [(fields["encode_features"].world(c),) for c in range(8)]
+    ctes = [*chains.ctes, ("joined", "\nUNION ALL ".join(parts)), values("least", "f, k", least), values("dropped", "e", dropped),
+            ("bases", "SELECT DISTINCT base FROM joined"),
+            ("spent", """SELECT base, f, sum(CAST(round(total_amount * 100) AS BIGINT)) AS cents
+              FROM joined JOIN least ON txn_count >= k GROUP BY base, f""")]
+    return with_(ctes, """SELECT b.base | l.f | d.e AS w, CAST(coalesce(s.cents, 0) AS DOUBLE) AS u
+    FROM bases b CROSS JOIN least l CROSS JOIN dropped d LEFT JOIN spent s ON s.base = b.base AND s.f = l.f""")
+
+
+@oracle
+def merged_worlds():
+    study = studies.incident()
+    cols = ", ".join(f'"{c}"' for c in [*CUSTOMER_FEATURES, "label"])
+    ctes = [*study_utility(study),
+            ("shapes", f"SELECT w, count(*) AS n, sum(CAST(hash({cols}) AS HUGEINT)) AS h FROM sinks GROUP BY w")]
+    return with_(ctes, """SELECT w, u.u, min(w) OVER (PARTITION BY n, h) AS stands_for,
+      (SELECT count(DISTINCT (n, h)) FROM shapes) AS model_fits FROM shapes JOIN u USING (w)""")
+
+
 def numeric_of(name: str) -> list[str]:
     """Numeric columns of the customer pipeline's operators."""
     people = ["customer_id", "income", "tenure_days", "label"]
@@ -757,6 +785,15 @@ def shapley_exact():
     return with_(game_ctes(studies.incident()), phi_of(sql_shapley()))
 
 
+@oracle
+def shapley_many_players():
+    """An item that m players hold is worth 1/m to each of them."""
+    return """WITH h AS (SELECT DISTINCT source, n_chars FROM documents WHERE source IS NOT NULL),
+    m AS (SELECT n_chars, count(*) AS m FROM h GROUP BY n_chars)
+    SELECT 'coverage' AS scenario, 'shapley' AS method, h.source AS op, round(sum(1 / CAST(m.m AS DOUBLE)), 6) AS phi
+    FROM h JOIN m ON m.n_chars IS NOT DISTINCT FROM h.n_chars GROUP BY h.source"""
+
+
 @oracle
 def shapley_mc():
     return with_([*game_ctes(studies.incident()), *perm_ctes(False)], phi_of(sql_mc(False)))

@@ -14,7 +14,7 @@ from blamesplit.functions import ordered
 from blamesplit.functions import utility as ut
 from blamesplit.functions.local import local_table
 from blamesplit.operators import game as g
-from blamesplit.operators import lineage, scoring
+from blamesplit.operators import lattice, lineage, scoring
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, reports, trips
 from blamesplit.plans.replay import Replay
 from blamesplit.plans.reports import Study
@@ -480,6 +480,31 @@ def sink_sharing(spark, folder):
     return replay.sink_sharing(study.replay().sink(), len(study.pipeline.names), masks)
 
 
+@query
+def many_worlds(spark, folder):
+    """8192 worlds, more than one plan holds: batches over shared operators, one utility table."""
+    pipeline = customer(spark, folder, studies.MANY_FAULTS)
+    cents = F.sum(F.round(F.col("total_amount") * 100).cast("long"))
+
+    def spent(sink):
+        return ut.metric_utility(sink, F.coalesce(cents, F.lit(0)))
+
+    return replay.utility_of(pipeline, pipeline.every_world(), spent)
+
+
+@query
+def merged_worlds(spark, folder):
+    """Which world stands for which once equal tables are merged, and the utility trained on it."""
+    study = studies.incident(spark, Tables(spark, folder))
+    run = study.replay(merge="nodes")
+    sink = run.sink()
+    utility = coarse(ut.discriminant_utility(sink, customer_value.probe(study.tables), digits=SCORE_DIGITS))
+    alias = local_table(spark, "w long, stands_for long", sorted(run.alias.items()))
+    fitted = run.spread(utility).join(alias, "w").withColumn("model_fits", F.lit(len(sink.worlds)).cast("long"))
+    run.release()
+    return fitted
+
+
 # -- utility and game ----------------------------------------------------------------------
 
 
@@ -581,6 +606,19 @@ def shapley_exact(spark, folder):
     return rounded(g.exact_shapley(game, players), "phi")
 
 
+@query
+def shapley_many_players(spark, folder):
+    """Every source of documents is a player, and a coalition is worth the text lengths it covers."""
+    docs = Tables(spark, folder)("documents")
+    names = [r.source for r in docs.select("source").where("source IS NOT NULL").distinct().orderBy("source").collect()]
+    rows = [("coverage", s, 1 << k, False, True) for k, s in enumerate(names)]
+    players = local_table(spark, "scenario string, op string, bit long, anchored boolean, sensitive boolean", rows)
+    holds = docs.join(players.select(F.col("op").alias("source"), "bit"), "source")
+    items = holds.groupBy("n_chars").agg(F.bit_or("bit").alias("mask"))
+    game = lattice.coverage_game(items, len(names), "coverage")
+    return rounded(g.exact_shapley(game, players), "phi", digits=6)
+
+
 @query
 def shapley_mc(spark, folder):
     _, game, players = incident_game(spark, folder)
@@ -848,23 +886,29 @@ def scale_report(spark, folder):
     return rounded(rounded(table, "mc_max_err", "delta"), "reduction", digits=3)
 
 
-def incident_card(spark, folder, score) -> DataFrame:
+def incident_card(spark, folder, fit) -> DataFrame:
+    """One replay whose equal sinks are merged: what is left is trained and counted."""
     study = studies.incident(spark, Tables(spark, folder))
-    game, fits, frontier = side_by_side(
-        lambda: score(study),
-        lambda: reports.model_fits(study.replay().sink()),
-        lambda: reports.staged_rows(reports.frontier_size(study)),
-    )
+    probe = customer_value.probe(study.tables)
+
+    def play():
+        run = study.replay(merge="sink")
+        sink = run.sink()
+        game = study.game(run.spread(coarse(fit(sink, probe, digits=SCORE_DIGITS))))
+        run.release()
+        return game, len(sink.worlds)
+
+    (game, fits), frontier = side_by_side(play, lambda: reports.staged_rows(reports.frontier_size(study)))
     card = reports.incident_report(study, game, fits, frontier)
     return rounded(card, "phi", "delta", "v_anchor", "total_phi", "to_explain", "gap")
 
 
 @query
 def incident_report(spark, folder):
-    return incident_card(spark, folder, lambda study: scored(study)[0])
+    return incident_card(spark, folder, ut.discriminant_utility)
 
 
 @query
 def incident_report_lr(spark, folder):
     """The incident card with logistic regressions trained on every distinct sink."""
-    return incident_card(spark, folder, lambda study: study.game(logistic(study)))
+    return incident_card(spark, folder, ut.logistic_utility)

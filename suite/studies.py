@@ -26,6 +26,17 @@ ORDER_SCENARIOS = [
 ]
 
 
+#: Thousands of worlds: 32 thresholds x 8 scales x 8 schemas x two years of each source.
+MANY_FAULTS = {
+    "filter_active": [{"min_txn": k} for k in range(2, 33)],
+    "agg_transactions": [{"amount_scale": x} for x in (0.5, 2.0, 0.1, 10.0, 0.01, 100.0, 3.0)],
+    "encode_features": [
+        {"drop_columns": c}
+        for c in (("income",), ("tenure_days",), ("txn_count",), ("avg_amount",), ("income", "tenure_days"), ("income", "txn_count"), ("tenure_days", "avg_amount"))
+    ],
+}
+
+
 def incident(spark=None, tables=None) -> Study:
     return Study(spark, customer_value.build(tables, INCIDENT_FAULTS), [INCIDENT], tables)
 

@@ -197,3 +197,24 @@ def test_blame_over_all_orders_by_downsets(spark, world):
     assert {(r.scenario, r.op): (r.stagewise_min, r.stagewise_max) for r in found} == {k: (low[k], high[k]) for k in low}
     assert {r.n_orders for r in found} == {len(orders)}
     assert {(r.scenario, r.op): r.n_orders for r in reports.order_top_blamed(study, blame).collect()} == first
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5])
+def test_subset_sums_equal_brute_force(spark, chunk):
+    from blamesplit.operators import lattice
+
+    rng = random.Random(chunk)
+    rows = [(rng.randrange(32), rng.randrange(9)) for _ in range(40)] + [(None, 5), (40, 5)]
+    found = lattice.subset_sums(spark.createDataFrame(rows, "mask long, value long"), 5, chunk)
+    want = {m: sum(x for k, x in rows if k is not None and k < 32 and k & m == k) for m in range(32)}
+    assert {r.mask: r.total for r in found.collect()} == want
+
+
+def test_many_coalitions_are_made_by_the_executors(spark, monkeypatch, tables):
+    from blamesplit.plans import fan_in
+
+    pipeline = fan_in.build(tables, 3, 0, 0.9)
+    scenarios = {s: (pipeline, {n: 1 for n in pipeline.fields if n != skip}) for s, skip in (("a", ""), ("b", "load_0"))}
+    few = sorted(map(tuple, g.coalition_worlds(spark, scenarios).collect()))
+    monkeypatch.setattr(g, "MAX_LOCAL_ROWS", 1)
+    assert sorted(map(tuple, g.coalition_worlds(spark, scenarios).collect())) == few

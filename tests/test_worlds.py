@@ -213,3 +213,54 @@ def test_nan_is_missing_from_the_source_on(spark, tables):
     assert clean.where("customer_id % 3 = 0 OR isnan(income)").count() == 0
     loaded = tables("customer")
     assert loaded.schema == spark.read.parquet(f"{tables.folder}/customer.parquet").schema
+
+
+def rows_of(sink):
+    return ut.metric_utility(sink, F.sum(F.col("txn_count") * 7 + F.col("label")))
+
+
+def test_batches_give_what_one_replay_gives(tables):
+    pipeline = customer_value.build(tables, FAULTS)
+    worlds = pipeline.every_world()
+    split, lists = replay.batches(pipeline, worlds, 16)
+    assert split == pipeline.fields["encode_features"].mask | pipeline.fields["join_features"].mask
+    assert sorted(w for part in lists for w in part) == worlds and max(map(len, lists)) <= 16
+    assert replay.batches(pipeline, worlds[:5], 16) == (0, [worlds[:5]])
+    whole = {r.w: r.u for r in rows_of(Replay(pipeline, worlds).sink()).collect()}
+    for options in ({}, {"merge": "sink"}):
+        parts = replay.utility_of(pipeline, worlds, rows_of, most=16, **options)
+        assert {r.w: r.u for r in parts.collect()} == whole
+    some = worlds[::5]  # no lattice: batches of different sizes
+    assert {r.w: r.u for r in replay.utility_of(pipeline, some, rows_of, most=3).collect()} == {w: whole[w] for w in some}
+
+
+@pytest.mark.parametrize("merge", ["nodes", "sink"])
+def test_merged_worlds_stand_for_equal_tables(tables, merge):
+    """A threshold that nobody fails, or everybody, makes worlds equal; each stands for its like."""
+    faults = {"filter_active": [{"min_txn": 0}, {"min_txn": 10_000}, {"min_txn": 20_000}], "clean_customers": [{"null_rate": 0.5}]}
+    pipeline = customer_value.build(tables, faults)
+    worlds = pipeline.every_world()
+    plain = Replay(pipeline, worlds).sink()
+    run = Replay(pipeline, worlds, merge=merge)
+    sink = run.sink()
+    assert set(run.alias) == set(worlds) and set(run.alias.values()) == set(sink.worlds)
+    assert len(sink.worlds) < len(worlds)
+    prints = {r.w: r.fingerprint for r in replay.world_fingerprints(plain).collect()}
+    assert len(sink.worlds) == len(set(prints.values()))
+    assert all(prints[w] == prints[a] for w, a in run.alias.items())
+    assert same(sink.df.drop("w").distinct(), plain.df.drop("w").distinct())
+    want = {r.w: r.u for r in rows_of(plain).collect()}
+    assert {r.w: r.u for r in run.spread(rows_of(sink)).collect()} == want
+    run.release()
+
+
+def test_merging_stops_where_a_table_is_read_twice(tables):
+    """derive_time merges for both its readers; what one of them makes of it must wait for the other."""
+    pipeline = trips.build(tables, {op: [params] for op, params in catalogue.TRIP_FAULTS.values()})
+    worlds = [0, *pipeline.all_worlds()[-3:], pipeline.all_worlds()[5]]
+    run = Replay(pipeline, worlds, merge="nodes")
+    assert run._merges("derive_time") and not run._merges("zone_stats") and run._merges("encode")
+    sink, plain = run.sink(), Replay(pipeline, worlds).sink()
+    for w in worlds:
+        assert same(sink.world(run.alias[w]), plain.world(w))
+    run.release()
