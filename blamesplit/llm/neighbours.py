@@ -2,13 +2,14 @@
 
 Every valid vector belongs to one shard of about `SHARD_ROWS` vectors, chosen by a hash. In a shard,
 equal vectors share a node. The graph starts from random edges; nodes are inserted in batches: a
-greedy beam search from the entry (the node nearest to the mean) proposes neighbours, and robust
-pruning keeps a diverse few: walking outwards, a candidate is dropped if a kept one is nearer to it,
+greedy beam search proposes neighbours, starting from the nearest of many entry nodes, as clusters
+that lie apart need an entry each; and robust pruning keeps a diverse few: walking outwards, a candidate is dropped if a kept one is nearer to it,
 by the factor `ALPHA`, than the node itself. Edges are then mirrored, and nodes with too many are
 pruned again. The graphs are a table of their own, so a lost executor costs no index.
 
-A query set is cut into blocks, and each block meets each shard in one bounded unit of work: a beam
-search on the shard's graph, with exact distances in double precision for what it finds.
+Queries travel to the shards: every shard gets each query, and its graph is only copied for each
+further `QUERY_ROWS` of them, which bounds a unit of work. It is a beam search on the shard's graph,
+with exact distances in double precision for what it finds.
 """
 
 from __future__ import annotations
@@ -23,19 +24,25 @@ from pyspark.sql import functions as F
 from blamesplit.llm.jaccard import units
 from blamesplit.llm.staging import written
 
-SHARD_ROWS, QUERY_ROWS = 8192, 2048
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 48, 64, 1.2
+SHARD_ROWS, QUERY_ROWS = 8192, 65_536
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 192, 1.2
 #: Nodes that are expanded, and searches that run, at once.
 EXPANDED, BATCH = 4, 512
+#: Entry nodes of a graph, and those nearest to a query from which its search starts.
+ENTRIES, STARTS = 512, 8
 
 
 class Graph:
     """Distinct vectors as nodes, and each node's out-edges; -1 fills up."""
 
     def __init__(self, x: np.ndarray, edges: np.ndarray):
-        self.x, self.edges = x, edges
+        # by a power of two, which rounds nothing, so that squares stay finite
+        self.scale = x.dtype.type(2.0 ** int(np.frexp(np.abs(x).max(initial=0))[1]))
+        self.x, self.edges = x / self.scale, edges
+        x = self.x
         self.norm = np.einsum("nd,nd->n", x, x)
-        self.entry = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if len(x) else 0
+        # entries spread like the nodes themselves, so every cluster of some size holds one
+        self.entries = np.random.default_rng(5).permutation(len(x))[:ENTRIES]
 
     def distances(self, q: np.ndarray, q_norm: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its own list of nodes; far for -1."""
@@ -43,14 +50,21 @@ class Graph:
         return np.where(nodes < 0, np.inf, np.maximum(d, 0))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes that a beam search keeps for each query, nearest first, and squared distances."""
+        """The nodes that a beam search keeps for each query, nearest first, and squared distances,
+        scaled like the graph."""
+        q = q / self.scale
         n, q_norm = len(q), np.einsum("nd,nd->n", q, q)
         nodes = np.full((n, beam), -1, np.int64)
         far = np.full((n, beam), np.inf, q.dtype)
         done = np.ones((n, beam), bool)
-        nodes[:, 0] = self.entry
-        far[:, :1] = self.distances(q, q_norm, nodes[:, :1])
-        done[:, 0] = False
+        if not len(self.x):
+            return nodes, far
+        d = q_norm[:, None] + self.norm[self.entries] - 2 * q @ self.x[self.entries].T
+        first = np.argsort(d, 1, kind="stable")[:, : min(STARTS, beam)]
+        begun = first.shape[1]
+        nodes[:, :begun] = self.entries[first]
+        far[:, :begun] = np.maximum(np.take_along_axis(d, first, 1), 0)
+        done[:, :begun] = False
         going = np.arange(n)
         while len(going):
             at = np.argsort(np.where(done[going], np.inf, far[going]), 1, kind="stable")[:, :EXPANDED]
@@ -145,7 +159,9 @@ def _valid(v: Column) -> Column:
 
 
 def _vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    v = F.col(vector).cast("array<float>")
+    """Valid rows (vec_id, v). Floats stay floats; other numbers become doubles."""
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    v = F.col(vector).cast(kind)
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
 
 
@@ -157,6 +173,7 @@ def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", shar
     rows without id. Vectors of other lengths live in graphs of their own.
     """
     vectors = _vectors(df, vec_id, vector)
+    kind = dict(vectors.dtypes)["v"]
     shards = max(1, -(-vectors.count() // shard_rows))
     keyed = vectors.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
     dealt = keyed.repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "vec_id")
@@ -180,26 +197,30 @@ def index(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", shar
                 ["dim", "shard", "node", "ids", "v", "edges"],
             )
 
-    return written(dealt.mapInArrow(run, "dim int, shard int, node int, ids array<long>, v array<float>, edges array<int>"))
+    return written(dealt.mapInArrow(run, f"dim int, shard int, node int, ids array<long>, v {kind}, edges array<int>"))
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each valid query the `k` nearest found, or all if fewer,
     by Euclidean distance, ties to the smaller id; rows of the query's own id are not candidates.
 
-    Repeated queries are answered once; repeated rows of the index count each. No query, or an empty
-    index, gives no rows.
+    Every distinct (id, vector) is a query, so an id with several vectors has several answers; equal
+    rows are answered once. Repeated rows of the index count each. No query, or an empty index, gives
+    no rows.
     """
-    asked = _vectors(queries, vec_id, vector).dropDuplicates(["vec_id"])
+    kind = dict(graphs.dtypes)["v"]
+    asked = _vectors(queries, vec_id, vector).select("vec_id", F.col("v").cast(kind).alias("v")).dropDuplicates(["vec_id", "v"])
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    places = graphs.select("dim", "shard").distinct()
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("v"))
-    common = ["dim", "shard", "block", "node", "ids", "v", "edges"]
-    one = asked.join(places, "dim").select(
-        "dim", "shard", "block", F.lit(-1).alias("node"), F.array("vec_id").alias("ids"), "v", F.array().cast("array<int>").alias("edges")
+    last = graphs.agg(F.max("shard")).first()[0]
+    if last is None:
+        return asked.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    one = asked.select(
+        F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"), block.alias("block"),
+        F.lit(-1).alias("node"), F.array(F.col("vec_id"), F.xxhash64("v")).alias("ids"), "v", F.array().cast("array<int>").alias("edges"),
     )
-    other = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*common)
-    rows = one.unionByName(other).repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "node")
+    other = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*one.columns)
+    rows = one.unionByName(other).repartition((last + 1) * blocks, "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in units(batches, 3):
@@ -214,20 +235,20 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
                 edges[i, : len(e)] = e
             ids = unit["ids"].to_pylist()
             g = Graph(x, edges)
-            out: list[tuple[int, int, float]] = []
+            out: list[tuple[int, int, int, float]] = []
             for at in range(0, n_queries, BATCH):
                 found, _ = g.search(q[at : at + BATCH], min(max(SEARCH_BEAM, 2 * k), len(x)))
                 for j, row in enumerate(found):
-                    own = ids[at + j][0]
+                    own, key = ids[at + j]
                     row = row[row >= 0]
                     exact = np.sqrt(((x[row].astype(float) - q[at + j].astype(float)) ** 2).sum(1))
                     near = sorted((s, i) for s, r in zip(exact.tolist(), row.tolist(), strict=True) for i in ids[n_queries + r][: k + 1] if i != own)[:k]
-                    out += [(own, i, s) for s, i in near]
+                    out += [(own, key, i, s) for s, i in near]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], ["query_id", "key", "vec_id", "score"])
 
-    found = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = rows.mapInArrow(run, "query_id long, key long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "key").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
