@@ -59,7 +59,9 @@ NAME = re.compile(r"/?([a-zA-Z][^\s/>\x00]*)")
 ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?")
 TAG_END = re.compile(r"[\s/]*>")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+LATE_COMMENT_END = re.compile(r"--!?>")
+#: Elements of other languages, in which self-closed tags are empty, and those that lead back to HTML.
+FOREIGN, HOMEWARD = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml"))
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
@@ -97,9 +99,13 @@ class Tree:
             if open_ > at:
                 self._text(m[at:open_])
             if name is None:
-                stop = "-->" if m.startswith("<!--", open_) else ">"
-                end = m.find(stop, open_ + (2 if stop == "-->" else 1))
-                at = n if end < 0 else end + len(stop)
+                if m.startswith(("<!-->", "<!--->"), open_):
+                    at = m.find(">", open_) + 1
+                elif m.startswith("<!--", open_):
+                    late = LATE_COMMENT_END.search(m, open_ + 4)
+                    at = late.end() if late else n
+                else:
+                    at = m.find(">", open_) + 1 or n
                 continue
             tag, attributes, at = name.group(1).lower(), {}, name.end()
             while not (end := TAG_END.match(m, at)):
@@ -116,6 +122,9 @@ class Tree:
                 self._end(tag)
                 continue
             node = self._start(tag, attributes)
+            if m[at - 2] == "/" and (tag in FOREIGN or self._foreign()):
+                self._pop(node)
+                continue
             if tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(m, at)
                 stop = close.start() if close else n
@@ -127,6 +136,13 @@ class Tree:
                 self._pop(node)
                 at = n if close is None else m.find(">", stop) + 1 or n
 
+    def _foreign(self) -> bool:
+        """Whether the page is inside an element of another language."""
+        for x in reversed(self.stack):
+            if x.tag in FOREIGN or x.tag in HOMEWARD:
+                return x.tag in FOREIGN
+        return False
+
     def _pop(self, node: Node) -> None:
         if node in self.stack[1:]:
             while self.stack.pop() is not node:
@@ -243,13 +259,27 @@ class Tree:
             self.stack[-1].children.append(said)
 
 
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, body) of a style sheet's innermost blocks, comments left out, in one pass."""
+    parts, at = [], 0
+    while (begin := sheet.find("/*", at)) >= 0 and (end := sheet.find("*/", begin + 2)) >= 0:
+        parts.append(sheet[at:begin])
+        at = end + 2
+    parts.append(sheet[at:])
+    for block in "".join(parts).split("}")[:-1]:
+        head, brace, body = block.rpartition("{")
+        selectors = head.rpartition("{")[2]
+        if brace and selectors:
+            yield selectors, body
+
+
 class Styles:
     """What single-selector rules (tag, .class or #id) hide or show."""
 
     def __init__(self, sheets: list[str]):
         self.rules: dict[str, tuple[bool, str | None]] = {}
         for sheet in sheets:
-            for selectors, body in RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+            for selectors, body in rules(sheet):
                 gone, seen = bool(NO_DISPLAY.search(body)), VISIBILITY.search(body)
                 if gone or seen:
                     for s in selectors.split(","):

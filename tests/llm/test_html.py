@@ -126,3 +126,31 @@ def test_every_word_of_table_soup_is_shown(soup):
 )
 def test_stray_equals_sign_in_a_tag(markup, want):
     assert rendered_page(markup) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "said"),
+    [
+        ("<svg><title/></svg>hello", "hello"),
+        ("<svg><style/></svg>hello", "hello"),
+        ("<p>a<svg><g/><path d='x'/></svg>b", "ab"),
+        ("<math><mi/></math>hello<script/>x</script> y", "hello y"),
+        ("a<!--x--!>b", "ab"),
+        ("a<!-->b", "ab"),
+        ("a<!--->b", "ab"),
+        ("a<!--x->y-->b", "ab"),
+        ("<style>/* p{display:none} /* */ b { display : none }</style><p>a<b>c</b>", "a"),
+        ("<style>p{display:none</style><p>a", "a"),
+    ],
+)
+def test_pages_that_once_lost_their_end(page, said):
+    assert rendered_page(page).strip() == said
+
+
+def test_long_sheets_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for sheet in ("a" * 1_000_000, "/*" * 500_000, "a{" * 500_000, "}" * 1_000_000):
+        assert rendered_page(f"<style>{sheet}</style>hello").strip() == "hello"
+    assert time.perf_counter() - start < 20
