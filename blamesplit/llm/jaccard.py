@@ -363,12 +363,17 @@ def jaccard_join(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of `df` for each class, with all its columns: the one of the least id, where one has an id."""
+    """One row of `df` for each class, with all its columns: the one of the least id, where one has an id.
+
+    A null text counts as empty; all texts without words that are equal are one class; repeated rows
+    are one; an empty table stays empty. The columns travel in one struct, so they may have any name.
+    """
     _, reps = classes(df, doc_id, text)
-    best = reps.where("key = keeper").select(F.col("key").alias("__key"), F.col("doc_id").alias("__id"))
-    keyed = df.withColumn("__key", F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).withColumn("__id", F.col(doc_id).cast("long"))
-    chosen = keyed.join(best, (keyed["__key"] == best["__key"]) & keyed["__id"].eqNullSafe(best["__id"]), "left_semi")
-    return chosen.dropDuplicates(["__key", "__id"]).drop("__key", "__id")
+    best = reps.where("key = keeper").select("key", F.col("doc_id").alias("id"))
+    boxed = df.select(F.struct("*").alias("row"))
+    keyed = boxed.select("row", F.md5(F.coalesce(F.col(f"row.{text}").cast("string"), F.lit(""))).alias("key"), F.col(f"row.{doc_id}").cast("long").alias("id"))
+    chosen = keyed.join(best, (keyed["key"] == best["key"]) & keyed["id"].eqNullSafe(best["id"]), "left_semi")
+    return chosen.dropDuplicates(["key", "id"]).select("row.*")
 
 
 ORACLE = """

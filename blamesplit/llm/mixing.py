@@ -121,9 +121,14 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
 
 
 def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
-    """The rows of `df`, with all columns, as often as the mix takes them."""
-    names = df.columns
-    rows = _hashed(df, doc_id, text, source)
+    """The rows of `df`, with all columns, as often as the mix takes them.
+
+    A null or wordless text has size 0 and stays once for each whole time its source is taken, and
+    once more by its hash; rows equal in id and text go together; an empty table stays empty. The
+    columns travel in one struct, so they may have any name.
+    """
+    boxed = df.select(F.struct("*").alias("row"))
+    rows = _hashed(boxed, f"row.{doc_id}", f"row.{text}", f"row.{source}")
     base = written(rows.select(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__h").alias("h")))
     cuts = written(thresholds(base, weights))
     if cuts.count() <= FEW_SOURCES:
@@ -133,7 +138,7 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     else:
         rows = _dealt(rows, cuts)
     times = F.explode(F.array_repeat(F.lit(1), F.col("__repeats")))  # an empty array drops the row
-    return rows.withColumn("__time", times).select(*names)
+    return rows.withColumn("__time", times).select("row.*")
 
 
 def _prefix(level: int) -> Column:

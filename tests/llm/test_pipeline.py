@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from blamesplit.llm import bytenet, private
+from blamesplit.llm import bytenet, jaccard, mixing, private
 from blamesplit.llm.staging import written
 from blamesplit.llm.texts import flat
 from tests.llm import test_jaccard, test_mixing
@@ -84,3 +84,28 @@ def test_tokens(steps):
 def test_run_is_the_stages_in_turn(spark, steps):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == steps[-1].columns and got.count() > 0
+
+
+CLASHING = "__key string, __id string, __size int, __h int, __salt int, __time int, __cut int, __repeats int, __look string, look string, `row` string, key string, id long"
+
+
+def test_columns_may_have_any_name(spark):
+    """Columns named like internal ones come through every stage that keeps columns."""
+    rows = [(k, f"the {k} small text with words number {k} and more of them", "en", "ab"[k % 2], 9, *["v", "w", 1, 2, 3, 4, 5, 6, "z", "y", "x", "q", k]) for k in range(20)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    only = jaccard.deduplicated(docs)
+    assert only.columns == docs.columns and sorted(map(tuple, only.collect())) == sorted(set(rows))
+    clean = private.redacted(docs, private.trained(docs))
+    assert clean.columns == docs.columns and clean.count() == 22
+    taken = mixing.mixed(docs)
+    assert taken.columns == docs.columns and {r[7:] for r in map(tuple, taken.collect())} <= {r[7:] for r in rows}
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert jaccard.deduplicated(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs.limit(0)).count() == 0
+    assert private.redacted(docs.limit(0), private.trained(docs)).count() == 0
+    some = docs.where("doc_id < 10")
+    twice = some.unionByName(some)
+    assert jaccard.deduplicated(twice).count() == jaccard.deduplicated(some).count()
