@@ -6,9 +6,11 @@ worlds differ only by their data.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -24,7 +26,6 @@ from blamesplit.plans.worlds import W, WorldFrame, settled
 LABEL = "label"
 MIN_ROWS = 50
 NO_SKILL = 0.5
-MAX_CALL_ROWS = 1_000_000
 
 
 def listed_worlds(frame: WorldFrame) -> DataFrame:
@@ -304,22 +305,62 @@ def single_logistic_auc(train: DataFrame, probe: DataFrame, label: str = LABEL)
     return judge.evaluate(model.transform(assembler.transform(scaled_probe)))
 
 
-def python_utility(sink: WorldFrame, score: Callable) -> DataFrame:
-    """Any Python `table -> float`, one world per call.
+@dataclass(frozen=True)
+class Fold:
+    """A user's utility in three steps, so that no task ever holds a world.
 
-    Each call holds one world's sink, so worlds above `MAX_CALL_ROWS` rows are refused; write
-    those utilities as a DataFrame aggregate (`metric_utility`) or a tagged fit.
+    `partial` reduces some rows of one world (an Arrow table without the world tag) to a state,
+    `merge` puts two states of a world together, in any order and grouping, and `finish` turns the
+    last one into the utility. States are bytes of the user's own making.
     """
-    largest = sink.df.groupBy(W).count().agg(F.max("count")).first()[0] or 0
-    if largest > MAX_CALL_ROWS:
-        raise ValueError(f"a world has {largest} rows, more than one Python call may hold")
 
-    def one(key, pdf):
-        import pandas as pd
+    partial: Callable[[pa.Table], bytes]
+    merge: Callable[[bytes, bytes], bytes]
+    finish: Callable[[bytes], float]
 
-        return pd.DataFrame({W: [key[0]], "u": [float(score(pdf.drop(columns=[W])))]})
 
-    found = sink.df.groupBy(W).applyInPandas(one, f"{W} long, u double")
-    return listed_worlds(sink).join(found, W, "left").select(
-        W, F.coalesce("u", F.lit(NO_SKILL)).alias("u")
-    )
+def python_utility(sink: WorldFrame, fold: Fold) -> DataFrame:
+    """(w, u) by a user's Python: worlds may have any number of rows, an empty one scores 0.5.
+
+    Each task reduces its batches to one state per world; the states of a world, one per task at
+    most, meet in a stream that holds one of them at a time.
+    """
+    states = sink.df.mapInArrow(_reduced(fold), f"{W} long, state binary")
+    dealt = states.repartition(W).sortWithinPartitions(W)
+    found = dealt.mapInArrow(_finished(fold), f"{W} long, u double")
+    return listed_worlds(sink).join(found, W, "left").select(W, F.coalesce("u", F.lit(NO_SKILL)).alias("u"))
+
+
+def _reduced(fold: Fold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, bytes] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for w in pc.unique(table[W]).to_pylist():
+                state = fold.partial(table.filter(pc.equal(table[W], w)).drop_columns(W))
+                states[w] = fold.merge(states[w], state) if w in states else state
+        yield pa.RecordBatch.from_arrays([pa.array(states.keys(), pa.int64()), pa.array(states.values(), pa.binary())], [W, "state"])
+
+    return run
+
+
+def _finished(fold: Fold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, b""
+        for batch in batches:
+            done = []
+            for w, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if w == now:
+                    state = fold.merge(state, more)
+                    continue
+                if now is not None:
+                    done.append((now, fold.finish(state)))
+                now, state = w, more
+            yield _utilities(done)
+        yield _utilities([(now, fold.finish(state))] if now is not None else [])
+
+    return run
+
+
+def _utilities(rows: list[tuple[int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.int64()), pa.array([float(u) for _, u in rows], pa.float64())], [W, "u"])

@@ -224,6 +224,17 @@ def model_fits(sink: WorldFrame) -> int:
     return world_fingerprints(sink).agg(F.count_distinct("fingerprint")).first()[0]
 
 
+def costs(study: Study, alias: Mapping[int, int]) -> DataFrame:
+    """(scenario, n_operators, lattice, model_fits): the size of each scenario's game, and the worlds
+    that were scored for it once equal sinks were merged (`Replay.alias`)."""
+    n = len(study.pipeline.names)
+    rows = [
+        (name, n, 1 << n, len({alias[w] for w in pipeline.all_worlds(choice)}))
+        for name, (pipeline, choice) in study.scenarios.items()
+    ]
+    return local_table(study.spark, "scenario string, n_operators long, lattice long, model_fits long", rows)
+
+
 def frontier_size(study: Study) -> DataFrame:
     """(scenario, frontier): operators that change their own output when only they are flipped."""
     changed = active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents})
@@ -361,8 +372,8 @@ def benign_summary(study: Study, game: DataFrame, players: DataFrame) -> DataFra
 # -- severity ladders ----------------------------------------------------------------------
 
 
-def ladder(study: Study, game: DataFrame, players: DataFrame, attribution: DataFrame) -> DataFrame:
-    """One row per fault and severity: damage, fault-to-drift ratio, gaps, score per method."""
+def ladder(study: Study, game: DataFrame, players: DataFrame, attribution: DataFrame, cost: DataFrame) -> DataFrame:
+    """One row per fault and severity: damage, fault-to-drift ratio, gaps, cost, score per method."""
     culprits = study.culprits()
     methods = [m for m in METHODS]
     judged = scoring.scores(attribution, culprits)
@@ -383,9 +394,11 @@ def ladder(study: Study, game: DataFrame, players: DataFrame, attribution: DataF
         .join(single_effects(game, players, culprits), "scenario")
         .join(gaps, "scenario")
         .join(wide, "scenario")
+        .join(cost, "scenario")
         .select(
             "fault_type", "severity", "culprit", "delta", "fault_alone", "drift_alone",
             ratio.alias("ratio"), "anchored_eff_gap", "loo_eff_gap",
+            *[c for c in cost.columns if c != "scenario"],
             (F.abs("delta") >= MEASURABLE).alias("measurable"),
             *[f"{m}_{c}" for m in methods for c in ("p_at_1", "mrr")],
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from blamesplit.plans import catalogue, customer_value, fan_in, trips
+from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.reports import COARSE_BINS, RATIO_BINS, Study
 from suite import queries as q
 from suite import studies
@@ -54,6 +55,42 @@ def scan_parquet_project():
     return f"SELECT {', '.join(q.SCAN_COLUMNS)} FROM lineitem"
 
 
+@oracle
+def csv_scan():
+    return "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier"
+
+
+@oracle
+def table_write():
+    return of_node(customer_chains(), "filter_active", 0, "customer_id, txn_count, total_amount")
+
+
+@oracle
+def csv_report():
+    return """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n_rows
+    FROM events GROUP BY ALL HAVING count(*) >= 10"""
+
+
+@oracle
+def incident_json():
+    return f"""SELECT i.scenario, i.delta, i.model_fits, i.op, i.phi, i.is_culprit, i.anchored AS is_source
+    FROM ({incident_card(utility_ctes)}) i"""
+
+
+@oracle
+def user_operator():
+    pipeline = customer_value.build(None, q.FILL_CHECK_FAULTS)
+    chains, parts = Chains(pipeline, CUSTOMER), []
+    kept = {n: pipeline.operators[n] for n in pipeline.names if n != pipeline.sink}
+    mine = Pipeline([*kept.values(), Operator("by_segment", ("filter_active",), None, {"least": 1}, ({"least": 4},))], "by_segment")
+    for w in mine.every_world():
+        choice = {n: f.choice(w) for n, f in mine.fields.items()}
+        source = chains.node("filter_active", pipeline.world(choice, choice))
+        parts.append(f"""SELECT CAST({w} AS BIGINT) AS w, segment, count(*) AS n_people, CAST(sum(txn_count) AS BIGINT) AS n_orders
+          FROM {source} WHERE txn_count >= {(1, 4)[choice['by_segment']]} GROUP BY segment""")
+    return with_(chains.ctes, "\nUNION ALL ".join(parts))
+
+
 @oracle
 def canonical_columns():
     return "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
@@ -525,10 +562,9 @@ def node_profiles():
     return with_(chains.ctes, "\nUNION ALL ".join(parts))
 
 
-@oracle
-def active_frontier():
-    study = studies.gate()
-    pipeline, chains, flips, parts = study.pipeline, Chains(study.pipeline, CUSTOMER), {}, []
+def frontier_ctes(study: Study, bodies, prefix: str = "") -> list[tuple[str, str]]:
+    """{prefix}front(scenario, op, changed): the tables of an operator before and after only it flips."""
+    pipeline, chains, flips, parts = study.pipeline, Chains(study.pipeline, bodies, prefix), {}, []
     for i in study.incidents:
         choice = study.choice(i)
         for n in pipeline.fields:
@@ -542,9 +578,14 @@ def active_frontier():
                   OR EXISTS ((SELECT * FROM {b}) EXCEPT ALL (SELECT * FROM {a}))"""
                 if pipeline.operators[n].params(choice[n]).get("drop_columns"):
                     differ = "TRUE"  # another column set
-                flips[n, w] = (f"flip_{len(flips)}", f"SELECT {differ} AS changed")
+                flips[n, w] = (f"{prefix}flip_{len(flips)}", f"SELECT {differ} AS changed")
             parts.append(f"SELECT '{i.name}' AS scenario, '{n}' AS op, changed FROM {flips[n, w][0]}")
-    return with_([*chains.ctes, *flips.values()], "\nUNION ALL ".join(parts))
+    return [*chains.ctes, *flips.values(), (f"{prefix}front", "\nUNION ALL ".join(parts))]
+
+
+@oracle
+def active_frontier():
+    return with_(frontier_ctes(studies.gate(), CUSTOMER), "SELECT * FROM front")
 
 
 # -- utility and game ----------------------------------------------------------------------
@@ -767,6 +808,17 @@ def game_values():
     FROM (SELECT unnest(range(0, {full + 1})) AS m) JOIN game ON game.mask = m & {core}""")
 
 
+@oracle
+def utility_python():
+    study = studies.incident()
+    chains = Chains(study.pipeline, CUSTOMER)
+    sinks = chains.tagged_sinks(CUSTOMER_FEATURES, study.worlds())
+    worlds = values("worlds", "w", [(w,) for w in study.worlds()])
+    return with_([*chains.ctes, ("sinks", sinks), worlds, ("m", """SELECT w, coalesce(sum(txn_count) FILTER (label = 1) / CAST(count(*) FILTER (label = 1) AS DOUBLE), 0)
+      - coalesce(sum(txn_count) FILTER (label = 0) / CAST(count(*) FILTER (label = 0) AS DOUBLE), 0) AS u
+      FROM sinks WHERE txn_count IS NOT NULL GROUP BY w""")], f"SELECT w, {r8('coalesce(u, 0.5)')} AS u FROM worlds LEFT JOIN m USING (w)")
+
+
 @oracle
 def probe_table():
     chains = probe_chains("customer_value")
@@ -1024,6 +1076,8 @@ def ladder_ctes(study: Study, kind: str) -> list[tuple[str, str]]:
         else drift_ctes(study, Chains(study.pipeline, TRIPS, "d_"), trip_numeric)
     )
     names = [(i.name, *i.name.split("/", 1), i.culprits[0]) for i in study.incidents]
+    features = CUSTOMER_FEATURES if kind == "customer_value" else TRIP_FEATURES
+    cols = ", ".join(f'"{c}"' for c in [*features, "label"])
     methods = ", ".join(
         f"max({c}) FILTER (method = '{m}') AS {m}_{c}"
         for m in ("shapley", "anchored", "loo", "drift", "stagewise") for c in ("p_at_1", "mrr")
@@ -1040,10 +1094,13 @@ def ladder_ctes(study: Study, kind: str) -> list[tuple[str, str]]:
           LEFT JOIN culprits c ON c.scenario = p.scenario AND c.op = p.op GROUP BY p.scenario"""),
         ("gap_wide", """SELECT scenario, max(abs(total_phi - to_explain)) FILTER (method = 'anchored') AS anchored_eff_gap,
             max(abs(total_phi - to_explain)) FILTER (method = 'loo') AS loo_eff_gap FROM gaps GROUP BY scenario"""),
-        ("ladder", """SELECT fault_type, severity, culprit, delta, fault_alone, drift_alone,
-            abs(fault_alone) / greatest(drift_alone, 1e-9) AS ratio, anchored_eff_gap, loo_eff_gap,
+        ("shapes", f"SELECT w, count(*) AS n, sum(CAST(hash({cols}) AS HUGEINT)) AS h FROM sinks GROUP BY w"),
+        ("cost", """SELECT c.scenario, count(DISTINCT (coalesce(s.n, 0), coalesce(s.h, 0))) AS model_fits
+          FROM coalitions c LEFT JOIN shapes s ON s.w = c.w GROUP BY c.scenario"""),
+        ("ladder", """SELECT scenario, fault_type, severity, culprit, delta, fault_alone, drift_alone,
+            abs(fault_alone) / greatest(drift_alone, 1e-9) AS ratio, anchored_eff_gap, loo_eff_gap, model_fits,
             abs(delta) >= 0.002::DOUBLE AS measurable, method_scores.* EXCLUDE (scenario)
-          FROM names JOIN totals USING (scenario) JOIN alone USING (scenario)
+          FROM names JOIN totals USING (scenario) JOIN alone USING (scenario) JOIN cost USING (scenario)
           JOIN gap_wide USING (scenario) JOIN method_scores USING (scenario)"""),
     ]
 
@@ -1056,7 +1113,7 @@ def severity_ladder():
     numbers = ", ".join(f"{r8(c)} AS {c}" for c in q.LADDER_NUMBERS)
     scores = ", ".join(f"round({m}_{c}, 6) AS {m}_{c}" for m in METHODS for c in ("p_at_1", "mrr"))
     return with_(ladder_ctes(studies.ladder(), "customer_value"),
-                 f"SELECT fault_type, severity, culprit, measurable, {numbers}, {scores} FROM ladder", True)
+                 f"SELECT fault_type, severity, culprit, measurable, model_fits, {numbers}, {scores} FROM ladder", True)
 
 
 @oracle
@@ -1106,12 +1163,16 @@ def method_agreement():
 
 @oracle
 def case_validity():
-    return with_(ladder_ctes(studies.trip_ladder(), "trips"), f"""SELECT fault_type, severity, culprit,
+    study = studies.trip_ladder()
+    n = len(study.pipeline.names)
+    return with_([*ladder_ctes(study, "trips"), *frontier_ctes(study, TRIPS, "f_")], f"""SELECT fault_type, severity, culprit,
     {r8('delta')} AS delta, {r8('fault_alone')} AS fault_alone,
     delta <= -0.002::DOUBLE AS degraded, fault_alone <= -0.002::DOUBLE AS harmful,
     delta <= -0.002::DOUBLE AND fault_alone <= -0.002::DOUBLE AS valid,
     CASE WHEN fault_alone > -0.002::DOUBLE THEN 'fault does no harm'
-         WHEN delta > -0.002::DOUBLE THEN 'no net degradation' ELSE 'valid' END AS reason FROM ladder""", True)
+         WHEN delta > -0.002::DOUBLE THEN 'no net degradation' ELSE 'valid' END AS reason,
+    CAST({n} AS BIGINT) AS n_operators, CAST({1 << n} AS BIGINT) AS lattice, model_fits,
+    (SELECT count(*) FROM f_front f WHERE f.scenario = ladder.scenario AND changed) AS frontier FROM ladder""", True)
 
 
 @oracle

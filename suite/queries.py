@@ -6,6 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,11 +14,14 @@ from blamesplit.functions import columns as fc
 from blamesplit.functions import ordered
 from blamesplit.functions import utility as ut
 from blamesplit.functions.local import local_table
+from blamesplit.functions.stage import shared_folder
 from blamesplit.operators import game as g
 from blamesplit.operators import lattice, lineage, scoring
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, reports, trips
+from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.replay import Replay
 from blamesplit.plans.reports import Study
+from blamesplit.sources import files
 from blamesplit.sources import tables as src
 from blamesplit.sources.tables import Tables
 from suite import studies
@@ -107,6 +111,70 @@ def partition_census(spark, folder):
     return census.select(F.col("day").cast("string").alias("day"), "n_rows", "thin")
 
 
+def shared_path(spark, name: str) -> str:
+    """A new place in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@query
+def csv_scan(spark, folder):
+    """Suppliers written as CSV and read under a declared schema; empty text is missing."""
+    firms = Tables(spark, folder)("supplier").select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+    path = shared_path(spark, "suppliers")
+    files.write_table(firms, path, "csv")
+    return src.read_csv(spark, path, "s_suppkey long, s_name string, s_nationkey long, s_acctbal double")
+
+
+@query
+def table_write(spark, folder):
+    """Active customers written as Parquet and read back through the column contract."""
+    active = Replay(customer(spark, folder), [0]).node("filter_active").world(0)
+    path = shared_path(spark, "active")
+    files.write_table(active, path)
+    names = ["customer_id", "txn_count", "total_amount"]
+    return src.require_columns(src.canonical_columns(spark.read.parquet(path), names), names, "active").select(*names)
+
+
+@query
+def csv_report(spark, folder):
+    """Events by type and day as a CSV report, read again with casts; only valid rows count."""
+    events = Tables(spark, folder)("events").withColumn("day", F.to_date("ts").cast("string"))
+    counted = events.groupBy("event_type", "day").agg(F.count("*").alias("n_rows"))
+    path = shared_path(spark, "report")
+    files.write_csv_report(counted.withColumn("valid", F.col("n_rows") >= 10), path)
+    return files.read_csv_report(spark, path, {"n_rows": "long"}, "valid").select("event_type", "day", "n_rows")
+
+
+@query
+def incident_json(spark, folder):
+    """The incident card written as JSON and read again, a row per operator."""
+    card = incident_card(spark, folder, ut.discriminant_utility)
+    path = shared_path(spark, "incident")
+    files.write_incident_json(card, path, ["scenario", "delta", "model_fits"])
+    shape = "scenario string, delta double, model_fits long, attribution map<string, double>, culprits array<string>, sources array<string>"
+    found = spark.read.schema(shape).json(path)
+    blame = found.select("scenario", "delta", "model_fits", "culprits", "sources", F.explode("attribution").alias("op", "phi"))
+    return blame.select(
+        "scenario", "delta", "model_fits", "op", "phi",
+        F.array_contains("culprits", F.col("op")).alias("is_culprit"), F.array_contains("sources", F.col("op")).alias("is_source"),
+    )
+
+
+@query
+def user_operator(spark, folder):
+    """A user's plain operator, one that knows nothing of worlds, at the end of the customer pipeline."""
+
+    def by_segment(inputs, params):
+        people = inputs["filter_active"].where(F.col("txn_count") >= params["least"])
+        return people.groupBy("segment").agg(F.count("*").alias("n_people"), F.sum("txn_count").alias("n_orders"))
+
+    base = customer(spark, folder, FILL_CHECK_FAULTS)
+    ops = [base.operators[n] for n in base.names if n != base.sink]
+    ops.append(Operator("by_segment", ("filter_active",), replay.isolated(by_segment), {"least": 1}, ({"least": 4},)))
+    pipeline = Pipeline(ops, "by_segment")
+    return Replay(pipeline, pipeline.every_world()).sink().df.select("w", "segment", "n_people", "n_orders")
+
+
 # -- row-wise steps ------------------------------------------------------------------------
 
 
@@ -592,6 +660,30 @@ def game_values(spark, folder):
     return rounded(g.full_lattice(game, study.pipeline, studies.INCIDENT.name), "u", "v")
 
 
+def _counts(table) -> bytes:
+    """Rows and orders of both classes, as eight-byte numbers."""
+    label, orders = (table[c].to_numpy(zero_copy_only=False) for c in ("label", "txn_count"))
+    return b"".join(int(x).to_bytes(8, "little") for y in (0, 1) for x in ((label == y).sum(), orders[label == y].sum()))
+
+
+def _numbers(state: bytes) -> list[int]:
+    return [int.from_bytes(state[k : k + 8], "little") for k in range(0, 32, 8)]
+
+
+def _difference(state: bytes) -> float:
+    n0, s0, n1, s1 = _numbers(state)
+    return (s1 / n1 if n1 else 0.0) - (s0 / n0 if n0 else 0.0)
+
+
+@query
+def utility_python(spark, folder):
+    """A user's own utility in Python, how many more orders the one class has, folded over batches."""
+    study = studies.incident(spark, Tables(spark, folder))
+    kept = study.replay().sink().rows(lambda df: df.select("w", "txn_count", "label").where("txn_count IS NOT NULL"))
+    added = lambda a, b: b"".join((x + y).to_bytes(8, "little") for x, y in zip(_numbers(a), _numbers(b), strict=True))
+    return coarse(ut.python_utility(kept, ut.Fold(_counts, added, _difference)))
+
+
 @query
 def probe_table(spark, folder):
     return customer_value.probe(Tables(spark, folder))
@@ -766,18 +858,30 @@ def report_benign(spark, folder):
     return rounded(reports.benign_summary(study, game, players), "delta", "max_abs_phi")
 
 
-def ladder_rows(study, score):
+def merged_game(study: Study, probe: DataFrame, fit=ut.discriminant_utility) -> tuple[DataFrame, DataFrame]:
+    """The study's game from one replay whose equal sinks are merged, and what each scenario cost."""
+    run = study.replay(merge="sink")
+    game = study.game(run.spread(coarse(fit(run.sink(), probe, digits=SCORE_DIGITS))))
+    run.release()
+    return game, reports.costs(study, run.alias)
+
+
+def ladder_rows(study: Study, probe: DataFrame, frontier: bool = False) -> DataFrame:
     """The ladder of a study; the game and the drift of the nodes are worked out side by side."""
-    (game, players), drift = side_by_side(
-        lambda: score(study), lambda: reports.node_drift(study, study.incidents)
-    )
+    jobs = [lambda: merged_game(study, probe), lambda: reports.node_drift(study, study.incidents)]
+    if frontier:
+        jobs.append(lambda: reports.staged_rows(reports.frontier_size(study)))
+    (game, cost), drift, *sizes = side_by_side(*jobs)
+    cost = cost.join(sizes[0], "scenario") if sizes else cost
+    players = study.players()
     first = for_all(study, orders_of(study, 1)).withColumn("method", F.lit("stagewise"))
     table = reports.attributions(game, players, first, drift, ("shapley", "anchored", "loo"))
-    return reports.ladder(study, game, players, table)
+    return reports.ladder(study, game, players, table, cost)
 
 
 def customer_ladder(spark, folder):
-    return ladder_rows(studies.ladder(spark, Tables(spark, folder)), scored)
+    tables = Tables(spark, folder)
+    return ladder_rows(studies.ladder(spark, tables), customer_value.probe(tables))
 
 
 def trip_game(study):
@@ -786,8 +890,9 @@ def trip_game(study):
     return study.game(utility), study.players()
 
 
-def trips_ladder(spark, folder):
-    return ladder_rows(studies.trip_ladder(spark, Tables(spark, folder)), trip_game)
+def trips_ladder(spark, folder, frontier=False):
+    tables = Tables(spark, folder)
+    return ladder_rows(studies.trip_ladder(spark, tables), trips.probe(tables), frontier)
 
 
 LADDER_NUMBERS = ["delta", "fault_alone", "drift_alone", "ratio", "anchored_eff_gap", "loo_eff_gap"]
@@ -795,7 +900,7 @@ LADDER_NUMBERS = ["delta", "fault_alone", "drift_alone", "ratio", "anchored_eff_
 
 @query
 def severity_ladder(spark, folder):
-    rows = customer_ladder(spark, folder)
+    rows = customer_ladder(spark, folder).drop("n_operators", "lattice")
     scores = [c for c in rows.columns if c.endswith(("_p_at_1", "_mrr"))]
     return rounded(rounded(rows, *LADDER_NUMBERS), *scores, digits=6)
 
@@ -827,9 +932,10 @@ def method_agreement(spark, folder):
 
 @query
 def case_validity(spark, folder):
-    rows = trips_ladder(spark, folder)
+    rows = trips_ladder(spark, folder, frontier=True)
     picked = reports.case_validity(rows).select(
-        "fault_type", "severity", "culprit", "delta", "fault_alone", "degraded", "harmful", "valid", "reason"
+        "fault_type", "severity", "culprit", "delta", "fault_alone", "degraded", "harmful", "valid", "reason",
+        "n_operators", "lattice", "model_fits", "frontier",
     )
     return rounded(picked, "delta", "fault_alone")
 
@@ -889,17 +995,11 @@ def scale_report(spark, folder):
 def incident_card(spark, folder, fit) -> DataFrame:
     """One replay whose equal sinks are merged: what is left is trained and counted."""
     study = studies.incident(spark, Tables(spark, folder))
-    probe = customer_value.probe(study.tables)
-
-    def play():
-        run = study.replay(merge="sink")
-        sink = run.sink()
-        game = study.game(run.spread(coarse(fit(sink, probe, digits=SCORE_DIGITS))))
-        run.release()
-        return game, len(sink.worlds)
-
-    (game, fits), frontier = side_by_side(play, lambda: reports.staged_rows(reports.frontier_size(study)))
-    card = reports.incident_report(study, game, fits, frontier)
+    (game, cost), frontier = side_by_side(
+        lambda: merged_game(study, customer_value.probe(study.tables), fit),
+        lambda: reports.staged_rows(reports.frontier_size(study)),
+    )
+    card = reports.incident_report(study, game, cost.first().model_fits, frontier)
     return rounded(card, "phi", "delta", "v_anchor", "total_phi", "to_explain", "gap")
 
 

@@ -79,7 +79,14 @@ def test_fifty_rows_are_enough(spark, n, expected):
 def test_python_and_metric_utilities(sink):
     from pyspark.sql import functions as F
 
-    rows = {r.w: r.u for r in ut.python_utility(sink, len).collect()}
+    count = ut.Fold(
+        lambda table: table.num_rows.to_bytes(8, "little"),
+        lambda a, b: (int.from_bytes(a, "little") + int.from_bytes(b, "little")).to_bytes(8, "little"),
+        lambda state: int.from_bytes(state, "little"),
+    )
+    rows = {r.w: r.u for r in ut.python_utility(sink, count).collect()}
+    many = WorldFrame(sink.df.repartition(13), sink.required | {4}, 7, sink.absent)
+    assert {r.w: r.u for r in ut.python_utility(many, count).collect()} == rows | {4: 0.5}
     assert rows == {0: 300.0, 1: 200.0, 2: 20.0}
     assert {r.w: r.u for r in ut.metric_utility(sink, F.count("*")).collect()} == rows
 
