@@ -81,11 +81,6 @@ def align(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
-def with_prefixes(df: DataFrame, prefixes: tuple[str, ...], *also: str) -> DataFrame:
-    """Select columns whose name starts with one of `prefixes`, then the named ones."""
-    return df.select(*[c for c in df.columns if c.startswith(prefixes)], *also)
-
-
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     kinds = ("tinyint", "smallint", "int", "bigint", "float", "double")
     skip = set(exclude)

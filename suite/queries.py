@@ -860,7 +860,7 @@ def report_benign(spark, folder):
 
 def merged_game(study: Study, probe: DataFrame, fit=ut.discriminant_utility) -> tuple[DataFrame, DataFrame]:
     """The study's game from one replay whose equal sinks are merged, and what each scenario cost."""
-    run = study.replay(merge="sink")
+    run = study.replay(merge="sink", cache="shared")
     game = study.game(run.spread(coarse(fit(run.sink(), probe, digits=SCORE_DIGITS))))
     run.release()
     return game, reports.costs(study, run.alias)
@@ -885,9 +885,7 @@ def customer_ladder(spark, folder):
 
 
 def trip_game(study):
-    sink = study.replay().sink()
-    utility = coarse(ut.discriminant_utility(sink, trips.probe(study.tables), digits=SCORE_DIGITS))
-    return study.game(utility), study.players()
+    return merged_game(study, trips.probe(study.tables))[0], study.players()
 
 
 def trips_ladder(spark, folder, frontier=False):
