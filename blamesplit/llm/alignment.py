@@ -37,7 +37,7 @@ from blamesplit.llm.texts import flat, gather, pieces, released
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACE = "▁"
 #: Text of a block; a longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Links of a group beyond which it is counted by distinct ids.
 WIDE_GROUP = 4096
 
