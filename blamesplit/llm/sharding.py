@@ -144,10 +144,13 @@ def numbered(df: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFram
         F.sum("__rows").over(Window.partitionBy()).alias("total"),
     )
     placed = rows.join(F.broadcast(starts), "__bucket")  # at most `buckets` rows
+    # a row repeated more than CHUNK times is dealt over tasks before its copies are written out
     chunks = F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("__n") - 1, F.lit(CHUNK))))
+    few = placed.where(F.col("__n") <= CHUNK).withColumn("__chunk", F.lit(0).cast("long"))
+    many = placed.where(F.col("__n") > CHUNK).withColumn("__chunk", chunks)
+    placed = few.unionByName(many.repartition("__bucket", "__before", "__chunk"))
     last = F.least(F.lit(CHUNK - 1), F.col("__n") - 1 - F.col("__chunk") * CHUNK)
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), last))
-    placed = placed.withColumn("__chunk", chunks).withColumn("__copy", copies)
+    placed = placed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     number = F.col("__start") + F.col("__before") + F.col("__chunk") * CHUNK + F.col("__copy")
     return placed.select(*keys, number.alias("row_number"), "total")
 

@@ -51,6 +51,21 @@ def test_many_equal_rows(spark):
     check(rows, sharding.shuffle_into_shards(spark.createDataFrame(rows, SCHEMA)).collect(), 40)
 
 
+def test_copies_of_one_row_are_written_by_many_tasks(spark):
+    """Rows past CHUNK copies leave one task only as chunks; the numbers stay gapless."""
+    n = 20 * sharding.CHUNK + 5
+    one = spark.range(n).selectExpr("1L AS doc_id", "2L AS size", "3L AS text_crc32")
+    few = spark.range(300).selectExpr("id AS doc_id", "4L AS size", "NULL AS text_crc32")
+    found = sharding.numbered(one.unionByName(few), ["doc_id", "size", "text_crc32"])
+    parts = found.selectExpr("spark_partition_id() AS p", "size", "row_number", "total").cache()
+    each = [r.n for r in parts.where("size = 2").groupBy("p").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()]
+    assert len(each) > 1 and max(each) < n
+    got = parts.agg({"row_number": "max", "*": "count", "total": "min"}).first().asDict()
+    assert set(got.values()) == {n + 299, n + 300}
+    assert parts.select("row_number").distinct().count() == n + 300
+    parts.unpersist()
+
+
 def test_sql(spark):
     import duckdb
 
