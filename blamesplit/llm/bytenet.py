@@ -1,8 +1,8 @@
 """Quality by a small convolutional network over bytes, written in numpy.
 
 A text is cut into overlapping chunks of `CHUNK` bytes that cover all of it (the last one reaches
-back, so that it is full). Each byte has a learned embedding; learned filters of `WIDTH` bytes slide
-over the chunk, and each filter's largest answer in the chunk goes on to a hidden layer, with the
+back, so that it is full). Each byte has a learned embedding; learned filters of `WIDTH` bytes are
+evaluated at every `STRIDE`-th byte of the chunk, that is at each one, and each filter's largest answer in the chunk goes on to a hidden layer, with the
 chunk's length, and to the chunk's log odds. Text of little variety excites few filters, odd bytes
 excite filters of their own. The document's log odds are the mean of its chunks'.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from blamesplit.llm.texts import flat, gather, pieces
 
 CHUNK, OVERLAP = 512, 32
-WIDTH, STRIDE = 8, 2
+WIDTH, STRIDE = 8, 1
 EMBEDDING, FILTERS, HIDDEN = 4, 24, 16
 #: Labelled documents that the network is trained on, about, and chunks taken from each, spread evenly.
 LABELLED, CHUNKS_EACH = 8_000, 4
