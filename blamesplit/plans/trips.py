@@ -9,10 +9,12 @@ itself is dropped before modelling, since it would give the label away.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
 from blamesplit.functions.columns import elapsed, one_hot, selected
+from blamesplit.functions.skew import split_join
 from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.replay import Replay
 from blamesplit.plans.worlds import State, WorldFrame
@@ -36,7 +38,10 @@ MEASURES = [
 ]
 
 
-def load_trips(tables: Tables):
+def load_trips(tables: Tables, parts: int | None = None):
+    def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        return left.join(right, key) if parts is None else split_join(left, right, [key], "inner", parts)
+
     def body(inputs, state: State) -> WorldFrame:
         def in_half(p):
             day = F.col("l_shipdate")
@@ -44,14 +49,15 @@ def load_trips(tables: Tables):
             return (day >= low) & (day < high)
 
         orders = tables("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        customer = tables("customer").select("c_custkey", F.col("c_nationkey").alias("do_zone"))
-        supplier = tables("supplier").select("s_suppkey", F.col("s_nationkey").alias("pu_zone"))
+        customer = tables("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("do_zone"))
+        supplier = tables("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("pu_zone"))
         lines = state.partition(tables("lineitem"), in_half)
         return lines.rows(
-            lambda df: df.join(supplier, df["l_suppkey"] == supplier["s_suppkey"])
-            .join(orders, df["l_orderkey"] == orders["o_orderkey"])
-            .join(customer, orders["o_custkey"] == customer["c_custkey"])
-            .select(
+            lambda df: matched(
+                matched(df, supplier, "l_suppkey").join(orders, F.col("l_orderkey") == orders["o_orderkey"]),
+                customer,
+                "o_custkey",
+            ).select(
                 "w",
                 (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("trip_id"),
                 F.col("o_orderdate").alias("pickup_at"),
@@ -126,28 +132,28 @@ def zone_role(zones: WorldFrame, role: str) -> WorldFrame:
     )
 
 
-def join_pu_zone(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
+def join_pu_zone(inputs: Mapping[str, WorldFrame], state: State, parts: int | None = None) -> WorldFrame:
     """Attach the pickup region; `corrupt_ids` sends a share of keys to an unmatched zone."""
     trips = state.enter(inputs["derive_time"])
     if state.any("corrupt_ids", 0.0):
         broken = selected(F.col("trip_id"), state.value("corrupt_ids", 0.0), CORRUPT_SEED)
         key = F.when(broken, F.lit(UNKNOWN_ZONE)).otherwise(F.col("pu_zone"))
         trips = trips.rows(lambda df: df.withColumn("pu_zone", key))
-    return trips.join(zone_role(inputs["load_zones"], "pu"), ["pu_zone"], "left", HOT_ZONE_SPREAD)
+    return trips.join(zone_role(inputs["load_zones"], "pu"), ["pu_zone"], "left", HOT_ZONE_SPREAD, parts)
 
 
-def join_do_zone(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
+def join_do_zone(inputs: Mapping[str, WorldFrame], state: State, parts: int | None = None) -> WorldFrame:
     """Attach the drop-off region; `duplicate_zones` doubles a share of the lookup."""
     zones = state.enter(zone_role(inputs["load_zones"], "do"))
     if state.any("duplicate_zones", 0.0):
         twice = selected(F.col("do_zone"), state.value("duplicate_zones", 0.0), DUPLICATE_SEED)
         copies = F.sequence(F.lit(1), F.when(twice, 2).otherwise(1))
         zones = zones.rows(lambda df: df.withColumn("copy", F.explode(copies)).drop("copy"))
-    return inputs["join_pu_zone"].join(zones, ["do_zone"], "left", HOT_ZONE_SPREAD)
+    return inputs["join_pu_zone"].join(zones, ["do_zone"], "left", HOT_ZONE_SPREAD, parts)
 
 
-def join_stats(inputs: Mapping[str, WorldFrame], state: State) -> WorldFrame:
-    joined = inputs["join_do_zone"].join(inputs["zone_stats"], ["pu_zone"], "left", HOT_ZONE_SPREAD)
+def join_stats(inputs: Mapping[str, WorldFrame], state: State, parts: int | None = None) -> WorldFrame:
+    joined = inputs["join_do_zone"].join(inputs["zone_stats"], ["pu_zone"], "left", HOT_ZONE_SPREAD, parts)
     return joined.rows(lambda df: df.na.fill(0.0, ["zone_mean_fare"]).na.fill(0, ["zone_trip_count"]))
 
 
@@ -169,7 +175,10 @@ def build(
     faults: Mapping[str, list[Mapping]] | None = None,
     reference: tuple[str, str] = REFERENCE_HALF,
     incident: tuple[str, str] = INCIDENT_HALF,
+    parts: int | None = None,
 ) -> Pipeline:
+    """The pipeline; with `parts`, its joins measure their hot keys and cut these into pieces of
+    about 1 / `parts` of the rows, where they would salt each zone alike."""
     faults = faults or {}
 
     def op(name, parents, body, base):
@@ -178,14 +187,14 @@ def build(
 
     return Pipeline(
         [
-            Operator("load_trips", (), load_trips(tables), {"half": reference}, ({"half": incident},)),
+            Operator("load_trips", (), load_trips(tables, parts), {"half": reference}, ({"half": incident},)),
             Operator("load_zones", (), load_zones(tables)),
             op("filter_valid", ("load_trips",), filter_valid, {"min_fare": 0.0}),
             op("derive_time", ("filter_valid",), derive_time, {"duration_unit": DAY_SECONDS}),
             op("zone_stats", ("derive_time",), zone_stats, {}),
-            op("join_pu_zone", ("derive_time", "load_zones"), join_pu_zone, {}),
-            op("join_do_zone", ("join_pu_zone", "load_zones"), join_do_zone, {}),
-            op("join_stats", ("join_do_zone", "zone_stats"), join_stats, {}),
+            op("join_pu_zone", ("derive_time", "load_zones"), partial(join_pu_zone, parts=parts), {}),
+            op("join_do_zone", ("join_pu_zone", "load_zones"), partial(join_do_zone, parts=parts), {}),
+            op("join_stats", ("join_do_zone", "zone_stats"), partial(join_stats, parts=parts), {}),
             op("encode", ("join_stats",), encode, {"drop_columns": ()}),
         ],
         sink="encode",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from blamesplit.functions.local import local_table
 from blamesplit.functions.ordered import exact_quantile, head_fraction
+from blamesplit.functions.skew import dealt
 from blamesplit.plans.pipeline import Field, Operator
 
 W = "w"
@@ -112,7 +113,12 @@ class WorldFrame:
         return self._like(df.groupBy(W, *keys).agg(*aggregates), absent={})
 
     def join(
-        self, other: "WorldFrame", on: Sequence[str], how: str = "inner", spread: int = 1
+        self,
+        other: "WorldFrame",
+        on: Sequence[str],
+        how: str = "inner",
+        spread: int = 1,
+        parts: int | None = None,
     ) -> "WorldFrame":
         """Equi-join inside each world.
 
@@ -120,7 +126,8 @@ class WorldFrame:
         first repeated for the right side's fields, because a row may match in one world and not
         in another. Both plan as equi-joins, so size decides the strategy at run time. `spread`
         salts the key: the (small) right side is repeated that often and every hot key of the
-        left side is shared by that many tasks.
+        left side is shared by that many tasks. With `parts`, hot keys are measured instead, and
+        only they are cut, into pieces of about 1 / `parts` of the left rows.
         """
         if how not in ("inner", "left"):
             raise ValueError(f"join type {how!r} is not supported")
@@ -133,7 +140,10 @@ class WorldFrame:
             l = l.withColumn("__shared", F.expr(f"{W} & {shared}L"))
             r = r.withColumn("__shared", F.expr(f"__w & {shared}L"))
         keys = [*on, *(["__shared"] if shared else [])]
-        if spread > 1:
+        if parts is not None:
+            l, r = dealt(l, r, keys, parts)
+            keys.append("__salt")
+        elif spread > 1:
             l = l.withColumn("__salt", F.expr(f"pmod(hash(*), {spread})"))
             r = r.withColumn("__salt", F.expr(f"explode(sequence(0, {spread - 1}))"))
             keys.append("__salt")

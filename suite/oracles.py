@@ -227,6 +227,32 @@ def join_stats():
     return of_node(trip_chains(), "join_stats", 0, "trip_id, pu_zone, zone_mean_fare, zone_trip_count")
 
 
+def corrupted_trips() -> Chains:
+    return trip_chains({"join_pu_zone": [{"corrupt_ids": 0.9}]})
+
+
+@oracle
+def join_hot_zone():
+    return of_fault(corrupted_trips(), "join_pu_zone", "trip_id, pu_zone, pu_region")
+
+
+@oracle
+def join_hot_stats():
+    chains = corrupted_trips()
+    cte = chains.node("join_stats", chains.pipeline.world(["join_pu_zone"]))
+    return with_(chains.ctes, f"""SELECT pu_zone, do_region, count(*) AS n_trips,
+      CAST(sum(zone_trip_count) AS BIGINT) AS zone_trips FROM {cte} GROUP BY pu_zone, do_region""")
+
+
+@oracle
+def hot_zones():
+    chains = corrupted_trips()
+    cte = chains.node("join_pu_zone", chains.pipeline.world(["join_pu_zone"]))
+    return with_(chains.ctes, f"""SELECT pu_zone, count(*) AS n_trips,
+      (count(*) * 16 + t.total - 1) // t.total AS pieces
+      FROM {cte}, (SELECT count(*) AS total FROM {cte}) t GROUP BY pu_zone, t.total HAVING count(*) * 16 > t.total""")
+
+
 @oracle
 def join_all_branches():
     return of_node(Chains(fan_in.build(None, 5), fan_bodies(5)), "join_all", 0)

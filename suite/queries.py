@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blamesplit.functions import columns as fc
-from blamesplit.functions import ordered
+from blamesplit.functions import ordered, skew
 from blamesplit.functions import utility as ut
 from blamesplit.functions.local import local_table
 from blamesplit.functions.stage import shared_folder
@@ -276,6 +276,41 @@ def join_stats(spark, folder):
     return joined.select("trip_id", "pu_zone", "zone_mean_fare", "zone_trip_count")
 
 
+HOT_PARTS = 16
+
+
+def corrupted_trips(spark, folder):
+    """Nine tenths of the pickup zones are one unmatched key: the pipeline measures and cuts it."""
+    faults = {"join_pu_zone": [{"corrupt_ids": 0.9}]}
+    return trips.build(Tables(spark, folder), faults, parts=HOT_PARTS)
+
+
+@query
+def join_hot_zone(spark, folder):
+    joined = faulted(corrupted_trips(spark, folder), "join_pu_zone")
+    return joined.select("trip_id", "pu_zone", "pu_region")
+
+
+@query
+def join_hot_stats(spark, folder):
+    """Per zone of the corrupted trips, through all three measured joins."""
+    pipeline = corrupted_trips(spark, folder)
+    world = pipeline.world(["join_pu_zone"])
+    joined = Replay(pipeline, [world]).node("join_stats").world(world)
+    return joined.groupBy("pu_zone", "do_region").agg(
+        F.count("*").alias("n_trips"), F.sum("zone_trip_count").alias("zone_trips")
+    )
+
+
+@query
+def hot_zones(spark, folder):
+    """The keys that the join cuts, with their rows and pieces."""
+    rows = faulted(corrupted_trips(spark, folder), "join_pu_zone").select("pu_zone")
+    hot = F.broadcast(skew.hot_keys(rows, ["pu_zone"], HOT_PARTS))
+    named = rows.withColumn("key_hash", skew.key_hash(["pu_zone"])).join(hot, "key_hash")
+    return named.select("pu_zone", F.col("n").alias("n_trips"), F.col("pieces").cast("long").alias("pieces")).distinct()
+
+
 @query
 def join_all_branches(spark, folder):
     return Replay(fan_in.build(Tables(spark, folder), 5), [0]).node("join_all").world(0)
