@@ -1,7 +1,9 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary was learned on ordinary text. What is not ordinary shows in how it splits:
-fewer characters per token, more single bytes where no piece fits, or too little variety of tokens.
+Public vocabularies were learned on ordinary text. What is not ordinary shows in how it splits:
+fewer characters per token, more bytes of split characters where no piece fits, or too little variety
+of tokens. Two kinds of vocabulary measure this, SentencePiece pieces and byte-level merges, each with
+bands of its own; a document is kept if it lies in both.
 Words are tokenised one by one (the vocabularies split at white space anyway); each distinct word of
 a piece of the input is tokenised once. Entropy depends on length, so it is measured in windows of
 `WINDOW` tokens that cover the whole text, divided by its maximum, and averaged.
@@ -12,6 +14,7 @@ most letters have.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,36 +53,82 @@ BANDS: Mapping[str, Band] = {
     "other": Band(0.2, 4.0, 0.9, 0.6),
 }
 
-METRICS = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long,"
-    " chars_per_token double, byte_share double, token_entropy double, latin boolean"
-)
+#: For byte_bpe_50k.json, set in the same way; it splits other languages than English more finely.
+BYTE_BANDS: Mapping[str, Band] = {
+    "en": Band(1.6, 6.5, 0.2, 0.795),
+    "de": Band(1.5, 6.5, 0.2, 0.785),
+    "fr": Band(1.4, 6.5, 0.25, 0.775),
+    "es": Band(1.4, 6.5, 0.25, 0.76),
+    "latin": Band(1.0, 8.0, 0.4, 0.7),
+    "other": Band(0.2, 4.0, 1.0, 0.5),
+}
 
+BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, latin boolean"
+#: The measures of one vocabulary; those of a byte-level one are named `byte_level_...`.
+MEASURES = ("n_tokens long", "chars_per_token double", "byte_share double", "token_entropy double")
+BYTE_LEVEL = "byte_level_"
 
-class Pieces:
-    """Piece ids of single words under a SentencePiece model, remembered."""
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
+class Remembering:
+    """Token ids of single words, remembered. `is_byte` marks tokens that hold part of a character."""
 
-        self.model = SentencePieceProcessor(model_file=path)
-        self.size = self.model.get_piece_size()
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+    size: int
+    is_byte: np.ndarray
+
+    def __init__(self) -> None:
         self.known: dict[bytes, list[int]] = {}
 
+    def encoded(self, some: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
     def __call__(self, distinct: list[bytes]) -> list[list[int]]:
         new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = distinct
         if new:
-            self.known.update(zip(new, self.model.encode([w.decode() for w in new], num_threads=1), strict=True))
+            self.known.update(zip(new, self.encoded([w.decode() for w in new]), strict=True))
         return [self.known[w] for w in distinct]
 
 
+class Pieces(Remembering):
+    """A SentencePiece model, which falls back to bytes."""
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        super().__init__()
+        self.model = SentencePieceProcessor(model_file=path)
+        self.size = self.model.get_piece_size()
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.size)])
+
+    def encoded(self, some: list[str]) -> list[list[int]]:
+        return self.model.encode(some, num_threads=1)
+
+
+class ByteLevel(Remembering):
+    """Byte-level merges. A word is encoded behind a space, strings of special tokens as plain text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.model.encode_special_tokens = True
+        self.size = self.model.get_vocab_size()
+        alone = self.model.decode_batch([[i] for i in range(self.size)], skip_special_tokens=False)
+        self.is_byte = np.array(["\ufffd" in t for t in alone])
+
+    def encoded(self, some: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([" " + w for w in some], add_special_tokens=False)]
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Pieces:
-    return Pieces(path)
+def vocabulary(path: str) -> Remembering:
+    return ByteLevel(path) if path.endswith(".json") else Pieces(path)
 
 
 def repeated_words(which: np.ndarray, text_of: np.ndarray, n_texts: int) -> np.ndarray:
@@ -127,63 +176,71 @@ def dup_lines(data: np.ndarray, places: np.ndarray) -> list[int]:
     return out
 
 
-def measured(batch: pa.RecordBatch, path: str) -> dict[str, pa.Array]:
-    vocab = vocabulary(path)
-    data, places = flat(batch.column(1))
-    n = batch.num_rows
-    found, text_of, _ = words(data, places)
-    coded = found.dictionary_encode()
-    which = coded.indices.to_numpy()
-    ids = vocab(coded.dictionary.to_pylist())
+def measures(vocab: Remembering, distinct: list[bytes], which: np.ndarray, text_of: np.ndarray, chars: np.ndarray) -> list[np.ndarray]:
+    """The `MEASURES` of each text, from its words (`which` of the distinct ones, in which text)."""
+    n = len(chars)
+    ids = vocab(distinct)
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     flat_ids = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
     each = lengths[which]
     tokens = flat_ids[gather((np.cumsum(lengths) - lengths)[which], each)] if len(which) else flat_ids
     n_tokens = np.bincount(text_of, weights=each, minlength=n).astype(np.int64) if len(which) else np.zeros(n, np.int64)
     starts = np.append(0, np.cumsum(n_tokens))
+    some = np.maximum(n_tokens, 1)
+    split = np.bincount(np.repeat(np.arange(n), n_tokens), weights=vocab.is_byte[tokens], minlength=n)
+    return [n_tokens, chars / some, split / some, window_entropy(tokens, starts, vocab.size)]
+
+
+def measured(batch: pa.RecordBatch, paths: Mapping[str, str]) -> dict[str, pa.Array]:
+    data, places = flat(batch.column(1))
+    n = batch.num_rows
+    found, text_of, _ = words(data, places)
+    coded = found.dictionary_encode()
+    which, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     space = ((data >= 9) & (data <= 13)) | (data == 32)
     chars = per_text(~space & ((data & 0xC0) != 0x80), places)
     wide = per_text(data >= 0xC9, places)  # first bytes of characters from U+0240 on
-    some = np.maximum(n_tokens, 1)
-    return {
+    out = {
         "n_words": pa.array(np.bincount(text_of, minlength=n)),
         "word_chars": pa.array(chars),
         "n_symbols": pa.array(per_text(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)), places)),
         "n_dup_lines": pa.array(dup_lines(data, places), pa.int64()),
         "n_repeat_words": pa.array(repeated_words(which, text_of, n)),
-        "n_tokens": pa.array(n_tokens),
-        "chars_per_token": pa.array(chars / some),
-        "byte_share": pa.array(np.bincount(np.repeat(np.arange(n), n_tokens), weights=vocab.is_byte[tokens], minlength=n) / some),
-        "token_entropy": pa.array(window_entropy(tokens, starts, vocab.size)),
         "latin": pa.array(2 * wide <= chars),
     }
+    for prefix, path in paths.items():
+        for name, values in zip(MEASURES, measures(vocabulary(path), distinct, which, text_of, chars), strict=True):
+            out[prefix + name.split()[0]] = pa.array(values)
+    return out
 
 
-def fertility(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, lang) and the measures of each whole text under the SentencePiece model at `path`.
+def fertility(df: DataFrame, path: str, byte_path: str | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(doc_id, lang) and the measures of each whole text under the SentencePiece model at `path` and,
+    if it is given, the byte-level vocabulary at `byte_path` (named `byte_level_...`).
 
     Words are `[^\\x20\\x09-\\x0D]+`. A null or wordless text has zeros. Repeated rows are measured
     each; an empty table gives an empty one. Other columns of `df` are not read.
     """
+    paths = {"": path} | ({BYTE_LEVEL: byte_path} if byte_path else {})
     narrow = df.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang": batch.column(2)} | measured(batch, path))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang": batch.column(2)} | measured(batch, paths))
 
-    return narrow.mapInArrow(run, "doc_id long, lang string, " + METRICS)
+    return narrow.mapInArrow(run, ", ".join(["doc_id long, lang string", BASE, *(p + m for p in paths for m in MEASURES)]))
 
 
-def in_band(bands: Mapping[str, Band]) -> Column:
-    """Whether a document's measures lie in the band of its language or script."""
+def in_band(bands: Mapping[str, Band], prefix: str = "") -> Column:
+    """Whether a document's measures under one vocabulary lie in the band of its language or script."""
 
     def inside(b: Band) -> Column:
         return (
-            F.col("chars_per_token").between(b.least_chars, b.most_chars)
-            & (F.col("byte_share") <= b.most_bytes)
-            & F.col("token_entropy").between(b.least_entropy, b.most_entropy)
+            F.col(prefix + "chars_per_token").between(b.least_chars, b.most_chars)
+            & (F.col(prefix + "byte_share") <= b.most_bytes)
+            & F.col(prefix + "token_entropy").between(b.least_entropy, b.most_entropy)
         )
 
     verdict = F.when(F.col("latin"), inside(bands["latin"])).otherwise(inside(bands["other"]))
@@ -193,17 +250,20 @@ def in_band(bands: Mapping[str, Band]) -> Column:
     return verdict
 
 
-def judged(df: DataFrame, path: str, bands: Mapping[str, Band] = BANDS, **columns: str) -> DataFrame:
+def judged(
+    df: DataFrame, path: str, bands: Mapping[str, Band] = BANDS, byte_path: str | None = None, byte_bands: Mapping[str, Band] = BYTE_BANDS, **columns: str
+) -> DataFrame:
     """`fertility` with `base_failed` (under 50 words, or over half of them in repeated windows) and
-    `kept`: not base_failed, and all measures in their band."""
-    found = fertility(df, path, **columns)
+    `kept`: not base_failed, and all measures in their band, under each vocabulary that is given."""
+    found = fertility(df, path, byte_path, **columns)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & in_band(bands))
+    inside = in_band(bands) & in_band(byte_bands, BYTE_LEVEL) if byte_path else in_band(bands)
+    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def fitted_bands(measures: DataFrame, tail: float = 0.001, accuracy: int = 10_000) -> DataFrame:
-    """Per language, the measures' quantiles at both tails over all rows of `fertility`: the data to
+def fitted_bands(found: DataFrame, tail: float = 0.001, accuracy: int = 10_000, prefix: str = "") -> DataFrame:
+    """Per language, one vocabulary's quantiles at both tails over all rows of `fertility`: the data to
     set `Band`s from. One aggregation; sketches of size `accuracy` meet, never rows."""
     probs = F.array(F.lit(tail), F.lit(1 - tail))
     names = ("chars_per_token", "byte_share", "token_entropy")
-    return measures.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(c, probs, accuracy).alias(c) for c in names))
+    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(prefix + c, probs, accuracy).alias(c) for c in names))

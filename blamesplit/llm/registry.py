@@ -23,7 +23,8 @@ def tokenizer_file(name: str) -> str:
 
 
 def op4_fertility_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judged(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("lang", "latin")
+    docs = table(spark, sf_dir, "documents")
+    return fertility.judged(docs, tokenizer_file("piece_bpe_32k.model"), byte_path=tokenizer_file("byte_bpe_50k.json")).drop("lang", "latin")
 
 
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
 
 from blamesplit.llm import fertility
 
@@ -15,6 +16,31 @@ MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
 SCHEMA = "doc_id long, text string, lang string, n_words int, latin string"
 
 
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_MODEL = tokenizers.Tokenizer.from_file(BYTES)
+BYTE_MODEL.encode_special_tokens = True
+
+
+def entropy(ids):
+    """The mean relative entropy of windows of 128 ids; the last one reaches back."""
+    firsts = [min(i, max(len(ids) - 128, 0)) for i in range(0, len(ids), 128)]
+    relative = []
+    for a in firsts:
+        part = ids[a : a + 128]
+        h = -sum(c / len(part) * math.log2(c / len(part)) for c in Counter(part).values())
+        relative.append(h / math.log2(len(part)) if len(part) > 1 else 0.0)
+    return sum(relative) / max(1, len(relative))
+
+
+def plain_bytes(text):
+    """The byte-level measures: a token that is no whole character decodes to U+FFFD."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    ids = [i for x in w for i in BYTE_MODEL.encode(" " + x, add_special_tokens=False).ids]
+    split = sum("\ufffd" in BYTE_MODEL.decode([i], skip_special_tokens=False) for i in set(ids) for _ in range(ids.count(i)))
+    n = max(1, len(ids))
+    return [len(ids), sum(map(len, w)) / n, split / n, entropy(ids)]
+
+
 def plain(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -63,9 +89,36 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
 
 
+def test_byte_level_measures_equal_plain_count(spark):
+    odd = [None, "", " \n", "a", "日本語 テキスト ⟨⟩ 🙂 x", "naïve élan über", "the cat sat " * 500, "<|endoftext|> a", "b\x1cc d\xa0e"]
+    df = spark.createDataFrame([(i, t, "en", 0, "") for i, t in enumerate(odd)] * 2, SCHEMA)
+    got = fertility.fertility(df, PATH, BYTES).collect()
+    assert len(got) == 2 * len(odd)
+    for r in got:
+        found = [r.byte_level_n_tokens, r.byte_level_chars_per_token, r.byte_level_byte_share, r.byte_level_token_entropy]
+        assert found == pytest.approx(plain_bytes(odd[r.doc_id])), odd[r.doc_id]
+
+
+def test_two_vocabularies_and_their_fitted_bands(spark):
+    """Held to both vocabularies, good documents stay; the constants lie outside the fitted quantiles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    both = fertility.judged(docs, PATH, byte_path=BYTES).join(labels.select("doc_id", "quality"), "doc_id").where("not base_failed").cache()
+    good = [r.kept for r in both.where("quality = 1").collect()]
+    bad = [r.kept for r in both.where("quality = 0").collect()]
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.1
+    for bands, prefix in ((fertility.BANDS, ""), (fertility.BYTE_BANDS, fertility.BYTE_LEVEL)):
+        for r in fertility.fitted_bands(both.where("quality = 1"), tail=0.01, prefix=prefix).collect():
+            b = bands[r.lang]
+            assert b.least_chars <= r.chars_per_token[0] and r.chars_per_token[1] <= b.most_chars
+            assert r.byte_share[1] <= b.most_bytes and b.least_entropy <= r.token_entropy[0]
+    both.unpersist()
+
+
 def test_empty_table_and_bands(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert fertility.judged(empty, PATH).collect() == []
+    assert fertility.judged(empty, PATH, byte_path=BYTES).collect() == []
     assert fertility.fitted_bands(fertility.fertility(empty, PATH)).collect() == []
     some = spark.createDataFrame([(1, "a few words here", "en", 0, ""), (2, None, None, 0, "")], SCHEMA)
     assert {r.lang: r.n for r in fertility.fitted_bands(fertility.fertility(some, PATH)).collect()} == {"en": 1, None: 1}
