@@ -162,10 +162,27 @@ def named_incidents(
     return variants, incidents
 
 
+def parameters(params: Mapping) -> str:
+    return ", ".join(f"{k}={v}" for k, v in sorted(params.items()))
+
+
+def scenario_table(
+    spark: SparkSession, faults: Mapping[str, Fault], scenarios: list[tuple[str, ...]]
+) -> DataFrame:
+    """(scenario, fault, op, params, benign): a row for each fault of each scenario."""
+    rows = [
+        ("+".join(names), name, faults[name][0], parameters(faults[name][1]), name in BENIGN_FAULTS)
+        for names in scenarios
+        for name in names
+    ]
+    schema = "scenario string, fault string, op string, params string, benign boolean"
+    return local_table(spark, schema, rows)
+
+
 def catalogue_table(spark: SparkSession, sweeps) -> DataFrame:
     """(fault_type, severity, op, params) of a ladder."""
     rows = [
-        (kind, level, op, ", ".join(f"{k}={v}" for k, v in sorted(params.items())))
+        (kind, level, op, parameters(params))
         for kind, (op, ladder) in sweeps.items()
         for level, params in ladder
     ]

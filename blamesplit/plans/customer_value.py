@@ -174,18 +174,18 @@ def build(
     """Assemble the DAG; `faults` lists the incident variants of each faulted operator."""
     faults = faults or {}
 
-    def op(name, parents, body, base):
+    def op(name, parents, body, base, wide=False):
         variants = tuple({**base, **extra} for extra in faults.get(name, ()))
-        return Operator(name, parents, body, base, variants)
+        return Operator(name, parents, body, base, variants, wide)
 
     years = {"reference": {"year": reference}, "variants": ({"year": incident},)}
     return Pipeline(
         [
-            Operator("load_customers", (), load_customers(tables), **years),
+            Operator("load_customers", (), load_customers(tables), **years, wide=True),
             Operator("load_transactions", (), load_transactions(tables), **years),
             op("clean_customers", ("load_customers",), clean_customers, {}),
-            op("agg_transactions", ("load_transactions",), agg_transactions, {}),
-            op("join_features", ("clean_customers", "agg_transactions"), join_features, {}),
+            op("agg_transactions", ("load_transactions",), agg_transactions, {}, wide=True),
+            op("join_features", ("clean_customers", "agg_transactions"), join_features, {}, wide=True),
             op("filter_active", ("join_features",), filter_active, {"min_txn": 1}),
             op("encode_features", ("filter_active",), encode_features, {"drop_columns": ()}),
         ],

@@ -118,12 +118,12 @@ def build(
     for b in range(m):
         variants = ({"corrupt": corrupt},) if b == fault_branch and corrupt else ()
         ops += [
-            Operator(f"load_{b}", (), load_branch(tables, b), {"week": reference}, ({"week": incident},)),
+            Operator(f"load_{b}", (), load_branch(tables, b), {"week": reference}, ({"week": incident},), wide=True),
             Operator(f"clean_{b}", (f"load_{b}",), clean_branch(b), {"floor": 0.0}),
             Operator(f"agg_{b}", (f"clean_{b}",), agg_branch(b), {"corrupt": 0.0}, variants),
         ]
     ops += [
-        Operator("join_all", tuple(f"agg_{b}" for b in range(m)), join_all(m)),
+        Operator("join_all", tuple(f"agg_{b}" for b in range(m)), join_all(m), wide=True),
         Operator("filter_rows", ("join_all",), filter_rows, {"keep": 1.0}),
         Operator("encode", ("filter_rows",), encode),
     ]

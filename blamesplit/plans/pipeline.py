@@ -23,13 +23,17 @@ MAX_PLAYERS = 62  # coalition masks live in a signed BIGINT
 
 @dataclass(frozen=True)
 class Operator:
-    """One node. `body(inputs, state)` builds a plan; it runs nothing."""
+    """One node. `body(inputs, state)` builds a plan; it runs nothing.
+
+    `wide` says that the body joins or aggregates, so that its output is worth keeping.
+    """
 
     name: str
     parents: tuple[str, ...]
     body: Callable
     reference: Mapping = field(default_factory=dict)
     variants: tuple[Mapping, ...] = ()
+    wide: bool = False
 
     @property
     def sensitive(self) -> bool:

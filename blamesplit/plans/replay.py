@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blamesplit.functions.local import local_table
 from blamesplit.functions.prints import fingerprint, world_fingerprints  # noqa: F401
-from blamesplit.plans.pipeline import MAX_PLAYERS, Pipeline
+from blamesplit.plans.pipeline import Pipeline
 from blamesplit.functions.stage import stage
 from blamesplit.plans.worlds import MAX_WORLDS, W, State, WorldFrame, one_of, world_const
 
@@ -19,7 +20,8 @@ class Replay:
     """Lazy replay of `worlds` (default: every state of every sensitive operator).
 
     `cache` keeps the output of operators that are read more than once: "shared" those with
-    several consumers, "all" every operator but the sink (for runs that look at each of them).
+    several consumers, "wide" also those that join or aggregate, but the sink. The latter is for runs
+    that look at every operator: what lies between two kept outputs is row by row and costs no shuffle.
 
     `merge` joins worlds that hold the same table: "nodes" as soon as they do, "sink" before they are
     scored. Where all that an operator depends on reaches the sink through it alone, its output is
@@ -55,7 +57,7 @@ class Replay:
             frame = self._taken(name) if name in self.given else self._run(name, op)
             if len(frame.worlds) > 1 and self._merges(name):
                 frame = self._merged(frame)
-            elif self._consumers(name) > {"": MAX_PLAYERS, "shared": 1, "all": 0}[self.cache]:
+            elif self._keeps(name):
                 self._keep(frame)
             self._frames[name] = frame
         return self._frames[name]
@@ -75,6 +77,12 @@ class Replay:
         frame.df = frame.df.persist(StorageLevel.MEMORY_AND_DISK)
         self._cached.append(frame.df)
 
+    def _keeps(self, name: str) -> bool:
+        readers = self._consumers(name)
+        if not self.cache or not readers or name in self.given:
+            return False
+        return readers > 1 or self.cache == "wide" and self.pipeline.operators[name].wide
+
     def _merges(self, name: str) -> bool:
         """Whether worlds merge here: what feeds this operator must reach the sink through it alone."""
         if not self.merge or self.merge == "sink" and name != self.pipeline.sink:
@@ -111,6 +119,26 @@ class Replay:
         return sum(name in op.parents for op in self.pipeline.operators.values())
 
 
+@contextmanager
+def wide_sources(pipeline: Pipeline) -> Iterator[dict[str, WorldFrame]]:
+    """The sources that join or aggregate, in all their variants, for the replays of one report.
+
+    Pass them on as `given`: the game, the drift and the frontier then read each of these outputs,
+    which is computed once, by whichever needs it first. All must be evaluated inside the block.
+    """
+    names = [n for n in pipeline.sources if pipeline.operators[n].wide]
+    moved = {
+        pipeline.fields[n].world(k + 1)
+        for n in names if n in pipeline.fields
+        for k in range(len(pipeline.operators[n].variants))
+    }
+    run = Replay(pipeline, {0, *moved}, cache="wide")
+    try:
+        yield {n: run.node(n) for n in names}
+    finally:
+        run.release()
+
+
 # -- more worlds than one plan holds -------------------------------------------------------
 
 
@@ -196,7 +224,8 @@ def isolated(body: Callable) -> Callable:
 
 
 def active_frontier(
-    pipeline: Pipeline, scenarios: Mapping[str, Mapping[str, int]] | None = None
+    pipeline: Pipeline, scenarios: Mapping[str, Mapping[str, int]] | None = None,
+    given: Mapping[str, WorldFrame] | None = None,
 ) -> DataFrame:
     """(scenario, op, changed): does flipping only this operator change its own output?
 
@@ -209,7 +238,7 @@ def active_frontier(
         scenarios = {"": {n: 1 for n in pipeline.fields}}
     flips = {(s, n): pipeline.world([n], c) for s, c in scenarios.items() for n in pipeline.fields}
     spark, parts = None, []
-    run = Replay(pipeline, {0, *flips.values()})
+    run = Replay(pipeline, {0, *flips.values()}, given=given)
     for name in sorted(pipeline.fields):
         frame = run.node(name)
         spark = frame.df.sparkSession

@@ -14,7 +14,7 @@ from blamesplit.functions.local import local_table
 from blamesplit.operators import game as g
 from blamesplit.operators import lineage, scoring
 from blamesplit.plans.pipeline import Pipeline
-from blamesplit.plans.replay import Replay, active_frontier, profile, world_fingerprints
+from blamesplit.plans.replay import Replay, active_frontier, profile, wide_sources, world_fingerprints
 from blamesplit.plans.worlds import W, WorldFrame
 
 # Fixed limits of the reports.
@@ -235,9 +235,9 @@ def costs(study: Study, alias: Mapping[int, int]) -> DataFrame:
     return local_table(study.spark, "scenario string, n_operators long, lattice long, model_fits long", rows)
 
 
-def frontier_size(study: Study) -> DataFrame:
+def frontier_size(study: Study, given: Mapping[str, WorldFrame] | None = None) -> DataFrame:
     """(scenario, frontier): operators that change their own output when only they are flipped."""
-    changed = active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents})
+    changed = active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents}, given)
     return changed.groupBy("scenario").agg(F.count(F.when(F.col("changed"), 1)).alias("frontier"))
 
 
@@ -277,7 +277,7 @@ def staged_rows(df: DataFrame) -> DataFrame:
 # -- drift of every node -------------------------------------------------------------------
 
 
-def node_drift(study: Study, incidents: list[Incident]) -> DataFrame:
+def node_drift(study: Study, incidents: list[Incident], given: Mapping[str, WorldFrame] | None = None) -> DataFrame:
     """Drift attribution: how far each operator's own output moved between the two full runs.
 
     Score = mean over shared numeric columns of |mean shift| / sd at reference (0 or missing sd
@@ -287,7 +287,7 @@ def node_drift(study: Study, incidents: list[Incident]) -> DataFrame:
     """
     pipeline, spark = study.pipeline, study.spark
     ends = {i.name: pipeline.world(pipeline.names, study.choice(i)) for i in incidents}
-    run = Replay(pipeline, {0, *ends.values()}, cache="all")
+    run = Replay(pipeline, {0, *ends.values()}, cache="wide", given=given)
     profiles, pairs, flags = [], [], []
     for op in pipeline.names:
         frame = run.node(op)
@@ -535,14 +535,18 @@ def scale_row(
 ) -> DataFrame:
     """Cost and result of one DAG width: lattice against distinct sinks, frontier, top blame.
 
-    Only the worlds that exact and sampled anchored values read are replayed.
+    Only the worlds that exact and sampled anchored values read are replayed. Game and frontier read
+    the same sources, and equal sinks are scored once.
     """
     incident, players = study.incidents[0], study.players()
     coalitions = study.walked_coalitions(players, samples, seed)
-    sink = Replay(study.pipeline, sorted({r[W] for r in coalitions.collect()})).sink()
-    game = study.game(utility(sink), coalitions)
-    sinks = world_fingerprints(sink).agg(F.count_distinct("fingerprint").alias("model_fits"))
-    frontier = active_frontier(study.pipeline).agg(F.count(F.when(F.col("changed"), 1)).alias("frontier"))
+    worlds = sorted({r[W] for r in coalitions.collect()})
+    with wide_sources(study.pipeline) as given:
+        run = Replay(study.pipeline, worlds, merge="sink", given=given)
+        sink = run.sink()
+        game = staged_rows(study.game(run.spread(utility(sink)), coalitions))
+        frontier = active_frontier(study.pipeline, given=given).where("changed").count()
+        run.release()
     exact = g.anchored_shapley(game, players)
     sampled = g.sampled_shapley(game, players, samples, seed, "anchored_mc")
     error = max_difference(exact.unionByName(sampled), "anchored", "anchored_mc")
@@ -550,15 +554,12 @@ def scale_row(
     n = len(study.pipeline.names)
     facts = local_table(
         study.spark,
-        "scenario string, m long, n long, lattice long, culprit string",
-        [(incident.name, m, n, 1 << n, incident.culprits[0])],
+        "scenario string, m long, n long, lattice long, model_fits long, frontier long, culprit string",
+        [(incident.name, m, n, 1 << n, len(set(run.alias.values())), frontier, incident.culprits[0])],
     )
-    key = lambda df: df.withColumn("scenario", F.lit(incident.name))
     measurable = F.abs("delta") >= MEASURABLE
     return (
-        facts.join(key(sinks), "scenario")
-        .join(key(frontier), "scenario")
-        .join(error, "scenario")
+        facts.join(error, "scenario")
         .join(totals(game, players), "scenario")
         .join(top, "scenario")
         .select(

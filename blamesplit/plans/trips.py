@@ -181,20 +181,20 @@ def build(
     about 1 / `parts` of the rows, where they would salt each zone alike."""
     faults = faults or {}
 
-    def op(name, parents, body, base):
+    def op(name, parents, body, base, wide=False):
         variants = tuple({**base, **extra} for extra in faults.get(name, ()))
-        return Operator(name, parents, body, base, variants)
+        return Operator(name, parents, body, base, variants, wide)
 
     return Pipeline(
         [
-            Operator("load_trips", (), load_trips(tables, parts), {"half": reference}, ({"half": incident},)),
+            Operator("load_trips", (), load_trips(tables, parts), {"half": reference}, ({"half": incident},), wide=True),
             Operator("load_zones", (), load_zones(tables)),
             op("filter_valid", ("load_trips",), filter_valid, {"min_fare": 0.0}),
             op("derive_time", ("filter_valid",), derive_time, {"duration_unit": DAY_SECONDS}),
-            op("zone_stats", ("derive_time",), zone_stats, {}),
-            op("join_pu_zone", ("derive_time", "load_zones"), partial(join_pu_zone, parts=parts), {}),
-            op("join_do_zone", ("join_pu_zone", "load_zones"), partial(join_do_zone, parts=parts), {}),
-            op("join_stats", ("join_do_zone", "zone_stats"), partial(join_stats, parts=parts), {}),
+            op("zone_stats", ("derive_time",), zone_stats, {}, wide=True),
+            op("join_pu_zone", ("derive_time", "load_zones"), partial(join_pu_zone, parts=parts), {}, wide=True),
+            op("join_do_zone", ("join_pu_zone", "load_zones"), partial(join_do_zone, parts=parts), {}, wide=True),
+            op("join_stats", ("join_do_zone", "zone_stats"), partial(join_stats, parts=parts), {}, wide=True),
             op("encode", ("join_stats",), encode, {"drop_columns": ()}),
         ],
         sink="encode",

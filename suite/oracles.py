@@ -419,6 +419,47 @@ def fault_catalogue():
     return with_(chains.ctes, "\nUNION ALL ".join(parts))
 
 
+def damage(study: Study, bodies, columns: str, rows: list[tuple]) -> str:
+    """Rows that start with a scenario, and the size of the sink this scenario leaves."""
+    chains = Chains(study.pipeline, bodies)
+    sizes = "\nUNION ALL ".join(
+        f"SELECT '{i.name}' AS scenario, (SELECT count(*) FROM {chains.node(chains.pipeline.sink, study.pipeline.world(i.culprits, i.choice))}) AS sink_rows"
+        for i in study.incidents
+    )
+    listed = values("listed", f"scenario, {columns}", rows)
+    return with_([*chains.ctes, listed, ("sizes", sizes)], f"SELECT scenario, {columns}, sink_rows FROM listed JOIN sizes USING (scenario)")
+
+
+def written(params) -> str:
+    return ", ".join(f"{k}={params[k]}" for k in sorted(params))
+
+
+@oracle
+def customer_fault_catalogue():
+    rows = [(f, f, op, written(p), f in catalogue.BENIGN_FAULTS) for f, (op, p) in catalogue.CUSTOMER_FAULTS.items()]
+    return damage(studies.customer_faults(), CUSTOMER, "fault, op, params, benign", rows)
+
+
+@oracle
+def gate_catalogue():
+    faults = catalogue.CUSTOMER_FAULTS
+    rows = [("+".join(s), f, faults[f][0], written(faults[f][1]), f in catalogue.BENIGN_FAULTS) for s in catalogue.GATE_SCENARIOS for f in s]
+    return damage(studies.gate(), CUSTOMER, "fault, op, params, benign", rows)
+
+
+@oracle
+def trip_fault_catalogue():
+    rows = [(f, f, op, written(p)) for f, (op, p) in catalogue.TRIP_FAULTS.items()]
+    return damage(studies.trip_faults(), TRIPS, "fault, op, params", rows)
+
+
+@oracle
+def trip_ladder_catalogue():
+    rows = [(f"{f}/{s}", f, s, op, written(p)) for f, (op, levels) in catalogue.TRIP_SWEEPS.items() for s, p in levels]
+    sql = damage(studies.trip_ladder(), TRIPS, "fault_type, severity, op, params", rows)
+    return f"SELECT * EXCLUDE (scenario) FROM ({sql})"
+
+
 # -- lineage -------------------------------------------------------------------------------
 
 

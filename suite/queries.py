@@ -494,6 +494,44 @@ def fault_catalogue(spark, folder):
     )
 
 
+def with_damage(study: Study, listed: DataFrame) -> DataFrame:
+    """A catalogue by scenario, with the size of the sink that each scenario leaves on its own."""
+    worlds = [(i.name, study.pipeline.world(i.culprits, i.choice)) for i in study.incidents]
+    sizes = ut.metric_utility(Replay(study.pipeline, {w for _, w in worlds}).sink(), F.count("*"))
+    where = local_table(study.spark, "scenario string, w long", worlds)
+    found = listed.join(where, "scenario").join(sizes, "w")
+    return found.select(*listed.columns, F.col("u").cast("long").alias("sink_rows"))
+
+
+@query
+def customer_fault_catalogue(spark, folder):
+    """Every fault of the customer pipeline."""
+    listed = catalogue.scenario_table(spark, catalogue.CUSTOMER_FAULTS, [(n,) for n in catalogue.CUSTOMER_FAULTS])
+    return with_damage(studies.customer_faults(spark, Tables(spark, folder)), listed)
+
+
+@query
+def gate_catalogue(spark, folder):
+    """The scenarios of the gate, compound ones included."""
+    listed = catalogue.scenario_table(spark, catalogue.CUSTOMER_FAULTS, catalogue.GATE_SCENARIOS)
+    return with_damage(studies.gate(spark, Tables(spark, folder)), listed)
+
+
+@query
+def trip_fault_catalogue(spark, folder):
+    """Every fault of the trip pipeline."""
+    listed = catalogue.scenario_table(spark, catalogue.TRIP_FAULTS, [(n,) for n in catalogue.TRIP_FAULTS])
+    return with_damage(studies.trip_faults(spark, Tables(spark, folder)), listed.drop("benign"))
+
+
+@query
+def trip_ladder_catalogue(spark, folder):
+    """The severity ladder of the trip pipeline."""
+    listed = catalogue.catalogue_table(spark, catalogue.TRIP_SWEEPS)
+    named = listed.withColumn("scenario", F.concat_ws("/", "fault_type", "severity"))
+    return with_damage(studies.trip_ladder(spark, Tables(spark, folder)), named).drop("scenario")
+
+
 # -- lineage -------------------------------------------------------------------------------
 
 
@@ -616,10 +654,11 @@ def coarse(utility: DataFrame) -> DataFrame:
     return utility.select("w", F.round("u", UTILITY_DIGITS).alias("u"))
 
 
-def scored(study: Study) -> tuple[DataFrame, DataFrame]:
+def scored(study: Study, given=None) -> tuple[DataFrame, DataFrame]:
     """The study's game by the closed-form scorer, and its players."""
     tables = study.tables
-    utility = coarse(ut.discriminant_utility(study.replay().sink(), customer_value.probe(tables), digits=SCORE_DIGITS))
+    sink = study.replay(given=given).sink()
+    utility = coarse(ut.discriminant_utility(sink, customer_value.probe(tables), digits=SCORE_DIGITS))
     return study.game(utility), study.players()
 
 
@@ -865,9 +904,10 @@ def boundary_check(spark, folder):
 @query
 def report_gate(spark, folder):
     study = studies.gate(spark, Tables(spark, folder))
-    (game, players), drift = side_by_side(
-        lambda: scored(study), lambda: reports.node_drift(study, study.incidents)
-    )
+    with replay.wide_sources(study.pipeline) as given:
+        (game, players), drift = side_by_side(
+            lambda: scored(study, given), lambda: reports.node_drift(study, study.incidents, given)
+        )
     table = gate_attributions(study, game, players, drift)
     return rounded(reports.gate_summary(study, table), "p_at_1", "mrr", "mass", digits=6)
 
@@ -893,9 +933,9 @@ def report_benign(spark, folder):
     return rounded(reports.benign_summary(study, game, players), "delta", "max_abs_phi")
 
 
-def merged_game(study: Study, probe: DataFrame, fit=ut.discriminant_utility) -> tuple[DataFrame, DataFrame]:
+def merged_game(study: Study, probe: DataFrame, fit=ut.discriminant_utility, given=None) -> tuple[DataFrame, DataFrame]:
     """The study's game from one replay whose equal sinks are merged, and what each scenario cost."""
-    run = study.replay(merge="sink", cache="shared")
+    run = study.replay(merge="sink", cache="shared", given=given)
     game = study.game(run.spread(coarse(fit(run.sink(), probe, digits=SCORE_DIGITS))))
     run.release()
     return game, reports.costs(study, run.alias)
@@ -903,10 +943,14 @@ def merged_game(study: Study, probe: DataFrame, fit=ut.discriminant_utility) ->
 
 def ladder_rows(study: Study, probe: DataFrame, frontier: bool = False) -> DataFrame:
     """The ladder of a study; the game and the drift of the nodes are worked out side by side."""
-    jobs = [lambda: merged_game(study, probe), lambda: reports.node_drift(study, study.incidents)]
-    if frontier:
-        jobs.append(lambda: reports.staged_rows(reports.frontier_size(study)))
-    (game, cost), drift, *sizes = side_by_side(*jobs)
+    with replay.wide_sources(study.pipeline) as given:
+        jobs = [
+            lambda: merged_game(study, probe, given=given),
+            lambda: reports.node_drift(study, study.incidents, given),
+        ]
+        if frontier:
+            jobs.append(lambda: reports.staged_rows(reports.frontier_size(study, given)))
+        (game, cost), drift, *sizes = side_by_side(*jobs)
     cost = cost.join(sizes[0], "scenario") if sizes else cost
     players = study.players()
     first = for_all(study, orders_of(study, 1)).withColumn("method", F.lit("stagewise"))
@@ -1028,10 +1072,11 @@ def scale_report(spark, folder):
 def incident_card(spark, folder, fit) -> DataFrame:
     """One replay whose equal sinks are merged: what is left is trained and counted."""
     study = studies.incident(spark, Tables(spark, folder))
-    (game, cost), frontier = side_by_side(
-        lambda: merged_game(study, customer_value.probe(study.tables), fit),
-        lambda: reports.staged_rows(reports.frontier_size(study)),
-    )
+    with replay.wide_sources(study.pipeline) as given:
+        (game, cost), frontier = side_by_side(
+            lambda: merged_game(study, customer_value.probe(study.tables), fit, given),
+            lambda: reports.staged_rows(reports.frontier_size(study, given)),
+        )
     card = reports.incident_report(study, game, cost.first().model_fits, frontier)
     return rounded(card, "phi", "delta", "v_anchor", "total_phi", "to_explain", "gap")
 

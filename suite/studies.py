@@ -62,6 +62,20 @@ def ladder(spark=None, tables=None) -> Study:
     return Study(spark, customer_value.build(tables, variants), incidents, tables)
 
 
+def customer_faults(spark=None, tables=None) -> Study:
+    variants, incidents = catalogue.named_incidents(
+        catalogue.CUSTOMER_FAULTS, [(name,) for name in catalogue.CUSTOMER_FAULTS]
+    )
+    return Study(spark, customer_value.build(tables, variants), incidents, tables)
+
+
+def trip_faults(spark=None, tables=None) -> Study:
+    variants, incidents = catalogue.named_incidents(
+        catalogue.TRIP_FAULTS, [(name,) for name in catalogue.TRIP_FAULTS]
+    )
+    return Study(spark, trips.build(tables, variants), incidents, tables)
+
+
 def trip_ladder(spark=None, tables=None) -> Study:
     variants, incidents = catalogue.sweep_incidents(catalogue.TRIP_SWEEPS)
     return Study(spark, trips.build(tables, variants), incidents, tables)

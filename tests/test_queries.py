@@ -14,6 +14,7 @@ CHECKED = [
     "partition_cap", "quantile_threshold", "head_fraction", "join_fanout_ratio", "perturb_null_mnar",
     "perturb_fanout_biased", "encode_trips", "hybrid_replay", "active_frontier", "utility_lda", "utility_lr", "utility_lr_pair", "roc_auc_missing",
     "join_hot_zone", "join_hot_stats", "hot_zones", "shapley_anchored", "shapley_mc", "node_drift", "topological_orders", "incident_report",
+    "gate_catalogue", "trip_fault_catalogue",
 ]
 
 

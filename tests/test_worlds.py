@@ -46,6 +46,29 @@ def test_trip_worlds_equal_their_own_runs(tables):
     together.release()
 
 
+def test_replays_of_a_report_share_wide_sources(tables):
+    cases = [
+        (trips.build(tables, {op: [params] for op, params in catalogue.TRIP_FAULTS.values()}), ["load_trips"]),
+        (fan_in.build(tables, 2, 1, 0.9), ["load_0", "load_1"]),
+    ]
+    for pipeline, wide in cases:
+        worlds = pipeline.all_worlds()
+        wanted = [0, worlds[-1], worlds[len(worlds) // 2]]
+        with replay.wide_sources(pipeline) as given:
+            assert sorted(given) == wide
+            assert all(f.df.storageLevel.useMemory for f in given.values())
+            run = Replay(pipeline, wanted, cache="wide", given=given)
+            for world in wanted:
+                assert same(run.sink().world(world), Replay(pipeline, [world]).sink().world(world))
+            kept = {n for n in run._frames if run._frames[n].df.storageLevel.useMemory}
+            assert pipeline.sink not in kept
+            assert {n for n, op in pipeline.operators.items() if op.wide and n not in wide} <= kept
+            flips = lambda rows: sorted((r.op, r.changed) for r in rows.collect())
+            assert flips(replay.active_frontier(pipeline, given=given)) == flips(replay.active_frontier(pipeline))
+            run.release()
+        assert not any(f.df.storageLevel.useMemory for f in given.values())
+
+
 def test_fan_in_inner_joins_pair_worlds(tables):
     pipeline = fan_in.build(tables, 3, 1, 0.9)
     together = Replay(pipeline).sink()
