@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blamesplit.llm.staging import written
 from blamesplit.llm.texts import pieces
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,7 +39,7 @@ NONE = 0
 ROUNDS = 12
 DAMPING = 0.5
 SMOOTHING = 0.5
-#: Shapes with a label that the model keeps, the most frequent ones.
+#: Shapes with a label that every task holds, the most frequent ones; texts with others get theirs by a join.
 MOST_SHAPES = 10_000
 #: Bounds of the log factor of agreement along skip links; few likenesses in the corpus leave the lower one.
 AGREEMENT = (6.5, 8.0)
@@ -191,17 +192,24 @@ def counted(g: Graph) -> Counter:
 
 @dataclass(frozen=True)
 class Field:
-    """Log factors: of shapes (others have `unseen`), and of pairs along chain and skip links."""
+    """Log factors: of shapes (others have `unseen`), and of pairs along chain and skip links.
+
+    `rest` holds the shapes that are too many for a dictionary, if there are any: (shape, counts by
+    label). Their factors come from the label shares `base`.
+    """
 
     shapes: dict[str, np.ndarray]
     unseen: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    base: np.ndarray | None = None
+    rest: DataFrame | None = None
 
-    def beliefs(self, g: Graph) -> np.ndarray:
-        """Each token's label probabilities after loopy belief propagation."""
+    def beliefs(self, g: Graph, rare: Mapping[str, np.ndarray] | None = None) -> np.ndarray:
+        """Each token's label probabilities after loopy belief propagation; `rare` are shapes of `rest`."""
         n = len(g.shapes)
-        own = np.array([self.shapes.get(s, self.unseen) for s in g.shapes]).reshape(n, len(LABELS))
+        known = {**self.shapes, **rare} if rare else self.shapes
+        own = np.array([known.get(s, self.unseen) for s in g.shapes]).reshape(n, len(LABELS))
         seen = np.array(g.seen, np.int64)
         held = np.flatnonzero(seen != NONE)
         own[held] = -30.0
@@ -226,14 +234,19 @@ class Field:
         return p / p.sum(1, keepdims=True)
 
 
-def fitted(counts: Counter | dict) -> Field:
-    """Factors from counts: log P(label | shape), and log P(a, b) / (P(a) P(b)) along links.
+def shape_factor(counts: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return np.maximum(np.log((counts + SMOOTHING * base) / (counts.sum() + SMOOTHING)), -8.0)
+
+
+def fitted(counts: Counter | dict, others: np.ndarray | float = 0.0) -> Field:
+    """Factors from counts: log P(label | shape), and log P(a, b) / (P(a) P(b)) along links. `others`
+    are the label counts of shapes that are not among `counts`.
 
     Along skip links only agreement counts, alike for all kinds of data; a link never argues for
     `none`, as a token can be data although a like one was missed.
     """
     k = len(LABELS)
-    prior = np.full(k, SMOOTHING)
+    prior = np.full(k, SMOOTHING) + others
     shapes: dict[str, np.ndarray] = {}
     pairs = {"chain": np.full((k, k), SMOOTHING), "skip": np.full((k, k), SMOOTHING)}
     for (what, a, b), n in counts.items():
@@ -244,8 +257,7 @@ def fitted(counts: Counter | dict) -> Field:
             pairs[what][LABELS.index(a), LABELS.index(b)] += n
     base = prior / prior.sum()
     unseen = np.log(np.append(0.98, np.full(k - 1, 0.02 / (k - 1))))
-    logs = {s: np.log((c + SMOOTHING * base) / (c.sum() + SMOOTHING)) for s, c in shapes.items()}
-    logs = {s: np.maximum(v, -8.0) for s, v in logs.items()}
+    logs = {s: shape_factor(c, base) for s, c in shapes.items()}
     c = pairs["chain"]
     chain = np.log(c / c.sum()) - np.log(c.sum(1) / c.sum())[:, None] - np.log(c.sum(0) / c.sum())[None, :]
     chain = np.clip(chain, -2.0, 2.0)
@@ -253,7 +265,7 @@ def fitted(counts: Counter | dict) -> Field:
     agree = np.clip(np.log(np.trace(s) / (k - 1)) - np.log((s.sum() - np.trace(s)) / ((k - 1) * (k - 2))), *AGREEMENT)
     skip = np.zeros((k, k))
     skip[1:, 1:] = np.where(np.eye(k - 1, dtype=bool), agree, -agree)
-    return Field(logs, unseen, chain, skip)
+    return Field(logs, unseen, chain, skip, base)
 
 
 def added(texts: list[str], g: Graph, beliefs: np.ndarray, spans: list[list[Span]]) -> list[list[Span]]:
@@ -295,9 +307,10 @@ def _narrow(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(said.rlike("[0-9@]"), said).alias("text"))
 
 
-def trained(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
+def trained(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_shapes: int = MOST_SHAPES) -> Field:
     """The field fitted to all documents of `df`. Only counts reach the driver: of label pairs, and
-    of the `MOST_SHAPES` most frequent shapes that a pattern match has."""
+    of the `most_shapes` most frequent shapes that a pattern match has. Further shapes stay a table,
+    `Field.rest`, and count alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 0):
@@ -308,9 +321,52 @@ def trained(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
 
     some = _narrow(df, doc_id, text).where("text is not null").select("text")
     counts = some.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    wide = counts.groupBy("what", "a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("by"), F.sum("n").alias("n"), F.sum(F.when(F.col("b") != "none", F.col("n")).otherwise(0)).alias("data"))
-    kept = wide.where("what != 'shape' or data > 0").orderBy(F.col("what") == "shape", F.col("data").desc(), "a").limit(MOST_SHAPES)
-    return fitted({(r.what, r.a, b): n for r in kept.collect() for b, n in r.by.items()})
+    wide = counts.groupBy("what", "a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("by"), F.sum(F.when(F.col("b") != "none", F.col("n")).otherwise(0)).alias("data"))
+    wide = written(wide.where("what != 'shape' or data > 0"))
+    links = wide.where("what != 'shape'").collect()
+    shapes = wide.where("what = 'shape'")
+    top = shapes.orderBy(F.col("data").desc(), "a").limit(most_shapes + 1).collect()
+    found = {(r.what, r.a, b): n for r in links + top[:most_shapes] for b, n in r.by.items()}
+    if len(top) <= most_shapes:
+        return fitted(found)
+    # in the order of `top`, the rest begins with its last row
+    behind = (F.col("data") < top[-1].data) | ((F.col("data") == top[-1].data) & (F.col("a") >= top[-1].a))
+    by_label = F.array(*[F.coalesce(F.col("by")[y], F.lit(0)).cast("double") for y in LABELS])
+    rest = shapes.where(behind).select(F.col("a").alias("shape"), by_label.alias("counts"))
+    others = rest.agg(*[F.sum(F.col("counts")[k]) for k in range(len(LABELS))]).first()
+    return replace(fitted(found, np.array(others)), rest=rest)
+
+
+RARE = "array<struct<shape:string,counts:array<double>>>"
+
+
+def _with_rare(df: DataFrame, said: Column, field: Field, key: str, rare: str) -> DataFrame:
+    """`df` with the column `rare`: the shapes of `field.rest` in the text `said`, null if there are none.
+
+    Texts are matched by digest. A text's shapes are at most its tokens, so no group is large.
+    """
+    if field.rest is None:
+        return df.withColumn(rare, F.lit(None).cast(RARE))
+    held = frozenset(field.shapes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            texts = batch.column(1).to_pylist()
+            g = graph_of(texts, [[]] * len(texts))
+            pairs = sorted({(k, s) for k, s in zip(g.text_of, g.shapes, strict=True) if s not in held})
+            keys = batch.column(0).take(pa.array([k for k, _ in pairs], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([s for _, s in pairs], pa.string())], [key, "shape"])
+
+    digest = F.sha2(said, 256)
+    texts = df.where(said.rlike("[0-9@]")).select(digest.alias(key), said.alias("text"))
+    shapes = texts.mapInArrow(run, f"{key} string, shape string").distinct().join(field.rest, "shape")
+    found = shapes.groupBy(key).agg(F.collect_list(F.struct("shape", "counts")).cast(RARE).alias(rare))
+    return df.withColumn(key, digest).join(found, key, "left").drop(key)
+
+
+def _factors(rare: pa.Array, base: np.ndarray | None) -> dict[str, np.ndarray]:
+    """The factors of the shapes that `_with_rare` found in some texts."""
+    return {x["shape"]: shape_factor(np.array(x["counts"]), base) for some in rare.drop_null().to_pylist() for x in some}
 
 
 def find_private(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,6 +377,8 @@ def find_private(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str
     empty one. Other columns of `df` are not read.
     """
     schema = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:boolean>>"
+    rows = _with_rare(_narrow(df, doc_id, text), F.col("text"), field, "key", "rare")
+    field = replace(field, rest=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
@@ -329,7 +387,7 @@ def find_private(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str
             texts = [said[i] for i in which]
             spans = [base_spans(t) for t in texts]
             g = graph_of(texts, spans)
-            more = added(texts, g, field.beliefs(g), spans)
+            more = added(texts, g, field.beliefs(g, _factors(batch.column(2), field.base)), spans)
             out: list[list[dict]] = [[] for _ in said]
             for i, a, b in zip(which, spans, more, strict=True):
                 every = sorted([(*s, True) for s in a] + [(*s, False) for s in b])
@@ -337,7 +395,7 @@ def find_private(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return _narrow(df, doc_id, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def redacted(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,8 +408,10 @@ def redacted(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "t
     names = df.columns
     place = names.index(text)
     said = F.col(text).cast("string")
-    look = "look" + "_" * max(map(len, names))  # longer than any name of the rows
+    look, key, rare = (c + "_" * max(map(len, names)) for c in ("look", "key", "rare"))  # longer than any name of the rows
     marked = df.withColumn(look, F.coalesce(said.rlike("[0-9@]"), F.lit(False)))
+    marked = _with_rare(marked, said, field, key, rare)  # the columns of `df`, then these two
+    field = replace(field, rest=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, place):
@@ -360,7 +420,7 @@ def redacted(df: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "t
             texts = [whole[i] for i in which]
             spans = [base_spans(t) for t in texts]
             g = graph_of(texts, spans)
-            more = added(texts, g, field.beliefs(g), spans)
+            more = added(texts, g, field.beliefs(g, _factors(batch.column(len(names) + 1), field.base)), spans)
             for i, a, b in zip(which, spans, more, strict=True):
                 whole[i] = replaced(whole[i], a + b)
             columns = [pa.array(whole, pa.string()) if k == place else batch.column(k) for k in range(len(names))]

@@ -105,3 +105,22 @@ def test_long_runs_take_linear_time():
         private.graph_of([text], [spans])
         assert time.perf_counter() - start < 10
         assert (1, len(text) - len("x@example.org 7"), len(text) - 2) in spans
+
+
+def test_shapes_past_the_dictionary_count_alike(spark):
+    """However few shapes the tasks hold, the others reach their texts by a join: same spans, same field."""
+    beside = "write x@y.example.com to +1 (319) 555-3296 4524132264652876 today"
+    again = "dial +1 (415) 555-2671 or later 415-555-2671 please, and 4.0 of 2019"
+    rows = corpus() + [(5000, beside), (5001, again), (5001, again), (None, beside), (5002, None), (5003, "")]
+    rows += [(6000 + i, f"tel:+1{'-' * (i % 5)}{i:03}-555-20{i:02} by z{i}@h.example.org:{i} or 10.1.2.{i}/24") for i in range(60)]
+    df = spark.createDataFrame([(i, t, "s", "k") for i, t in rows], SCHEMA)
+    spans = lambda field: sorted(map(str, private.find_private(df, field).collect()))
+    cleaned = lambda field: sorted(map(str, private.redacted(df, field).collect()))
+    whole = private.trained(df)
+    assert whole.rest is None and len(whole.shapes) > 5
+    for most in (0, 3, len(whole.shapes) - 1):
+        field = private.trained(df, most_shapes=most)
+        assert len(field.shapes) == most and field.rest.count() == len(whole.shapes) - most
+        assert np.array_equal(field.base, whole.base)
+        assert spans(field) == spans(whole) and cleaned(field) == cleaned(whole)
+    assert private.trained(df, most_shapes=len(whole.shapes)).rest is None
