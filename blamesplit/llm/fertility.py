@@ -82,13 +82,17 @@ class Remembering:
         raise NotImplementedError
 
     def __call__(self, distinct: list[bytes]) -> list[list[int]]:
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = distinct
-        if new:
-            self.known.update(zip(new, self.encoded([w.decode() for w in new]), strict=True))
-        return [self.known[w] for w in distinct]
+        found = list(map(self.known.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = [distinct[i] for i in missing]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            coded = self.encoded([w.decode() for w in new])
+            self.known.update(zip(new, coded, strict=True))
+            for i, ids in zip(missing, coded, strict=True):
+                found[i] = ids
+        return found
 
 
 class Pieces(Remembering):
@@ -136,12 +140,19 @@ def repeated_words(which: np.ndarray, text_of: np.ndarray, n_texts: int) -> np.n
     if len(which) < 3:
         return np.zeros(n_texts, np.int64)
     n = int(which.max()) + 1
-    pairs = np.unique(which[:-1].astype(np.int64) * n + which[1:], return_inverse=True)[1]
-    whole = text_of[2:] == text_of[:-2]
-    at = np.flatnonzero(whole)
-    keys = (text_of[at].astype(np.int64) * (int(pairs.max()) + 1) + pairs[at]) * n + which[at + 2]
-    _, back, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    again = at[counts[back] > 1]
+    first, second = which[:-1].astype(np.int64), which[1:]
+    # numbers of word pairs: their own if a window's key fits 63 bits, else those of the pairs that occur
+    pairs, n_pairs = first * n + second, n * n
+    if n_texts * n**3 >= 1 << 63:
+        pairs = np.unique(pairs, return_inverse=True)[1]
+        n_pairs = int(pairs.max()) + 1
+    at = np.flatnonzero(text_of[2:] == text_of[:-2])
+    keys = (text_of[at].astype(np.int64) * n_pairs + pairs[at]) * n + which[at + 2]
+    ordered = np.sort(keys)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return np.zeros(n_texts, np.int64)
+    again = at[twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys]
     marked = np.zeros(len(which), bool)
     for k in range(3):
         marked[again + k] = True

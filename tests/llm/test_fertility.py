@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -122,3 +123,34 @@ def test_empty_table_and_bands(spark):
     assert fertility.fitted_bands(fertility.fertility(empty, PATH)).collect() == []
     some = spark.createDataFrame([(1, "a few words here", "en", 0, ""), (2, None, None, 0, "")], SCHEMA)
     assert {r.lang: r.n for r in fertility.fitted_bands(fertility.fertility(some, PATH)).collect()} == {"en": 1, None: 1}
+
+
+def test_repeated_words_whatever_the_vocabulary():
+    """Windows are numbered directly, or by the pairs that occur where numbers would not fit."""
+    rng = np.random.default_rng(2)
+    for n_words, n_texts, scale in ((0, 3, 1), (2, 3, 1), (40, 2, 1), (900, 7, 1), (900, 7, 2_000_000), (5000, 40, 1)):
+        which = rng.integers(0, 12, n_words).astype(np.int32) * scale
+        text_of = np.sort(rng.integers(0, n_texts, n_words))
+        want = np.zeros(n_texts, np.int64)
+        for t in range(n_texts):
+            words = which[text_of == t].tolist()
+            windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+            inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+            want[t] = len(inside)
+        assert fertility.repeated_words(which, text_of, n_texts).tolist() == want.tolist()
+
+
+def test_words_are_looked_up_once_and_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(fertility, "REMEMBERED", 3)
+    asked = []
+
+    class Lengths(fertility.Remembering):
+        def encoded(self, some):
+            asked.append(some)
+            return [[len(w)] for w in some]
+
+    vocab = Lengths()
+    assert vocab([b"a", b"bb"]) == [[1], [2]]
+    assert vocab([b"bb", b"ccc", b"dddd"]) == [[2], [3], [4]]  # too many: the old ones are forgotten, not asked anew
+    assert vocab([]) == [] and vocab([b"ccc"]) == [[3]]
+    assert asked == [["a", "bb"], ["ccc", "dddd"]] and len(vocab.known) <= 3
