@@ -1,5 +1,7 @@
 """Null rules, date parts, selectors, and the order statistics on skewed data."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +148,44 @@ def test_standardize_uses_population_sd_of_train(spark):
     scaled = ut.standardize(train, [other], ["a", "b"])
     assert tuple(scaled[1].collect()[0]) == (2.0, 2.0)
     assert np.allclose([r.a for r in scaled[0].collect()], [-1, 1])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roc_auc_keeps_no_copy_of_its_rows(spark):
+    """Scores go through two shuffles, sliced by quantiles of a sample; nothing is written in between."""
+    rows = [(g, float(i * 37 % 101), i % 3 == 0) for g in ("a", "b", None) for i in range(400)] + [("c", None, True), ("d", 1.0, True)]
+    df = spark.createDataFrame(rows, "k string, x double, y boolean").withColumn("y", F.col("y").cast("int"))
+    found = ut.roc_auc(df, ["k"], "x", "y")
+    assert not re.search(r"ExistingRDD\[[^\]]*part#", plan_of(found))
+    pos = [x for k, x, y in rows if k == "a" and y]
+    neg = [x for k, x, y in rows if k == "a" and not y]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    got = {r.k: r.auc for r in found.collect()}
+    assert got == {"a": pytest.approx(want, abs=1e-12), "b": pytest.approx(want, abs=1e-12), "c": None, "d": None}
+    text = df.withColumn("x", F.format_string("%05.1f", "x"))  # no quantiles: any order will do
+    assert {r.k: r.auc for r in ut.roc_auc(text.where("k = 'a'"), ["k"], "x", "y").collect()} == {"a": pytest.approx(want, abs=1e-12)}
+    assert ut.roc_auc(df.where("k = 'b'"), [], "x", "y").collect()[0].auc == pytest.approx(want, abs=1e-12)
+
+
+def test_rounded_score_is_round(spark):
+    near = spark.range(-3000, 3000).select(((F.col("id") + 0.5) / 1e6).alias("x"))
+    wide = spark.range(20_000).select(((F.rand(3) - 0.5) * F.pow(F.lit(10.0), F.col("id") % 14 - 8)).alias("x"))
+    odd = spark.createDataFrame([(float("nan"),), (None,), (-0.0,), (-1e-9,), (float("inf"),), (1e300,), (1.0000005,)], "x double")
+    both = near.unionByName(wide).unionByName(odd).select(F.round("x", 6).alias("a"), fc.rounded_score(F.col("x"), 6).alias("b"))
+    assert both.where("not (a <=> b) or string(a) <> string(b)").count() == 0
+
+
+def test_customers_are_dealt_before_worlds_repeat_them(spark):
+    """A small customer file is one task, and every row of it is repeated for each world."""
+    from blamesplit.plans import customer_value
+    from blamesplit.plans.replay import Replay
+
+    orders = spark.createDataFrame([], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz")
+    customer = spark.range(40).select(F.col("id").alias("c_custkey"), F.lit(1.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    pipeline = customer_value.build({"orders": orders, "customer": customer.coalesce(1)}.__getitem__)
+    frame = Replay(pipeline).node("load_customers")
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in plan_of(frame.df)
+    assert frame.df.groupBy("w").count().select("count").distinct().collect() == [(40,)]
