@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from blamesplit.functions import utility as ut
 from blamesplit.operators import game as g
-from blamesplit.plans import catalogue, customer_value, fan_in, replay, trips
+from blamesplit.plans import catalogue, customer_value, fan_in, replay, trips, worlds
 from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.replay import Replay, isolated
 from blamesplit.plans.reports import Incident, Study
@@ -287,3 +287,41 @@ def test_merging_stops_where_a_table_is_read_twice(tables):
     for w in worlds:
         assert same(sink.world(run.alias[w]), plain.world(w))
     run.release()
+
+
+def test_rows_are_repeated_only_for_worlds_that_are_wanted(spark):
+    frame = WorldFrame(spark.range(3).selectExpr("id AS k", "explode(array(0L, 1L, 2L)) AS w"), frozenset({0, 1, 2, 4, 6, 8}), 3)
+    wide = frame.expand(12)
+    assert wide.worlds == [0, 1, 2, 4, 6, 8]
+    assert sorted(r.w for r in wide.df.where("k = 1").collect()) == wide.worlds
+    assert "IN (" in wide.df._jdf.queryExecution().analyzed().toString()
+    assert "Filter" not in wide.df._jdf.queryExecution().analyzed().toString()
+
+
+def test_quantiles_are_ordered_in_worlds_that_read_them_only(spark, monkeypatch):
+    before = WorldFrame(spark.range(101).selectExpr("id AS x", "explode(array(0L, 1L)) AS w"), frozenset(range(8)), 1)
+    seen = []
+    real = worlds.exact_quantile
+    monkeypatch.setattr(worlds, "exact_quantile", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    frame = before.expand(6)
+    got = frame.with_quantile("x", 0.5, "mid", before, [3, 5, 6])
+    mids = {r.w: r.mid for r in got.df.select("w", "mid").distinct().collect()}
+    assert mids == {w: 50.0 if w in (3, 5, 6) else None for w in range(8)}
+    assert seen == [202]  # and not the 808 rows of all worlds
+    whole = frame.with_quantile("x", 0.5, "mid")
+    assert {r.mid for r in whole.df.select("mid").distinct().collect()} == {50.0}
+    none = frame.with_quantile("x", 0.5, "mid", before, [])
+    assert {r.mid for r in none.df.select("mid").distinct().collect()} == {None}
+
+
+def test_measured_sinks_are_not_kept(tables):
+    pipeline = customer_value.build(tables, {**FAULTS, "clean_customers": [{"null_rate": 0.0001}]})  # blanks nobody
+    wanted, probe = pipeline.all_worlds(), customer_value.probe(tables)
+    kept = Replay(pipeline, wanted, merge="sink")
+    passed = Replay(pipeline, wanted, merge="sink", measure=ut.sink_measure)
+    want, got = (sorted(map(tuple, r.spread(ut.discriminant_utility(r.sink(), probe, digits=6)).collect())) for r in (kept, passed))
+    assert got == want
+    assert passed.alias == kept.alias
+    assert len(passed.sink().worlds) < len(wanted)
+    assert not passed._cached
+    kept.release()
