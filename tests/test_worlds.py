@@ -325,3 +325,17 @@ def test_measured_sinks_are_not_kept(tables):
     assert len(passed.sink().worlds) < len(wanted)
     assert not passed._cached
     kept.release()
+
+
+def test_the_frontier_replays_an_operator_in_its_own_flips_only(tables, monkeypatch):
+    variants, incidents = catalogue.sweep_incidents(catalogue.TRIP_SWEEPS)
+    study = Study(tables.spark, trips.build(tables, variants), incidents, tables)
+    seen = {}
+    real = replay.world_fingerprints
+    monkeypatch.setattr(replay, "world_fingerprints", lambda frame: seen.update({tuple(frame.columns): len(frame.worlds)}) or real(frame))
+    found = replay.active_frontier(study.pipeline, {i.name: study.choice(i) for i in study.incidents})
+    assert max(seen.values()) == 5  # the reference and the levels of one fault
+    changed = {(r.scenario, r.op): r.changed for r in found.collect()}
+    assert len(changed) == len(incidents) * len(study.pipeline.fields)
+    assert all(changed[i.name, "load_trips"] for i in incidents)
+    assert {i.culprits[0] for i in incidents if changed[i.name, i.culprits[0]]} == set(variants)
