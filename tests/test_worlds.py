@@ -1,15 +1,21 @@
 """The tagged replay against one plain run per world, and its edge cases."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from blamesplit.functions import utility as ut
+from blamesplit.functions.stage import kept
 from blamesplit.operators import game as g
 from blamesplit.plans import catalogue, customer_value, fan_in, replay, trips, worlds
 from blamesplit.plans.pipeline import Operator, Pipeline
 from blamesplit.plans.replay import Replay, isolated
 from blamesplit.plans.reports import Incident, Study
 from blamesplit.plans.worlds import WorldFrame
+from blamesplit.sources.tables import Tables
+from suite import queries
+from tests.conftest import DATA
 
 FAULTS = {
     "clean_customers": [{"null_rate": 0.5, "null_mode": "mnar"}, {"null_rate": 0.4}],
@@ -339,3 +345,38 @@ def test_the_frontier_replays_an_operator_in_its_own_flips_only(tables, monkeypa
     assert len(changed) == len(incidents) * len(study.pipeline.fields)
     assert all(changed[i.name, "load_trips"] for i in incidents)
     assert {i.culprits[0] for i in incidents if changed[i.name, i.culprits[0]]} == set(variants)
+
+
+def test_widths_share_one_pass_over_the_events(spark, monkeypatch):
+    asked = []
+
+    class Counted(Tables):
+        def __call__(self, name):
+            asked.append(name)
+            return super().__call__(name)
+
+    monkeypatch.setattr(queries, "Tables", Counted)
+    monkeypatch.setattr(queries.studies, "SCALE_WIDTHS", [1, 2, 6])
+    assert queries.QUERIES["scale_report"](spark, DATA).count() == 3
+    assert asked == ["events"]
+
+
+def test_shared_sums_give_the_rows_of_each_pipeline(spark):
+    at = lambda s: datetime.fromisoformat(f"2024-01-{s}")
+    rows = [
+        (1, "click", at("01"), 1.5), (1, "click", at("07T23:59:59"), None), (1, "error", at("08"), 2.0), (1, "view", at("20"), 7.0),
+        (2, "click", at("15"), None), (2, "error", at("03"), 40_000.0), (2, None, at("04"), 1.0), (None, "click", at("02"), 5.0),
+        (3, "click", None, 9.0), (3, "click", at("09"), 3.0), (3, "click", at("09"), 3.0), (3, "error", at("16"), 4.0), (4, "purchase", at("30"), 1.0),
+    ]
+    events = spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double")
+    given = lambda name: events
+    weeks = (fan_in.REFERENCE_WEEK, fan_in.INCIDENT_WEEK, fan_in.PROBE_WEEK)
+    with kept(fan_in.user_sums(given, weeks, range(fan_in.MOST_BRANCHES))) as sums:
+        shared, own = fan_in.build(given, 7, 0, 0.9, sums=sums), fan_in.build(given, 7, 0, 0.9)
+        for b in (0, 1, 5):
+            ours, theirs = (Replay(p, shared.all_worlds()).node(f"agg_{b}") for p in (shared, own))
+            assert same(ours.df, theirs.df) and "InMemoryTableScan" in ours.df._jdf.queryExecution().executedPlan().toString()
+        assert same(fan_in.probe(given, 2, sums), fan_in.probe(given, 2))
+    clicks = {(r.w, r.entity_id): (r.x0, r.w0, r.label) for r in Replay(own, [0, own.world(["load_0"])]).node("load_0").df.collect()}
+    week = own.world(["load_0"])
+    assert clicks == {(0, 1): (1.5, 2.0, 0), (week, 2): (None, 1.0, 1)}
