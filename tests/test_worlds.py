@@ -380,3 +380,39 @@ def test_shared_sums_give_the_rows_of_each_pipeline(spark):
     clicks = {(r.w, r.entity_id): (r.x0, r.w0, r.label) for r in Replay(own, [0, own.world(["load_0"])]).node("load_0").df.collect()}
     week = own.world(["load_0"])
     assert clicks == {(0, 1): (1.5, 2.0, 0), (week, 2): (None, 1.0, 1)}
+
+
+def test_what_is_made_row_by_row_is_not_kept(tables):
+    variants, _ = catalogue.sweep_incidents(catalogue.TRIP_SWEEPS)
+    pipeline = trips.build(tables, variants)
+    wanted = [0, *pipeline.all_worlds()[-2:]]
+    with replay.wide_sources(pipeline) as given:
+        for cache in ("shared", "wide"):
+            run = Replay(pipeline, wanted, cache=cache, given=given)
+            sink = run.sink()
+            held = {n for n in run._frames if n not in given and run._frames[n].df.storageLevel.useMemory}
+            assert held == {"zone_stats"}  # and not derive_time, or zones that other plans would find in the cache
+            plan = sink.df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # the size of the zones is known
+            for w in wanted:
+                assert same(sink.world(w), Replay(pipeline, [w]).sink().world(w))
+            run.release()
+    plain = Replay(pipeline, wanted, cache="shared")
+    plain.sink()
+    assert plain._frames["derive_time"].df.storageLevel.useMemory  # nothing before it is kept
+    plain.release()
+
+
+def test_a_salt_of_one_column_spreads_a_hot_key(spark):
+    left = WorldFrame(spark.range(100).selectExpr("0L AS w", "id", "0L AS k", "'x' AS unused"), frozenset({0}))
+    right = WorldFrame(spark.sql("SELECT 0L AS w, explode(array(0L, 0L, 1L)) AS k, 7 AS v"), frozenset({0}))
+    salted, plain = left.join(right, ["k"], "left", 4, salt=["id"]), left.join(right, ["k"], "left")
+    assert same(salted.df, plain.df) and salted.df.count() == 200
+    assert "unused" not in salted.df.select("v")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_report_reads_each_trip_of_the_probe_from_what_is_held(tables):
+    with replay.wide_sources(trips.probe_pipeline(tables)) as held:
+        given, own = trips.probe(tables, held), trips.probe(tables)
+        assert same(given, own) and same(own, given)
+        assert "parquet" not in given._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0].lower()
