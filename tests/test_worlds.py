@@ -416,3 +416,17 @@ def test_a_report_reads_each_trip_of_the_probe_from_what_is_held(tables):
         given, own = trips.probe(tables, held), trips.probe(tables)
         assert same(given, own) and same(own, given)
         assert "parquet" not in given._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0].lower()
+
+
+def test_reports_share_the_first_operators_that_aggregate(tables):
+    pipeline = customer_value.build(tables, {**FAULTS, "agg_transactions": [{"amount_scale": 0.5}]})
+    with replay.wide_sources(pipeline) as given:
+        assert sorted(given) == ["agg_transactions", "load_customers"]
+        assert len(given["agg_transactions"].worlds) == 4 and len(given["load_customers"].worlds) == 2
+        worlds = pipeline.all_worlds()
+        run = Replay(pipeline, worlds, given=given)
+        for w in (0, worlds[-1], pipeline.world(["agg_transactions"]), pipeline.world(["load_transactions"])):
+            assert same(run.sink().world(w), Replay(pipeline, [w]).sink().world(w))
+        assert "o_orderdate" not in run.node("agg_transactions").df._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
+        few = Replay(pipeline, [0], given=given)
+        assert few.node("agg_transactions").df.select("w").distinct().count() == 1
