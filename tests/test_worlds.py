@@ -430,3 +430,10 @@ def test_reports_share_the_first_operators_that_aggregate(tables):
         assert "o_orderdate" not in run.node("agg_transactions").df._jdf.queryExecution().withCachedData().toString().split("InMemoryRelation")[0]
         few = Replay(pipeline, [0], given=given)
         assert few.node("agg_transactions").df.select("w").distinct().count() == 1
+
+
+def test_what_many_sources_feed_is_not_made_in_all_their_mixes(tables):
+    sums = fan_in.user_sums(tables, (fan_in.REFERENCE_WEEK, fan_in.INCIDENT_WEEK), range(10))
+    pipeline = fan_in.build(tables, 10, 0, 0.9, sums=sums)
+    with replay.wide_sources(pipeline) as given:
+        assert not given  # join_all has 2048 worlds, of which a report reads a few
