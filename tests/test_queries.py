@@ -49,6 +49,17 @@ def test_query_equals_sql(spark, duck, name):
     assert found == sorted(tuple(cell(r[i]) for i in places) for r in cursor.fetchall())
 
 
+def test_gate_reports_every_scenario(spark, duck):
+    df = suite.queries()["report_gate"](spark, DATA)
+    found = sorted(tuple(map(cell, r)) for r in df.collect())
+    cursor = duck.execute(suite.oracle_sql()["report_gate"])
+    assert [d[0] for d in cursor.description] == df.columns
+    assert found == sorted(tuple(map(cell, r)) for r in cursor.fetchall())
+    sizes = {"harmful": 8, "compound": 3, "benign": 2}
+    methods = ["shapley", "shapley_mc", "loo", "stagewise_a", "stagewise_b", "drift"]
+    assert {r[:3] for r in found} == {(g, m, str(n)) for g, n in sizes.items() for m in methods}
+
+
 def test_entry(spark):
     rows = suite.entry(spark).collect()
     assert len(rows) == 7 and rows[0].gap < 1e-9

@@ -96,3 +96,24 @@ def test_case_validity(spark):
     df = local_table(spark, "fault_type string, delta double, fault_alone double", rows)
     found = [r.reason for r in reports.case_validity(df).collect()]
     assert found == ["valid", "fault does no harm", "no net degradation", "valid"]
+
+
+def test_gate_summary_scores_every_group(spark):
+    incidents = [
+        reports.Incident("a", culprits=("a",), group="harmful"),
+        reports.Incident("a+b", culprits=("a", "b"), group="harmful"),
+        reports.Incident("c", culprits=("c",), group="benign"),
+        reports.Incident("d", culprits=("d",), group="benign"),
+    ]
+    blame = {
+        "a": {"a": -0.3, "c": -0.1, "d": 0.0}, "a+b": {"a": -0.1, "b": -0.1, "d": -0.2},
+        "c": {"c": -0.01, "d": -0.03}, "d": {"a": 0.0, "c": 0.0, "d": 0.0},
+    }
+    rows = [(s, "loo", op, phi) for s, phis in blame.items() for op, phi in phis.items()]
+    table = local_table(spark, "scenario string, method string, op string, phi double", rows)
+    found = {r.grp: tuple(r)[2:] for r in reports.gate_summary(reports.Study(spark, None, incidents), table).collect()}
+    assert found == {
+        "harmful": pytest.approx((2, 0.5, 0.75, 0.625)),
+        "compound": pytest.approx((1, 0.0, 0.5, 0.5)),
+        "benign": pytest.approx((2, 0.0, (0.5 + 1 / 3) / 2, 0.125)),
+    }
